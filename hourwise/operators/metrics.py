@@ -88,12 +88,12 @@ def best_thresholds(sweep: DataFrame) -> DataFrame:
                      F.min_by("thr", F.struct("cost", "thr")).alias("best_cost"))
 
 
-def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Mann-Whitney form: a tie counts half. One row: auc, n_pos, n_neg."""
-    c = cumulative_counts(df, p, y)
+def roc_auc(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Mann-Whitney form: a tie counts half. One row (per `keys`): auc, n_pos, n_neg."""
+    c = cumulative_counts(df, p, y, keys)
     n1, n0 = F.sum("pos"), F.sum("neg")
     wins = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return c.agg((wins / (n1.cast("double") * n0)).alias("auc"), n1.alias("n_pos"), n0.alias("n_neg"))
+    return c.groupBy(*keys).agg((wins / (n1.cast("double") * n0)).alias("auc"), n1.alias("n_pos"), n0.alias("n_neg"))
 
 
 def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:

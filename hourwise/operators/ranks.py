@@ -54,11 +54,11 @@ def average_ranks(df: DataFrame, score: str) -> DataFrame:
     return ranked.select(score, "n", (F.col("cum_n") - F.col("n") / 2 + 0.5).alias("avg_rank"))
 
 
-def cumulative_counts(df: DataFrame, score: str, label: str) -> DataFrame:
-    """tp and fp when every row at or above the score is called positive; one row per distinct score."""
-    hist = df.groupBy(score).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
+def cumulative_counts(df: DataFrame, score: str, label: str, within: Sequence[str] = ()) -> DataFrame:
+    """tp and fp when every row at or above the score is called positive; one row per distinct score (per `within`)."""
+    hist = df.groupBy(*within, score).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
                                  F.sum((F.col(label) != 1).cast("bigint")).alias("neg"))
-    return (running_totals(hist, score, ["pos", "neg"], descending=True, cuts_from=df)
+    return (running_totals(hist, score, ["pos", "neg"], within, descending=True, cuts_from=df)
             .withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"}))
 
 

@@ -198,6 +198,26 @@ class Lab:
         boot = np.array([sums.pop(DRAW0 + d)[0] for d in range(draws)]) if draws else None
         return Scores(self, list(models), sums, boot)
 
+    def predict(self, by_key: dict[int, Model]) -> DataFrame:
+        """(id, key, y, pred): each row class scored by the model assigned to it; classes without a model are left out."""
+        basis = self.basis
+        plan = {k: (m.mono, m.target, m.factor, m.cap) for k, m in by_key.items()}
+
+        def emit(batches):
+            import pyarrow as pa
+            for b in batches:
+                key = b.column("key").to_numpy(zero_copy_only=False)
+                y = b.column("y").to_numpy(zero_copy_only=False)
+                ids = b.column("id").to_numpy(zero_copy_only=False)
+                e = basis.expand(matrix_of(b.column("x")))
+                for k in np.unique(key):
+                    mono, target, factor, cap = plan[int(k)]
+                    r = key == k
+                    p = np.maximum(factor * target.inverse_np(np.minimum(e[r] @ mono, cap)) - 1.0, 0.0)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(key[r]), pa.array(y[r]), pa.array(p)], ["id", "key", "y", "pred"])
+
+        return self.rows.where(F.col("key").isin(*plan)).drop("day").mapInArrow(emit, "id long, key int, y double, pred double")
+
     def evaluate(self, models: Sequence[Model], **kw) -> Scores:
         self.learn_factors(models)
         return self.score(models, **kw)

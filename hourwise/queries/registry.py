@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from hourwise.queries.base import QUERIES, SQL
 
-for _module in ("tables_and_features", "audits"):
+for _module in ("tables_and_features", "audits", "models", "evaluation", "validation"):
     importlib.import_module(f"hourwise.queries.{_module}")
 
 __all__ = ["QUERIES", "SQL", "flagship", "ship_package"]
@@ -35,4 +35,5 @@ def ship_package(spark: SparkSession, root: str) -> None:
 
 
 def flagship(spark: SparkSession, folder: str):
-    return QUERIES["S4_hourly_rollup"](spark, folder)
+    from hourwise.queries import validation
+    return validation.flagship(spark, folder)
