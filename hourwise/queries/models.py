@@ -36,7 +36,8 @@ def open_lab(spark, folder, specs, powers=(POWER,), **kw) -> Lab:
 def result(spark, rows: list[dict], schema: str, digits: int = 6):
     """A metric table (a few rows per model) as a DataFrame with rounded doubles."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return rounded(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema), digits)
+    plain = [tuple(v.item() if isinstance(v, np.generic) else v for v in (r.get(n) for n in names)) for r in rows]
+    return rounded(spark.createDataFrame(plain, schema), digits)
 
 
 # ----------------------------------------------------------------------------- plans on columns

@@ -176,7 +176,7 @@ def cost_shift(spark, d):
 
 
 LOGIT_FULL = DesignSpec(BASE, blocks=("ws_memory",))
-_RULES = {"global": [], "entity": ["entity"], "entity_daytype": ["entity", "workingday"]}
+_RULES = {"overall": [], "by_entity": ["entity"], "by_entity_daytype": ["entity", "workingday"]}
 
 
 def _foil_frame(spark, d):
@@ -222,10 +222,10 @@ def l2_sweep(spark, d):
     with kept(_foil_frame(spark, d)) as df:
         fit = df.where("val = 0")
         m = Design(LOGIT_FULL, EPOCH).fit(fit)
-        rows = fit.select(F.array(F.lit(1.0), *m.columns().values()).alias("x"), F.array(F.col("entity_daytype").cast("double")).alias("ys"))
+        rows = fit.select(F.array(F.lit(1.0), *m.columns().values()).alias("x"), F.array(F.col("by_entity_daytype").cast("double")).alias("ys"))
         cols = np.array([i for i, n in enumerate(LOGIT_FULL.names) if n not in m.constants])
         fitted = fit_objectives(rows, [cv.Objective(f"{l2:g}", cv.logistic, cols, 0, l2) for l2 in grid])
-        long = _logit_scores(df, m, fitted, dict.fromkeys([o.name for o in fitted], "entity_daytype"))
+        long = _logit_scores(df, m, fitted, dict.fromkeys([o.name for o in fitted], "by_entity_daytype"))
         auc = {r["model"]: r["auc"] for r in metrics.roc_auc(long, "y", "p", ["model"]).collect()}
         loss = {r["model"]: r["l"] for r in long.groupBy("model").agg(metrics.log_loss("y", "eta").alias("l")).collect()}
     table = [{"l2": float(o.name), "train_loss": o.loss, "val_logloss": loss[o.name], "val_auc": auc[o.name], "steps": o.steps, "stop": o.stop} for o in fitted]
@@ -356,8 +356,7 @@ def column_selection(spark, d):
     """Evidence to verdicts, then lasso and stability on the features of useful columns: what survives."""
     lab = open_lab(spark, d, [CANDIDATE_PLAN])
     try:
-        evidence = spark.createDataFrame([tuple(r.get(c.strip().split(" ")[0]) for c in _EVIDENCE.split(",")) for r in
-                                          search.column_evidence(lab, CANDIDATE_PLAN, POWER, 0.01, FOLDS, DRAWS, SEED)], _EVIDENCE)
+        evidence = result(spark, search.column_evidence(lab, CANDIDATE_PLAN, POWER, 0.01, FOLDS, DRAWS, SEED), _EVIDENCE, 12)
         verdict = selection.verdicts(evidence)
         useful = {r["column"] for r in verdict.where("verdict = 'useful'").collect()}
         names = [n for n in CANDIDATE_PLAN.names[1:] if selection.sources_of(n) <= useful]
