@@ -20,36 +20,56 @@ def first_per_hour(df: DataFrame, keys: Sequence[str], values: Sequence[str], or
     return picked.select(*keys, hour, "_first.*")
 
 
-def shifted(df: DataFrame, timeline: DataFrame, keys: Sequence[str], values: dict[str, tuple[str, int]],
+def _blocks(hour: str, reach_back: int, reach_ahead: int) -> Column:
+    """Blocks whose rows may look at this hour: its own and, near a border, the next or the previous ones."""
+    first = F.floor((F.col(hour) - reach_ahead) / BLOCK_HOURS)
+    last = F.floor((F.col(hour) + reach_back) / BLOCK_HOURS)
+    return F.sequence(first, last)
+
+
+def shifted(df: DataFrame, timeline: DataFrame | None, keys: Sequence[str], values: dict[str, tuple[str, int]],
             hour: str = "hour_idx", own: dict[str, Column] | None = None) -> DataFrame:
     """Add value columns found a number of hours earlier (negative: later) on a timeline of unique hours.
 
-    `values` maps the new name to (timeline column, hours). A missing hour gives the row's own value, taken from
-    `own` or from the column of the same name. All lookups share one pass: each timeline row is sent to the hours
-    that will ask for it, grouped there, and joined once on (keys, hour)."""
+    `values` maps the new name to (timeline column, hours); no timeline means `df` itself, whose hours are then unique. A
+    missing hour gives the row's own value, taken from `own` or from the column of the same name. One shuffle on (keys,
+    block of hours) serves all lookups: each is a one-hour RANGE frame over the same sort."""
     own = own or {}
-    hours = sorted({h for _, h in values.values()})
+    back = max(0, *[h for _, h in values.values()])
+    ahead = max(0, *[-h for _, h in values.values()])
     columns = sorted({c for c, _ in values.values()})
-    sent = (timeline.select(*keys, F.explode(F.array(*[F.struct((F.col(hour) + h).alias("at"), F.lit(h).alias("h"))
-                                                        for h in hours])).alias("s"), *columns)
-            .select(*keys, F.col("s.at").alias(hour), F.col("s.h").alias("_h"), *columns))
-    found = sent.groupBy(*keys, hour).agg(*[
-        F.max(F.when(F.col("_h") == h, F.col(c))).alias(f"_at_{name}") for name, (c, h) in values.items()])
-    joined = df.join(found, [*keys, hour], "left")
+    home = F.floor(F.col(hour) / BLOCK_HOURS)
+    if timeline is None:
+        looked = {c: F.col(c) for c in columns}
+        rows = (df.withColumns({f"_v_{c}": e for c, e in looked.items()}).withColumn("_home", home)
+                .withColumn("_block", F.explode(_blocks(hour, back, ahead))).withColumn("_keep", F.col("_block") == F.col("_home")))
+    else:
+        known = (timeline.select(*keys, hour, *[F.col(c).alias(f"_v_{c}") for c in columns])
+                 .withColumn("_block", F.explode(_blocks(hour, back, ahead))).withColumn("_keep", F.lit(False)))
+        asking = df.withColumn("_block", home).withColumn("_keep", F.lit(True))
+        rows = asking.unionByName(known, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_block").orderBy(hour)
+    found = {f"_at_{name}": F.max(f"_v_{c}").over(w.rangeBetween(-h, -h)) for name, (c, h) in values.items()}
+    kept = rows.withColumns(found).where("_keep")
     result = {name: F.coalesce(F.col(f"_at_{name}"), own.get(name, F.col(c))) for name, (c, h) in values.items()}
-    return joined.withColumns(result).select(*[c for c in df.columns if c not in values], *values)
+    return kept.withColumns(result).select(*[c for c in df.columns if c not in values], *values)
 
 
 def weather_memory(df: DataFrame, timeline: DataFrame | None = None, keys: Sequence[str] = (),
-                   situation: str = "weathersit", order: str = "instant", hour: str = "hour_idx") -> DataFrame:
+                   situation: str = "weathersit", order: str = "instant", hour: str = "hour_idx",
+                   unique: bool = False) -> DataFrame:
     """ws_lag1 (situation one hour earlier) and wet3 (worst of the three hours before), both capped at 3.
 
-    An hour missing from the timeline counts as the row's own situation. The label is never read."""
+    An hour missing from the timeline counts as the row's own situation; of rows that share an hour the first in `order`
+    is the timeline. `unique` says the hours of `df` never repeat, which saves a shuffle. The label is never read."""
     capped = F.least(F.col(situation), F.lit(3))
-    source = df if timeline is None else timeline
-    known = first_per_hour(source.select(*keys, hour, order, capped.alias("_ws")), keys, ["_ws"], order, hour)
     lags = {f"_ws{h}": ("_ws", h) for h in (1, 2, 3)}
-    out = shifted(df, known, keys, lags, hour, own={name: capped for name in lags})
+    if timeline is None and unique:
+        out = shifted(df.withColumn("_ws", capped), None, keys, lags, hour).drop("_ws")
+    else:
+        source = df if timeline is None else timeline
+        known = first_per_hour(source.select(*keys, hour, order, capped.alias("_ws")), keys, ["_ws"], order, hour)
+        out = shifted(df, known, keys, lags, hour, own={name: capped for name in lags})
     return (out.withColumns({"ws_lag1": F.col("_ws1").cast("int"), "wet3": F.greatest("_ws1", "_ws2", "_ws3").cast("int")})
             .drop(*lags))
 
@@ -59,11 +79,8 @@ def rolling_extremes(df: DataFrame, keys: Sequence[str], column: Column, hours:
     """Largest or smallest value of the `hours` hours before each row of a unique-hour timeline.
 
     The row's own value stands in for missing hours. One range frame per block of hours."""
-    block = F.floor(F.col(hour) / BLOCK_HOURS)
-    late = F.pmod(F.col(hour), F.lit(BLOCK_HOURS)) >= BLOCK_HOURS - hours
-    blocks = F.when(late, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = (df.withColumn("_x", column).withColumn("_home", block)
-              .withColumn("_block", F.explode(blocks)))
+    spread = (df.withColumn("_x", column).withColumn("_home", F.floor(F.col(hour) / BLOCK_HOURS))
+              .withColumn("_block", F.explode(_blocks(hour, hours, 0))))
     w = Window.partitionBy(*keys, "_block").orderBy(hour).rangeBetween(-hours, -1)
     seen = (F.max if largest else F.min)("_x").over(w)
     pick = F.greatest if largest else F.least

@@ -114,7 +114,7 @@ FROM timeline a LEFT JOIN timeline b ON b.user_id = a.user_id AND b.hour_idx = a
 def timestamp_lookup(spark, d):
     """Self lookup two hours back, own value when absent."""
     df = timeline(spark, d)
-    return tl.shifted(df, df, ["user_id"], {"lag2": ("weathersit", 2)}).select("user_id", "hour_idx", "lag2")
+    return tl.shifted(df, None, ["user_id"], {"lag2": ("weathersit", 2)}).select("user_id", "hour_idx", "lag2")
 
 
 @query("J2_threshold_lookup", """WITH c AS (SELECT l_returnflag, l_linestatus, quantile_cont(l_quantity, 0.75) AS threshold

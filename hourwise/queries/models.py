@@ -14,7 +14,7 @@ from hourwise.plans import solvers
 from hourwise.plans.design import Design
 from hourwise.plans.lab import Lab, split_key, split_sets
 from hourwise.plans.spec import ANCHOR, BASE, DesignSpec, append_blocks
-from hourwise.queries.base import (CUT_DATE, DEMAND, EPOCH, FOLDS, SEED, demand, labelled, query, r6, rounded)
+from hourwise.queries.base import (CUT_DATE, DEMAND, EPOCH, FOLDS, LABELLED, SEED, demand, labelled, query, r6, rounded)
 from hourwise.session import kept
 from hourwise.sources.tables import table
 
@@ -24,7 +24,7 @@ EARLY = f"dteday < DATE '{CUT_DATE}'"
 
 def frame(spark, folder):
     """Demand rows with the memory columns, the seeded side, the time side and the day fold of the training side."""
-    df = tl.weather_memory(labelled(spark, folder), keys=["entity"])
+    df = tl.weather_memory(labelled(spark, folder), keys=["entity"], unique=True)
     folds = splits.day_folds(df.where("val = 0").select("dteday").distinct(), "dteday", FOLDS)
     return df.join(folds, "dteday", "left")
 
@@ -281,6 +281,18 @@ def condition_number(spark, d):
     return result(spark, [{"lambda_max": hi, "condition": hi / lo}], "lambda_max double, condition double")
 
 
+# One-column plans have closed forms, so SQL can follow fit, factor, cap, clip and score on every split.
+ONE_PLAN = DesignSpec(("temp",))
+ONE_SQL = f"""{LABELLED}, td AS (SELECT dteday, (dense_rank() OVER (ORDER BY dteday) - 1) % {FOLDS} AS fold FROM (SELECT DISTINCT dteday FROM labelled WHERE val = 0)),
+fr AS (SELECT l.*, fold, ln(1 + cnt) AS z FROM labelled l LEFT JOIN td USING (dteday)), ms AS (SELECT unnest(['seeded', 'chrono', {', '.join(f"'fold{g}'" for g in range(FOLDS))}]) AS m),
+role AS (SELECT m, fr.*, CASE m WHEN 'seeded' THEN val = 0 WHEN 'chrono' THEN late = 0 ELSE val = 0 AND 'fold' || fold <> m END AS fits,
+  CASE m WHEN 'seeded' THEN val = 1 WHEN 'chrono' THEN late = 1 ELSE val = 0 AND 'fold' || fold = m END AS evals FROM fr, ms),
+co AS (SELECT m, regr_slope(z, temp) AS w, regr_intercept(z, temp) AS b, ln(1 + max(cnt)) + 1 AS cap FROM role WHERE fits GROUP BY m),
+fa AS (SELECT m, sum((cnt + 1) * exp(b + w * temp)) / sum(exp(2 * (b + w * temp))) AS s FROM role JOIN co USING (m) WHERE fits GROUP BY m),
+pr AS (SELECT role.*, b + w * temp AS eta, greatest(s * exp(CASE WHEN fits THEN b + w * temp ELSE least(b + w * temp, cap) END) - 1, 0) AS p, s FROM role JOIN co USING (m) JOIN fa USING (m)),
+me AS (SELECT m, fits, evals, count(*) AS n, 1 - sum((cnt - p) ** 2) / (var_pop(cnt) * count(*)) AS r2, sqrt(avg((cnt - p) ** 2)) AS rmse,
+  1 - sum((z - eta) ** 2) / (var_pop(z) * count(*)) AS r2_z, avg(p) AS mean_p, avg(cnt) AS mean_y, max(s) AS s FROM pr WHERE fits OR evals GROUP BY m, fits, evals)"""
+
 _ETA = f"{DEMAND}, e AS (SELECT *, ln(2 + temp * 4) AS eta FROM demand)"
 
 

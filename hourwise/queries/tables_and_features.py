@@ -27,7 +27,7 @@ LEFT JOIN k l3 ON l3.user_id = a.user_id AND l3.hour_idx = a.hour_idx - 3""")
 def labelled_scan(spark, d):
     """Typed labelled table with the memory columns attached."""
     df = timeline(spark, d).withColumn("instant", F.col("hour_idx"))
-    return tl.weather_memory(df, keys=["user_id"]).select("user_id", "hour_idx", "cnt", "ws_lag1", "wet3")
+    return tl.weather_memory(df, keys=["user_id"], unique=True).select("user_id", "hour_idx", "cnt", "ws_lag1", "wet3")
 
 
 @query("S2_pruned_timeline", """SELECT CAST(o_orderdate AS DATE) AS dteday, o_orderstatus, CAST(count(*) AS BIGINT) AS n
@@ -212,7 +212,7 @@ a.cents - coalesce(l2.cents, a.cents) AS change3 FROM k a {_lag_joins([1, 24, 3]
 def lag_by_timestamp(spark, d):
     """A column some hours earlier, its own value when that hour is absent."""
     df = timeline(spark, d)
-    out = tl.shifted(df, df, ["user_id"], {"lag1": ("cents", 1), "lag24": ("cents", 24), "lag3": ("cents", 3)})
+    out = tl.shifted(df, None, ["user_id"], {"lag1": ("cents", 1), "lag24": ("cents", 24), "lag3": ("cents", 3)})
     return out.select("user_id", "hour_idx", "lag1", "lag24", (F.col("cents") - F.col("lag3")).alias("change3"))
 
 

@@ -14,7 +14,7 @@ from hourwise.plans.design import Design
 from hourwise.plans.lab import Lab, split_key, split_sets, stability, three_validators
 from hourwise.plans.spec import ANCHOR, BASE, HOURS, DesignSpec, ladder
 from hourwise.queries.base import EPOCH, FOLDS, SEED, query, rounded
-from hourwise.queries.models import (CANDIDATE_PLAN, POWER, SMALL_PLAN, _with_memory, design_rows, fit_objectives, frame, open_lab, result)
+from hourwise.queries.models import (CANDIDATE_PLAN, ONE_PLAN, ONE_SQL, POWER, SMALL_PLAN, _with_memory, design_rows, fit_objectives, frame, open_lab, result)
 from hourwise.session import kept
 
 DRAWS = 200
@@ -31,7 +31,62 @@ def flagship(spark, d):
     return result(spark, rows, "plan string, side string, n bigint, r2 double, rmse double, r2_z double, mean_y double, mean_p double, n_clipped bigint")
 
 
-@query("E2_fit_and_score")
+def _one_lab(spark, d):
+    return open_lab(spark, d, [ONE_PLAN], (0.0,))
+
+
+@query("E2_fit_and_score", f"WITH {ONE_SQL} SELECT CASE WHEN fits THEN 'train' ELSE 'val' END AS side, 2 AS p, round(s, 6) AS factor, n::BIGINT AS n, round(r2, 6) AS r2, "
+       "round(rmse, 6) AS rmse, round(r2_z, 6) AS r2_z, round(mean_p, 6) AS mean_p FROM me WHERE m = 'seeded'")
+def fit_and_score_one(spark, d):
+    """Fit, back-transform factor and scores on both sides and both scales, one column."""
+    with _one_lab(spark, d) as lab:
+        m = lab.least_squares("one", ONE_PLAN, "train", 0.0, 0.0)
+        s = lab.evaluate([m])
+        rows = [{"side": side, "p": 2, "factor": m.factor, **s.metrics("one", side)} for side in ("train", "val")]
+    return result(spark, rows, "side string, p int, factor double, n bigint, r2 double, rmse double, r2_z double, mean_p double")
+
+
+@query("E3_day_block_cv", f"WITH {ONE_SQL} SELECT m AS fold, round(r2, 6) AS r2, round(avg(r2) OVER (), 6) AS mean, round(stddev_samp(r2) OVER (), 6) AS sd FROM me "
+       "WHERE evals AND m LIKE 'fold%'")
+def day_block_cv_one(spark, d):
+    """Held-out days, one column: each fold, their mean and spread."""
+    with _one_lab(spark, d) as lab:
+        r = three_validators(lab, {"one": (ONE_PLAN, 0.0)}, FOLDS, 0.0)[0]
+    return result(spark, [{"fold": f"fold{i}", "r2": v, "mean": r["day_r2"], "sd": r["day_sd"]} for i, v in enumerate(r["folds"])], "fold string, r2 double, mean double, sd double")
+
+
+@query("E4_three_validators", f"""WITH {ONE_SQL} SELECT (SELECT round(r2, 6) FROM me WHERE m = 'seeded' AND fits) AS train_r2, (SELECT round(r2, 6) FROM me WHERE m = 'seeded' AND evals) AS r2,
+(SELECT round(avg(r2), 6) FROM me WHERE m LIKE 'fold%' AND evals) AS day_r2, (SELECT round(r2, 6) FROM me WHERE m = 'chrono' AND evals) AS chrono_r2,
+(SELECT round(mean_p / mean_y, 6) FROM me WHERE m = 'chrono' AND evals) AS chrono_mean_ratio""")
+def validators_one(spark, d):
+    """The three validators of a one-column plan."""
+    with _one_lab(spark, d) as lab:
+        return result(spark, three_validators(lab, {"one": (ONE_PLAN, 0.0)}, FOLDS, 0.0), "train_r2 double, r2 double, day_r2 double, chrono_r2 double, chrono_mean_ratio double")
+
+
+@query("E30_out_of_fold", f"WITH {ONE_SQL} SELECT instant, cnt, CAST(fold AS INTEGER) AS fold, round(p, 6) AS pred FROM pr WHERE evals AND m LIKE 'fold%'")
+def out_of_fold_one(spark, d):
+    """Every training row scored by the model that did not see its day, one column."""
+    with _one_lab(spark, d) as lab:
+        models = [lab.least_squares(f"fold{g}", ONE_PLAN, f"fit{g}", 0.0, 0.0) for g in range(FOLDS)]
+        lab.learn_factors(models)
+        out = lab.predict({k: models[g] for g in range(FOLDS) for k in lab.sets[f"held{g}"]})
+    return rounded(out.select(F.col("id").alias("instant"), F.col("y").cast("bigint").alias("cnt"), (F.col("key") % 10).alias("fold"), "pred"))
+
+
+@query("R2_refit_on_all_rows", f"""WITH {ONE_SQL}, st AS (SELECT avg(temp) AS tm, stddev_pop(temp) AS ts FROM fr WHERE val = 0), a AS (SELECT regr_slope(z, temp) AS w, regr_intercept(z, temp) AS b FROM fr WHERE val = 0),
+l AS (SELECT regr_slope(z, temp) AS w, regr_intercept(z, temp) AS b FROM fr) SELECT round(a.b + a.w * tm, 6) AS bias_train, round(a.w * ts, 6) AS weight_train, round(l.b + l.w * tm, 6) AS bias_all,
+round(l.w * ts, 6) AS weight_all FROM st, a, l""")
+def refit_one(spark, d):
+    """Weights from the training rows and from all labelled rows on the scaler of the training rows, one column."""
+    with _one_lab(spark, d) as lab:
+        a = lab.least_squares("a", ONE_PLAN, "train", 0.0, 0.0)
+        b = lab.least_squares("b", ONE_PLAN, "train", 0.0, 0.0, rows_of="all")
+    rows = [{"bias_train": a.weights[0], "weight_train": a.weights[1], "bias_all": b.weights[0], "weight_all": b.weights[1]}]
+    return result(spark, rows, "bias_train double, weight_train double, bias_all double, weight_all double")
+
+
+@query("E2_fit_and_score_anchor")
 def fit_and_score(spark, d):
     """Both sides and both scales of one plan."""
     with open_lab(spark, d, [ANCHOR]) as lab:
@@ -41,7 +96,7 @@ def fit_and_score(spark, d):
     return result(spark, rows, "side string, p int, factor double, n bigint, r2 double, rmse double, r2_z double, mean_y double, mean_p double, n_clipped bigint")
 
 
-@query("E3_day_block_cv")
+@query("E3_day_block_cv_anchor")
 def day_block_cv(spark, d):
     """Held-out days: one row per fold with the mean and spread."""
     with open_lab(spark, d, [ANCHOR]) as lab:
@@ -49,7 +104,7 @@ def day_block_cv(spark, d):
     return result(spark, [{"fold": i, "r2": v, "mean": r["day_r2"], "sd": r["day_sd"]} for i, v in enumerate(r["folds"])], "fold int, r2 double, mean double, sd double")
 
 
-@query("E4_three_validators")
+@query("E4_three_validators_anchor")
 def validators(spark, d):
     """Seeded, held-out-day and chronological scores of one plan."""
     with open_lab(spark, d, [ANCHOR]) as lab:
@@ -256,7 +311,7 @@ def greedy_blocks(spark, d):
     return result(spark, rows, "step int, block string, day_r2 double, chrono_r2 double, gain double, se double, accepted boolean")
 
 
-@query("E30_out_of_fold")
+@query("E30_out_of_fold_anchor")
 def out_of_fold(spark, d):
     """Every training row scored by the model that did not see its day."""
     with open_lab(spark, d, [ANCHOR]) as lab:
@@ -371,7 +426,7 @@ def column_selection(spark, d):
         lab.close()
 
 
-@query("R2_refit_on_all_rows")
+@query("R2_refit_on_all_rows_anchor")
 def refit_on_all_rows(spark, d):
     """Same penalty and scaler, weights from training rows and from all labelled rows, and how far their scores are apart."""
     with open_lab(spark, d, [ANCHOR]) as lab:
