@@ -15,20 +15,28 @@ BUCKETS = 64          # cut points fetched to the driver; raise it with the numb
 BUCKET = "_bucket"
 
 
-def with_bucket(df: DataFrame, value: str, buckets: int = BUCKETS, cuts_from: DataFrame | None = None) -> DataFrame:
-    """`df` with the ordinal bucket of `value`; the cuts are literals, so a recomputed task gives the same bucket.
+def bucket_cuts(df: DataFrame, value: str, buckets: int = BUCKETS) -> tuple[list[float], int]:
+    """(cut points at approximate quantiles, approximate number of distinct values) in one job."""
+    shares = [i / buckets for i in range(1, buckets)]
+    p = df.select(F.col(value).cast("double").alias("_p"))
+    row = p.agg(F.percentile_approx("_p", shares, 20 * buckets).alias("c"), F.approx_count_distinct("_p").alias("d")).first()
+    return sorted(set(row["c"] or [])), int(row["d"])
 
-    `cuts_from` is a cheaper frame with the same column to take the cuts from (rows instead of their histogram)."""
+
+def with_cuts(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+    """`df` with the ordinal bucket of `value`; the cuts are literals, so a recomputed task gives the same bucket."""
     numeric = df.withColumn("_position", F.col(value).cast("double"))
-    shares = [i / buckets for i in range(1, buckets)]
-    source = (df if cuts_from is None else cuts_from).select(F.col(value).cast("double").alias("_p"))
-    cuts = source.agg(F.percentile_approx("_p", shares, 20 * buckets).alias("c")).first()["c"] or []
-    edges = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
+    edges = [float("-inf"), *cuts, float("inf")]
     if len(edges) < 3:
         return numeric.withColumn(BUCKET, F.lit(0.0)).drop("_position")
     return Bucketizer(splits=edges, inputCol="_position", outputCol=BUCKET).transform(numeric).drop("_position")
 
 
+def with_bucket(df: DataFrame, value: str, buckets: int = BUCKETS, cuts_from: DataFrame | None = None) -> DataFrame:
+    """`df` bucketed at its own approximate quantiles, or at those of a cheaper frame with the same column."""
+    return with_cuts(df, value, bucket_cuts(df if cuts_from is None else cuts_from, value, buckets)[0])
+
+
 def running_totals(hist: DataFrame, value: str, sums: Sequence[str], within: Sequence[str] = (),
                    descending: bool = False, buckets: int = BUCKETS, cuts_from: DataFrame | None = None) -> DataFrame:
     """Add cum_<s> (inclusive running total in value order, per `within`) for each column of `sums`.
@@ -74,7 +82,7 @@ def equal_count_bins(df: DataFrame, value: str, key: str, bins: int) -> DataFram
         late = F.floor((rank0 - split) / F.lit(max(short, 1))) + longer
         return (F.when(rank0 < split, F.floor(rank0 / F.lit(short + 1))).otherwise(late) + 1).cast("int")
 
-    runs = (running_totals(df.groupBy(value).agg(F.count("*").alias("n")), value, ["n"])
+    runs = (running_totals(df.groupBy(value).agg(F.count("*").alias("n")), value, ["n"], cuts_from=df)
             .select(F.col(value), (F.col("cum_n") - F.col("n")).alias("_start"), bin_of(F.col("cum_n") - F.col("n")).alias("_b0"),
                     bin_of(F.col("cum_n") - 1).alias("_b1")))
     tagged = df.join(runs, value)

@@ -56,6 +56,7 @@ class Lab:
         self.moments = collect_moments(self.rows, self.basis, self.powers)
         self.fills = self._fills()
         self._designs: dict = {}
+        self._sums: dict[str, Moments] = {}
 
     def close(self) -> None:
         self.rows.unpersist()
@@ -77,7 +78,9 @@ class Lab:
         return {names[r["s"]]: r["m"] for r in grouped_quantiles(rows, ["s"], "h", {"m": 0.5}).collect()}
 
     def sums(self, set_name: str) -> Moments:
-        return reduce(Moments.plus, [self.moments[k] for k in sorted(self.sets[set_name]) if k in self.moments])
+        if set_name not in self._sums:
+            self._sums[set_name] = reduce(Moments.plus, [self.moments[k] for k in sorted(self.sets[set_name]) if k in self.moments])
+        return self._sums[set_name]
 
     def design(self, spec: DesignSpec, set_name: str) -> tuple[Design, np.ndarray]:
         at = (spec, set_name)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +205,7 @@ class Moments:
     def n(self) -> float:
         return float(self.products[0, 0])
 
-    @property
+    @cached_property
     def gram(self) -> np.ndarray:
         return self.products[:self.n_mono, :self.n_mono] / self.n
 
@@ -287,8 +288,8 @@ def design_from(basis: Basis, spec: DesignSpec, epoch: str, m: Moments, fill: fl
         means = maps @ g[:, 0]
         centred = maps.copy()
         centred[:, 0] -= means
-        var = np.einsum("ij,jk,ik->i", centred, g, centred, optimize=True)
-        scale = np.einsum("ij,jj->i", maps ** 2, np.abs(g)) if maps.size else var
+        var = ((centred @ g) * centred).sum(axis=1)
+        scale = (maps ** 2) @ np.diag(g)
         for n, mean, v, s in zip(names, means, var, scale):
             d.set_stat(n, mean, np.sqrt(v) if v > 1e-13 * max(s, 1e-30) else 0.0)
         return centred

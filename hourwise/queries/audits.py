@@ -10,7 +10,7 @@ from hourwise.functions import calendar as cal
 from hourwise.operators import audit, profiles, quantiles, ranks
 from hourwise.operators import timeline as tl
 from hourwise.queries.base import (BASE_YEAR, CUT_DATE, DAILY, DEMAND, EPOCH, LABELLED, SEED, TIMELINE, daily, demand,
-                                   hash_sql, labelled, query, r6, rounded, timeline)
+                                   hash_sql, labelled, query, r6, rounded, settled, timeline)
 from hourwise.sources.tables import table
 
 ORDERS_CUT = "2000-01-01"
@@ -539,7 +539,7 @@ def equal_count_bins(spark, d):
     """Ten equal-count bins of a reading with the mean residual of each."""
     from hourwise.session import kept
     with kept(scored(spark, d).select("instant", "temp", "le")) as rows:
-        return rounded(ranks.bin_summary(ranks.equal_count_bins(rows, "temp", "instant", 10), "temp", "le"))
+        return settled(rounded(ranks.bin_summary(ranks.equal_count_bins(rows, "temp", "instant", 10), "temp", "le")))
 
 
 @query("W4_quantile_deciles", """WITH e AS (SELECT list_sort(list_distinct(quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS q FROM lineitem)

@@ -48,6 +48,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[r6(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A summary of a few rows evaluated now, while the frames behind it are kept."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def _measures() -> dict[str, Column]:
     cents = F.round(F.col("value") * 100).cast("bigint")
     n = F.count("*")

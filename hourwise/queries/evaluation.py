@@ -9,7 +9,7 @@ from hourwise.operators import bootstrap as bt
 from hourwise.operators import labels, metrics, scoring, selection, splits
 from hourwise.operators.ranks import hash32
 from hourwise.queries.audits import _PRED, agreement, scored
-from hourwise.queries.base import CUT_DATE, DEMAND, EPOCH, LABELLED, SEED, demand, hash_sql, labelled, query, r6, rounded
+from hourwise.queries.base import CUT_DATE, DEMAND, EPOCH, LABELLED, SEED, demand, hash_sql, labelled, query, r6, rounded, settled
 from hourwise.queries.models import _ETA, _FEATURES, feature_weights
 from hourwise.session import kept
 from hourwise.sources.tables import table
@@ -21,8 +21,7 @@ from hourwise.sources.tables import table
 SELECT o_orderkey, CASE WHEN k <= ceil((SELECT count(*) FROM orders) * 0.2) THEN 1 ELSE 0 END AS val FROM r""")
 def seeded_exact_split(spark, d):
     """Exactly a fifth of the rows held out, by hash order."""
-    with kept(table(spark, d, "orders", ["o_orderkey"])) as rows:
-        return splits.seeded_split(rows, "o_orderkey", SEED, 0.2)
+    return splits.seeded_split(table(spark, d, "orders", ["o_orderkey"]), "o_orderkey", SEED, 0.2)
 
 
 @query("T1_seeded_threshold_split", f"SELECT o_orderkey, CASE WHEN {hash_sql(SEED, 'o_orderkey')} < {int(0.2 * 2 ** 32)} THEN 1 ELSE 0 END AS val FROM orders")
@@ -100,7 +99,7 @@ _DRAWN = f"""dr AS (SELECT b, slot, {hash_sql(SEED, 'b', 'slot')} % (SELECT max(
 def group_bootstrap(spark, d):
     """Interval of R2 when whole days are drawn, exact from per-day sums."""
     with kept(scored(spark, d).select("dteday", "cnt", "pred")) as rows:
-        return rounded(bt.interval(bt.r2_of(bt.group_bootstrap_sums(rows, "dteday", "cnt", ["pred"], DRAWS, SEED), "pred")))
+        return settled(rounded(bt.interval(bt.r2_of(bt.group_bootstrap_sums(rows, "dteday", "cnt", ["pred"], DRAWS, SEED), "pred"))))
 
 
 @query("T9_days_without_replacement", f"""WITH {_DAYS}, p AS (SELECT b, n, sy, syy, sse, row_number() OVER (PARTITION BY b ORDER BY {hash_sql(SEED, 'b', 'dteday')}, dteday) AS place
@@ -189,7 +188,7 @@ def heteroscedasticity(spark, d):
     """Does the error grow with the prediction?"""
     df = scored(spark, d).select("e", r6("pred", 9).alias("pred"))
     with kept(df) as rows:
-        return rounded(metrics.heteroscedasticity(rows, "e", "pred"))
+        return settled(rounded(metrics.heteroscedasticity(rows, "e", "pred")))
 
 
 # ----------------------------------------------------------------------------- classification metrics on document labels
