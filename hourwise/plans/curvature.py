@@ -73,14 +73,16 @@ class UnderPrediction:
         return c * r * r, 2.0 * c * r * slope, 2.0 * c * slope * slope
 
 
-def _pass(rows: DataFrame, basis: Basis, maps: np.ndarray, objectives: Sequence[Objective], points: Sequence[np.ndarray]):
+def _pass(rows: DataFrame, basis: Basis | None, maps: np.ndarray | None, objectives: Sequence[Objective], points: Sequence[np.ndarray]):
     """(n, loss, gradient, curvature) per objective at one point each."""
     spec = [(o.cost, o.columns, o.label, w) for o, w in zip(objectives, points)]
 
     def partial(batches):
         total = [None] * len(spec)
         for b in batches:
-            x = basis.expand(matrix_of(b.column("x"))) @ maps.T
+            x = matrix_of(b.column("x"))
+            if basis is not None:
+                x = basis.expand(x) @ maps.T
             ys = matrix_of(b.column("ys"))
             for i, (cost, columns, label, w) in enumerate(spec):
                 xi = x[:, columns]
@@ -106,11 +108,12 @@ def _pass(rows: DataFrame, basis: Basis, maps: np.ndarray, objectives: Sequence[
     return out
 
 
-def minimise(rows: DataFrame, basis: Basis, maps: np.ndarray, objectives: Sequence[Objective], max_iter: int = 60,
-             tol: float = 1e-11) -> list[Objective]:
+def minimise(rows: DataFrame, objectives: Sequence[Objective], basis: Basis | None = None, maps: np.ndarray | None = None,
+             max_iter: int = 60, tol: float = 1e-11) -> list[Objective]:
     """Damped Newton / Gauss-Newton steps for all objectives together.
 
-    `rows` holds x array<double> (packed first-order columns) and ys array<double> (labels)."""
+    `rows` holds ys array<double> (labels) and x array<double>: design columns with the bias first, or packed first-order
+    columns when a basis and the maps of a design are given."""
     state = {}
     for o in objectives:
         o.w = np.zeros(len(o.columns)) if o.start is None else np.asarray(o.start, float).copy()

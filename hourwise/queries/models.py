@@ -351,15 +351,6 @@ def labelled_scores(spark, d, share=0.75):
     return labels.apply_thresholds(df, cells, ["entity", "workingday"], "cnt")
 
 
-def logistic_rows(spark, d, labels=("label",)):
-    """(rows with x and ys, basis, maps, names) for the curvature passes; the design is learned on the training side."""
-    from hourwise.plans.moments import packed_columns
-    df = labelled_scores(spark, d)
-    rows = df.select("instant", "val", F.lit(0).alias("key"), packed_columns([LOGIT_PLAN], EPOCH).alias("x"),
-                     F.array(*[F.col(c).cast("double") for c in labels]).alias("ys"), *labels)
-    return df, rows
-
-
 @query("M7_logistic")
 def logistic(spark, d):
     """Logistic regression with an unpenalised bias: the built-in solver and our own passes reach the same optimum."""
@@ -379,16 +370,9 @@ def logistic(spark, d):
     return result(spark, rows, "feature string, weight double, own double", 5)
 
 
-class _Identity:
-    """Stands in for a basis when the rows already hold design columns."""
-
-    def expand(self, x):
-        return x
-
-
 def fit_objectives(rows, objectives, **kw):
     with kept(rows) as r:
-        return cv.minimise(r, _Identity(), np.eye(max(int(max(o.columns)) for o in objectives) + 1), objectives, **kw)
+        return cv.minimise(r, objectives, **kw)
 
 
 def design_rows(df, m: Design, label: str = "cnt"):
