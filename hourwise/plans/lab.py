@@ -148,13 +148,13 @@ class Lab:
                     part = np.vstack([((y[r] + 1.0) * q[r]).sum(0), (q[r] ** 2).sum(0), smear[r].sum(0), np.full(len(targets), r.sum())])
                     total[int(k)] = total.get(int(k), 0.0) + part
             for k, part in total.items():
-                for i in range(part.shape[1]):
-                    yield k, i, part[:, i].astype(float)
+                for i, row in enumerate(part):             # one vector over the models per sum
+                    yield k, i, row
 
         self_back = self.back
         sums = collect_rows(sum_rows(self.rows, partial))
         for i, m in enumerate(models):
-            t = sum(sums[k][i] for k in self.sets[m.set_name] if k in sums)
+            t = sum(np.array([sums[k][j][i] for j in range(4)]) for k in self.sets[m.set_name] if k in sums)
             m.factor = float(t[0] / t[1]) if self.back == "ls" else float(t[2] / t[3])
 
     def score(self, models: Sequence[Model], draws: int = 0, draw_set: str | None = None, seed: int = 0) -> Scores:
@@ -195,14 +195,14 @@ class Lab:
                             part_no = np.arange(lo, min(lo + 128, draws))
                             boot[lo:lo + 128] += poisson_weights(ids, seed, part_no).T @ block
             for k, part in total.items():
-                for i in range(part.shape[1]):
-                    yield k, i, part[:, i].astype(float)
+                for i, row in enumerate(part):
+                    yield k, i, row
             for d in range(draws):
                 yield DRAW0 + d, 0, boot[d]
 
         sums = collect_rows(sum_rows(self.rows, partial))
         boot = np.array([sums.pop(DRAW0 + d)[0] for d in range(draws)]) if draws else None
-        return Scores(self, list(models), sums, boot)
+        return Scores(self, list(models), {k: np.vstack([r[j] for j in range(len(FIELDS))]) for k, r in sums.items()}, boot)
 
     def predict(self, by_key: dict[int, Model]) -> DataFrame:
         """(id, key, y, pred): each row class scored by the model assigned to it; classes without a model are left out."""
@@ -238,7 +238,7 @@ class Scores:
 
     def metrics(self, model: str, set_name: str) -> dict[str, float]:
         i = self.at[model]
-        t = dict(zip(FIELDS, sum(self.sums[k][i] for k in self.lab.sets[set_name] if k in self.sums)))
+        t = dict(zip(FIELDS, sum(self.sums[k][:, i] for k in self.lab.sets[set_name] if k in self.sums)))
         sst, zst = t["syy"] - t["sy"] ** 2 / t["n"], t["szz"] - t["sz"] ** 2 / t["n"]
         return {"n": int(t["n"]), "r2": 1 - t["sse"] / sst, "rmse": float(np.sqrt(t["sse"] / t["n"])), "r2_z": 1 - t["zsse"] / zst,
                 "mean_y": t["sy"] / t["n"], "mean_p": t["sp"] / t["n"], "n_clipped": int(t["n_clipped"])}

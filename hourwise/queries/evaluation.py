@@ -275,6 +275,13 @@ def calibration(spark, d):
     return rounded(metrics.calibration(document_scores(spark, d), "y", "p").drop("lo", "hi"))
 
 
+@query("E23_largest_calibration_gap", f"""WITH {_DOC}, b AS (SELECT y, p, CAST({' + '.join(f'CASE WHEN p >= {e!r}::DOUBLE THEN 1 ELSE 0 END' for e in _EDGES[1:10])} AS INTEGER) AS bin FROM dl),
+g AS (SELECT abs(avg(p) - avg(y)) AS gap FROM b GROUP BY bin HAVING count(*) >= 30) SELECT round(max(gap), 6) AS max_gap FROM g""")
+def calibration_gap(spark, d):
+    """Largest gap between mean score and share positive over bins with at least 30 rows."""
+    return rounded(metrics.largest_calibration_gap(metrics.calibration(document_scores(spark, d), "y", "p"), 30))
+
+
 @query("E24_auc_interval")
 def auc_interval(spark, d):
     """Bootstrap interval of the ROC-AUC."""
@@ -421,14 +428,27 @@ def feature_counts(spark, d):
     return rounded(selection.feature_counts(feature_weights(spark, d)))
 
 
+def _stats_and_verdict(spark, d):
+    stats = feature_weights(spark, d)
+    verdict = selection.lineage(stats.select("feature")).join(stats, "feature").groupBy(F.col("source").alias("column")).agg(F.avg("freq").alias("f")).select(
+        "column", F.when(F.col("f") >= 0.3, "useful").otherwise("uninformative").alias("verdict"))
+    return stats, verdict
+
+
 @query("V8_survivors", f"""WITH {_FEATURES}, u AS (SELECT source FROM lin JOIN w USING (feature) GROUP BY source HAVING avg(freq) >= 0.3),
 bad AS (SELECT DISTINCT feature FROM lin WHERE source NOT IN (SELECT source FROM u)) SELECT feature, weight, freq FROM w WHERE feature NOT IN (SELECT feature FROM bad) AND weight <> 0 AND freq >= 0.6""")
 def survivors(spark, d):
     """Features of useful columns that are non-zero and stable."""
-    stats = feature_weights(spark, d)
-    verdict = selection.lineage(stats.select("feature")).join(stats, "feature").groupBy(F.col("source").alias("column")).agg(F.avg("freq").alias("f")).select(
-        "column", F.when(F.col("f") >= 0.3, "useful").otherwise("uninformative").alias("verdict"))
-    return selection.survivors(stats, verdict)
+    return selection.survivors(*_stats_and_verdict(spark, d))
+
+
+@query("V8_surviving_columns", f"""WITH {_FEATURES}, u AS (SELECT source FROM lin JOIN w USING (feature) GROUP BY source HAVING avg(freq) >= 0.3),
+bad AS (SELECT DISTINCT feature FROM lin WHERE source NOT IN (SELECT source FROM u)), k AS (SELECT feature FROM w WHERE feature NOT IN (SELECT feature FROM bad) AND weight <> 0 AND freq >= 0.6)
+SELECT DISTINCT source AS "column" FROM lin JOIN k USING (feature)""")
+def surviving_columns(spark, d):
+    """Original columns that some surviving feature uses."""
+    stats, verdict = _stats_and_verdict(spark, d)
+    return selection.surviving_columns(selection.survivors(stats, verdict), verdict)
 
 
 # ----------------------------------------------------------------------------- scoring

@@ -306,12 +306,83 @@ def back_factor(spark, d):
     return rounded(df.agg(*[t[b].factor_column("eta", "cnt").alias(b) for b in t], (F.sum(F.col("cnt") + 1) / F.sum(q)).alias("ratio")))
 
 
+# one column or one 0/1 column has a closed form that SQL can state
+
+_ONE_COL = f"{_LI}, k AS (SELECT var_pop(a) AS g, covar_pop(a, y) AS c FROM li)"
+
+
+def _one_column(spark, d):
+    g, c, _ = gm.normal_equations(line_items(spark, d), "y", ["a"])
+    G, cc, _, _ = solvers.centred(g, c)
+    return G, cc
+
+
+@query("M4_elastic_net", f"""WITH {_ONE_COL}, s AS (SELECT unnest([1.0, 1.0, 0.5, 0.5, 0.0])::DOUBLE AS rho, unnest([0.05, 0.5, 0.05, 0.5, 0.5])::DOUBLE AS alpha)
+SELECT rho, alpha, round(sign(c) * greatest(abs(c) - alpha * rho, 0) / (g + alpha * (1 - rho)), 6) + 0.0 AS weight FROM k, s""")
+def elastic_net_one(spark, d):
+    """Lasso, elastic net and ridge of one column: soft threshold over the curvature."""
+    G, c = _one_column(spark, d)
+    rows = [{"rho": r, "alpha": a, "weight": solvers.penalised_path(G, c, [a], r)[0][0]} for r, a in ((1.0, 0.05), (1.0, 0.5), (0.5, 0.05), (0.5, 0.5), (0.0, 0.5))]
+    return result(spark, rows, "rho double, alpha double, weight double")
+
+
+@query("M5_penalty_path", f"""WITH {_ONE_COL}, s AS (SELECT unnest(range(5)) AS i), p AS (SELECT i, abs(c) * 0.001 ** (i / 4.0::DOUBLE) AS alpha, g, c FROM k, s)
+SELECT CAST(i AS INTEGER) AS i, round(alpha, 6) AS alpha, round(sign(c) * greatest(abs(c) - alpha, 0) / g, 6) + 0.0 AS weight FROM p""")
+def penalty_path_one(spark, d):
+    """Penalties from the smallest all-zero one down, and the lasso weight at each."""
+    G, c = _one_column(spark, d)
+    alphas = solvers.penalty_grid(solvers.largest_alpha(c, 1.0), 1e-3, 5)
+    rows = [{"i": i, "alpha": a, "weight": w[0]} for i, (a, w) in enumerate(zip(alphas, solvers.penalised_path(G, c, alphas, 1.0)))]
+    return result(spark, rows, "i int, alpha double, weight double")
+
+
+def _two_groups(rows, cost, alpha=0.0):
+    """Weights of a bias and one 0/1 column under a cost."""
+    o = fit_objectives(rows, [cv.Objective("m", cost, np.arange(2), alpha=alpha)])[0]
+    return [{"bias": o.w[0], "weight": o.w[1], "stop": o.stop}]
+
+
+@query("M7_logistic", """WITH g AS (SELECT avg(quality) FILTER (n_chars <= 1000) AS p, avg(quality) FILTER (n_chars > 1000) AS q FROM documents JOIN labels USING (doc_id))
+SELECT round(ln(p / (1 - p)), 5) AS bias, round(ln(q / (1 - q)) - ln(p / (1 - p)), 5) AS weight, 'converged' AS stop FROM g""")
+def logistic_one(spark, d):
+    """Logistic regression on one 0/1 column: the log odds of the two groups."""
+    df = table(spark, d, "documents", ["doc_id", "n_chars"]).join(table(spark, d, "labels", ["doc_id", "quality"]), "doc_id")
+    rows = df.select(F.array(F.lit(1.0), (F.col("n_chars") > 1000).cast("double")).alias("x"), F.array(F.col("quality").cast("double")).alias("ys"))
+    return result(spark, _two_groups(rows, cv.logistic), "bias double, weight double, stop string", 5)
+
+
+_GROUP_MEANS = f"WITH {DEMAND}, g AS (SELECT avg(cnt) FILTER (workingday = 0) AS p, avg(cnt) FILTER (workingday = 1) AS q FROM demand)"
+
+
+def _by_working_day(spark, d):
+    return demand(spark, d).select(F.array(F.lit(1.0), F.col("workingday").cast("double")).alias("x"), F.array(F.col("cnt").cast("double")).alias("ys"))
+
+
+@query("M8_count_scale_cost", f"{_GROUP_MEANS} SELECT round(ln(1 + p), 4) AS bias, round(ln(1 + q) - ln(1 + p), 4) AS weight, 'converged' AS stop FROM g")
+def count_scale_cost(spark, d):
+    """The under-prediction cost with ratio 1 on one 0/1 column: the group means on the count scale."""
+    t = PowerTarget(0.0, "none")
+    return result(spark, _two_groups(_by_working_day(spark, d), cv.UnderPrediction(t, 1.0, t.cap(1e6))), "bias double, weight double, stop string", 4)
+
+
+@query("M9_poisson", f"{_GROUP_MEANS} SELECT round(ln(p), 5) AS bias, round(ln(q) - ln(p), 5) AS weight, 'converged' AS stop FROM g")
+def poisson_one(spark, d):
+    """Poisson regression on one 0/1 column: the log means of the two groups."""
+    return result(spark, _two_groups(_by_working_day(spark, d), cv.poisson), "bias double, weight double, stop string", 5)
+
+
+@query("M10_log_link_squares", f"{_GROUP_MEANS} SELECT round(ln(p), 4) AS bias, round(ln(q) - ln(p), 4) AS weight, 'converged' AS stop FROM g")
+def log_link_squares_one(spark, d):
+    """Non-linear least squares with a log link on one 0/1 column."""
+    return result(spark, _two_groups(_by_working_day(spark, d), cv.log_link_squares), "bias double, weight double, stop string", 4)
+
+
 # ----------------------------------------------------------------------------- penalised and iterative fits on the demand table
 
 CANDIDATE_PLAN = append_blocks(ANCHOR.with_blocks("ws_memory", "wx_detail"), ["c_atemp", "c_instant", "c_weekday"])[0]
 
 
-@query("M4_elastic_net")
+@query("M4_elastic_net_plan")
 def elastic_net(spark, d):
     """Lasso, elastic net and ridge at one penalty, with the largest violation of the optimality conditions."""
     with open_lab(spark, d, [CANDIDATE_PLAN]) as lab:
@@ -328,7 +399,7 @@ def elastic_net(spark, d):
     return result(spark, rows, "rho double, feature string, weight double, violation double")
 
 
-@query("M5_penalty_path")
+@query("M5_penalty_path_plan")
 def penalty_path(spark, d):
     """Lasso path from the smallest all-zero penalty down: weights per penalty."""
     with open_lab(spark, d, [CANDIDATE_PLAN]) as lab:
@@ -351,7 +422,7 @@ def labelled_scores(spark, d, share=0.75):
     return labels.apply_thresholds(df, cells, ["entity", "workingday"], "cnt")
 
 
-@query("M7_logistic")
+@query("M7_logistic_plan")
 def logistic(spark, d):
     """Logistic regression with an unpenalised bias: the built-in solver and our own passes reach the same optimum."""
     from pyspark.ml.classification import LogisticRegression
@@ -384,7 +455,7 @@ def design_rows(df, m: Design, label: str = "cnt"):
 SMALL_PLAN = DesignSpec(("temp", "hum", "windspeed", "workingday", "ws_2", "ws_3", "trend"), ("temp",), 2)
 
 
-@query("M8_asymmetric_cost")
+@query("M8_asymmetric_cost_plan")
 def asymmetric_cost(spark, d):
     """Squared cost with under-predictions three times as dear, from the least-squares start; k = 1 beside it."""
     with kept(_with_memory(labelled(spark, d))) as df:
@@ -402,7 +473,7 @@ def asymmetric_cost(spark, d):
     return result(spark, rows, "cost string, feature string, weight double, loss double, stop string", 4)
 
 
-@query("M9_poisson")
+@query("M9_poisson_plan")
 def poisson(spark, d):
     """Poisson regression with a log link: own passes beside the built-in family with its penalty rescaled."""
     from pyspark.ml.feature import VectorAssembler
@@ -421,7 +492,7 @@ def poisson(spark, d):
     return result(spark, rows, "feature string, weight double, built_in double", 4)
 
 
-@query("M10_log_link_squares")
+@query("M10_log_link_squares_plan")
 def log_link_squares(spark, d):
     """Non-linear least squares with a log link."""
     with kept(_with_memory(labelled(spark, d))) as df:

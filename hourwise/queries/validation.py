@@ -13,7 +13,7 @@ from hourwise.plans import search, solvers
 from hourwise.plans.design import Design
 from hourwise.plans.lab import Lab, split_key, split_sets, stability, three_validators
 from hourwise.plans.spec import ANCHOR, BASE, HOURS, DesignSpec, ladder
-from hourwise.queries.base import EPOCH, FOLDS, SEED, query, rounded
+from hourwise.queries.base import EPOCH, FOLDS, SEED, hash_sql, query, rounded
 from hourwise.queries.models import (CANDIDATE_PLAN, ONE_PLAN, ONE_SQL, POWER, SMALL_PLAN, _with_memory, design_rows, fit_objectives, frame, open_lab, result)
 from hourwise.session import kept
 
@@ -64,6 +64,17 @@ def validators_one(spark, d):
         return result(spark, three_validators(lab, {"one": (ONE_PLAN, 0.0)}, FOLDS, 0.0), "train_r2 double, r2 double, day_r2 double, chrono_r2 double, chrono_mean_ratio double")
 
 
+@query("F6_day_of_month_scores", f"""WITH {ONE_SQL}, h AS (SELECT *, dayofmonth(dteday) = 19 AS held FROM fr), c1 AS (SELECT regr_slope(z, temp) AS w, regr_intercept(z, temp) AS b, ln(1 + max(cnt)) + 1 AS cap FROM h WHERE NOT held),
+f1 AS (SELECT sum((cnt + 1) * exp(b + w * temp)) / sum(exp(2 * (b + w * temp))) AS s FROM h, c1 WHERE NOT held)
+SELECT count(*)::BIGINT AS n_held, round(1 - sum((cnt - greatest(s * exp(least(b + w * temp, cap)) - 1, 0)) ** 2) / (var_pop(cnt) * count(*)), 6) AS r2 FROM h, c1, f1 WHERE held""")
+def day_of_month_scores(spark, d):
+    """One day of the month evaluated by a fit on the other days."""
+    with Lab(frame(spark, d), [ONE_PLAN], [0.0], EPOCH, (F.dayofmonth("dteday") == 19).cast("int"), {"fit": [0], "held": [1]}) as lab:
+        s = lab.evaluate([lab.least_squares("m", ONE_PLAN, "fit", 0.0, 0.0)])
+        m = s.metrics("m", "held")
+    return result(spark, [{"n_held": m["n"], "r2": m["r2"]}], "n_held bigint, r2 double")
+
+
 @query("E30_out_of_fold", f"WITH {ONE_SQL} SELECT instant, cnt, CAST(fold AS INTEGER) AS fold, round(p, 6) AS pred FROM pr WHERE evals AND m LIKE 'fold%'")
 def out_of_fold_one(spark, d):
     """Every training row scored by the model that did not see its day, one column."""
@@ -74,6 +85,48 @@ def out_of_fold_one(spark, d):
     return rounded(out.select(F.col("id").alias("instant"), F.col("y").cast("bigint").alias("cnt"), (F.col("key") % 10).alias("fold"), "pred"))
 
 
+@query("E7_learning_curve", f"""WITH {ONE_SQL}, nd AS (SELECT dteday, row_number() OVER (ORDER BY {hash_sql(SEED, 'dteday')}, dteday) AS place, count(*) OVER () AS k FROM td),
+sh AS (SELECT unnest([0.2, 0.6, 1.0])::DOUBLE AS fraction), su AS (SELECT fraction, fr.* FROM fr JOIN nd USING (dteday), sh WHERE val = 0 AND place <= greatest(round_even(k * fraction, 0), 1)),
+c1 AS (SELECT fraction, regr_slope(z, temp) AS w, regr_intercept(z, temp) AS b, ln(1 + max(cnt)) + 1 AS cap, count(*) AS n FROM su GROUP BY fraction),
+f1 AS (SELECT fraction, sum((cnt + 1) * exp(b + w * temp)) / sum(exp(2 * (b + w * temp))) AS s FROM su JOIN c1 USING (fraction) GROUP BY fraction)
+SELECT fraction, max(n)::BIGINT AS n_rows, round(1 - sum((cnt - greatest(s * exp(least(b + w * temp, cap)) - 1, 0)) ** 2) / (var_pop(cnt) * count(*)), 6) AS val_r2
+FROM fr, c1 JOIN f1 USING (fraction) WHERE val = 1 GROUP BY fraction""")
+def learning_curve_one(spark, d):
+    """Nested sets of training days, one column."""
+    return _learning_curve(spark, d, ONE_PLAN, 0.0, [0.2, 0.6, 1.0], 0.0).select("fraction", "n_rows", "val_r2")
+
+
+@query("E8_exponent_table", f"""WITH {ONE_SQL}, pw AS (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS l), y AS (SELECT l, fr.*, ((cnt + 1) ** l - 1) / l AS zl FROM fr, pw),
+c1 AS (SELECT l, regr_slope(zl, temp) AS w, regr_intercept(zl, temp) AS b, ((exp(1.0::DOUBLE) * (max(cnt) + 1)) ** l - 1) / l AS cap FROM y WHERE val = 0 GROUP BY l),
+f1 AS (SELECT l, sum((cnt + 1) * greatest(l * (b + w * temp) + 1, 1e-9) ** (1 / l)) / sum(greatest(l * (b + w * temp) + 1, 1e-9) ** (2 / l)) AS s FROM y JOIN c1 USING (l) WHERE val = 0 GROUP BY l)
+SELECT l AS power, round(1 - sum((cnt - greatest(s * greatest(l * least(b + w * temp, cap) + 1, 1e-9) ** (1 / l) - 1, 0)) ** 2) / (var_pop(cnt) * count(*)), 6) AS r2
+FROM y JOIN c1 USING (l) JOIN f1 USING (l) WHERE val = 1 GROUP BY l""")
+def exponent_table_one(spark, d):
+    """Three label exponents from the same sums, one column."""
+    powers = (0.1, 0.5, 1.0)
+    with open_lab(spark, d, [ONE_PLAN], powers) as lab:
+        s = lab.evaluate([lab.least_squares(f"{p:g}", ONE_PLAN, "train", p, 0.0) for p in powers])
+        rows = [{"power": p, "r2": s.r2(f"{p:g}", "val")} for p in powers]
+    return result(spark, rows, "power double, r2 double")
+
+
+@query("E11_penalty_curve", f"""WITH {ONE_SQL}, st AS (SELECT avg(temp) AS m, stddev_pop(temp) AS sd, avg(z) AS zm, corr(temp, z) * stddev_pop(z) AS c, ln(1 + max(cnt)) + 1 AS cap FROM fr WHERE val = 0),
+al AS (SELECT 'l2' AS method, unnest([1.0, 0.1])::DOUBLE AS alpha UNION ALL SELECT 'l1', unnest([0.1, 0.01])::DOUBLE),
+c1 AS (SELECT method, alpha, CASE method WHEN 'l2' THEN c / (1 + alpha) ELSE sign(c) * greatest(abs(c) - alpha, 0) END AS w, st.* FROM al, st),
+f1 AS (SELECT method, alpha, sum((cnt + 1) * exp(zm + w * (temp - m) / sd)) / sum(exp(2 * (zm + w * (temp - m) / sd))) AS s FROM fr, c1 WHERE val = 0 GROUP BY method, alpha)
+SELECT method, alpha, CAST(max(CASE WHEN abs(w) > 1e-10 THEN 1 ELSE 0 END) AS INTEGER) AS n_nonzero,
+round(1 - sum((cnt - greatest(s * exp(least(zm + w * (temp - m) / sd, cap)) - 1, 0)) ** 2) / (var_pop(cnt) * count(*)), 6) AS val_r2
+FROM fr, c1 JOIN f1 USING (method, alpha) WHERE val = 1 GROUP BY method, alpha""")
+def penalty_curve_one(spark, d):
+    """Ridge and lasso penalties scored together, one column."""
+    with _one_lab(spark, d) as lab:
+        models = [("l2", m) for m in lab.penalised("l2", ONE_PLAN, "train", 0.0, [1.0, 0.1], 0.0)] + [
+            ("l1", m) for m in lab.penalised("l1", ONE_PLAN, "train", 0.0, [0.1, 0.01], 1.0)]
+        s = lab.evaluate([m for _, m in models])
+        rows = [{"method": k, "alpha": m.info["alpha"], "n_nonzero": m.info["n_nonzero"], "val_r2": s.r2(m.name, "val")} for k, m in models]
+    return result(spark, rows, "method string, alpha double, n_nonzero int, val_r2 double")
+
+
 @query("R2_refit_on_all_rows", f"""WITH {ONE_SQL}, st AS (SELECT avg(temp) AS tm, stddev_pop(temp) AS ts FROM fr WHERE val = 0), a AS (SELECT regr_slope(z, temp) AS w, regr_intercept(z, temp) AS b FROM fr WHERE val = 0),
 l AS (SELECT regr_slope(z, temp) AS w, regr_intercept(z, temp) AS b FROM fr) SELECT round(a.b + a.w * tm, 6) AS bias_train, round(a.w * ts, 6) AS weight_train, round(l.b + l.w * tm, 6) AS bias_all,
 round(l.w * ts, 6) AS weight_all FROM st, a, l""")
@@ -134,29 +187,32 @@ def degree_axis(spark, d):
         return result(spark, three_validators(lab, plans, FOLDS), _THREE)
 
 
-@query("E7_learning_curve")
-def learning_curve(spark, d):
-    """Nested sets of training days: each row class is counted once and the subsets are running unions."""
-    fractions = [0.1, 0.2, 0.4, 0.6, 0.8, 1.0]
+def _learning_curve(spark, d, plan, power, fractions, alpha=1e-8):
+    """Every row class (the first subset that holds its day) is counted once; the subsets are running unions of classes."""
     df = frame(spark, d)
     days = splits.ranked_days(df.where("val = 0"), "dteday", SEED)
     level = F.lit(len(fractions) - 1)
     for i in reversed(range(len(fractions) - 1)):
         level = F.when(F.col("place") <= F.greatest(F.bround(F.col("n_dates") * fractions[i]), F.lit(1)), F.lit(i)).otherwise(level)
-    df = df.join(days, "dteday", "left")
     key = F.when(F.col("val") == 1, 1000).otherwise(level)
     sets = {f"part{i}": range(i + 1) for i in range(len(fractions))} | {"val": [1000]}
-    with Lab(df, [ANCHOR], [POWER], EPOCH, key, sets) as lab:
-        s = lab.evaluate([lab.least_squares(f"part{i}", ANCHOR, f"part{i}", POWER) for i in range(len(fractions))])
+    with Lab(df.join(days, "dteday", "left"), [plan], [power], EPOCH, key, sets) as lab:
+        s = lab.evaluate([lab.least_squares(f"part{i}", plan, f"part{i}", power, alpha) for i in range(len(fractions))])
         rows = [{"fraction": f, "n_rows": s.metrics(f"part{i}", f"part{i}")["n"], "train_r2": s.r2(f"part{i}", f"part{i}"), "val_r2": s.r2(f"part{i}", "val")}
                 for i, f in enumerate(fractions)]
     return result(spark, rows, "fraction double, n_rows bigint, train_r2 double, val_r2 double")
 
 
+@query("E7_learning_curve_anchor")
+def learning_curve(spark, d):
+    """Nested sets of training days for the anchor plan."""
+    return _learning_curve(spark, d, ANCHOR, POWER, [0.1, 0.2, 0.4, 0.6, 0.8, 1.0])
+
+
 POWERS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0)
 
 
-@query("E8_exponent_table")
+@query("E8_exponent_table_anchor")
 def exponent_table(spark, d):
     """Eight label exponents as eight right-hand sides of the same sums."""
     with open_lab(spark, d, [ANCHOR], POWERS) as lab:
@@ -183,7 +239,7 @@ def _search(spark, d, lab, n_alphas=12):
     return search.penalty_search(lab, CANDIDATE_PLAN, POWER, FOLDS, n_alphas, {"l2": (0.0,), "l1": (1.0,), "enet": (0.5, 0.9)}, draws=DRAWS, seed=SEED, ratio=1e-3)
 
 
-@query("E11_penalty_curve")
+@query("E11_penalty_curve_anchor")
 def penalty_curve(spark, d):
     """Held-out score and non-zero weights per penalty: every penalty of every method scored in one pass."""
     with open_lab(spark, d, [CANDIDATE_PLAN]) as lab:
