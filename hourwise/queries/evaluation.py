@@ -371,10 +371,10 @@ def entry_alphas(spark, d):
 # evidence stand-in: simple explained shares of each column, with a fixed margin as the interval
 _EV_COLS = ("temp", "atemp", "hum", "windspeed", "weekday", "workingday", "holiday", "hr", "weathersit")
 _EV = f"{DEMAND}, evi AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", round(regr_r2(cnt, {c}) - 0.01, 6) AS delta, round(regr_r2(cnt, {c}) - 0.02, 6) AS lo, round(regr_r2(cnt, {c}), 6) AS hi, "
-    f"{'NULL::DOUBLE' if c in ('hum', 'windspeed', 'hr', 'weathersit') else f'round(regr_r2(cnt, {c}) * 2, 6)'} AS group_delta, "
-    f"{'NULL::DOUBLE' if c in ('hum', 'windspeed', 'hr', 'weathersit') else f'round(regr_r2(cnt, {c}) * 2 - 0.001, 6)'} AS group_lo, "
-    f"round(regr_r2(cnt, {c}), 6) AS solo_r2, round(abs(corr({c}, {'temp' if c != 'temp' else 'atemp'})), 6) AS max_abs_corr, '{'temp' if c != 'temp' else 'atemp'}' AS corr_with FROM demand"
+    f"SELECT '{c}' AS \"column\", round(regr_r2(cnt, {c}) - 0.01, 9) AS delta, round(regr_r2(cnt, {c}) - 0.02, 9) AS lo, round(regr_r2(cnt, {c}), 9) AS hi, "
+    f"{'NULL::DOUBLE' if c in ('hum', 'windspeed', 'hr', 'weathersit') else f'round(regr_r2(cnt, {c}) * 2, 9)'} AS group_delta, "
+    f"{'NULL::DOUBLE' if c in ('hum', 'windspeed', 'hr', 'weathersit') else f'round(regr_r2(cnt, {c}) * 2 - 0.001, 9)'} AS group_lo, "
+    f"round(regr_r2(cnt, {c}), 9) AS solo_r2, round(abs(corr({c}, {'temp' if c != 'temp' else 'atemp'})), 9) AS max_abs_corr, '{'temp' if c != 'temp' else 'atemp'}' AS corr_with FROM demand"
     for c in _EV_COLS) + ")"
 _VERDICT = f"""{_EV}, b AS (SELECT *, coalesce(group_lo > 0 AND group_delta >= 0.001, FALSE) AS gh, CASE WHEN lo > 0 AND delta >= 0.001 THEN 'useful'
  WHEN coalesce(group_lo > 0 AND group_delta >= 0.001, FALSE) OR solo_r2 >= 0.01 THEN 'redundant' ELSE 'uninformative' END AS v FROM evi),
@@ -390,9 +390,9 @@ def evidence(spark, d):
         r, other = F.regr_r2(F.col("cnt").cast("double"), F.col(c).cast("double")), "temp" if c != "temp" else "atemp"
         lone = c in ("hum", "windspeed", "hr", "weathersit")
         none = F.lit(None).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), r6(r - 0.01).alias("delta"), r6(r - 0.02).alias("lo"), r6(r).alias("hi"),
-                             (none if lone else r6(r * 2)).alias("group_delta"), (none if lone else r6(r * 2 - 0.001)).alias("group_lo"),
-                             r6(r).alias("solo_r2"), r6(F.abs(F.corr(c, other))).alias("max_abs_corr"), F.lit(other).alias("corr_with")))
+        aggs.append(F.struct(F.lit(c).alias("column"), r6(r - 0.01, 9).alias("delta"), r6(r - 0.02, 9).alias("lo"), r6(r, 9).alias("hi"),
+                             (none if lone else r6(r * 2, 9)).alias("group_delta"), (none if lone else r6(r * 2 - 0.001, 9)).alias("group_lo"),
+                             r6(r, 9).alias("solo_r2"), r6(F.abs(F.corr(c, other)), 9).alias("max_abs_corr"), F.lit(other).alias("corr_with")))
     return df.agg(F.array(*aggs).alias("r")).select(F.inline("r"))
 
 
