@@ -422,7 +422,7 @@ def evidence_text(spark, d):
 
 @query("V11_feature_counts", f"""WITH {_FEATURES}, x AS (SELECT feature, source, count(*) OVER (PARTITION BY feature) AS k FROM lin)
 SELECT source, count(*) FILTER (k = 1)::BIGINT AS n_own, count(*) FILTER (k = 1 AND weight <> 0)::BIGINT AS n_own_nonzero, count(*)::BIGINT AS n_involving, count(*) FILTER (weight <> 0)::BIGINT AS n_involving_nonzero,
-max(freq) FILTER (k = 1) AS max_freq_own, round(avg(freq), 6) AS mean_freq_involving FROM x JOIN w USING (feature) GROUP BY source""")
+round(max(freq) FILTER (k = 1), 6) AS max_freq_own, round(avg(freq), 6) AS mean_freq_involving FROM x JOIN w USING (feature) GROUP BY source""")
 def feature_counts(spark, d):
     """Own and involving features per original column."""
     return rounded(selection.feature_counts(feature_weights(spark, d)))
@@ -431,18 +431,18 @@ def feature_counts(spark, d):
 def _stats_and_verdict(spark, d):
     stats = feature_weights(spark, d)
     verdict = selection.lineage(stats.select("feature")).join(stats, "feature").groupBy(F.col("source").alias("column")).agg(F.avg("freq").alias("f")).select(
-        "column", F.when(F.col("f") >= 0.3, "useful").otherwise("uninformative").alias("verdict"))
+        "column", F.when(F.col("f") >= 0.5, "useful").otherwise("uninformative").alias("verdict"))
     return stats, verdict
 
 
-@query("V8_survivors", f"""WITH {_FEATURES}, u AS (SELECT source FROM lin JOIN w USING (feature) GROUP BY source HAVING avg(freq) >= 0.3),
+@query("V8_survivors", f"""WITH {_FEATURES}, u AS (SELECT source FROM lin JOIN w USING (feature) GROUP BY source HAVING avg(freq) >= 0.5),
 bad AS (SELECT DISTINCT feature FROM lin WHERE source NOT IN (SELECT source FROM u)) SELECT feature, weight, freq FROM w WHERE feature NOT IN (SELECT feature FROM bad) AND weight <> 0 AND freq >= 0.6""")
 def survivors(spark, d):
     """Features of useful columns that are non-zero and stable."""
     return selection.survivors(*_stats_and_verdict(spark, d))
 
 
-@query("V8_surviving_columns", f"""WITH {_FEATURES}, u AS (SELECT source FROM lin JOIN w USING (feature) GROUP BY source HAVING avg(freq) >= 0.3),
+@query("V8_surviving_columns", f"""WITH {_FEATURES}, u AS (SELECT source FROM lin JOIN w USING (feature) GROUP BY source HAVING avg(freq) >= 0.5),
 bad AS (SELECT DISTINCT feature FROM lin WHERE source NOT IN (SELECT source FROM u)), k AS (SELECT feature FROM w WHERE feature NOT IN (SELECT feature FROM bad) AND weight <> 0 AND freq >= 0.6)
 SELECT DISTINCT source AS "column" FROM lin JOIN k USING (feature)""")
 def surviving_columns(spark, d):

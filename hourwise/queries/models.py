@@ -130,35 +130,30 @@ def column_subset(spark, d):
     return rounded(m.transform(df, ("instant",), ["hum", "temp"]).drop("bias"))
 
 
-_FEATURES = f"""{DEMAND}, f AS (SELECT DISTINCT 'hr_' || hr AS feature FROM demand UNION SELECT DISTINCT 'wk_' || weekday || '*hr_' || hr FROM demand
-UNION SELECT DISTINCT 'workingday*hr_' || hr || '*temp' FROM demand UNION SELECT DISTINCT 'ws_' || weathersit FROM demand
-UNION SELECT DISTINCT 'wet3_' || weathersit || '*trend' FROM demand UNION SELECT 'hum^' || k FROM (SELECT DISTINCT weathersit AS k FROM demand)),
-parts AS (SELECT feature, split_part(unnest(string_split(feature, '*')), '^', 1) AS p FROM f),
+_FEATURES = f"""{DEMAND}, fx AS (SELECT 'hr_' || hr AS feature, temp, hum FROM demand UNION ALL SELECT 'wk_' || weekday || '*hr_' || hr, temp, hum FROM demand
+UNION ALL SELECT 'workingday*hr_' || hr || '*temp', temp, hum FROM demand UNION ALL SELECT 'ws_' || weathersit, temp, hum FROM demand
+UNION ALL SELECT 'wet3_' || weathersit || '*trend', temp, hum FROM demand UNION ALL SELECT 'hum^' || weathersit, temp, hum FROM demand),
+w AS (SELECT feature, round(avg(temp) * 4 - 1, 9) AS weight, round(avg(CASE WHEN hum > 0.2 THEN 1.0 ELSE 0 END), 9) AS freq FROM fx GROUP BY feature),
+parts AS (SELECT feature, split_part(unnest(string_split(feature, '*')), '^', 1) AS p FROM w),
 lin AS (SELECT DISTINCT feature, CASE WHEN p = 'trend' THEN 'dteday' WHEN starts_with(p, 'hr_') THEN 'hr' WHEN starts_with(p, 'ws_') OR starts_with(p, 'wet3_')
   OR starts_with(p, 'wslag1_') THEN 'weathersit' WHEN starts_with(p, 'doy_') THEN 'dteday' WHEN starts_with(p, 'se_') THEN 'season' WHEN starts_with(p, 'mn_') THEN 'mnth'
-  WHEN starts_with(p, 'wk_') THEN 'weekday' ELSE p END AS source FROM parts),
-w AS (SELECT feature, round(length(feature) / 8.0::DOUBLE - 1, 6) AS weight, round((length(feature) % 10) / 10.0::DOUBLE, 6) AS freq FROM f)"""
+  WHEN starts_with(p, 'wk_') THEN 'weekday' ELSE p END AS source FROM parts)"""
 
 
-def _feature_names(spark, d):
-    df = demand(spark, d).select("hr", "weekday", "weathersit").distinct()
+def feature_weights(spark, d):
+    """(feature, weight, freq): every feature name the rows produce, with means over the rows behind it."""
     names = F.explode(F.array(
         F.concat(F.lit("hr_"), "hr"), F.concat(F.lit("wk_"), "weekday", F.lit("*hr_"), "hr"),
         F.concat(F.lit("workingday*hr_"), "hr", F.lit("*temp")), F.concat(F.lit("ws_"), "weathersit"),
         F.concat(F.lit("wet3_"), "weathersit", F.lit("*trend")), F.concat(F.lit("hum^"), "weathersit")))
-    return df.select(names.alias("feature")).distinct()
-
-
-def feature_weights(spark, d):
-    """Feature names present in the table with made-up but fixed weights and frequencies (a function of the name)."""
-    n = F.length("feature")
-    return _feature_names(spark, d).select("feature", r6(n / 8.0 - 1).alias("weight"), r6((n % 10) / 10.0).alias("freq"))
+    rows = demand(spark, d).select(names.alias("feature"), "temp", "hum")
+    return rows.groupBy("feature").agg(r6(F.avg("temp") * 4 - 1, 9).alias("weight"), r6(F.avg((F.col("hum") > 0.2).cast("double")), 9).alias("freq"))
 
 
 @query("P26_feature_lineage", f"WITH {_FEATURES} SELECT feature, source, (count(*) OVER (PARTITION BY feature))::BIGINT AS n_sources FROM lin")
 def feature_lineage(spark, d):
     """Original columns behind each feature that the table can produce."""
-    return selection.lineage(_feature_names(spark, d))
+    return selection.lineage(feature_weights(spark, d).select("feature"))
 
 
 @query("P27_append_blocks", f"""WITH {DEMAND}, n AS (SELECT count(DISTINCT season) AS s, count(DISTINCT mnth) AS m, count(DISTINCT weekday) AS w, count(DISTINCT yr) AS y FROM demand)
