@@ -95,9 +95,12 @@ def day_context(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column
 
 
 def missing_hours(df: DataFrame, keys: Sequence[str], day: str = "dteday", hour: str = "hr") -> DataFrame:
-    """Hours absent on the days that are present, per key: 24 generated hours minus the ones seen."""
-    full = df.select(*keys, day).distinct().withColumn(hour, F.explode(F.sequence(F.lit(0), F.lit(23))))
-    return full.join(df.select(*keys, day, hour).distinct(), [*keys, day, hour], "left_anti")
+    """Hours absent on the days that are present, per key.
+
+    A day's hours are a set of at most 24 numbers, so one aggregation finds what is missing without any join."""
+    seen = df.groupBy(*keys, day).agg(F.collect_set(hour).alias("_seen"))
+    every = F.sequence(F.lit(0), F.lit(23))
+    return seen.select(*keys, day, F.explode(F.array_except(every, "_seen")).alias(hour))
 
 
 def missing_runs(missing: DataFrame, keys: Sequence[str], day: str = "dteday", hour: str = "hr") -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,20 @@ def _measures() -> dict[str, Column]:
             "weathersit": F.least(1 + F.sum((cents > 10000).cast("bigint")), F.lit(4)).cast("int")}
 
 
+_KEPT: dict[tuple[str, str], DataFrame] = {}
+
+
 def demand(spark: SparkSession, folder: str) -> DataFrame:
+    """The hourly demand table, rolled up from the events once per session and folder and kept (memory, then disk).
+
+    Most queries read it two or three times; without this each reading would scan the raw events again."""
+    at = (spark.sparkContext.applicationId, folder)
+    if at not in _KEPT:
+        _KEPT[at] = rolled_demand(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+    return _KEPT[at]
+
+
+def rolled_demand(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly demand per event type with the calendar, the weather-like readings and the label."""
     events = table(spark, folder, "events", ["event_type", "ts", "value"])
     rolled = hourly_rollup(events, ["event_type"], _measures()).withColumnRenamed("event_type", "entity")

@@ -10,8 +10,7 @@ from hourwise.functions import calendar as cal
 from hourwise.functions import target as tg
 from hourwise.operators import timeline as tl
 from hourwise.operators.quantiles import quantile_values
-from hourwise.queries.base import (BASE_YEAR, CUT_DATE, DEMAND, EPOCH, HOLIDAYS, TIMELINE, demand, query, r6,
-                                   rounded, timeline)
+from hourwise.queries.base import CUT_DATE, DEMAND, EPOCH, TIMELINE, demand, query, r6, rolled_demand, rounded, timeline
 from hourwise.sources import sinks
 from hourwise.sources import tables as src
 
@@ -58,7 +57,7 @@ workingday, weathersit, cnt, round(temp, 6) AS temp, round(atemp, 6) AS atemp, r
 round(windspeed, 6) AS windspeed FROM demand""")
 def hourly(spark, d):
     """Events to hourly demand."""
-    return rounded(demand(spark, d).select("entity", "hour_idx", "instant", "dteday", "hr", "season", "yr", "mnth", "holiday",
+    return rounded(rolled_demand(spark, d).select("entity", "hour_idx", "instant", "dteday", "hr", "season", "yr", "mnth", "holiday",
                                            "weekday", "workingday", "weathersit", "cnt", "temp", "atemp", "hum", "windspeed"))
 
 
@@ -192,7 +191,7 @@ SELECT a.instant, coalesce(l0.ws, a.ws) AS ws_lag1,
   greatest(coalesce(l0.ws, a.ws), coalesce(l1.ws, a.ws), coalesce(l2.ws, a.ws)) AS wet3 FROM k a {_lag_joins([1, 2, 3])}""")
 def weather_memory(spark, d):
     """Situation one hour earlier and the worst of three hours."""
-    return tl.weather_memory(demand(spark, d), keys=["entity"]).select("instant", "ws_lag1", "wet3")
+    return tl.weather_memory(demand(spark, d), keys=["entity"], unique=True).select("instant", "ws_lag1", "wet3")
 
 
 @query("P9_memory_indicators", f"""WITH {DEMAND}, k AS (SELECT *, entity AS user_id, least(weathersit, 3) AS ws FROM demand),
@@ -201,7 +200,7 @@ m AS (SELECT a.instant, coalesce(l0.ws, a.ws) AS g,
 SELECT instant, (g = 2)::DOUBLE AS wslag1_2, (g = 3)::DOUBLE AS wslag1_3, (w = 2)::DOUBLE AS wet3_2, (w = 3)::DOUBLE AS wet3_3 FROM m""")
 def memory_indicators(spark, d):
     """0/1 columns of the memory."""
-    m = tl.weather_memory(demand(spark, d), keys=["entity"])
+    m = tl.weather_memory(demand(spark, d), keys=["entity"], unique=True)
     return m.select("instant", *[c.alias(n) for n, c in {**cal.one_hot("ws_lag1", (2, 3), "wslag1_"),
                                                          **cal.one_hot("wet3", (2, 3), "wet3_")}.items()])
 
