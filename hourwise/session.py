@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -26,18 +27,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The folder is the one the cluster names in spark.checkpoint.dir. Only a local session, where no cluster names
     one, gets a folder of its own."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="hourwise-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(_shared_root(df.sparkSession))
     return df.checkpoint()
 
 
+_OWN: dict[str, str] = {}
+
+
+def _shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local session without one gets a temporary folder of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="hourwise-checkpoint-")
+        shared = _OWN[context.applicationId]
+    return shared
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path, not yet there, below the folder that driver and executors share."""
+    return f"{_shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @contextmanager
 def kept(*frames: DataFrame):
     """Keep frames that several jobs read (memory, then disk) and release them afterwards."""
