@@ -6,14 +6,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourwise.llm import (binary_ids, exact_dedup, repetition, simhash, token_counts, toxicity, trie_bpe)
+from hourwise.llm import binary_ids, exact_dedup, knn_quality, line_dedup, mixing, repetition, simhash, token_counts, toxicity, trie_bpe
 from hourwise.llm.common import documents
 from hourwise.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 # The lines of the contracts of the classifiers.
-TOXIC_SCORE = 0.7
+TOXIC_SCORE, QUALITY_SCORE = 0.7, 0.3
 
 
 def query(name: str, sql: str | None = None):
@@ -59,6 +59,14 @@ def op4_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return trie_bpe.code_digests(documents(spark, folder))
 
 
+@query("op5_source_mix")
+def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix of all documents."""
+    mixed = mixing.mix(documents(spark, folder), keep=["doc_id"])
+    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+                        (F.col("_copies") * F.col("_size")).cast("bigint").alias("taken"))
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
@@ -73,6 +81,23 @@ def op7_binary_ids(spark: SparkSession, folder: str) -> DataFrame:
     return binary_ids.read_shards(spark, path)
 
 
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with words, deleted lines and the digest of what is left of every document."""
+    done = line_dedup.dedup_lines(documents(spark, folder).select("doc_id", "text"))
+    return done.select("doc_id", F.col("__lines").cast("bigint").alias("n_lines"), F.size("__gone").cast("bigint").alias("n_deleted"), F.col("__gone").alias("deleted"),
+                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query("op9_knn_quality")
+def op9_knn_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from the labelled rows whose crc32 of doc_id is no multiple of 5."""
+    docs = documents(spark, folder)
+    model = knn_quality.fit(docs, documents(spark, folder, "labels"), "quality", train=toxicity.bucket_of("doc_id", 5) != 0)
+    return knn_quality.score(docs, model).select("doc_id", F.coalesce(toxicity.bucket_of("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score",
+                                                 (F.col("score") >= QUALITY_SCORE).cast("int").alias("predicted"))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document."""

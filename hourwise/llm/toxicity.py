@@ -116,11 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column
     return held["place"].to_numpy(np.int64), (held["w"].to_numpy() / used).astype(np.float32)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """`keep` and `score` of every document, whole texts."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text: str = "text",
+          name: str = "score") -> DataFrame:
+    """`keep` and the score, called `name`, of every document, whole texts."""
     keep = list(keep)
     source = docs.select(*keep, F.col(text).alias("_text"))
-    schema = StructType([source.schema[c] for c in keep]).add("score", DoubleType())
+    schema = StructType([source.schema[c] for c in keep]).add(name, DoubleType())
     arrow, shared = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -132,5 +133,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str
             hit = np.flatnonzero(weight[place])
             once = np.unique(row[hit] * (PLACES + 1) + place[hit])
             total = weight[BIAS] + np.bincount(once // (PLACES + 1), weight[once % (PLACES + 1)], batch.num_rows)
-            yield with_columns(batch, keep, arrow, score=1.0 / (1.0 + np.exp(-np.clip(total.astype(float), -35, 35))))
+            yield with_columns(batch, keep, arrow, **{name: 1.0 / (1.0 + np.exp(-np.clip(total.astype(float), -35, 35)))})
     return source.mapInArrow(run, schema)
