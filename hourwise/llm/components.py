@@ -10,18 +10,22 @@ from hourwise.session import cut_lineage
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 
-    Each round points every node to its smallest neighbour or itself, follows two pointers at once, and replaces the ends of
-    every edge by where they point; edges inside one node go. Nodes that are not smallest around them vanish, so a round at
-    least halves every component. Every round is cut by a reliable checkpoint; only the number of edges left comes to the
-    driver. Hubs are no hazard: smallest neighbours are pre-aggregated, and the joins look up one row per key, so that a large
-    side can be split at run time."""
+    Each round points every node to its smallest neighbour or itself, follows pointers to their ends by doubling, and
+    replaces the ends of every edge by where they point; edges inside one node go. Only nodes smallest around them are left.
+    Every step is cut by a reliable checkpoint; only whether rows are left comes to the driver. Hubs are no hazard: smallest
+    neighbours are pre-aggregated, and the joins look up one row per key, so that a large side can be split at run time."""
     edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = None
     while edges.limit(1).count():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
         point = both.groupBy("node").agg(F.min("other").alias("to")).select("node", F.least("node", "to").alias("to"))
-        point = cut_lineage(point.alias("p").join(point.select(F.col("node").alias("to"), F.col("to").alias("far")), "to")
-                            .select("node", F.col("far").alias("to")))
+        moving = True
+        while moving:                                                          # as often as the depth of the pointers has bits
+            point = point.select("node", "to")
+            point = cut_lineage(point.join(point.select(F.col("node").alias("to"), F.col("to").alias("far")), "to")
+                                .select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+            moving = point.where("moved").limit(1).count() > 0
+        point = point.select("node", "to")
         if found is None:
             found = point.withColumnRenamed("to", "component")
         else:

@@ -106,7 +106,7 @@ def votes(vectors: np.ndarray, labelled: np.ndarray, y: np.ndarray, neighbours:
 def score(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", neighbours: int = 15, power: float = 12.0) -> DataFrame:
     """`keep` and `score` of every document, whole texts."""
     keep = list(keep)
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    source = docs.select(*keep, F.col(text).alias("__text"))
     if model is None:
         return source.select(*keep, F.lit(0.5).alias("score"))
     schema = StructType([source.schema[c] for c in keep]).add("score", DoubleType())
@@ -115,6 +115,6 @@ def score(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id"
     def run(batches):
         m = shared.value
         for batch in slices(batches, 256):
-            q = unit(weighted(term_counts(texts_of(batch, "_text")), m["rarity"]) @ m["v"])
+            q = unit(weighted(term_counts(texts_of(batch, "__text")), m["rarity"]) @ m["v"])
             yield with_columns(batch, keep, arrow, score=np.clip(votes(q, m["vectors"], m["y"], neighbours, power), 0.0, 1.0))
     return source.mapInArrow(run, schema)

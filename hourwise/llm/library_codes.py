@@ -74,6 +74,8 @@ class Pieces:
                     if m[2]:
                         ids += [t.id for t in merges(m[2])]
                     known[piece] = self.of(ids)
+                elif MARK in piece:
+                    known[piece] = self.of(self.tok.encode(lead + piece, add_special_tokens=False).ids)
                 else:
                     other.append(piece)
             for at in range(0, len(other), 1024):

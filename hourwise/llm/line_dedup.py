@@ -84,21 +84,21 @@ def place_columns() -> list[Column]:
 
 def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """The documents with repeated lines taken out of `text`, and `__lines`, `__gone` (numbers of deleted lines with words)."""
-    gone = repeated_lines(docs, gram_words, run_words).select(F.col("__id").alias("__g_id"), F.col("__th").alias("__g_th"), "gone")
+    gone = repeated_lines(docs, gram_words, run_words).select(F.col("__id").alias("__g_id"), F.col("__th").alias("__g_th"), F.col("gone").alias("__g_gone"))
     marked = docs.withColumn("__th", F.xxhash64("text"))
     joined = marked.join(gone, (F.col("__th") == F.col("__g_th")) & F.col("doc_id").eqNullSafe(F.col("__g_id")), "left")
     lines = _lines(F.col("text"))
     # positions of the deleted lines among all lines, with the ends of the text on both sides; what stays are the slices between
     full = F.filter(F.transform(lines, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
-    spots = F.transform("gone", lambda k: F.element_at(F.col("__full"), k + 1))
+    spots = F.transform("__g_gone", lambda k: F.element_at(F.col("__full"), k + 1))
     ends = F.concat(F.array(F.lit(-1)), spots, F.array(F.size("__all")))
     stays = F.flatten(F.transform(F.sequence(F.lit(1), F.size("__ends") - 1), lambda k: F.slice(F.col("__all"), F.element_at(F.col("__ends"), k) + 2,
                                                                                               F.element_at(F.col("__ends"), k + 1) - F.element_at(F.col("__ends"), k) - 1)))
-    changed = F.col("gone").isNotNull()
+    changed = F.col("__g_gone").isNotNull()
     work = (joined.withColumns({"__all": lines, "__full": full}).withColumn("__ends", F.when(changed, ends))
             .withColumn("text", F.when(changed, F.array_join(stays, "\n")).otherwise(F.col("text"))))
     plain = [F.col(f"`{c}`") for c in docs.columns]
-    return work.select(*plain, F.coalesce(F.size("__full"), F.lit(0)).alias("__lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("__gone"))
+    return work.select(*plain, F.coalesce(F.size("__full"), F.lit(0)).alias("__lines"), F.coalesce("__g_gone", F.array().cast("array<int>")).alias("__gone"))
 
 
 __all__ = ["dedup_lines", "repeated_lines", "selected_grams", "numbered_lines", "equal_ahead"]

@@ -45,74 +45,75 @@ def random_number(seed: int) -> Column:
 
 
 def _marked(docs: DataFrame, buckets: int, seed: int, text: str, source: str) -> DataFrame:
-    """Adds what the plan needs; names start with an underscore."""
-    return (docs.withColumn("_size", word_count(F.col(text)))
-            .withColumns({"_key": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")), "_class": size_class(F.col("_size")), "_u": random_number(seed)})
-            .withColumn("_bucket", F.floor(F.col("_u") / (SPAN / buckets)).cast("bigint")))
+    """Adds what the plan needs; names start with two underscores."""
+    return (docs.withColumn("__size", word_count(F.col(text)))
+            .withColumns({"__key": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")), "__class": size_class(F.col("__size")), "__u": random_number(seed)})
+            .withColumn("__bucket", F.floor(F.col("__u") / (SPAN / buckets)).cast("bigint")))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], total: float, most: float) -> DataFrame:
-    """(_key, source_size, target, rate) from (_key, source_size): one row per source.
+    """(__key, source_size, target, rate) from (__key, source_size): one row per source.
 
     Sources reach their stop in the order of stop / weight, so the level of the others follows from running sums."""
-    by_name = Window.orderBy(F.col("_key") == "", "_key")
+    by_name = Window.orderBy(F.col("__key") == "", "__key")
     table = F.array(*[F.lit(float(w)) for w in weights])
     weighted = sizes.withColumn("w", F.element_at(table, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    every, filled = Window.partitionBy(), Window.orderBy(F.col("source_size") / F.col("w"), "_key")
+    every, filled = Window.partitionBy(), Window.orderBy(F.col("source_size") / F.col("w"), "__key")
     running = (weighted.withColumns({"all_size": F.sum("source_size").over(every), "all_w": F.sum("w").over(every)})
                .withColumns({"w_from": F.col("all_w") - F.sum("w").over(filled) + F.col("w"),
                              "stops_before": most * (F.sum("source_size").over(filled) - F.col("source_size"))})
                .withColumn("level", (total * F.col("all_size") - F.col("stops_before")) / F.col("w_from"))
                .withColumn("stopped", F.col("w") * F.col("level") >= most * F.col("source_size")))
     level = F.max(F.when(~F.col("stopped"), F.col("level"))).over(every)          # it only falls behind the first that does not stop
-    return running.select("_key", "source_size", F.when(F.col("stopped"), most * F.col("source_size")).otherwise(F.col("w") * level).alias("target"),
+    return running.select("__key", "source_size", F.when(F.col("stopped"), most * F.col("source_size")).otherwise(F.col("w") * level).alias("target"),
                           F.when(F.col("stopped") | (F.col("source_size") == 0), F.lit(float(most))).otherwise(F.col("w") * level / F.col("source_size")).alias("rate"))
 
 
 def _draws(strata: DataFrame) -> DataFrame:
     """Adds `draws`, the sample size of each class: from the largest class down, words left over go on to the next."""
-    row = F.struct(F.col("_class"), F.col("n"), F.col("words"))
+    row = F.struct(F.col("__class"), F.col("n"), F.col("words"))
     share = F.col("rate") - F.floor("rate")
-    of_source = strata.groupBy("_key", "source_size", "target", "rate").agg(F.sort_array(F.collect_list(row), asc=False).alias("classes"))   # at most 4 classes a bit of a size
+    of_source = strata.groupBy("__key", "source_size", "target", "rate").agg(F.sort_array(F.collect_list(row), asc=False).alias("classes"))   # at most 4 classes a bit of a size
 
     def step(state, x):
         mean = x["words"] / x["n"]
         want = x["words"] * state["share"] + state["carry"]
         draws = F.when(x["words"] == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(x["n"].cast("double"), F.floor(want / mean + 0.5).cast("double"))))
         return F.struct((want - draws * mean).alias("carry"), state["share"].alias("share"),
-                        F.concat(state["done"], F.array(F.struct(x["_class"].alias("_class"), x["n"].alias("n"), draws.cast("bigint").alias("draws")))).alias("done"))
-    start = F.struct(F.lit(0.0).alias("carry"), share.alias("share"), F.array().cast("array<struct<_class:int,n:bigint,draws:bigint>>").alias("done"))
+                        F.concat(state["done"], F.array(F.struct(x["__class"].alias("__class"), x["n"].alias("n"), draws.cast("bigint").alias("draws")))).alias("done"))
+    start = F.struct(F.lit(0.0).alias("carry"), share.alias("share"), F.array().cast("array<struct<__class:int,n:bigint,draws:bigint>>").alias("done"))
     return (of_source.withColumn("done", F.aggregate("classes", start, step, lambda s: s["done"]))
-            .select("_key", "source_size", "target", F.floor("rate").alias("certain"), F.inline("done")))
+            .select("__key", "source_size", "target", F.floor("rate").alias("certain"), F.inline("done")))
 
 
 def sampling_plan(docs: DataFrame, buckets: int, seed: int, weights: tuple[float, ...], total: float, most: float, text: str, source: str) -> DataFrame:
     """One row per source and class: source_size, target, certain copies, and where the sample ends (`cut`, `left`)."""
-    counts = cut_lineage(_marked(docs, buckets, seed, text, source).groupBy("_key", "_class", "_bucket").agg(F.count("*").alias("c"), F.sum("_size").alias("words")))
-    strata = counts.groupBy("_key", "_class").agg(F.sum("c").alias("n"), F.sum("words").alias("words"))
-    targets = source_targets(strata.groupBy("_key").agg(F.sum("words").alias("source_size")), weights, total, most)
-    plan = cut_lineage(_draws(strata.join(targets, "_key")))
-    upto = F.sum("c").over(Window.partitionBy("_key", "_class").orderBy("_bucket"))
-    ends = (counts.join(plan.select("_key", "_class", "draws"), ["_key", "_class"]).withColumn("upto", upto)
-            .where("upto >= draws and upto - c < draws").select("_key", "_class", F.col("_bucket").alias("cut"), (F.col("draws") - F.col("upto") + F.col("c")).alias("left")))
-    return cut_lineage(plan.join(ends, ["_key", "_class"], "left"))
+    counts = cut_lineage(_marked(docs, buckets, seed, text, source).groupBy("__key", "__class", "__bucket").agg(F.count("*").alias("c"), F.sum("__size").alias("words")))
+    strata = counts.groupBy("__key", "__class").agg(F.sum("c").alias("n"), F.sum("words").alias("words"))
+    targets = source_targets(strata.groupBy("__key").agg(F.sum("words").alias("source_size")), weights, total, most)
+    plan = cut_lineage(_draws(strata.join(targets, "__key")))
+    upto = F.sum("c").over(Window.partitionBy("__key", "__class").orderBy("__bucket"))
+    ends = (counts.join(plan.select("__key", "__class", "draws"), ["__key", "__class"]).withColumn("upto", upto)
+            .where("upto >= draws and upto - c < draws").select("__key", "__class", F.col("__bucket").alias("cut"), (F.col("draws") - F.col("upto") + F.col("c")).alias("left")))
+    return cut_lineage(plan.join(ends, ["__key", "__class"], "left"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: int = 20, text: str = "text",
         source: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """`keep` (all columns by default), `_size`, `_source_size`, `_target` and `_copies`, how often the mix takes the document."""
+    """`keep` (all columns by default), `__size`, `__source_size`, `__target` and `__copies`, how often the mix takes the document."""
     keep = docs.columns if keep is None else keep
     buckets = max(16, docs.count() // BUCKET_DOCS)
     plan = sampling_plan(docs, buckets, seed, weights, total, most, text, source)
+    plan = plan.select("__key", "__class", *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "certain", "n", "draws", "cut", "left")])
     if plan.count() <= SMALL_PLAN:
         plan = F.broadcast(plan)
-    rows = _marked(docs, buckets, seed, text, source).join(plan, ["_key", "_class"])
-    p = F.col("draws") / F.col("n")
-    u = (F.col("_u") + 0.5) / SPAN
+    rows = _marked(docs, buckets, seed, text, source).join(plan, ["__key", "__class"])
+    p = F.col("__draws") / F.col("__n")
+    u = (F.col("__u") + 0.5) / SPAN
     rank = u / (1 - u) * F.try_divide(1 - p, p)        # random odds by inclusion odds; p is above 0 where a sample ends
-    out = [F.col(c) for c in keep] + [F.col("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")]
-    clear = rows.where("cut is null or _bucket <> cut").select(*out, (F.col("certain") + F.coalesce(F.col("_bucket") < F.col("cut"), F.lit(False)).cast("int")).alias("_copies"))
+    out = [*[F.col(f"`{c}`") for c in keep], "__size", "__source_size", "__target"]
+    clear = rows.where("__cut is null or __bucket <> __cut").select(*out, (F.col("__certain") + F.coalesce(F.col("__bucket") < F.col("__cut"), F.lit(False)).cast("int")).alias("__copies"))
     # the few documents of the bucket in which the sample of a class ends
-    order = Window.partitionBy("_key", "_class").orderBy(rank, "_u", "doc_id")
-    edge = rows.where("_bucket = cut").withColumn("_place", F.row_number().over(order)).select(*out, (F.col("certain") + (F.col("_place") <= F.col("left")).cast("int")).alias("_copies"))
+    order = Window.partitionBy("__key", "__class").orderBy(rank, "__u", "doc_id")
+    edge = rows.where("__bucket = __cut").withColumn("__place", F.row_number().over(order)).select(*out, (F.col("__certain") + (F.col("__place") <= F.col("__left")).cast("int")).alias("__copies"))
     return clear.union(edge)

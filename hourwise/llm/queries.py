@@ -63,8 +63,8 @@ def op4_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The mix of all documents."""
     mixed = mixing.mix(documents(spark, folder), keep=["doc_id"])
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-                        (F.col("_copies") * F.col("_size")).cast("bigint").alias("taken"))
+    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+                        (F.col("__copies") * F.col("__size")).cast("bigint").alias("taken"))
 
 
 @query("op6_simhash")

@@ -115,7 +115,7 @@ def judge(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)
     base_failed: n_words < 50, or more than half of the words lie in repeated windows of three. kept: not base_failed and no
     share above its limit."""
     keep, limits = list(keep), LIMITS if limits is None else limits
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    source = docs.select(*keep, F.col(text).alias("__text"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     schema = StructType([source.schema[c] for c in keep])
     for c in counts:
@@ -128,7 +128,7 @@ def judge(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)
 
     def run(batches):
         for batch in slices(batches):
-            found = [measure(t, lengths) for t in texts_of(batch, "_text")]
+            found = [measure(t, lengths) for t in texts_of(batch, "__text")]
             columns = {c: [f[0][k] for f in found] for k, c in enumerate(counts)}
             failed = [f[0][0] < 50 or 100 * f[0][4] > 50 * f[0][0] for f in found]
             shares = [[*f[1], f[2]] for f in found]

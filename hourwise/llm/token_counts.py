@@ -74,13 +74,13 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
                  keep: Sequence[str] = ("doc_id",), chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """`keep`, n_bytes, n_tokens and over_limit (n_tokens > limit) of every document."""
     keep = list(keep)
-    source = docs.select(*keep, docs[text].alias("_text"))
+    source = docs.select(*keep, docs[text].alias("__text"))
     schema = StructType([source.schema[c] for c in keep]).add("n_bytes", LongType()).add("n_tokens", LongType()).add("over_limit", BooleanType())
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in slices(batches):
-            found = texts_of(batch, "_text")
+            found = texts_of(batch, "__text")
             n = count_texts(found, tokenizer, chunk_chars, overlap)
             yield with_columns(batch, keep, arrow, n_bytes=[len(t.encode()) for t in found], n_tokens=n, over_limit=[x > limit for x in n])
     return source.mapInArrow(run, schema)

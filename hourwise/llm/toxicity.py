@@ -120,7 +120,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str
           name: str = "score") -> DataFrame:
     """`keep` and the score, called `name`, of every document, whole texts."""
     keep = list(keep)
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    source = docs.select(*keep, F.col(text).alias("__text"))
     schema = StructType([source.schema[c] for c in keep]).add(name, DoubleType())
     arrow, shared = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(model)
 
@@ -129,7 +129,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str
         weight = np.zeros(PLACES + 1, np.float32)
         weight[places] = values
         for batch in slices(batches, 128):
-            row, place = grams(texts_of(batch, "_text"))
+            row, place = grams(texts_of(batch, "__text"))
             hit = np.flatnonzero(weight[place])
             once = np.unique(row[hit] * (PLACES + 1) + place[hit])
             total = weight[BIAS] + np.bincount(once // (PLACES + 1), weight[once % (PLACES + 1)], batch.num_rows)

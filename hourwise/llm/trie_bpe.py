@@ -178,7 +178,7 @@ def encode_texts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
                  decode: bool = False) -> DataFrame:
     """`keep` and `ids` of every document; with `decode` also `decoded`, the text that the ids give back."""
     keep = list(keep)
-    source = docs.select(*keep, docs[text].alias("_text"))
+    source = docs.select(*keep, docs[text].alias("__text"))
     schema = StructType([source.schema[c] for c in keep]).add("ids", ArrayType(IntegerType()))
     if decode:
         schema = schema.add("decoded", StringType())
@@ -187,7 +187,7 @@ def encode_texts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
     def run(batches):
         coder = text_coder(tokenizer)
         for batch in slices(batches, BATCH):
-            coded = coder.encode(texts_of(batch, "_text"))
+            coded = coder.encode(texts_of(batch, "__text"))
             columns = {"ids": [[int(i) for i in x.split(",")] if x else [] for x in coded]}
             if decode:
                 columns["decoded"] = [coder.decode(x) for x in coded]
@@ -200,14 +200,14 @@ def code_digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
 
     The same encoding and decoding as `encode_texts`, digested where it is made, so that no ids are moved."""
     keep = list(keep)
-    source = docs.select(*keep, docs[text].alias("_text"))
+    source = docs.select(*keep, docs[text].alias("__text"))
     schema = StructType([source.schema[c] for c in keep]).add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         coder = text_coder(tokenizer)
         for batch in slices(batches, BATCH):
-            coded = coder.encode(texts_of(batch, "_text"))
+            coded = coder.encode(texts_of(batch, "__text"))
             yield with_columns(batch, keep, arrow, n_tokens=[x.count(",") + 1 if x else 0 for x in coded],
                                ids_sha256=[hashlib.sha256(x.encode()).hexdigest() for x in coded],
                                decoded_sha256=[hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in coded])
