@@ -109,7 +109,7 @@ def month_number(yr: Column | str, month: Column | str) -> Column:
     return (_col(yr) * 12 + _col(month) - 1).cast("int")
 
 
-def month_levels(yr: Column | str, month: Column | str, levels: Iterable[int] = range(1, 24)) -> dict[str, Column]:
+def month_levels(yr: Column | str, month: Column | str, levels: Iterable[int]) -> dict[str, Column]:
     return one_hot(month_number(yr, month), levels, "ym")
 
 

@@ -32,9 +32,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def poisson_weights(keys: np.ndarray, seed: int, draws: np.ndarray) -> np.ndarray:
     """(rows, draws) weights of integer keys."""
     k = keys.astype(np.int64).view(np.uint64)
-    folded = (k ^ (k >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
+    low, high = k & np.uint64(0xFFFFFFFF), k >> np.uint64(32)
     stream = _mix((np.uint64(seed) + draws.astype(np.uint64) * np.uint64(STEP)) & np.uint64(0xFFFFFFFF))
-    h = _mix(folded[:, None] ^ stream[None, :])
+    h = _mix(_mix(low[:, None] ^ stream[None, :]) ^ high[:, None])         # all 64 bits count
     return np.searchsorted(np.array(POISSON_CUTS, dtype=np.uint64), h, side="right").astype(np.float64)
 
 

@@ -1,8 +1,7 @@
 """Exact quantiles with linear interpolation, per group, when a group may hold a third of the table.
 
-The built-in exact percentile keeps every distinct value of a group in one task, so it is used only when the column is
-measured to have few distinct values. Beyond that each group is reduced to (value, count) rows, the counts per bucket
-say in which bucket a wanted position lies, and only those buckets are ordered."""
+The built-in exact percentile keeps every distinct value of a group in one task. Here each group is reduced to
+(value, count) rows, the counts per bucket say in which bucket a wanted position lies, and only those buckets are ordered."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -10,25 +9,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourwise.operators.ranks import BUCKET, BUCKETS, bucket_cuts, with_cuts
-
-
-SMALL_DISTINCT = 50_000    # distinct values (measured) up to which one group's values fit a task without question
+from hourwise.operators.ranks import BUCKET, bucket_cuts, with_cuts
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float],
-                      buckets: int = BUCKETS, small: int = SMALL_DISTINCT) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """One row per group: n and one double column per entry of `quantiles` (name -> share)."""
     single = not keys
     if single:
         df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    cuts, distinct = bucket_cuts(rows, "_v", buckets)
-    if distinct <= small:
-        out = rows.groupBy(*keys).agg(F.percentile("_v", list(quantiles.values())).alias("_q"), F.count("*").alias("n"))
-        out = out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)], "n")
-        return out.drop("_all") if single else out
+    cuts, _ = bucket_cuts(rows, "_v", buckets)
     hist = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     b = with_cuts(hist, "_v", cuts)
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)

@@ -11,12 +11,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64          # cut points fetched to the driver; raise it with the number of distinct values
 BUCKET = "_bucket"
 
 
-def bucket_cuts(df: DataFrame, value: str, buckets: int = BUCKETS) -> tuple[list[float], int]:
-    """(cut points at approximate quantiles, approximate number of distinct values) in one job."""
+def bucket_cuts(df: DataFrame, value: str, buckets: int | None = None) -> tuple[list[float], int]:
+    """(cut points at approximate quantiles, approximate number of distinct values) in one job.
+
+    There are as many buckets as the session has shuffle partitions, so the work spreads as that of any other operator."""
+    buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / buckets for i in range(1, buckets)]
     p = df.select(F.col(value).cast("double").alias("_p"))
     row = p.agg(F.percentile_approx("_p", shares, 20 * buckets).alias("c"), F.approx_count_distinct("_p").alias("d")).first()
@@ -32,13 +34,13 @@ def with_cuts(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     return Bucketizer(splits=edges, inputCol="_position", outputCol=BUCKET).transform(numeric).drop("_position")
 
 
-def with_bucket(df: DataFrame, value: str, buckets: int = BUCKETS, cuts_from: DataFrame | None = None) -> DataFrame:
+def with_bucket(df: DataFrame, value: str, buckets: int | None = None, cuts_from: DataFrame | None = None) -> DataFrame:
     """`df` bucketed at its own approximate quantiles, or at those of a cheaper frame with the same column."""
     return with_cuts(df, value, bucket_cuts(df if cuts_from is None else cuts_from, value, buckets)[0])
 
 
 def running_totals(hist: DataFrame, value: str, sums: Sequence[str], within: Sequence[str] = (),
-                   descending: bool = False, buckets: int = BUCKETS, cuts_from: DataFrame | None = None) -> DataFrame:
+                   descending: bool = False, buckets: int | None = None, cuts_from: DataFrame | None = None) -> DataFrame:
     """Add cum_<s> (inclusive running total in value order, per `within`) for each column of `sums`.
 
     `hist` holds one row per (within, value)."""

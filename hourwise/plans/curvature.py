@@ -4,17 +4,18 @@ A step solves (H + damping) d = g on the driver; the next pass tells whether the
 label, columns or penalty (label rules, l2 sweeps, cost ratios) share the passes."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hourwise.functions.target import PowerTarget
 from hourwise.plans.moments import Basis, collect_rows, matrix_of, sum_rows
 
-ETA_LOW, ETA_HIGH = -30.0, 12.0       # range in which the exponential of a log-link score is taken
-
+STEP_TOL = 1e-8           # a fit has converged when the undamped step, the gradient over the curvature, is this small beside the weights
 
 @dataclass
 class Objective:
@@ -46,13 +47,12 @@ def logistic(eta, y):
 
 
 def poisson(eta, y):
-    eta = np.clip(eta, ETA_LOW, ETA_HIGH)
     mu = np.exp(eta)
     return mu - y * eta, mu - y, mu
 
 
 def log_link_squares(eta, y):
-    mu = np.exp(np.clip(eta, ETA_LOW, ETA_HIGH))
+    mu = np.exp(eta)
     r = mu - y
     return 0.5 * r * r, r * mu, mu * mu
 
@@ -64,6 +64,10 @@ class UnderPrediction:
     k: float
     cap: float
 
+    def first_bias(self, mean: float) -> float:
+        """Score at which the prediction is the mean label."""
+        return float(self.target.forward_np(np.array([mean]))[0])
+
     def __call__(self, eta, y):
         held = np.minimum(eta, self.cap)
         q = self.target.inverse_np(held)
@@ -109,40 +113,68 @@ def _pass(rows: DataFrame, basis: Basis | None, maps: np.ndarray | None, objecti
 
 
 def minimise(rows: DataFrame, objectives: Sequence[Objective], basis: Basis | None = None, maps: np.ndarray | None = None,
-             max_iter: int = 60, tol: float = 1e-11) -> list[Objective]:
-    """Damped Newton / Gauss-Newton steps for all objectives together.
+             max_iter: int = 100) -> list[Objective]:
+    """Damped Newton / Gauss-Newton steps for all objectives together, from `start` or from the score of the mean label.
+
+    Each ends as `converged` (the gradient, measured by the curvature, is small), `stalled` (no damped step lowers the loss
+    though the gradient is not small) or `max_iter`. Scores are never cut: a step that overflows is damped.
 
     `rows` holds ys array<double> (labels) and x array<double>: design columns with the bias first, or packed first-order
     columns when a basis and the maps of a design are given."""
+    _set_starts(rows, objectives)
     state = {}
-    for o in objectives:
-        o.w = np.zeros(len(o.columns)) if o.start is None else np.asarray(o.start, float).copy()
-    live = list(objectives)
-    for o, (loss, g, h) in zip(live, _pass(rows, basis, maps, live, [o.w for o in live])):
-        o.loss = loss
+    for o, (loss, g, h) in zip(objectives, _pass(rows, basis, maps, objectives, [o.w for o in objectives])):
+        o.loss, o.grad_norm = loss, float(np.linalg.norm(g))
         state[o.name] = [g, h, 1e-3]
+        o.stop = "converged" if _small(_newton(g, h), o.w) else "max_iter"
+    live = [o for o in objectives if o.stop != "converged"]
     for _ in range(max_iter):
+        if not live:
+            break
         tries = []
         for o in live:
             g, h, damping = state[o.name]
-            scale = np.maximum(np.diag(h), 1e-12)
-            tries.append(o.w - np.linalg.lstsq(h + damping * np.diag(scale), g, rcond=None)[0])
-        still = []
+            tries.append(o.w - _newton(g, h + damping * np.diag(np.maximum(np.diag(h), 1e-300))))
         for o, w, (loss, g, h) in zip(live, tries, _pass(rows, basis, maps, live, tries)):
             o.steps += 1
-            if np.isfinite(loss) and loss < o.loss:
-                small = o.loss - loss <= tol * max(1.0, abs(o.loss))
-                o.w, o.loss = w, loss
-                state[o.name] = [g, h, max(state[o.name][2] / 10.0, 1e-12)]
-                o.stop = "converged" if small else o.stop
-            else:
-                state[o.name][2] *= 10.0
-                if state[o.name][2] > 1e8 or (np.isfinite(loss) and abs(loss - o.loss) <= 1e-14 * max(1.0, abs(o.loss))):
+            old_g, old_h, damping = state[o.name]
+            finite = np.isfinite(loss) and np.isfinite(g).all() and np.isfinite(h).all()
+            # at the working precision of the loss the gradient decides
+            level = finite and abs(loss - o.loss) <= 1e-13 * max(1.0, abs(o.loss)) and g @ _newton(g, h) < old_g @ _newton(old_g, old_h)
+            if finite and (loss < o.loss or level):
+                o.w, o.loss, o.grad_norm = w, loss, float(np.linalg.norm(g))
+                state[o.name] = [g, h, max(damping / 10.0, 1e-12)]
+                if _small(_newton(g, h), w):
                     o.stop = "converged"
-            o.grad_norm = float(np.linalg.norm(state[o.name][0]))
-            if o.stop != "converged":
-                still.append(o)
-        live = still
-        if not live:
-            break
+            else:
+                state[o.name][2] = damping * 10.0
+                if damping > 1e8:
+                    o.stop = "converged" if _small(_newton(old_g, old_h), o.w) else "stalled"
+        live = [o for o in live if o.stop == "max_iter"]
     return list(objectives)
+
+
+def _newton(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return np.linalg.lstsq(h, g, rcond=None)[0]
+
+
+def _small(step: np.ndarray, w: np.ndarray) -> bool:
+    return bool(np.abs(step).max() <= STEP_TOL * max(1.0, float(np.abs(w).max())))
+
+
+def _set_starts(rows: DataFrame, objectives: Sequence[Objective]) -> None:
+    """Weights given, or zero with the bias at the score of the mean label where the cost knows one."""
+    wanted = sorted({o.label for o in objectives if o.start is None and _first_bias(o.cost)})
+    means = dict(zip(wanted, rows.agg(*[F.avg(F.col("ys")[k]).alias(f"m{k}") for k in wanted]).first())) if wanted else {}
+    for o in objectives:
+        if o.start is not None:
+            o.w = np.asarray(o.start, float).copy()
+            continue
+        o.w = np.zeros(len(o.columns))
+        mean = means.get(o.label)
+        if mean is not None and mean > 0:
+            o.w[0] = _first_bias(o.cost)(mean)
+
+
+def _first_bias(cost):
+    return math.log if cost in (poisson, log_link_squares) else getattr(cost, "first_bias", None)

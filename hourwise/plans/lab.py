@@ -47,11 +47,7 @@ class Lab:
         self.sets = {n: frozenset(k) for n, k in sets.items()}
         self.rows = df.select(key.cast("int").alias("key"), F.unix_date(day).alias("day"), F.col(row_id).alias("id"),
                               F.col(label).cast("double").alias("y"), packed_columns(specs, epoch, own).alias("x"))
-        # each task of a pass sends one set of sums whatever the number of rows behind it, so the number of tasks is held
-        # at the shuffle width of the session
-        spark = df.sparkSession
-        width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.rows = self.rows.coalesce(width).persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK)
         self.basis = Basis.over(self.rows, specs)
         self.moments = collect_moments(self.rows, self.basis, self.powers)
         self.fills = self._fills()

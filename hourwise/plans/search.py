@@ -144,27 +144,36 @@ def column_evidence(lab: Lab, spec: DesignSpec, power: float, alpha: float, k: i
     return out
 
 
+def pick_block(gains: dict[str, tuple[float, float, float]], least_gain: float, chrono_loss: float) -> str | None:
+    """The block to add among name -> (mean gain over the folds, its standard error, change of the chronological score): of
+    those whose gain exceeds two standard errors and `least_gain` and whose chronological score falls by `chrono_loss` at
+    most, the one with the largest gain."""
+    fit = [n for n, (gain, se, change) in gains.items() if gain > 2 * se and gain > least_gain and change >= -chrono_loss]
+    return max(fit, key=lambda n: gains[n][0], default=None)
+
+
 def greedy_blocks(lab: Lab, start: DesignSpec, candidates: dict[str, DesignSpec], power: float, k: int, chrono_loss: float = 0.003,
-                  merge=None) -> list[dict]:
-    """Forward selection: add the candidate with the largest held-out-day gain while the gain exceeds two standard errors
-    and the chronological score does not fall by more than `chrono_loss`. One evaluation per round for all candidates."""
-    current = three_validators(lab, {"start": (start, power)}, k)[0]
-    out = [{"step": 0, "block": "start", "day_r2": current["day_r2"], "chrono_r2": current["chrono_r2"], "gain": 0.0, "se": 0.0, "accepted": True}]
-    left, plan, step = dict(candidates), start, 0
+                  least_gain: float = 0.0005, merge=None) -> list[dict]:
+    """Forward selection by `pick_block`, until no candidate passes; the last row is the best that failed."""
+    def score(plans: dict[str, DesignSpec]) -> dict[str, dict]:
+        return {r["name"]: r for r in three_validators(lab, {n: (p, power) for n, p in plans.items()}, k)}
+
+    def row(step: int, name: str, r: dict, gain: float, se: float, accepted: bool) -> dict:
+        return {"step": step, "block": name, "day_r2": r["day_r2"], "chrono_r2": r["chrono_r2"], "gain": gain, "se": se, "accepted": accepted}
+    plan, now, left = start, score({"start": start})["start"], dict(candidates)
+    out = [row(0, "start", now, 0.0, 0.0, True)]
     while left:
-        step += 1
-        trials = {n: merge(plan, c) for n, c in left.items()}
-        rows = three_validators(lab, {n: (s, power) for n, s in trials.items()}, k)
+        plans = {n: merge(plan, c) for n, c in left.items()}
+        scored = score(plans)
         gains = {}
-        for r in rows:
-            d = np.array(r["folds"]) - np.array(current["folds"])
-            gains[r["name"]] = (float(d.mean()), float(d.std(ddof=1) / np.sqrt(k)), r)
-        name = max(gains, key=lambda n: gains[n][0])
-        gain, se, r = gains[name]
-        ok = gain > 2 * se and r["chrono_r2"] >= current["chrono_r2"] - chrono_loss
-        out.append({"step": step, "block": name, "day_r2": r["day_r2"], "chrono_r2": r["chrono_r2"], "gain": gain, "se": se, "accepted": bool(ok)})
-        if not ok:
-            return out
-        plan, current = trials.pop(name), r
-        left.pop(name)
+        for n, r in scored.items():
+            d = np.subtract(r["folds"], now["folds"])
+            gains[n] = float(d.mean()), float(d.std(ddof=1) / np.sqrt(k)), r["chrono_r2"] - now["chrono_r2"]
+        name = pick_block(gains, least_gain, chrono_loss)
+        shown = name if name is not None else max(gains, key=lambda n: gains[n][0])
+        out.append(row(len(out), shown, scored[shown], *gains[shown][:2], name is not None))
+        if name is None:
+            break
+        plan, now = plans[name], scored[name]
+        del left[name]
     return out

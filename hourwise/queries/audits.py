@@ -259,15 +259,14 @@ def demand_profile(spark, d):
     return rounded(demand(spark, d).groupBy("workingday", "hr").agg(F.avg("cnt").alias("mean_cnt"), F.count("*").alias("n")))
 
 
-@query("A7_growth_table", f"""WITH {DAILY} SELECT mnth, round(avg(cnt) FILTER (yr = 1996), 6) AS mean_a, round(avg(cnt) FILTER (yr = 1997), 6) AS mean_b,
-round(avg(cnt) FILTER (yr = 1997) / avg(cnt) FILTER (yr = 1996), 6) AS ratio,
-round(avg(ln(cnt)) FILTER (yr = 1997) - avg(ln(cnt)) FILTER (yr = 1996), 6) + 0.0 AS log_diff FROM daily GROUP BY mnth""")
+@query("A7_growth_table", f"""WITH {DAILY}, m AS (SELECT yr, mnth, avg(cnt) AS m, avg(ln(cnt)) AS l FROM daily GROUP BY ALL)
+SELECT b.yr, b.mnth, round(a.m, 6) AS mean_a, round(b.m, 6) AS mean_b, round(b.m / a.m, 6) AS ratio, round(b.l - a.l, 6) + 0.0 AS log_diff FROM m a JOIN m b ON b.mnth = a.mnth AND b.yr = a.yr + 1""")
 def growth_table(spark, d):
-    """Monthly means of two years, their ratio and the difference of mean logs."""
-    wide = (daily(spark, d).groupBy("mnth").pivot("yr", [1996, 1997])
-            .agg(F.avg("cnt").alias("m"), F.avg(F.log("cnt")).alias("l")))
-    return rounded(wide.select("mnth", F.col("1996_m").alias("mean_a"), F.col("1997_m").alias("mean_b"),
-                               (F.col("1997_m") / F.col("1996_m")).alias("ratio"), (F.col("1997_l") - F.col("1996_l")).alias("log_diff")))
+    """Monthly means of every year and the year before, their ratio and the difference of mean logs."""
+    means = daily(spark, d).groupBy("yr", "mnth").agg(F.avg("cnt").alias("m"), F.avg(F.log("cnt")).alias("l"))
+    before = means.select((F.col("yr") + 1).alias("yr"), "mnth", F.col("m").alias("mean_a"), F.col("l").alias("l_a"))
+    return rounded(means.join(before, ["yr", "mnth"]).select("yr", "mnth", "mean_a", F.col("m").alias("mean_b"), (F.col("m") / F.col("mean_a")).alias("ratio"),
+                                                             (F.col("l") - F.col("l_a")).alias("log_diff")))
 
 
 @query("A8_rate_over_groups", f"""WITH {TIMELINE}, g AS (SELECT user_id, dteday, count(*) AS n FROM timeline GROUP BY ALL)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourwise.functions import calendar as cal
@@ -23,7 +23,6 @@ EPOCH = "2024-01-01"
 HOLIDAYS = ("2024-01-01", "2024-01-15")
 CUT_DATE = "2024-01-21"
 SEED = 44615
-KINDS = ("click", "error", "purchase", "signup", "view")
 FOLDS = 5
 
 
@@ -82,9 +81,13 @@ def rolled_demand(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly demand per event type with the calendar, the weather-like readings and the label."""
     events = table(spark, folder, "events", ["event_type", "ts", "value"])
     rolled = hourly_rollup(events, ["event_type"], _measures()).withColumnRenamed("event_type", "entity")
-    code = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("entity"))
-    return (rolled.withColumns(cal.calendar_columns("dteday", BASE_YEAR, HOLIDAYS))
-            .withColumn("instant", (F.col("hour_idx") * 10 + code).cast("bigint")))
+    # one row per event type: its number in alphabetical order, and room for all of them behind the hour
+    order = Window.orderBy(F.col("event_type").asc_nulls_first())
+    room = F.pow(F.lit(10), F.length(F.count("*").over(Window.partitionBy()).cast("string"))).cast("bigint")
+    kinds = events.select("event_type").distinct().select(F.col("event_type").alias("_kind"), F.row_number().over(order).alias("_code"), room.alias("_room"))
+    numbered = rolled.join(kinds, F.col("entity").eqNullSafe(F.col("_kind")))
+    return (numbered.withColumns(cal.calendar_columns("dteday", BASE_YEAR, HOLIDAYS))
+            .withColumn("instant", (F.col("hour_idx") * F.col("_room") + F.col("_code")).cast("bigint")).drop("_kind", "_code", "_room"))
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,9 +114,10 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _HOLIDAY_LIST = ", ".join(f"DATE '{h}'" for h in HOLIDAYS)
-_KIND_LIST = ", ".join(f"'{k}'" for k in KINDS)
 DEMAND = f"""ev AS (SELECT event_type, user_id, CAST(ts AS DATE) AS dteday, CAST(hour(ts) AS INTEGER) AS hr,
   CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+kinds AS (SELECT event_type AS entity, row_number() OVER (ORDER BY event_type) AS code,
+  CAST(10 ** length(CAST(count(*) OVER () AS VARCHAR)) AS BIGINT) AS room FROM (SELECT DISTINCT event_type FROM events)),
 rolled AS (SELECT event_type AS entity, dteday, hr, CAST(count(*) AS BIGINT) AS cnt,
   CAST(sum(cents) AS DOUBLE) / count(*) / 19997.0::DOUBLE AS temp, CAST(max(cents) AS DOUBLE) / 49999.0::DOUBLE AS atemp,
   CAST(count(*) FILTER (cents > 5000) AS DOUBLE) / count(*) AS hum,
@@ -121,12 +125,12 @@ rolled AS (SELECT event_type AS entity, dteday, hr, CAST(count(*) AS BIGINT) AS
   CAST(least(1 + count(*) FILTER (cents > 10000), 4) AS INTEGER) AS weathersit,
   CAST(datediff('day', DATE '1970-01-01', dteday) * 24 + hr AS BIGINT) AS hour_idx
   FROM ev GROUP BY event_type, dteday, hr),
-demand AS (SELECT *, CAST(floor((month(dteday) - 1) / 3.0) + 1 AS INTEGER) AS season,
+demand AS (SELECT * EXCLUDE (code, room), CAST(floor((month(dteday) - 1) / 3.0) + 1 AS INTEGER) AS season,
   CAST(year(dteday) - {BASE_YEAR} AS INTEGER) AS yr, CAST(month(dteday) AS INTEGER) AS mnth,
   CAST(CASE WHEN dteday IN ({_HOLIDAY_LIST}) THEN 1 ELSE 0 END AS INTEGER) AS holiday,
   CAST(dayofweek(dteday) AS INTEGER) AS weekday,
   CAST(CASE WHEN dayofweek(dteday) BETWEEN 1 AND 5 AND dteday NOT IN ({_HOLIDAY_LIST}) THEN 1 ELSE 0 END AS INTEGER) AS workingday,
-  CAST(hour_idx * 10 + list_position([{_KIND_LIST}], entity) AS BIGINT) AS instant FROM rolled)"""
+  CAST(hour_idx * room + code AS BIGINT) AS instant FROM rolled JOIN kinds USING (entity))"""
 
 
 def hash_sql(seed: int | str, *exprs: str) -> str:

@@ -64,7 +64,10 @@ _MIXED = f"""{_PRED}, src AS (SELECT instant, cnt AS y, pred AS pa, pred * 0.9::
 s0 AS (SELECT b, ({SEED} + b::BIGINT * {bt.STEP}) & {_M32} AS x FROM draws), s1 AS (SELECT b, xor(x, x >> 16) AS x FROM s0),
 s2 AS (SELECT b, CAST((x::HUGEINT * {bt.MIX_A}) % 4294967296 AS BIGINT) AS x FROM s1), s3 AS (SELECT b, xor(x, x >> 15) AS x FROM s2),
 s4 AS (SELECT b, CAST((x::HUGEINT * {bt.MIX_B}) % 4294967296 AS BIGINT) AS x FROM s3), st AS (SELECT b, xor(x, x >> 16) AS s FROM s4),
-r0 AS (SELECT b, y, pa, pb, xor(xor(instant, instant >> 32) & {_M32}, s) AS x FROM src, st), r1 AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM r0),
+h0 AS (SELECT b, y, pa, pb, instant, xor(instant & {_M32}, s) AS x FROM src, st), h1 AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM h0),
+h2 AS (SELECT * REPLACE (CAST((x::HUGEINT * {bt.MIX_A}) % 4294967296 AS BIGINT) AS x) FROM h1), h3 AS (SELECT * REPLACE (xor(x, x >> 15) AS x) FROM h2),
+h4 AS (SELECT * REPLACE (CAST((x::HUGEINT * {bt.MIX_B}) % 4294967296 AS BIGINT) AS x) FROM h3),
+r0 AS (SELECT b, y, pa, pb, xor(xor(x, x >> 16), instant >> 32) AS x FROM h4), r1 AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM r0),
 r2 AS (SELECT * REPLACE (CAST((x::HUGEINT * {bt.MIX_A}) % 4294967296 AS BIGINT) AS x) FROM r1), r3 AS (SELECT * REPLACE (xor(x, x >> 15) AS x) FROM r2),
 r4 AS (SELECT * REPLACE (CAST((x::HUGEINT * {bt.MIX_B}) % 4294967296 AS BIGINT) AS x) FROM r3), r5 AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM r4),
 w AS (SELECT b, y, pa, pb, {' + '.join(f'(CASE WHEN x >= {c} THEN 1 ELSE 0 END)' for c in bt.POISSON_CUTS)} AS w FROM r5),
@@ -304,13 +307,12 @@ def fit_thresholds(spark, d):
     return rounded(_cells(spark, d)[1])
 
 
-@query("L2_apply_thresholds", f"WITH {_CELLS} SELECT instant, CAST(cnt > threshold AS INTEGER) AS label FROM demand JOIN c USING (entity, workingday, hr) WHERE dteday >= DATE '{CUT_DATE}'")
+@query("L2_apply_thresholds", f"WITH {DEMAND}, k AS (SELECT workingday, hr, quantile_cont(cnt, 0.75) AS t FROM demand WHERE dteday < DATE '{CUT_DATE}' GROUP BY ALL) SELECT instant, CAST(cnt > t AS INTEGER) AS label FROM demand LEFT JOIN k USING (workingday, hr) WHERE dteday >= DATE '{CUT_DATE}'")
 def apply_thresholds(spark, d):
-    """Label of the later rows, strictly above the threshold of their cell; rows of cells never seen are left out first."""
-    df, cells = _cells(spark, d)
-    keys = ["entity", "workingday", "hr"]
-    late = df.where(F.col("dteday") >= F.lit(CUT_DATE).cast("date")).join(cells.select(*keys), keys, "left_semi")
-    return labels.apply_thresholds(late, cells, keys, "cnt").select("instant", "label")
+    """Label of every later row, strictly above the threshold of its hour and day type; a cell never seen is an error."""
+    df, keys = demand(spark, d), ["workingday", "hr"]
+    cells = labels.fit_thresholds(df.where(F.col("dteday") < F.lit(CUT_DATE).cast("date")), keys, "cnt", 0.75)
+    return labels.apply_thresholds(df.where(F.col("dteday") >= F.lit(CUT_DATE).cast("date")), cells, keys, "cnt").select("instant", "label")
 
 
 @query("L3_describe_rule", f"WITH {_CELLS} SELECT count(*)::BIGINT AS n_cells, min(n)::BIGINT AS min_cell_n FROM c")
@@ -411,9 +413,9 @@ def coefficient_share(spark, d):
     return rounded(selection.coefficient_share(feature_weights(spark, d)))
 
 
-@query("V10_evidence_text", f"""WITH {_VERDICT} SELECT "column", format('dropping it alone costs R2 {{:+.4f}} [{{:+.4f}}, {{:+.4f}}]', delta, lo, hi) ||
-CASE WHEN group_delta IS NULL THEN '' ELSE format('; dropping it with its partners costs {{:+.4f}}', group_delta) END || format('; its own columns alone reach R2 {{:.4f}}', solo_r2)
-|| format('; |r| = {{:.3f}} with {{}}', max_abs_corr, corr_with) || '.' AS evidence FROM vd WHERE verdict <> 'redundant'""")
+@query("V10_evidence_text", f"""WITH {_VERDICT} SELECT "column", format('without it R2 changes by {{:.4f}} ({{:.4f}} to {{:.4f}})', -delta, -hi, -lo) ||
+CASE WHEN group_delta IS NULL THEN '' ELSE format('; without its whole group by {{:.4f}}', -group_delta) END || format('; by itself it explains {{:.4f}}', solo_r2)
+|| format('; closest column {{}} at |r| {{:.3f}}', corr_with, max_abs_corr) || '.' AS evidence FROM vd WHERE verdict <> 'redundant'""")
 def evidence_text(spark, d):
     """One sentence per column that is not redundant."""
     table_ = selection.evidence_text(selection.verdicts(evidence(spark, d)))

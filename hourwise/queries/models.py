@@ -357,7 +357,8 @@ def _by_working_day(spark, d):
 def count_scale_cost(spark, d):
     """The under-prediction cost with ratio 1 on one 0/1 column: the group means on the count scale."""
     t = PowerTarget(0.0, "none")
-    return result(spark, _two_groups(_by_working_day(spark, d), cv.UnderPrediction(t, 1.0, t.cap(1e6))), "bias double, weight double, stop string", 4)
+    largest = float(demand(spark, d).agg(F.max("cnt")).first()[0])
+    return result(spark, _two_groups(_by_working_day(spark, d), cv.UnderPrediction(t, 1.0, t.cap(largest))), "bias double, weight double, stop string", 4)
 
 
 @query("M9_poisson", f"{_GROUP_MEANS} SELECT round(ln(p), 5) AS bias, round(ln(q) - ln(p), 5) AS weight, 'converged' AS stop FROM g")
@@ -387,9 +388,7 @@ def elastic_net(spark, d):
     for rho in (1.0, 0.5, 0.0):
         alpha = 0.02
         w = solvers.penalised_path(G, c, [alpha], rho)[0]
-        slack = c - G @ w - alpha * (1 - rho) * w
-        zero = np.abs(w) <= solvers.NONZERO
-        bad = max(np.max(np.abs(slack[~zero] - alpha * rho * np.sign(w[~zero])), initial=0.0), np.max(np.abs(slack[zero]) - alpha * rho, initial=0.0))
+        bad = solvers.violation(G, c, w, alpha, rho)
         rows += [{"rho": rho, "feature": n, "weight": float(v), "violation": float(bad)} for n, v in zip(names[1:], w)]
     return result(spark, rows, "rho double, feature string, weight double, violation double")
 
@@ -400,10 +399,11 @@ def penalty_path(spark, d):
     with open_lab(spark, d, [CANDIDATE_PLAN]) as lab:
         names, gram, cross, _ = lab.normal_equations(CANDIDATE_PLAN, "train", POWER)
     G, c, _, _ = solvers.centred(gram, cross)
-    alphas = solvers.penalty_grid(solvers.largest_alpha(c, 1.0), 1e-3, 20)
+    alphas = solvers.penalty_grid(solvers.largest_alpha(c, 1.0), 1e-3, 40)
     W = solvers.penalised_path(G, c, alphas, 1.0)
-    rows = [{"alpha": float(a), "feature": n, "weight": float(v)} for a, w in zip(alphas, W) for n, v in zip(names[1:], w)]
-    return result(spark, rows, "alpha double, feature string, weight double", 8)
+    rows = [{"alpha": float(a), "feature": n, "weight": float(v), "violation": bad} for a, w in zip(alphas, W)
+            for bad in [solvers.violation(G, c, w, float(a), 1.0)] for n, v in zip(names[1:], w)]
+    return result(spark, rows, "alpha double, feature string, weight double, violation double", 8)
 
 
 LOGIT_PLAN = DesignSpec(("temp", "hum", "windspeed", "workingday", "ws_2", "ws_3"))
@@ -431,9 +431,9 @@ def logistic(spark, d):
         built_in = LogisticRegression(regParam=l2, elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=200).fit(vec)
         own = fit_objectives(z.select(F.array("bias", *LOGIT_PLAN.first_order).alias("x"), F.array(F.col("label").cast("double")).alias("ys")),
                              [cv.Objective("logit", cv.logistic, np.arange(len(LOGIT_PLAN.names)), alpha=l2)])[0]
-    rows = [{"feature": n, "weight": float(v), "own": float(o)} for n, v, o in
+    rows = [{"feature": n, "weight": float(v), "own": float(o), "stop": own.stop} for n, v, o in
             zip(LOGIT_PLAN.names, [built_in.intercept, *built_in.coefficients.toArray()], own.w)]
-    return result(spark, rows, "feature string, weight double, own double", 5)
+    return result(spark, rows, "feature string, weight double, own double, stop string", 5)
 
 
 def fit_objectives(rows, objectives, **kw):
@@ -483,8 +483,8 @@ def poisson(spark, d):
         vec = VectorAssembler(inputCols=plain.columns[1:], outputCol="features").transform(plain)
         mean = fit.agg(F.avg("cnt")).first()[0]
         glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol="cnt", regParam=alpha / mean, tol=1e-12, maxIter=100).fit(vec)
-    rows = [{"feature": n, "weight": float(v), "built_in": float(b)} for n, v, b in zip(SMALL_PLAN.names, own.w, [glm.intercept, *glm.coefficients.toArray()])]
-    return result(spark, rows, "feature string, weight double, built_in double", 4)
+    rows = [{"feature": n, "weight": float(v), "built_in": float(b), "stop": own.stop} for n, v, b in zip(SMALL_PLAN.names, own.w, [glm.intercept, *glm.coefficients.toArray()])]
+    return result(spark, rows, "feature string, weight double, built_in double, stop string", 4)
 
 
 @query("M10_log_link_squares_plan")

@@ -167,13 +167,14 @@ def fault_imputation(spark, d):
 
 @query("P18_month_levels", """WITH m AS (SELECT o_orderkey, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS ym FROM orders)
 SELECT o_orderkey, CAST(ym AS INTEGER) AS ym, """ + ", ".join(
-    f"CASE WHEN ym = {k} THEN 1.0::DOUBLE ELSE 0 END AS ym{k}" for k in range(1, 24)) + " FROM m")
+    f"CASE WHEN ym = {k} THEN 1.0::DOUBLE ELSE 0 END AS ym{k}" for k in range(1, 80)) + " FROM m")
 def month_levels(spark, d):
-    """Indicators of the year-month, counted from the base year."""
+    """Indicators of the year-month, counted from the base year, up to the last month of the table."""
     orders = src.table(spark, d, "orders", ["o_orderkey", "o_orderdate"])
     yr, mn = F.year("o_orderdate") - 1995, F.month("o_orderdate")
+    last = orders.agg(F.max(cal.month_number(yr, mn))).first()[0] or 0
     return orders.select("o_orderkey", cal.month_number(yr, mn).alias("ym"),
-                         *[c.alias(n) for n, c in cal.month_levels(yr, mn).items()])
+                         *[c.alias(n) for n, c in cal.month_levels(yr, mn, range(1, last + 1)).items()])
 
 
 # ----------------------------------------------------------------------------- the timeline

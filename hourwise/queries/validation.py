@@ -282,8 +282,9 @@ def cost_shift(spark, d):
         rows = [r.asDict() for r in z.agg(F.array(*cost.values()).alias("r")).select(F.inline("r")).collect()]
     mean = {r["model"]: r["mean_pred"] for r in rows}
     for r in rows:
+        r["stop"] = {o.name: o.stop for o in (o0, o1, o3)}[r["model"]]
         r["shift"] = {"ls": mean["k3"] / mean["ls"], "k1": mean["k1"] / mean["ls"], "k3": mean["k3"] / mean["k1"]}[r["model"]]
-    return result(spark, rows, "model string, mean_pred double, sq_cost double, abs_cost double, under_share double, mean_error double, r2 double, rmse double, shift double", 4)
+    return result(spark, rows, "model string, mean_pred double, sq_cost double, abs_cost double, under_share double, mean_error double, r2 double, rmse double, shift double, stop string", 4)
 
 
 LOGIT_FULL = DesignSpec(BASE, blocks=("ws_memory",))

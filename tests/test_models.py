@@ -248,3 +248,37 @@ def test_stability_equals_refits_on_drawn_days(table, lab):
         hits += np.abs(solvers.elastic_net(G, cc, 0.03, 1.0)) > 1e-10
     got = {r["feature"]: r["freq"] for r in stability(lab, PLAN, "train", 0.1, 0.03, 1.0, 3, 1).collect()}
     assert np.allclose([got[n] for n in PLAN.names[1:]], hits / 3, atol=0.34) and np.mean([abs(got[n] - h / 3) < 1e-9 for n, h in zip(PLAN.names[1:], hits)]) > 0.97
+
+
+@pytest.mark.parametrize("top", [1e2, 1e6, 1e9])
+def test_iterative_costs_recover_weights_at_any_count(spark, top):
+    """Two groups whose means are 5 and 8 times `top`."""
+    rows = spark.createDataFrame([([1.0, float(i % 2)], [top * (5 if i % 2 == 0 else 8) * (1 + 0.01 * ((i // 2) % 3 - 1))]) for i in range(42)],
+                                 "x array<double>, ys array<double>").cache()
+    t = PowerTarget(0.0, "none")
+    costs = {"p": cv.poisson, "n": cv.log_link_squares, "u": cv.UnderPrediction(t, 1.0, t.cap(8.08 * top))}
+    for o in cv.minimise(rows, [cv.Objective(n, c, np.arange(2)) for n, c in costs.items()]):
+        plus = 1.0 if o.name == "u" else 0.0
+        assert o.stop == "converged" and o.w == pytest.approx([np.log(5 * top + plus), np.log((8 * top + plus) / (5 * top + plus))], abs=1e-6)
+
+
+def test_fit_that_runs_out_of_steps_says_so(spark):
+    rows = spark.createDataFrame([([1.0, float(i % 7)], [float((i * 37) % 11 + i % 7)]) for i in range(60)], "x array<double>, ys array<double>").cache()
+    o, = cv.minimise(rows, [cv.Objective("p", cv.poisson, np.arange(2))], max_iter=1)
+    assert o.stop == "max_iter" and o.grad_norm > 0
+
+
+def test_greedy_rule_filters_before_it_picks():
+    gains = {"noisy": (0.05, 0.04, 0.0), "sound": (0.01, 0.001, 0.0), "small": (0.0004, 0.0001, 0.0), "drifts": (0.03, 0.001, -0.01)}
+    assert search.pick_block(gains, 0.0005, 0.003) == "sound"
+    assert search.pick_block({n: gains[n] for n in ("noisy", "small", "drifts")}, 0.0005, 0.003) is None
+
+
+def test_event_types_get_keys_of_their_own(spark, tmp_path):
+    from datetime import datetime
+    from hourwise.queries.base import rolled_demand
+    kinds = [f"kind{k}" for k in range(12)]
+    spark.createDataFrame([(k, datetime(2024, 1, 1, 5), 1, kind, 2.0, "{}") for k, kind in enumerate(kinds)],
+                          "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    keys = [r["instant"] for r in rolled_demand(spark, str(tmp_path)).collect()]
+    assert len(set(keys)) == 12 and len({k // 100 for k in keys}) == 1

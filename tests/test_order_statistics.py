@@ -17,11 +17,11 @@ def skewed():
     return pd.DataFrame({"id": np.arange(4000), "g": g, "v": v})
 
 
-@pytest.mark.parametrize("small", [0, 10 ** 6])
+@pytest.mark.parametrize("buckets", [None, 3, 50])
 @pytest.mark.parametrize("parts", [1, 7])
-def test_grouped_quantiles_both_ways(spark, skewed, small, parts):
+def test_grouped_quantiles_for_any_buckets(spark, skewed, buckets, parts):
     df = spark.createDataFrame(skewed).repartition(parts)
-    got = grouped_quantiles(df, ["g"], "v", {"a": 0.1, "m": 0.5, "z": 1.0}, small=small).toPandas().set_index("g")
+    got = grouped_quantiles(df, ["g"], "v", {"a": 0.1, "m": 0.5, "z": 1.0}, buckets=buckets).toPandas().set_index("g")
     for g, rows in skewed.groupby("g").v:
         assert np.allclose(got.loc[g, ["a", "m", "z"]].astype(float), rows.quantile([0.1, 0.5, 1.0]))
         assert got.loc[g, "n"] == len(rows)
@@ -29,8 +29,8 @@ def test_grouped_quantiles_both_ways(spark, skewed, small, parts):
 
 def test_global_quantile_of_few_rows(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "v double")
-    for small in (0, 100):
-        assert grouped_quantiles(df, [], "v", {"q": 0.75}, small=small).first()["q"] == 3.0
+    for buckets in (None, 2, 9):
+        assert grouped_quantiles(df, [], "v", {"q": 0.75}, buckets=buckets).first()["q"] == 3.0
 
 
 def test_average_ranks_and_running_totals(spark, skewed):
