@@ -17,6 +17,7 @@ from hourwise.operators.splits import group_draws, numbered_groups, ranked_days
 # Multipliers of a published 32-bit integer mixer, and a Weyl step for the draw number.
 MIX_A, MIX_B, STEP = 0x7FEB352D, 0x846CA68B, 0x9E3779B9
 # Cumulative Poisson(1) probabilities on the 32-bit scale; the weight is the number of entries not above the hash.
+STRETCH = 512          # distinct scores whose weights of all draws a task holds at once
 POISSON_CUTS = [int(2 ** 32 * sum(exp(-1.0) / factorial(j) for j in range(k + 1))) for k in range(12)]
 
 
@@ -116,9 +117,7 @@ def auc_bootstrap(df: DataFrame, y: str, p: str, draws: int, seed: int) -> DataF
     sorted_hist = with_bucket(hist, "s").repartition(BUCKET).sortWithinPartitions("s")
 
     def stretches(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, STRETCH) for b in batches for at in range(0, b.num_rows, STRETCH)):
             s = batch.column("s").to_numpy(zero_copy_only=False)
             counts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "neg")]
             seeds = (s + 0.0).view(np.uint64)

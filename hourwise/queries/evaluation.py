@@ -56,7 +56,7 @@ def nested_day_subsets(spark, d):
 
 # ----------------------------------------------------------------------------- resampling
 
-DRAWS = 40
+DRAWS = 1000
 _M32 = 4294967295
 
 
@@ -288,7 +288,7 @@ def calibration_gap(spark, d):
 @query("E24_auc_interval")
 def auc_interval(spark, d):
     """Bootstrap interval of the ROC-AUC."""
-    return rounded(bt.interval(bt.auc_bootstrap(document_scores(spark, d), "y", "p", 100, SEED)))
+    return rounded(bt.interval(bt.auc_bootstrap(document_scores(spark, d), "y", "p", DRAWS, SEED)))
 
 
 # ----------------------------------------------------------------------------- labels

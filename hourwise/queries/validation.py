@@ -17,7 +17,7 @@ from hourwise.queries.base import EPOCH, FOLDS, SEED, hash_sql, query, rounded
 from hourwise.queries.models import (CANDIDATE_PLAN, ONE_PLAN, ONE_SQL, POWER, SMALL_PLAN, _with_memory, design_rows, fit_objectives, frame, open_lab, result)
 from hourwise.session import kept
 
-DRAWS = 200
+DRAWS = 1000
 _THREE = ("name string, p int, train_r2 double, train_rmse double, r2 double, rmse double, day_r2 double, day_sd double, "
           "chrono_train_r2 double, chrono_r2 double, chrono_rmse double, chrono_mean_ratio double")
 
@@ -235,8 +235,8 @@ def encoding_ablation(spark, d):
         return result(spark, three_validators(lab, {n: (s, POWER) for n, s in plans.items()}, FOLDS), _THREE)
 
 
-def _search(spark, d, lab, n_alphas=12):
-    return search.penalty_search(lab, CANDIDATE_PLAN, POWER, FOLDS, n_alphas, {"l2": (0.0,), "l1": (1.0,), "enet": (0.5, 0.9)}, draws=DRAWS, seed=SEED, ratio=1e-3)
+def _search(spark, d, lab, n_alphas=40):
+    return search.penalty_search(lab, CANDIDATE_PLAN, POWER, FOLDS, n_alphas, {"l2": (0.0,), "l1": (1.0,), "enet": (0.1, 0.3, 0.5, 0.7, 0.9, 0.95)}, draws=DRAWS, seed=SEED, ratio=1e-4)
 
 
 @query("E11_penalty_curve_anchor")
@@ -245,7 +245,7 @@ def penalty_curve(spark, d):
     with open_lab(spark, d, [CANDIDATE_PLAN]) as lab:
         models = {}
         for method, rho in (("l2", 0.0), ("enet", 0.5), ("l1", 1.0)):
-            grid = search.penalty_grid(lab, CANDIDATE_PLAN, POWER, rho, 20, ratio=1e-3)
+            grid = search.penalty_grid(lab, CANDIDATE_PLAN, POWER, rho, 40, ratio=1e-3)
             models[method] = lab.penalised(method, CANDIDATE_PLAN, "train", POWER, grid, rho)
         s = lab.evaluate([m for ms in models.values() for m in ms])
         rows = [{"method": k, "alpha": m.info["alpha"], "n_nonzero": m.info["n_nonzero"], "val_r2": s.r2(m.name, "val"), "train_r2": s.r2(m.name, "train")}
@@ -417,7 +417,7 @@ def penalty_rescue(spark, d):
     with open_lab(spark, d, [top]) as lab:
         reference = lab.least_squares("anchor", ANCHOR, "train", POWER)
         plain = lab.least_squares("unpenalised", top, "train", POWER, search.UNPENALISED)
-        curves = {m: lab.penalised(m, top, "train", POWER, search.penalty_grid(lab, top, POWER, rho, 8, ratio=1e-2), rho) for m, rho in (("l2", 0.0), ("l1", 1.0))}
+        curves = {m: lab.penalised(m, top, "train", POWER, search.penalty_grid(lab, top, POWER, rho, 40, ratio=1e-3), rho) for m, rho in (("l2", 0.0), ("l1", 1.0))}
         s = lab.evaluate([reference, plain, *[m for c in curves.values() for m in c]], draws=DRAWS, draw_set="val", seed=SEED)
         rows = [{"method": "unpenalised", "alpha": search.UNPENALISED, "n_nonzero": len(top.names) - 1, "val_r2": s.r2("unpenalised", "val"), **s.paired("unpenalised", "anchor", "val")}]
         for name, c in curves.items():
@@ -457,7 +457,7 @@ def stability_selection(spark, d):
     """Share of date-bootstrap lasso fits that keep each feature; solved on the executors, one task per draw."""
     lab = open_lab(spark, d, [CANDIDATE_PLAN])
     try:
-        out = stability(lab, CANDIDATE_PLAN, "train", POWER, 0.02, 1.0, 20, SEED)
+        out = stability(lab, CANDIDATE_PLAN, "train", POWER, 0.02, 1.0, 50, SEED)
         return result(spark, [r.asDict() for r in out.collect()], "feature string, freq double")
     finally:
         lab.close()
@@ -472,11 +472,11 @@ def column_selection(spark, d):
         verdict = selection.verdicts(evidence)
         useful = {r["column"] for r in verdict.where("verdict = 'useful'").collect()}
         names = [n for n in CANDIDATE_PLAN.names[1:] if selection.sources_of(n) <= useful]
-        grid = search.penalty_grid(lab, CANDIDATE_PLAN, POWER, 1.0, 12, names, ratio=1e-3)
+        grid = search.penalty_grid(lab, CANDIDATE_PLAN, POWER, 1.0, 40, names, ratio=1e-3)
         path = lab.penalised("lasso", CANDIDATE_PLAN, "train", POWER, grid, 1.0, names)
         s = lab.evaluate(path)
         best = path[search.best_of([m.info["alpha"] for m in path], [s.r2(m.name, "val") for m in path])]
-        freq = {r["feature"]: r["freq"] for r in stability(lab, CANDIDATE_PLAN, "train", POWER, best.info["alpha"], 1.0, 20, SEED, names).collect()}
+        freq = {r["feature"]: r["freq"] for r in stability(lab, CANDIDATE_PLAN, "train", POWER, best.info["alpha"], 1.0, 50, SEED, names).collect()}
         stats = spark.createDataFrame([(n, float(w), freq[n]) for n, w in zip(best.names[1:], best.weights[1:])], "feature string, weight double, freq double")
         return rounded(selection.survivors(stats, verdict))
     finally:
