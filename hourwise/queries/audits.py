@@ -324,6 +324,18 @@ def pairwise_correlation(spark, d):
     return rounded(demand(spark, d).agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in _PAIRS]))
 
 
+_MATRIX = ("temp", "atemp", "hum", "windspeed", "hr", "cnt")
+
+
+@query("A13_correlation_matrix", f"WITH {DEMAND} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM demand"
+                                                                      for i, a in enumerate(_MATRIX) for b in _MATRIX[i + 1:]))
+def correlation_matrix(spark, d):
+    """Every pair of the numeric columns, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(_MATRIX) for b in _MATRIX[i + 1:]]
+    row = demand(spark, d).agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs]).alias("all"))
+    return rounded(row.select(F.inline("all")))
+
+
 # prediction stand-in of the residual queries: the cell mean of the rows before the cut
 _PRED = f"""{DEMAND}, cells AS (SELECT workingday, hr, avg(cnt) AS pred FROM demand WHERE dteday < DATE '{CUT_DATE}' GROUP BY ALL),
 scored AS (SELECT *, pred - cnt AS e, ln(1 + pred) - ln(1 + cnt) AS le FROM demand JOIN cells USING (workingday, hr))"""

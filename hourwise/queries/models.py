@@ -61,21 +61,16 @@ def _z(*cols):
 def interaction_products(spark, d):
     """Products of standardised columns, statistics from the rows before the cut."""
     df = demand(spark, d)
-    m = Design(DesignSpec(("workingday", "temp"), blocks=("wd_x_wx",)), EPOCH).fit(_with_memory(df).where(EARLY))
+    m = Design(DesignSpec(("workingday", "temp"), blocks=("wd_x_wx",)), EPOCH).fit(df.where(EARLY))
     z = m.columns(m.spec.first_order)
-    return _with_memory(df).select("instant", *[r6(m._term(f"workingday*{c}", z)).alias(f"wd_{c}") for c in ("temp", "hum", "ws_2", "ws_3")])
-
-
-def _with_memory(df):
-    """Plans that use no memory column need none; the two columns are constants then."""
-    return df.withColumns({"ws_lag1": F.lit(1), "wet3": F.lit(1)})
+    return df.select("instant", *[r6(m._term(f"workingday*{c}", z)).alias(f"wd_{c}") for c in ("temp", "hum", "ws_2", "ws_3")])
 
 
 @query("P20_powers", f"WITH {_STATS} SELECT instant, round(temp * temp, 6) AS temp_2, round(temp ** 3, 6) + 0.0 AS temp_3, round(hum * hum, 6) AS hum_2, "
        "round(hum ** 3, 6) + 0.0 AS hum_3 FROM z")
 def powers(spark, d):
     """Powers of standardised columns."""
-    df = _with_memory(demand(spark, d))
+    df = demand(spark, d)
     m = Design(DesignSpec(("temp", "hum"), ("temp", "hum"), 3), EPOCH).fit(df.where(EARLY))
     z = m.columns(m.spec.first_order)
     return df.select("instant", *[r6(m._term(f"{c}^{k}", z)).alias(f"{c}_{k}") for c in ("temp", "hum") for k in (2, 3)])
@@ -84,7 +79,7 @@ def powers(spark, d):
 @query("P21_standardise", f"WITH {_STATS} SELECT instant, {_z('temp', 'hum', 'workingday', 'windspeed')}, 0.0::DOUBLE AS yr FROM z")
 def standardise(spark, d):
     """Mean and population deviation of the fitting rows; a constant column becomes 0."""
-    df = _with_memory(demand(spark, d))
+    df = demand(spark, d)
     m = Design(DesignSpec(("temp", "hum", "workingday", "windspeed", "yr")), EPOCH).fit(df.where(EARLY))
     return rounded(m.transform(df, ("instant",)).drop("bias"))
 
@@ -94,7 +89,7 @@ t AS (SELECT avg(a) AS am, stddev_pop(a) AS asd, avg(b) AS bm, stddev_pop(b) AS
 SELECT instant, round((a - am) / asd, 6) + 0.0 AS temp_2, round((b - bm) / bsd, 6) + 0.0 AS temp_3, round((c - cm) / csd, 6) + 0.0 AS wd_hum FROM d, t""")
 def two_level(spark, d):
     """Derived columns standardised once more."""
-    df = _with_memory(demand(spark, d))
+    df = demand(spark, d)
     m = Design(DesignSpec(("temp", "workingday"), ("temp",), 3, ("wd_x_wx",)), EPOCH).fit(df.where(EARLY))
     out = m.transform(df, ("instant",), ["temp^2", "temp^3", "workingday*hum"])
     return rounded(out.select("instant", F.col("`temp^2`").alias("temp_2"), F.col("`temp^3`").alias("temp_3"), F.col("`workingday*hum`").alias("wd_hum")))
@@ -104,7 +99,7 @@ def two_level(spark, d):
 SELECT z.instant, round((demand.temp - gm) / gs, 6) + 0.0 AS temp, round(z.windspeed, 6) + 0.0 AS windspeed FROM z JOIN demand USING (instant), g""")
 def given_scaler(spark, d):
     """Supplied statistics for one column, learned ones for the rest."""
-    df = _with_memory(demand(spark, d))
+    df = demand(spark, d)
     late = Design(DesignSpec(("temp",)), EPOCH).fit(df.where(f"NOT ({EARLY})")).scaler()
     m = Design(DesignSpec(("temp", "windspeed")), EPOCH).fit(df.where(EARLY), late)
     return rounded(m.transform(df, ("instant",)).drop("bias"))
@@ -115,7 +110,7 @@ SELECT CAST(pos AS INTEGER) AS pos, name, round(CASE name WHEN 'workingday' THEN
 round(CASE name WHEN 'workingday' THEN wsd WHEN 'temp' THEN ts WHEN 'hum' THEN hs WHEN 'ws_2' THEN asd ELSE bsd END, 6) AS std FROM n, s""")
 def plan_columns(spark, d):
     """Ordered first-order columns of a plan (base first, then what its blocks need) with their learned statistics."""
-    df = _with_memory(demand(spark, d))
+    df = demand(spark, d)
     spec = DesignSpec(("workingday", "temp"), blocks=("wd_x_wx",))
     m = Design(spec, EPOCH).fit(df.where(EARLY))
     rows = [{"pos": i, "name": n, "mean": m.mean[n], "std": m.std[n]} for i, n in enumerate(spec.first_order, start=1)]
@@ -125,7 +120,7 @@ def plan_columns(spark, d):
 @query("P25_column_subset", f"WITH {_STATS} SELECT instant, {_z('hum', 'temp')} FROM z")
 def column_subset(spark, d):
     """Some columns of a fitted design, without learning again."""
-    df = _with_memory(demand(spark, d))
+    df = demand(spark, d)
     m = Design(DesignSpec(("temp", "hum", "workingday")), EPOCH).fit(df.where(EARLY))
     return rounded(m.transform(df, ("instant",), ["hum", "temp"]).drop("bias"))
 
@@ -167,7 +162,7 @@ def append(spark, d):
     spec = DesignSpec(("temp", "workingday"))
     candidates = ["c_atemp", "c_yr", "c_season", "c_weekday", "wk"]
     bigger, added, _ = append_blocks(spec, candidates)
-    m = Design(bigger, EPOCH).fit(_with_memory(demand(spark, d)))
+    m = Design(bigger, EPOCH).fit(demand(spark, d))
     rows = []
     for b in candidates:
         new = DesignSpec(("temp",), blocks=(b,)).names[2:] if b in added else []
@@ -453,7 +448,7 @@ SMALL_PLAN = DesignSpec(("temp", "hum", "windspeed", "workingday", "ws_2", "ws_3
 @query("M8_asymmetric_cost_plan")
 def asymmetric_cost(spark, d):
     """Squared cost with under-predictions three times as dear, from the least-squares start; k = 1 beside it."""
-    with kept(_with_memory(labelled(spark, d))) as df:
+    with kept(labelled(spark, d)) as df:
         fit = df.where("val = 0")
         m = Design(SMALL_PLAN, EPOCH).fit(fit)
         top = float(fit.agg(F.max("cnt")).first()[0])
@@ -474,7 +469,7 @@ def poisson(spark, d):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
     alpha = 1e-3
-    with kept(_with_memory(labelled(spark, d))) as df:
+    with kept(labelled(spark, d)) as df:
         fit = df.where("val = 0")
         m = Design(SMALL_PLAN, EPOCH).fit(fit)
         own = fit_objectives(design_rows(fit, m), [cv.Objective("poisson", cv.poisson, np.arange(len(SMALL_PLAN.names)), alpha=alpha)])[0]
@@ -490,7 +485,7 @@ def poisson(spark, d):
 @query("M10_log_link_squares_plan")
 def log_link_squares(spark, d):
     """Non-linear least squares with a log link."""
-    with kept(_with_memory(labelled(spark, d))) as df:
+    with kept(labelled(spark, d)) as df:
         fit = df.where("val = 0")
         m = Design(SMALL_PLAN, EPOCH).fit(fit)
         o = fit_objectives(design_rows(fit, m), [cv.Objective("nls", cv.log_link_squares, np.arange(len(SMALL_PLAN.names)), alpha=1e-4)])[0]
@@ -516,7 +511,7 @@ def boosted_trees(spark, d):
 @query("M13_stacked_residual")
 def stacked(spark, d):
     """Trees on the residual of a linear score."""
-    with kept(_with_memory(labelled(spark, d))) as df:
+    with kept(labelled(spark, d)) as df:
         fit = df.where("val = 0")
         m = Design(SMALL_PLAN, EPOCH).fit(fit)
         t = PowerTarget(POWER, "ls")

@@ -1,7 +1,6 @@
 """Queries: sources, sinks and feature columns."""
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +10,7 @@ from hourwise.functions import target as tg
 from hourwise.operators import timeline as tl
 from hourwise.operators.quantiles import quantile_values
 from hourwise.queries.base import CUT_DATE, DEMAND, EPOCH, TIMELINE, demand, query, r6, rolled_demand, rounded, timeline
+from hourwise.session import shared_folder
 from hourwise.sources import sinks
 from hourwise.sources import tables as src
 
@@ -65,7 +65,7 @@ def hourly(spark, d):
 def prediction_rows(spark, d):
     """Key and rounded prediction, written and read back."""
     scored = demand(spark, d).select("instant", (F.col("temp") * 20).alias("pred"))
-    path = _scratch(spark) + "/predictions"
+    path = shared_folder(spark, "predictions")
     sinks.write_predictions(scored, path, "instant", "pred", fmt="parquet")
     return spark.read.parquet(path)
 
@@ -75,7 +75,7 @@ FROM demand GROUP BY entity""")
 def metric_table(spark, d):
     """Metrics written as JSON with NaN refused, then read with their schema."""
     metrics = rounded(demand(spark, d).groupBy("entity").agg(F.count("*").alias("n"), F.avg("cnt").alias("mean_cnt")))
-    path = _scratch(spark) + "/metrics"
+    path = shared_folder(spark, "metrics")
     sinks.write_metrics(metrics, path)
     return sinks.read_model_table(spark, path, T.StructType([
         T.StructField("entity", T.StringType()), T.StructField("n", T.LongType()), T.StructField("mean_cnt", T.DoubleType())]))
@@ -86,7 +86,7 @@ SELECT instant, round((temp - mean) / std, 6) AS z FROM demand, m""")
 def model_table(spark, d):
     """Fitted state stored, read back and applied."""
     df = demand(spark, d)
-    path = _scratch(spark) + "/scaler"
+    path = shared_folder(spark, "scaler")
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("mean", T.DoubleType()),
                            T.StructField("std", T.DoubleType())])
     sinks.write_metrics(df.agg(F.lit("temp").alias("name"), F.avg("temp").alias("mean"), F.stddev_pop("temp").alias("std")), path)
@@ -94,15 +94,6 @@ def model_table(spark, d):
     return df.select("instant", r6((F.col("temp") - row["mean"]) / row["std"]).alias("z"))
 
 
-def _scratch(spark) -> str:
-    """A fresh output folder: below the shared folder of the cluster, or a local one in a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-        return f"{shared}/hourwise-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="hourwise-out-")
-
-
 # ----------------------------------------------------------------------------- calendar and encoding
 
 _SQL_HR = ", ".join(f"CASE WHEN hr = {h} THEN 1.0::DOUBLE ELSE 0 END AS hr_{h}" for h in range(1, 24))

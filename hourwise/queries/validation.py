@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hourwise.functions import calendar as cal
 from hourwise.functions.target import PowerTarget, linear_score, sigmoid
-from hourwise.operators import labels, metrics, selection, splits
+from hourwise.operators import labels, metrics, scoring, selection, splits
 from hourwise.operators.ranks import hash32
 from hourwise.plans import curvature as cv
 from hourwise.plans import search, solvers
@@ -14,8 +14,8 @@ from hourwise.plans.design import Design
 from hourwise.plans.lab import Lab, split_key, split_sets, stability, three_validators
 from hourwise.plans.spec import ANCHOR, BASE, HOURS, DesignSpec, ladder
 from hourwise.queries.base import EPOCH, FOLDS, SEED, hash_sql, query, rounded
-from hourwise.queries.models import (CANDIDATE_PLAN, ONE_PLAN, ONE_SQL, POWER, SMALL_PLAN, _with_memory, design_rows, fit_objectives, frame, open_lab, result)
-from hourwise.session import kept
+from hourwise.queries.models import (CANDIDATE_PLAN, ONE_PLAN, ONE_SQL, POWER, SMALL_PLAN, design_rows, fit_objectives, frame, open_lab, result)
+from hourwise.session import kept, shared_folder
 
 DRAWS = 1000
 _THREE = ("name string, p int, train_r2 double, train_rmse double, r2 double, rmse double, day_r2 double, day_sd double, "
@@ -265,7 +265,7 @@ def method_comparison(spark, d):
 @query("E16_cost_shift")
 def cost_shift(spark, d):
     """How much of the upward shift comes from fitting counts, and how much from the asymmetric cost."""
-    with kept(_with_memory(frame(spark, d).drop("ws_lag1", "wet3"))) as df:
+    with kept(frame(spark, d).drop("ws_lag1", "wet3")) as df:
         fit = df.where("val = 0")
         m = Design(SMALL_PLAN, EPOCH).fit(fit)
         top = float(fit.agg(F.max("cnt")).first()[0])
@@ -483,6 +483,25 @@ def column_selection(spark, d):
         lab.close()
 
 
+@query("R1_stored_plan_scoring")
+def stored_plan_scoring(spark, d):
+    """A plan with memory columns fitted on the training side, stored, read back, and applied to the held-out rows in one select."""
+    df, path = frame(spark, d), shared_folder(spark, "model")
+    with open_lab(spark, d, [MEMORY_PLAN]) as lab:
+        stored_model(spark, lab, path)
+    return scoring.score_stored(df.where("val = 1"), path).select("instant", F.round("pred", 2).alias("pred"))
+
+
+MEMORY_PLAN = ANCHOR.with_blocks("ws_memory")
+
+
+def stored_model(spark, lab, path):
+    m = lab.penalised("m", MEMORY_PLAN, "train", POWER, [0.001], 0.0)[0]
+    lab.learn_factors([m])
+    scoring.store_model(spark, path, m.design, dict(zip(m.names[1:], m.weights[1:])), m.weights[0], m.target, m.factor, m.cap)
+    return m
+
+
 @query("R2_refit_on_all_rows_anchor")
 def refit_on_all_rows(spark, d):
     """Same penalty and scaler, weights from training rows and from all labelled rows, and how far their scores are apart."""

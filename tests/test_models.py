@@ -282,3 +282,16 @@ def test_event_types_get_keys_of_their_own(spark, tmp_path):
                           "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     keys = [r["instant"] for r in rolled_demand(spark, str(tmp_path)).collect()]
     assert len(set(keys)) == 12 and len({k // 100 for k in keys}) == 1
+
+
+def test_stored_plan_scores_as_the_lab_predicts(spark, table, lab, tmp_path):
+    from hourwise.operators import scoring
+    df, pdf = table
+    m = lab.penalised("stored", PLAN, "train", 0.1, [0.001], 0.0)[0]
+    lab.learn_factors([m])
+    scoring.store_model(spark, f"{tmp_path}/m", m.design, dict(zip(m.names[1:], m.weights[1:])), m.weights[0], m.target, m.factor, m.cap)
+    want = lab.predict({k: m for k in lab.sets["val"]}).toPandas().set_index("id").pred
+    got = scoring.score_stored(df.where("val = 1"), f"{tmp_path}/m").toPandas().set_index("instant").pred
+    assert len(got) == len(want) and np.allclose(got, want[got.index], rtol=1e-7)
+    with pytest.raises(Exception):                       # a plan with memory columns fails where they are missing
+        scoring.score_stored(df.drop("ws_lag1"), f"{tmp_path}/m").collect()
