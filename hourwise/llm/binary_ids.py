@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 
 from hourwise.llm.common import slices, texts_of
 from hourwise.llm.library_codes import pieces_for
+from hourwise.session import cut_lineage
 
 MAGIC, WIDTH, BLOCK = b"DAC1", 8, 512
 NO_ID = -2 ** 63
-IMAGE_IDS = 2_000_000          # an image is closed when it holds so many ids
+IMAGE_IDS = 1_000_000          # an image is closed when it holds so many ids
+MOST_WORDS = 600_000           # words whose ids a worker remembers
+SMALL_STARTS = 200_000         # images up to which their starts are sent to all executors
 SHARD_SCHEMA = "part int, piece int, n_docs bigint, n_ids bigint, image binary"
 
 
@@ -112,8 +115,8 @@ class Shard:
 def text_ids(texts: list[str], tokenizer: str, end: int) -> list[bytes]:
     """The library's ids of each text and the end id, as little-endian u32. The vocabulary drops white space, so its
     pre-tokens never cross ASCII white space and each run between is encoded once."""
-    codes = pieces_for(tokenizer, "ids", lambda ids: np.array(ids, "<u4").tobytes(), fold=True)
-    cut = [[w.decode() for w in t.encode().split()] for t in texts]
+    codes = pieces_for(tokenizer, "ids", lambda ids: np.array(ids, "<u4").tobytes(), fold=True, most=MOST_WORDS)
+    cut = [t.encode().split() for t in texts]
     codes.learn(cut, [])
     last, of = np.array([end], "<u4").tobytes(), codes.plain.__getitem__
     return [b"".join(map(of, words)) + last for words in cut]
@@ -159,7 +162,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     # images of one part are few; the totals of parts are one row per range partition
     base = (stored.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("part_start", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "part_start"))
     inside = stored.select("part", "piece", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("piece")) - F.col("n_ids")).alias("before"))
-    starts = inside.join(base, "part").select("part", "piece", (F.col("part_start") + F.col("before")).alias("first"))
+    starts = cut_lineage(inside.join(base, "part").select("part", "piece", (F.col("part_start") + F.col("before")).alias("first")))
+    if starts.count() <= SMALL_STARTS:
+        starts = F.broadcast(starts)                   # three numbers an image; the images stay where they are read
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])

@@ -59,30 +59,31 @@ class Pieces:
         self.letters = byte_letters()
         self.plain, self.spaced = {}, {}
 
-    def learn(self, plain: list[list[str]], spaced: list[list[str]]) -> None:
-        """Encode what is not known of these pieces; afterwards all of them are known."""
+    def learn(self, plain: list[list], spaced: list[list]) -> None:
+        """Pieces are texts, or texts in UTF-8. Encode what is not known of these pieces; afterwards all of them are known."""
         for known, lists, lead in ((self.plain, plain, ""), (self.spaced, spaced, " ")):
             if len(known) > self.most:
                 known.clear()
             new = {p for pieces in lists for p in pieces if p not in known}
             merges, other, whole = self.tok.model.tokenize, [], LETTERS.fullmatch
-            for piece in new:
+            for key in new:
+                piece = key if isinstance(key, str) else key.decode()
                 if m := whole(piece):
                     word = lead + (m[1].lower() if self.fold else m[1])
                     written = word.encode().decode("latin-1").translate(self.letters)
                     ids = [t.id for t in merges(written)]
                     if m[2]:
                         ids += [t.id for t in merges(m[2])]
-                    known[piece] = self.of(ids)
+                    known[key] = self.of(ids)
                 elif MARK in piece:
-                    known[piece] = self.of(self.tok.encode(lead + piece, add_special_tokens=False).ids)
+                    known[key] = self.of(self.tok.encode(lead + piece, add_special_tokens=False).ids)
                 else:
-                    other.append(piece)
+                    other.append((key, piece))
             for at in range(0, len(other), 1024):
                 self._whole(known, other[at:at + 1024], lead)
 
-    def _whole(self, known: dict, pieces: list[str], lead: str) -> None:
-        ids = self.tok.encode_batch_fast([MARK.join([lead + p for p in pieces])], add_special_tokens=False)[0].ids
+    def _whole(self, known: dict, pieces: list[tuple], lead: str) -> None:
+        ids = self.tok.encode_batch_fast([MARK.join([lead + p for _, p in pieces])], add_special_tokens=False)[0].ids
         part, each = [], []
         for i in ids:
             if i == self.mark:
@@ -91,15 +92,15 @@ class Pieces:
             else:
                 part.append(i)
         each.append(part)
-        for piece, part in zip(pieces, each, strict=True):
-            known[piece] = self.of(part)
+        for (key, _), part in zip(pieces, each, strict=True):
+            known[key] = self.of(part)
 
 
 _LOADED: dict = {}
 
 
-def pieces_for(name: str, kind: str, of, fold: bool = False) -> Pieces:
+def pieces_for(name: str, kind: str, of, fold: bool = False, most: int = MOST_PIECES) -> Pieces:
     """The worker's own memory for a tokenizer file, kept from task to task. `fold`: the vocabulary lower-cases."""
     if (name, kind) not in _LOADED:
-        _LOADED[name, kind] = Pieces(load(name), of, fold=fold)
+        _LOADED[name, kind] = Pieces(load(name), of, most, fold)
     return _LOADED[name, kind]

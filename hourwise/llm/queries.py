@@ -47,7 +47,33 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.dedup(docs, F.col("doc_id") < middle)
 
 
-@query("op3_repetition")
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+
+def _repetition_sql() -> str:
+    """The measures from all windows written out as texts."""
+    lengths = (3, *repetition.LIMITS)
+    parts = [f"""w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+l0 AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS j FROM w),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY j) AS k, list_sum(list_transform({_WORDS.format('line')}, lambda q: length(q))) AS c FROM l0 WHERE len({_WORDS.format('line')}) > 0),
+ls AS (SELECT doc_id, count(*) FILTER (k > 1) AS n_dup_lines, sum(c) FILTER (k > 1) AS line_chars FROM l GROUP BY doc_id)"""]
+    for k in lengths:
+        parts += [f"g{k} AS (SELECT doc_id, unnest(range(len(ws) - {k - 1})) AS i, unnest(list_transform(range(1, len(ws) - {k - 2}), lambda p: array_to_string(ws[p:p + {k - 1}], ' '))) AS g FROM w WHERE len(ws) >= {k})",
+                  f"r{k} AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g{k}) WHERE c > 1)",
+                  f"i{k} AS (SELECT DISTINCT doc_id, unnest(range(i, i + {k})) AS i FROM r{k})",
+                  f"s{k} AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS c FROM i{k} JOIN x USING (doc_id, i) GROUP BY doc_id)"]
+    joins = " ".join(f"LEFT JOIN s{k} ON s{k}.doc_id = w.doc_id" for k in lengths)
+    shares = {f"gram{k}_share": f"coalesce(s{k}.c, 0) / greatest(word_chars, 1)" for k in repetition.LIMITS} | {"line_share": "coalesce(line_chars, 0) / greatest(word_chars, 1)"}
+    low = " AND ".join(f"{n} <= {m}" for n, m in zip(shares, (*repetition.LIMITS.values(), repetition.LINE_LIMIT)))
+    return f"""WITH {', '.join(parts)}, c AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda q: length(q))), 0) AS word_chars,
+len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols FROM w),
+a AS (SELECT w.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+CAST(coalesce(s3.n, 0) AS BIGINT) AS n_repeat_words, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in shares.items())} FROM w JOIN c ON c.doc_id = w.doc_id LEFT JOIN ls ON ls.doc_id = w.doc_id {joins}),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a) SELECT *, NOT base_failed AND {low} AS kept FROM b"""
+
+
+@query("op3_repetition", _repetition_sql())
 def op3_repetition(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition rules over every document."""
     return repetition.judge(documents(spark, folder))
@@ -59,7 +85,25 @@ def op4_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return trie_bpe.code_digests(documents(spark, folder))
 
 
-@query("op5_source_mix")
+_MIX_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS k, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size,
+  CAST(('0x' || substr(md5('20_' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) AS u FROM documents),
+e AS (SELECT *, CASE WHEN size <= 0 THEN -1 ELSE 4 * (length(bin(size)) - 1) + CAST(floor(size * 4 / pow(2.0::DOUBLE, length(bin(size)) - 1)) AS INTEGER) - 4 END AS c FROM d),
+g AS (SELECT k, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY k),
+h AS (SELECT *, CASE (row_number() OVER (ORDER BY k = '', k) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM g),
+r AS (SELECT *, sum(s) OVER () AS all_s, sum(w) OVER () - sum(w) OVER o + w AS w_from, 2.0::DOUBLE * (sum(s) OVER o - s) AS before FROM h WINDOW o AS (ORDER BY s / w, k)),
+v AS (SELECT *, (1.5::DOUBLE * all_s - before) / w_from AS level FROM r),
+t0 AS (SELECT *, max(CASE WHEN w * level < 2.0::DOUBLE * s THEN level END) OVER () AS m FROM v),
+t AS (SELECT k, s, CASE WHEN w * level >= 2.0::DOUBLE * s THEN 2.0::DOUBLE * s ELSE w * m END AS target, CASE WHEN w * level >= 2.0::DOUBLE * s OR s = 0 THEN 2.0::DOUBLE ELSE w * m / s END AS rate FROM t0),
+q AS (SELECT k, c, count(*) AS n, CAST(sum(size) AS DOUBLE) AS words, row_number() OVER (PARTITION BY k ORDER BY c DESC) AS i FROM e GROUP BY k, c),
+z AS (SELECT k, c, n, words, i, rate - floor(rate) AS f FROM q JOIN t USING (k)),
+a AS (SELECT k, 0::BIGINT AS i, -9 AS c, 0.0::DOUBLE AS carry, 0.0::DOUBLE AS draws FROM t UNION ALL
+  SELECT z.k, z.i, z.c, CASE WHEN words = 0 THEN words * f + carry ELSE words * f + carry - greatest(0.0::DOUBLE, least(n::DOUBLE, floor((words * f + carry) / (words / n) + 0.5::DOUBLE))) * (words / n) END,
+  CASE WHEN words = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(n::DOUBLE, floor((words * f + carry) / (words / n) + 0.5::DOUBLE))) END FROM a JOIN z ON z.k = a.k AND z.i = a.i + 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY k, c ORDER BY u, doc_id) AS place FROM e)
+SELECT doc_id, size, s AS source_size, target, CAST((floor(rate) + CASE WHEN place <= draws THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM p JOIN t USING (k) JOIN a ON a.k = p.k AND a.c = p.c"""
+
+
+@query("op5_source_mix", _MIX_SQL)
 def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The mix of all documents."""
     mixed = mixing.mix(documents(spark, folder), keep=["doc_id"])

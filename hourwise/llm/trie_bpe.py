@@ -28,7 +28,8 @@ from hourwise.llm.library_codes import MARK, SPACE, byte_letters, byte_pieces
 # The split pattern of the byte-level vocabulary, with its white space spelled out.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 OLD = regex.compile("[\\x00-\u02ff\u2010-\u2027]+")          # classed alike in all editions of Unicode
-MOST_WORDS = 700_000
+LETTERS = regex.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
+MOST_WORDS = 1_200_000
 MOST_PAIRS = 500_000
 BATCH = 1024
 
@@ -131,6 +132,8 @@ class TextCoder:
 
     def words(self, piece: str) -> list[str]:
         """The pre-tokens of a piece. Letters that younger editions of Unicode class differently are left to the library."""
+        if m := LETTERS.fullmatch(piece):
+            return [x for x in m.groups() if x]
         if OLD.fullmatch(piece):
             return SPLIT.findall(piece)
         return [piece[a:b] for _, (a, b) in self.split(piece)]
