@@ -12,10 +12,10 @@ class of N documents that takes n, a document with random number u ranks by
 and the n smallest ranks are taken. u comes from a hash of (seed, doc_id), so reruns agree on any partitioning.
 
 No class is ever ordered as a whole: documents are counted per narrow bucket of u, the bucket in which the sample ends is found
-from the counts, and only its few documents are ordered.
+from the counts, and only its few documents are ordered; ranks grow with u inside a class, so the last u taken is the cut.
 
 Defined results: a null text has size 0; documents of size 0 take no words; null sources are one source, the last; rows that
-repeat a doc_id are separate documents; an empty table gives an empty table; a null doc_id hashes like the empty text."""
+repeat a doc_id are separate documents with one random number, taken together where they meet the cut; an empty table gives an empty table; a null doc_id hashes like the empty text."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,11 +44,11 @@ def random_number(seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
 
 
-def _marked(docs: DataFrame, buckets: int, seed: int, text: str, source: str) -> DataFrame:
-    """Adds what the plan needs; names start with two underscores."""
+def _marked(docs: DataFrame, seed: int, text: str, source: str) -> DataFrame:
+    """Adds what the plan needs; names start with two underscores. Nothing added is ever null."""
     return (docs.withColumn("__size", word_count(F.col(text)))
-            .withColumns({"__key": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")), "__class": size_class(F.col("__size")), "__u": random_number(seed)})
-            .withColumn("__bucket", F.floor(F.col("__u") / (SPAN / buckets)).cast("bigint")))
+            .withColumns({"__key": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")), "__class": F.coalesce(size_class(F.col("__size")), F.lit(-1)),
+                          "__u": F.coalesce(random_number(seed), F.lit(0))}))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], total: float, most: float) -> DataFrame:
@@ -86,34 +86,39 @@ def _draws(strata: DataFrame) -> DataFrame:
             .select("__key", "source_size", "target", F.floor("rate").alias("certain"), F.inline("done")))
 
 
-def sampling_plan(docs: DataFrame, buckets: int, seed: int, weights: tuple[float, ...], total: float, most: float, text: str, source: str) -> DataFrame:
-    """One row per source and class: source_size, target, certain copies, and where the sample ends (`cut`, `left`)."""
-    counts = cut_lineage(_marked(docs, buckets, seed, text, source).groupBy("__key", "__class", "__bucket").agg(F.count("*").alias("c"), F.sum("__size").alias("words")))
+def sampling_plan(light: DataFrame, weights: tuple[float, ...], total: float, most: float) -> DataFrame:
+    """One row per source and class: source_size, target, certain copies, and `cut`, the last (random number, doc_id) taken.
+
+    `light` holds doc_id and the marks of every document."""
+    buckets = max(16, light.count() // BUCKET_DOCS)
+    light = light.withColumn("__bucket", F.floor(F.col("__u") / (SPAN / buckets)).cast("bigint"))
+    counts = cut_lineage(light.groupBy("__key", "__class", "__bucket").agg(F.count("*").alias("c"), F.sum("__size").alias("words")))
     strata = counts.groupBy("__key", "__class").agg(F.sum("c").alias("n"), F.sum("words").alias("words"))
     targets = source_targets(strata.groupBy("__key").agg(F.sum("words").alias("source_size")), weights, total, most)
     plan = cut_lineage(_draws(strata.join(targets, "__key")))
     upto = F.sum("c").over(Window.partitionBy("__key", "__class").orderBy("__bucket"))
-    ends = (counts.join(plan.select("__key", "__class", "draws"), ["__key", "__class"]).withColumn("upto", upto)
-            .where("upto >= draws and upto - c < draws").select("__key", "__class", F.col("__bucket").alias("cut"), (F.col("draws") - F.col("upto") + F.col("c")).alias("left")))
-    return cut_lineage(plan.join(ends, ["__key", "__class"], "left"))
+    ends = (counts.join(plan.select("__key", "__class", "n", "draws"), ["__key", "__class"]).withColumn("upto", upto)
+            .where("upto >= draws and upto - c < draws").select("__key", "__class", "__bucket", "n", "draws", (F.col("draws") - F.col("upto") + F.col("c")).alias("left")))
+    # only the few documents of the bucket in which the sample of a class ends are ordered
+    p, u = F.col("draws") / F.col("n"), (F.col("__u") + 0.5) / SPAN
+    rank = u / (1 - u) * F.try_divide(1 - p, p)        # random odds by inclusion odds
+    place = F.row_number().over(Window.partitionBy("__key", "__class").orderBy(rank, "__u", "doc_id"))
+    cuts = (light.join(ends, ["__key", "__class", "__bucket"]).withColumn("place", place).where("place <= left")
+            .groupBy("__key", "__class").agg(F.max(F.struct("__u", "doc_id")).alias("cut")))
+    return cut_lineage(plan.join(cuts, ["__key", "__class"], "left"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: int = 20, text: str = "text",
         source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """`keep` (all columns by default), `__size`, `__source_size`, `__target` and `__copies`, how often the mix takes the document."""
     keep = docs.columns if keep is None else keep
-    buckets = max(16, docs.count() // BUCKET_DOCS)
-    plan = sampling_plan(docs, buckets, seed, weights, total, most, text, source)
-    plan = plan.select("__key", "__class", *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "certain", "n", "draws", "cut", "left")])
+    marks = ["__key", "__class", "__u", "__size"]
+    marked = _marked(docs, seed, text, source)
+    light = cut_lineage(marked.select(*dict.fromkeys(["doc_id", *(c for c in keep if c != text)]), *marks) if text not in keep else marked.select("doc_id", *marks))
+    plan = sampling_plan(light.select("doc_id", *marks), weights, total, most)
+    plan = plan.select("__key", "__class", *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "certain", "cut")])
     if plan.count() <= SMALL_PLAN:
         plan = F.broadcast(plan)
-    rows = _marked(docs, buckets, seed, text, source).join(plan, ["__key", "__class"])
-    p = F.col("__draws") / F.col("__n")
-    u = (F.col("__u") + 0.5) / SPAN
-    rank = u / (1 - u) * F.try_divide(1 - p, p)        # random odds by inclusion odds; p is above 0 where a sample ends
-    out = [*[F.col(f"`{c}`") for c in keep], "__size", "__source_size", "__target"]
-    clear = rows.where("__cut is null or __bucket <> __cut").select(*out, (F.col("__certain") + F.coalesce(F.col("__bucket") < F.col("__cut"), F.lit(False)).cast("int")).alias("__copies"))
-    # the few documents of the bucket in which the sample of a class ends
-    order = Window.partitionBy("__key", "__class").orderBy(rank, "__u", "doc_id")
-    edge = rows.where("__bucket = __cut").withColumn("__place", F.row_number().over(order)).select(*out, (F.col("__certain") + (F.col("__place") <= F.col("__left")).cast("int")).alias("__copies"))
-    return clear.union(edge)
+    rows = (light if text not in keep else marked).join(plan, ["__key", "__class"])
+    taken = F.coalesce(F.struct("__u", "doc_id") <= F.col("__cut"), F.lit(False))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], "__size", "__source_size", "__target", (F.col("__certain") + taken.cast("int")).alias("__copies"))
