@@ -1,9 +1,11 @@
 """Small helpers of the text operators."""
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,12 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], schema: pa.Schema, **co
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def give_back() -> None:
+    """Hand freed memory of this worker back to the system: workers live on, and the next stage needs it."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tokenizer_path(name: str) -> str:
     """A file of the public tokenizers by name, or any path."""
     if os.sep in name:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourwise.llm.common import slices, texts_of
+from hourwise.llm.common import give_back, slices, texts_of
 from hourwise.llm.components import components
 from hourwise.session import cut_lineage
 
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+        give_back()
     return source.mapInArrow(run, "doc_id bigint, fp bigint")
 
 

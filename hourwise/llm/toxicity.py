@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructType
 
-from hourwise.llm.common import slices, texts_of, with_columns
+from hourwise.llm.common import give_back, slices, texts_of, with_columns
 
 BITS = 20
 PLACES = 1 << BITS
 BIAS = PLACES
 TOKEN = re.compile(r"\w+")
-MOST_KNOWN = 400_000
+MOST_KNOWN = 200_000
 
 
 class Hashes(dict):
@@ -92,7 +92,7 @@ def sampled_labels(labels: DataFrame, label: str, train: Column, most_rows: int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None, most_rows: int = 24_000,
-        shard_rows: int = 12_000, passes: int = 6, alpha: float = 4.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        shard_rows: int = 8_000, passes: int = 6, alpha: float = 4.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(places, weights); place `BIAS` is the bias. `train`: condition on doc_id for rows that may be learned from."""
     chosen = sampled_labels(labels, label, F.lit(True) if train is None else train, most_rows)
     shards = max(1, -(-chosen.count() // shard_rows))
@@ -105,8 +105,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column
         text, y, found = part["text"].tolist(), part["y"].to_numpy(float), []
         for k in order:
             _, x = grams([text[k] or ""])
-            found.append((np.append(np.unique(x), BIAS), y[k]))
+            found.append((np.append(np.unique(x), BIAS).astype(np.int32), y[k]))
         at, w = ftrl(found, passes, alpha, beta, l1, l2)
+        del found, text, part
+        give_back()
         return pd.DataFrame({"place": at, "w": w})
     model = (rows.groupBy("shard").applyInPandas(examples, "place bigint, w double").groupBy("place").agg(F.sum("w").alias("w"), F.count("*").alias("c")))
     used = rows.select("shard").distinct().count()
@@ -134,4 +136,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str
             once = np.unique(row[hit] * (PLACES + 1) + place[hit])
             total = weight[BIAS] + np.bincount(once // (PLACES + 1), weight[once % (PLACES + 1)], batch.num_rows)
             yield with_columns(batch, keep, arrow, **{name: 1.0 / (1.0 + np.exp(-np.clip(total.astype(float), -35, 35)))})
+        give_back()
     return source.mapInArrow(run, schema)

@@ -22,15 +22,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 from tokenizers.pre_tokenizers import ByteLevel
 
-from hourwise.llm.common import slices, texts_of, tokenizer_path, with_columns
+from hourwise.llm.common import give_back, slices, texts_of, tokenizer_path, with_columns
 from hourwise.llm.library_codes import MARK, SPACE, byte_letters, byte_pieces
 
 # The split pattern of the byte-level vocabulary, with its white space spelled out.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 OLD = regex.compile("[\\x00-\u02ff\u2010-\u2027]+")          # classed alike in all editions of Unicode
 LETTERS = regex.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
-MOST_WORDS = 1_200_000
-MOST_PAIRS = 500_000
+MOST_WORDS = 600_000
+MOST_PAIRS = 300_000
 BATCH = 1024
 
 
@@ -195,6 +195,7 @@ def encode_texts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
             if decode:
                 columns["decoded"] = [coder.decode(x) for x in coded]
             yield with_columns(batch, keep, arrow, **columns)
+        give_back()
     return source.mapInArrow(run, schema)
 
 
@@ -214,4 +215,5 @@ def code_digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
             yield with_columns(batch, keep, arrow, n_tokens=[x.count(",") + 1 if x else 0 for x in coded],
                                ids_sha256=[hashlib.sha256(x.encode()).hexdigest() for x in coded],
                                decoded_sha256=[hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in coded])
+        give_back()
     return source.mapInArrow(run, schema)
