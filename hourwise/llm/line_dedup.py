@@ -1,16 +1,17 @@
-"""Line dedup by winnowing, with DataFrame functions only.
+"""Line dedup over runs of lines, with DataFrame functions only.
 
-The lines of a document that hold a word are numbered. A gram is the shortest run of lines from a line on that has at least
-`gram_words` words; a window is the shortest such run with at least `run_words` words. Of the grams that lie in a window the one
-with the smallest hash is selected. A window's choice depends on its lines alone, so every run of at least `run_words` words that
-stands in two places has a selected gram in common, at the same spot: the guarantee. Runs below `gram_words` never match.
+The lines of a document that hold a word are numbered. Of every run of lines of at least `run_words` words that stands in two
+places, all lines of every place but the first (by doc_id, then text, then position) go; shorter runs never match. `dedup_runs`
+does this: a window is the shortest run from a line on, or up to a line, with at least `run_words` words. Which runs are windows
+depends on their lines alone, and every line of a repeated run lies in a window inside that run, so it is enough to look up each
+window by its hash. The first holder of a window is a pre-aggregated minimum joined to the later ones, one row per key, so that
+a passage that a third of all documents share costs no pairs. A deleted line stands earlier too, and its first place stays.
 
-Selected grams carry their position and the hashes of the lines around. Grams that occur once go; of the others the first
-holder (by doc_id, then text, then position) is found by a pre-aggregated minimum and joined to the later ones, one row per
-key, so that a passage that a third of all documents share costs no pairs. Each later gram is extended to both sides as far as
-its lines equal those around the first one. Lines beyond the reach of the carried context are reached by the next
-selected gram, for at most `run_words` words lie between two of them. The lines of the matched runs are deleted; the first
-holder's stay, or were deleted for standing earlier still.
+`dedup_lines` is the older, winnowed form; no query uses it. A gram is the shortest run of lines from a line on that has at
+least `gram_words` words; of the grams that lie in a window the one with the smallest hash is selected, the first holder of each
+selected gram is joined to the later ones, and these are extended to both sides as far as their lines equal those around the
+first one. It deletes lines of every later copy of a run, but not always all of them: where the first holder shares only a
+piece of the run, the rest stays; and runs below `run_words` go or stay as their grams happen to be selected.
 
 Lines are equal when equal after trimming spaces, tabs and carriage returns; their 64-bit hashes stand for them. Defined
 results: null texts stay null, empty ones empty; lines without a word stay; of rows that repeat doc_id and text all get
@@ -82,9 +83,42 @@ def place_columns() -> list[Column]:
     return [F.col("__id"), F.col("__th"), F.col("n")]
 
 
+def windows(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """(__id, __th, a, b, h, g): the windows a..b of `lines`, each once; h is the hash of the first line, g that of all lines."""
+    doc = Window.partitionBy(*DOC).orderBy("n")
+    lines = lines.withColumn("c", F.sum("w").over(doc)).withColumn("o", F.col("c") - F.col("w"))
+    ahead = Window.partitionBy(*DOC).orderBy("o").rangeBetween(0, run_words - 1)
+    back = Window.partitionBy(*DOC).orderBy("c").rangeBetween(1 - run_words, 0)
+    found = lines.select(*DOC, "n", "w", F.collect_list("h").over(ahead).alias("ahead"), F.sum("w").over(ahead).alias("ahead_w"),
+                         F.collect_list("h").over(back).alias("back"), F.sum("w").over(back).alias("back_w"))
+    # a run up to line n that is also the shortest from its first line on is there already
+    spans = F.array(F.when(F.col("ahead_w") >= run_words, F.struct(F.col("n").alias("a"), (F.col("n") + F.size("ahead") - 1).alias("b"), F.col("ahead")[0].alias("h"), F.xxhash64("ahead").alias("g"))),
+                    F.when(F.col("back_w") - F.col("w") >= run_words, F.struct((F.col("n") - F.size("back") + 1).alias("a"), F.col("n").alias("b"), F.col("back")[0].alias("h"), F.xxhash64("back").alias("g"))))
+    return found.select(*DOC, F.inline(F.filter(spans, lambda x: x.isNotNull())))
+
+
+def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """(__id, __th, gone): the sorted numbers of the lines that stand in later copies of runs of `run_words` words or more."""
+    spans = windows(numbered_lines(docs), run_words)
+    first = (spans.groupBy("g", "h").agg(F.min(F.struct("__id", "__th", "a")).alias("f_place"), F.count("*").alias("times"))
+             .where("times > 1").drop("times"))
+    later = spans.join(first, ["g", "h"]).where(F.col("f_place") < F.struct("__id", "__th", "a"))
+    numbers = F.flatten(F.transform(F.collect_list(F.struct("a", "b")), lambda x: F.sequence(x["a"], x["b"])))
+    return later.groupBy(*DOC).agg(F.sort_array(F.array_distinct(numbers)).alias("gone"))
+
+
+def dedup_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """The documents without the later copies of runs in `text`, and `__lines`, `__gone` (numbers of deleted lines with words)."""
+    return _without(docs, repeated_runs(docs, run_words))
+
+
 def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """The documents with repeated lines taken out of `text`, and `__lines`, `__gone` (numbers of deleted lines with words)."""
-    gone = repeated_lines(docs, gram_words, run_words).select(F.col("__id").alias("__g_id"), F.col("__th").alias("__g_th"), F.col("gone").alias("__g_gone"))
+    """Like dedup_runs, by the winnowed form."""
+    return _without(docs, repeated_lines(docs, gram_words, run_words))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = gone.select(F.col("__id").alias("__g_id"), F.col("__th").alias("__g_th"), F.col("gone").alias("__g_gone"))
     marked = docs.withColumn("__th", F.xxhash64("text"))
     joined = marked.join(gone, (F.col("__th") == F.col("__g_th")) & F.col("doc_id").eqNullSafe(F.col("__g_id")), "left")
     lines = _lines(F.col("text"))
@@ -101,4 +135,4 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int =
     return work.select(*plain, F.coalesce(F.size("__full"), F.lit(0)).alias("__lines"), F.coalesce("__g_gone", F.array().cast("array<int>")).alias("__gone"))
 
 
-__all__ = ["dedup_lines", "repeated_lines", "selected_grams", "numbered_lines", "equal_ahead"]
+__all__ = ["dedup_runs", "repeated_runs", "windows", "dedup_lines", "repeated_lines", "selected_grams", "numbered_lines", "equal_ahead"]

@@ -128,7 +128,7 @@ def op7_binary_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines with words, deleted lines and the digest of what is left of every document."""
-    done = line_dedup.dedup_lines(documents(spark, folder).select("doc_id", "text"))
+    done = line_dedup.dedup_runs(documents(spark, folder).select("doc_id", "text"))
     return done.select("doc_id", F.col("__lines").cast("bigint").alias("n_lines"), F.size("__gone").cast("bigint").alias("n_deleted"), F.col("__gone").alias("deleted"),
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 

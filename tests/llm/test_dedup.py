@@ -245,3 +245,58 @@ def test_line_dedup_edges(spark):
     assert done.count() == docs.count() and done.columns == [*docs.columns, "__lines", "__gone"]
     assert line_dedup.dedup_lines(documents_of(spark, [])).count() == 0
     assert not any("Python" in line or "Arrow" in line for line in done._jdf.queryExecution().executedPlan().toString().split("\n"))
+
+
+def brute_runs(state, t=50):
+    """Every run of t words or more at every place, its later copies line by line."""
+    gone, first = defaultdict(set), {}
+    for place, lines in sorted(state.items()):
+        for a in range(len(lines)):
+            words = 0
+            for b in range(a, len(lines)):
+                words += lines[b][1]
+                if words >= t:
+                    run = tuple(x[0] for x in lines[a:b + 1])
+                    if first.setdefault(run, (place, a)) != (place, a):
+                        gone[place] |= set(range(a, b + 1))
+                if words >= 3 * t + 90:             # longer runs are unions of these
+                    break
+    return gone
+
+
+def test_every_line_of_every_later_copy_of_a_run_goes(spark):
+    docs, _ = made_documents()
+    _, state = brute_gone(docs)
+    want = brute_runs(state)
+    got = {r["doc_id"]: r["__gone"] for r in line_dedup.dedup_runs(documents_of(spark, [(d, t, "en", "s", len(t)) for d, t in docs])).collect()}
+    assert sum(map(len, want.values())) > 100
+    assert got == {place[0]: sorted(want.get(place, [])) for place in state}
+
+
+def test_full_copies_go_whole_after_an_earlier_piece(spark):
+    """An earlier document holds one line of 25 words of a passage of 55 to 150: the second full copy goes as a whole. Many
+    passages are tried, so that the shared line often holds the selected gram."""
+    rows, held = [], []
+    for k in range(60):
+        sizes, piece = [((25, 30), 0), ((25, 25, 25), 1), ((25,) * 6, 3)][k % 3]
+        passage = [" ".join(f"w{k}x{i}x{j}" for j in range(n)) for i, n in enumerate(sizes)]
+        own = [" ".join(f"own{k}y{i}y{j}" for j in range(30)) for i in range(2)]
+        rows += [(3 * k, "\n".join([own[0], passage[piece], own[1]])), (3 * k + 1, f"first {k}\n" + "\n".join(passage)), (3 * k + 2, f"second {k}\n" + "\n".join(passage) + f"\nend {k}")]
+        held.append(len(sizes))
+    docs = documents_of(spark, [(d, t, "en", "s", len(t)) for d, t in rows])
+    got = {r["doc_id"]: r["__gone"] for r in line_dedup.dedup_runs(docs).collect()}
+    for k, n in enumerate(held):
+        assert (got[3 * k], got[3 * k + 1], got[3 * k + 2]) == ([], [], list(range(1, n + 1)))
+    winnowed = {r["doc_id"]: r["__gone"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert any(winnowed[3 * k + 2] != got[3 * k + 2] for k in range(60))             # what the queries did before
+
+
+def test_runs_edges(spark):
+    docs = edge_documents(spark)
+    done = line_dedup.dedup_runs(docs)
+    assert done.count() == docs.count() and done.columns == [*docs.columns, "__lines", "__gone"]
+    assert line_dedup.dedup_runs(documents_of(spark, [])).count() == 0
+    assert not any("Python" in line or "Arrow" in line for line in done._jdf.queryExecution().executedPlan().toString().split("\n"))
+    text = "\n".join(f"line {k} of a text that two rows hold" for k in range(9))
+    got = line_dedup.dedup_runs(documents_of(spark, [(None, text, "en", "s", 1), (4, text, "en", "s", 1), (4, text, "en", "s", 1), (4, None, "en", "s", 0)])).collect()
+    assert sorted((r["doc_id"] is None, len(r["__gone"])) for r in got) == [(False, 0), (False, 9), (False, 9), (True, 0)]
