@@ -300,3 +300,17 @@ def test_runs_edges(spark):
     text = "\n".join(f"line {k} of a text that two rows hold" for k in range(9))
     got = line_dedup.dedup_runs(documents_of(spark, [(None, text, "en", "s", 1), (4, text, "en", "s", 1), (4, text, "en", "s", 1), (4, None, "en", "s", 0)])).collect()
     assert sorted((r["doc_id"] is None, len(r["__gone"])) for r in got) == [(False, 0), (False, 9), (False, 9), (True, 0)]
+
+
+def test_shared_runs_below_50_words_stay_everywhere(spark):
+    """One common run of 20 to 49 words in otherwise clean documents of 60 words more: no copy of it goes, one of 50 words does."""
+    rows, expect = [], {}
+    for k, n in enumerate((20, 30, 49, 50)):
+        line = " ".join(f"c{k}x{j}" for j in range(n))
+        for d in range(20):
+            own = [" ".join(f"o{k}y{d}y{i}y{j}" for j in range(30)) for i in range(2)]
+            rows.append((100 * k + d, "\n".join([own[0], line, own[1]])))
+            expect[100 * k + d] = [1] if n == 50 and d else []
+    docs = documents_of(spark, [(d, t, "en", "s", 1) for d, t in rows])
+    assert {r["doc_id"]: r["__gone"] for r in line_dedup.dedup_runs(docs).collect()} == expect
+    assert {r["doc_id"]: r["__gone"] for r in line_dedup.dedup_lines(docs).collect()} != expect         # what the queries did before
