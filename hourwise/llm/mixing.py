@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Pareto order sampling.
+"""Mixing sources to target weights by stratified simple random sampling.
 
 Sources share `total` times all sizes by weight; a target stops at `most` times its source's size and the excess is shared
 again by weight. With r = target / size of the source, every document of it is taken floor(r) times for certain. What is left
@@ -9,7 +9,7 @@ class of N documents that takes n, a document with random number u ranks by
 
     (u / (1 - u)) / (p / (1 - p)),  p = n / N
 
-and the n smallest ranks are taken. u comes from a hash of (seed, doc_id), so reruns agree on any partitioning.
+and the n smallest ranks are taken. p is the same for all of a class, so this is the order of u: a simple random sample. u comes from a hash of (seed, doc_id), so reruns agree on any partitioning.
 
 No class is ever ordered as a whole: documents are counted per narrow bucket of u, the bucket in which the sample ends is found
 from the counts, and only its few documents are ordered; ranks grow with u inside a class, so the last u taken is the cut.
