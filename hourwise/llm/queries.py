@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourwise.llm import binary_ids, exact_dedup, knn_quality, line_dedup, mixing, repetition, simhash, token_counts, toxicity, trie_bpe
+from hourwise.llm import (binary_ids, exact_dedup, importance, knn_quality, line_dedup, mixing, repetition, simhash, suffix_dedup, token_counts, toxicity,
+                          trie_bpe, vector_codes)
 from hourwise.llm.common import documents
 from hourwise.session import shared_folder
 
@@ -146,3 +147,74 @@ def op9_knn_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.token_counts(documents(spark, folder))
+
+
+_SUFFIX_SQL = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, b[p + 1:p + 50] AS s FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 49)) AS p FROM d WHERE octet_length(b) >= 50)),
+f AS (SELECT hash(s) AS h, s, min(doc_id) AS first_doc FROM w GROUP BY s),
+r AS (SELECT w.doc_id, w.p FROM w JOIN f ON hash(w.s) = f.h AND w.s = f.s WHERE w.doc_id > f.first_doc),
+o AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM o),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(z), 0), octet_length(any_value(b)) FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(hex(b[x + 1:y]), '' ORDER BY x) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(h)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+@query("op11_suffix_dedup", _SUFFIX_SQL)
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the strings of 50 bytes that earlier documents hold."""
+    done = suffix_dedup.without_repeats(documents(spark, folder))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """Rounds of assignment and averaging, written out; x holds the vectors by dimension."""
+    near = "row_number() OVER (PARTITION BY vec_id, part ORDER BY sum((x.v - c.v) * (x.v - c.v)), e)"
+    steps = [f"""k AS (SELECT vec_id, label, embedding, len(embedding) AS dims FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda q: q IS NULL OR NOT isfinite(q))) = 0),
+x AS MATERIALIZED (SELECT vec_id, d, d // (dims // {parts}) AS part, CAST(floor({vector_codes.SCALE} * CAST(embedding[d + 1] AS DOUBLE)) AS BIGINT) AS v FROM (SELECT *, unnest(range(dims)) AS d FROM k)),
+c0 AS MATERIALIZED (SELECT e, d, part, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {entries}) USING (vec_id))"""]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, part, e, q FROM (SELECT vec_id, part, e, sum((x.v - c.v) * (x.v - c.v)) AS q, {near} AS place FROM x JOIN c{r} c USING (d, part) GROUP BY vec_id, part, e) WHERE place = 1)")
+        if r < rounds:
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT e, d, part, coalesce(m, v) AS v FROM c{r} LEFT JOIN (SELECT e, d, part, CAST(floor(sum(v) / count(*)) AS BIGINT) AS m FROM a{r} JOIN x USING (vec_id, part) GROUP BY e, d, part) USING (e, d, part))")
+    return f"""WITH {', '.join(steps)},
+s AS (SELECT vec_id, string_agg(lower(lpad(hex(e), 2, '0')), '' ORDER BY part) AS code, CAST(sum(q) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(v, ',' ORDER BY part, e, d)) FROM c{rounds}) AS codebooks_sha256 FROM s JOIN k USING (vec_id)"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors as codes of 16 parts."""
+    coded, books = vector_codes.compress(documents(spark, folder, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def _importance_sql(buckets: int = importance.BUCKETS) -> str:
+    """Features written out as texts; their crc32 byte by byte from a table made by shifts."""
+    crc = "xor(list_reduce(list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+    return rf"""WITH tab AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n) ORDER BY n) AS t FROM range(256) r(n)),
+x AS (SELECT false AS aim, doc_id AS id, text FROM documents UNION ALL SELECT true, item_id, text FROM benchmark),
+w AS (SELECT aim, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM x),
+f AS (SELECT aim, id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM w),
+g AS MATERIALIZED (SELECT aim, id, f, count(*) AS n FROM f GROUP BY ALL),
+b AS MATERIALIZED (SELECT f, CAST({crc} % {buckets} AS BIGINT) AS bucket FROM (SELECT DISTINCT f FROM g), tab),
+c AS (SELECT bucket, sum(n) FILTER (NOT aim) AS s, sum(n) FILTER (aim) AS t FROM g JOIN b USING (f) GROUP BY bucket),
+z AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM c),
+v AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(all_s + {buckets} AS DOUBLE) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(all_t + {buckets} AS DOUBLE)))) AS BIGINT) AS gain FROM c, z),
+m AS (SELECT id AS doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM g JOIN b USING (f) JOIN v USING (bucket) WHERE NOT aim GROUP BY id),
+e AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS noise FROM documents LEFT JOIN m USING (doc_id)),
+p AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_features >= 39 ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 39) AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 39 AND place <= n * 25 // 100 THEN place END AS rank FROM p"""
+
+
+@query("op13_importance", _importance_sql())
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the documents, drawn to look like the benchmark."""
+    return importance.draw(documents(spark, folder), documents(spark, folder, "benchmark").select("text"))
