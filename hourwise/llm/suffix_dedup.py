@@ -38,6 +38,7 @@ WINDOW, GRAM = 50, 8
 PIECE, BATCH, BUCKET = 1 << 21, 1 << 23, 1 << 23          # bytes of text: hashed at once, read before runs are sent, in a bucket
 SAMPLE = 1 << 25                                          # bytes of text sampled for the splitters
 SAMPLED_KEYS, MOST_RANGES, HOT_SLOTS = 200_000, 1 << 14, 1 << 16
+LEVEL = 6                                                 # of compression of what travels
 NO_ID = 2 ** 63 - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,9 +102,8 @@ def runs(parts: Sequence[tuple[int, int, bytes]], shape: Shape, hot: np.ndarray
     room_around = np.concatenate([np.zeros(shape.left, np.uint8), text, np.zeros(shape.window, np.uint8)])
     rows = np.zeros((len(first), shape.width), np.uint8)
     rows[:, :shape.columns] = np.lib.stride_tricks.sliding_window_view(room_around, shape.columns)[anchor]
-    column, begin = np.arange(shape.columns), (shape.left - before)[:, None]
-    rows[:, :shape.columns] *= (column >= begin) & (column < begin + (count + shape.window - 1)[:, None])
     rows[:, shape.columns], rows[:, shape.columns + 1] = before, count
+    rows[:, :shape.columns] *= covered(rows[:, shape.columns:shape.columns + 2], shape)
     numbers, offsets = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
     return numbers[part], first - starts[part] + offsets[part], rows
 
@@ -147,7 +147,6 @@ def joined(keys: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[
 
 class Runs:
     """Runs of documents: doc (rank), th (hash of the text), first place and row, as arrays of one length."""
-    _NUMBERS = ("doc", "th", "first")
 
     def __init__(self, doc, th, first, rows):
         self.doc, self.th, self.first, self.rows = doc, th, first, rows
@@ -155,19 +154,38 @@ class Runs:
     def take(self, at) -> Runs:
         return Runs(self.doc[at], self.th[at], self.first[at], self.rows[at])
 
-    def packed(self) -> bytes:
-        body = b"".join([*(np.ascontiguousarray(getattr(self, n), np.int64).tobytes() for n in self._NUMBERS), self.rows.tobytes()])
-        return zstandard.ZstdCompressor(level=1).compress(body)
+    @classmethod
+    def joined(cls, parts: Sequence[Runs], shape: Shape) -> Runs:
+        empty = cls(*(np.zeros(0, np.int64),) * 3, np.zeros((0, shape.width), np.uint8))
+        return cls(*(np.concatenate([getattr(p, n) for p in (empty, *parts)]) for n in ("doc", "th", "first", "rows")))
+
+    def packed(self, shape: Shape) -> bytes:
+        """Only the bytes that the strings cover travel; the lengths tell where they belong."""
+        ends = self.rows[:, shape.columns:shape.columns + 2]
+        body = [*(x.astype(np.int64).tobytes() for x in (self.doc, self.th, self.first)), ends.tobytes(), self.rows[:, :shape.columns][covered(ends, shape)].tobytes()]
+        return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(body))
 
     @classmethod
-    def unpacked(cls, bodies: Sequence[bytes], counts: Sequence[int], width: int) -> Runs:
-        tool, held = zstandard.ZstdDecompressor(), []
-        for body, n in zip(bodies, counts):
-            body = tool.decompress(body)
-            numbers = [np.frombuffer(body, np.int64, n, 8 * n * k) for k in range(3)]
-            held.append((*numbers, np.frombuffer(body, np.uint8, n * width, 24 * n).reshape(n, width)))
-        empty = (np.zeros(0, np.int64),) * 3 + (np.zeros((0, width), np.uint8),)
-        return cls(*(np.concatenate(x) for x in zip(empty, *held)))
+    def unpacked(cls, body: bytes, n: int, shape: Shape) -> Runs:
+        body = zstandard.ZstdDecompressor().decompress(body)
+        rows = np.zeros((n, shape.width), np.uint8)
+        rows[:, shape.columns:shape.columns + 2] = ends = np.frombuffer(body, np.uint8, 2 * n, 24 * n).reshape(n, 2)
+        rows[:, :shape.columns][covered(ends, shape)] = np.frombuffer(body, np.uint8, offset=26 * n)
+        return cls(*(np.frombuffer(body, np.int64, n, 8 * n * k) for k in range(3)), rows)
+
+
+def covered(ends: np.ndarray, shape: Shape) -> np.ndarray:
+    """Which columns of the rows hold bytes of the text."""
+    column, begin = np.arange(shape.columns), (shape.left - ends[:, 0].astype(np.int64))[:, None]
+    return (column >= begin) & (column < begin + (ends[:, 1].astype(np.int64) + shape.window - 1)[:, None])
+
+
+def packed_spans(doc, th, start, end) -> bytes:
+    return zstandard.ZstdCompressor().compress(np.stack([doc, th, start, end]).astype(np.int64).tobytes())
+
+
+def unpacked_spans(body: bytes) -> list[np.ndarray]:
+    return list(np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.int64).reshape(4, -1))
 
 
 def settle_whole(held: Runs, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +339,6 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
             gone = np.flatnonzero(repeat)
             spans = spans_of(held, gone, 0, held.rows[gone, shape.columns + 1].astype(np.int64) - 1, shape)
             at, a, b = joined(spans[:2], *spans[2:])
-            ready = Runs(spans[0][at], spans[1][at], a, b)
             held = held.take(np.flatnonzero(~repeat))
             keys = leading(held.rows, shape)
             bucket = np.searchsorted(splitters, keys, "right") * fan + (mixed(keys) >> np.uint64(8)).astype(np.int64) % fan
@@ -329,20 +346,18 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
             held, bucket = held.take(order), bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(cuts[1:], len(bucket))
-            columns = [bucket[cuts].tolist(), (ends - cuts).tolist(), [False] * len(cuts), [held.take(slice(i, j)).packed() for i, j in zip(cuts, ends)]]
-            if len(ready.doc):                                        # spans settled here go along, to any bucket
-                for column, value in zip(columns, ((number * 7919 + int(ready.doc[0])) % buckets, len(ready.doc), True, ready.packed())):
+            columns = [bucket[cuts].tolist(), (ends - cuts).tolist(), [False] * len(cuts), [held.take(slice(i, j)).packed(shape) for i, j in zip(cuts, ends)]]
+            if len(at):                                               # spans settled here go along, to any bucket
+                for column, value in zip(columns, ((number * 7919 + int(spans[0][0])) % buckets, len(at), True, packed_spans(spans[0][at], spans[1][at], a, b))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["bucket", "n", "ready", "body"])
         give_back()
 
     def sort(part: pd.DataFrame) -> pd.DataFrame:
-        done = part[part["ready"]]
-        ready = Runs.unpacked(done["body"], done["n"], 8)
-        part = part[~part["ready"]]
-        found = settle(Runs.unpacked(part["body"], part["n"], shape.width), shape)
-        ends = np.ascontiguousarray(ready.rows).view(np.int64).ravel()
-        return _spans_batch(*(np.concatenate(x) for x in zip(found, (ready.doc, ready.th, ready.first, ends)))).to_pandas()
+        held = [Runs.unpacked(body, n, shape) for ready, n, body in zip(part["ready"], part["n"], part["body"]) if not ready]
+        found = [unpacked_spans(body) for ready, body in zip(part["ready"], part["body"]) if ready]
+        found.append(settle(Runs.joined(held, shape), shape))
+        return _spans_batch(*(np.concatenate(x) for x in zip(*found))).to_pandas()
     sent = source.mapInArrow(send, "bucket bigint, n bigint, ready boolean, body binary")
     spans = sent.groupBy("bucket").applyInPandas(sort, "doc bigint, th bigint, a bigint, b bigint")
     return spans.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
