@@ -31,11 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourwise.llm.common import give_back
+from hourwise.llm.common import give_back, slices, texts_of
 from hourwise.session import cut_lineage
 
 WINDOW, GRAM = 50, 8
-PIECE, BATCH, BUCKET = 1 << 21, 1 << 23, 1 << 23          # bytes of text: hashed at once, read before runs are sent, in a bucket
+PIECE, BATCH, BUCKET = 1 << 20, 1 << 23, 1 << 22          # bytes of text: hashed at once, read before runs are sent, in a bucket
 SAMPLE = 1 << 25                                          # bytes of text sampled for the splitters
 SAMPLED_KEYS, MOST_RANGES, HOT_SLOTS = 200_000, 1 << 14, 1 << 16
 LEVEL = 6                                                 # of compression of what travels
@@ -309,7 +309,7 @@ def sampled_keys(source: DataFrame, shape: Shape, hot: np.ndarray | None, share:
 def plan_buckets(source: DataFrame, shape: Shape) -> tuple[np.ndarray, int, np.ndarray | None]:
     """Splitters, buckets to each range, and the slots of leading bytes that are too common (None if there are none)."""
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(2 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    buckets = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
     ranges = min(buckets, MOST_RANGES)
     sample = cut_lineage(source if size <= SAMPLE else source.where(F.rand(11) < SAMPLE / size))
     share = SAMPLED_KEYS / max(1.0, min(size, SAMPLE) / (shape.left / 2 + 1))
@@ -359,26 +359,36 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
         found.append(settle(Runs.joined(held, shape), shape))
         return _spans_batch(*(np.concatenate(x) for x in zip(*found))).to_pandas()
     sent = source.mapInArrow(send, "bucket bigint, n bigint, ready boolean, body binary")
-    spans = sent.groupBy("bucket").applyInPandas(sort, "doc bigint, th bigint, a bigint, b bigint")
+    # as many tasks as buckets, so that what a task reads does not grow with the table
+    spans = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(sort, "doc bigint, th bigint, a bigint, b bigint")
     return spans.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 
+def _pack_texts(batches):
+    """Texts meet their spans in a shuffle; compressed ones are a third shorter there than Spark makes them."""
+    tool = zstandard.ZstdCompressor(level=3)
+    for batch in slices(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array([tool.compress(t.encode()) for t in texts_of(batch)], pa.binary())],
+                                         names=["doc_id", "th", "body"])
+    give_back()
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs of bytes, end exclusive) and kept (the other bytes) of every document.
 
     `kept` is binary: a span may end inside a character."""
     found = removed_spans(docs, window, text).withColumnsRenamed({"doc": "s_doc", "th": "s_th"})
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    keyed = source.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
-    both = keyed.join(found, (F.col("doc") == F.col("s_doc")) & (F.col("th") == F.col("s_th")), "left").select("doc_id", "text", "spans")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    packed = source.mapInArrow(_pack_texts, "doc_id bigint, th bigint, body binary")
+    both = packed.join(found, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("s_doc")) & (F.col("th") == F.col("s_th")), "left").select("doc_id", "body", "spans")
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece, sizes, spans, kept = batch.slice(at, 256), [], [], []
-                for text, held in zip(piece.column("text").to_pylist(), piece.column("spans").to_pylist()):
-                    text, whole = (text or "").encode(), []
+                for body, held in zip(piece.column("body").to_pylist(), piece.column("spans").to_pylist()):
+                    text, whole = zstandard.decompress(body), []
                     for x in held or ():
                         if whole and x["a"] <= whole[-1]["end"]:
                             whole[-1]["end"] = max(whole[-1]["end"], x["b"])
