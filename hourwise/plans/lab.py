@@ -14,7 +14,7 @@ from hourwise.functions.target import PowerTarget
 from hourwise.operators.quantiles import grouped_quantiles
 from hourwise.plans import solvers
 from hourwise.plans.design import Design
-from hourwise.plans.moments import (Basis, Moments, collect_moments, collect_rows, design_from, full_matrix, matrix_of, moment_sums,
+from hourwise.plans.moments import (Basis, Moments, collect_moments, collect_rows, design_from, full_matrix, is_small, matrix_of, moment_sums,
                                     packed_columns, sum_rows)
 from hourwise.plans.spec import DesignSpec
 
@@ -48,8 +48,11 @@ class Lab:
         self.rows = df.select(key.cast("int").alias("key"), F.unix_date(day).alias("day"), F.col(row_id).alias("id"),
                               F.col(label).cast("double").alias("y"), packed_columns(specs, epoch, own).alias("x"))
         self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK)
-        self.basis = Basis.over(self.rows, specs)
-        self.moments = collect_moments(self.rows, self.basis, self.powers)
+        self.rows.count()                                          # kept from here on; its tasks are those of every pass
+        self.tasks = self.rows.rdd.getNumPartitions()
+        self.classes = len(frozenset().union(*self.sets.values()))
+        self.basis = Basis.over(self.rows, specs, self.tasks)
+        self.moments = collect_moments(self.rows, self.basis, self.powers, self.tasks, self.classes)
         self.fills = self._fills()
         self._designs: dict = {}
         self._sums: dict[str, Moments] = {}
@@ -148,7 +151,7 @@ class Lab:
                     yield k, i, row
 
         self_back = self.back
-        sums = collect_rows(sum_rows(self.rows, partial))
+        sums = collect_rows(sum_rows(self.rows, partial, direct=is_small(self.tasks, 32 * len(models) * self.classes)))
         for i, m in enumerate(models):
             t = sum(np.array([sums[k][j][i] for j in range(4)]) for k in self.sets[m.set_name] if k in sums)
             m.factor = float(t[0] / t[1]) if self.back == "ls" else float(t[2] / t[3])
@@ -196,7 +199,8 @@ class Lab:
             for d in range(draws):
                 yield DRAW0 + d, 0, boot[d]
 
-        sums = collect_rows(sum_rows(self.rows, partial))
+        size = 8 * len(models) * len(FIELDS) * self.classes + 8 * draws * (3 + len(models))
+        sums = collect_rows(sum_rows(self.rows, partial, direct=is_small(self.tasks, size)))
         boot = np.array([sums.pop(DRAW0 + d)[0] for d in range(draws)]) if draws else None
         return Scores(self, list(models), {k: np.vstack([r[j] for j in range(len(FIELDS))]) for k, r in sums.items()}, boot)
 

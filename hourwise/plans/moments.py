@@ -39,10 +39,19 @@ def _times(a: Poly, b: Poly) -> Poly:
     return out
 
 
-def sum_rows(df: DataFrame, partial: Callable[[Iterable], Iterable[tuple[int, int, np.ndarray]]], largest: int = -1) -> DataFrame:
+DIRECT_BYTES = 1 << 25       # sums of all tasks up to this size are added up by the reader instead of a second stage
+
+
+def is_small(tasks: int, bytes_each: int) -> bool:
+    """Whether the sums of all tasks may go straight to the driver: their number and size are known before they are made."""
+    return tasks * bytes_each <= DIRECT_BYTES
+
+
+def sum_rows(df: DataFrame, partial: Callable[[Iterable], Iterable[tuple[int, int, np.ndarray]]], largest: int = -1, direct: bool = False) -> DataFrame:
     """(key, i, v): vectors that tasks emit per (key, i), added up by a second Arrow stage partitioned on (key, i).
 
-    Vectors travel as the bytes of their doubles. Row number `largest` is merged by maximum instead of sum."""
+    Vectors travel as the bytes of their doubles. Row number `largest` is merged by maximum instead of sum. With `direct` the
+    second stage is left to `collect_rows`."""
     schema = "key int, i int, v binary"
 
     def emit(items):
@@ -60,18 +69,23 @@ def sum_rows(df: DataFrame, partial: Callable[[Iterable], Iterable[tuple[int, in
         yield from emit(partial(b for b in batches if b.num_rows))
 
     def merge(batches):
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            for key, i, v in _entries(b):
-                if (key, i) not in total:
-                    total[key, i] = v.copy()
-                elif i == largest:
-                    total[key, i] = np.maximum(total[key, i], v)
-                else:
-                    total[key, i] += v
-        yield from emit((k, i, v) for (k, i), v in total.items())
+        yield from emit((k, i, v) for (k, i), v in _merged(batches, largest).items())
 
-    return df.mapInArrow(first, schema).repartition("key", "i").mapInArrow(merge, schema)
+    sent = df.mapInArrow(first, schema)
+    return sent if direct else sent.repartition("key", "i").mapInArrow(merge, schema)
+
+
+def _merged(batches, largest: int) -> dict[tuple[int, int], np.ndarray]:
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for b in batches:
+        for key, i, v in _entries(b):
+            if (key, i) not in total:
+                total[key, i] = v.copy()
+            elif i == largest:
+                total[key, i] = np.maximum(total[key, i], v)
+            else:
+                total[key, i] += v
+    return total
 
 
 def _batch(keys, rows, vectors):
@@ -90,12 +104,11 @@ def matrix_of(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def collect_rows(sums: DataFrame) -> dict[int, dict[int, np.ndarray]]:
+def collect_rows(sums: DataFrame, largest: int = -1) -> dict[int, dict[int, np.ndarray]]:
     """The merged sums on the driver: their size is set by the plan, not by the data."""
     out: dict[int, dict[int, np.ndarray]] = {}
-    for b in sums.toArrow().to_batches():
-        for key, i, v in _entries(b):
-            out.setdefault(key, {})[i] = v
+    for (key, i), v in _merged(sums.toArrow().to_batches(), largest).items():
+        out.setdefault(key, {})[i] = v
     return out
 
 
@@ -118,7 +131,7 @@ class Basis:
     monomials: list[tuple[str, ...]]
 
     @classmethod
-    def over(cls, rows: DataFrame, specs: Sequence[DesignSpec]) -> Basis:
+    def over(cls, rows: DataFrame, specs: Sequence[DesignSpec], tasks: int | None = None) -> Basis:
         """Rough centre and scale from one light pass over packed rows; they only keep the sums well scaled and cancel
         out later."""
         first = first_columns(specs)
@@ -130,7 +143,8 @@ class Basis:
                 total += np.vstack([np.r_[len(x), x.sum(0)], np.r_[0.0, (x * x).sum(0)]])
             yield 0, 0, total.ravel()
 
-        t = collect_rows(sum_rows(rows.select("x"), partial))[0][0].reshape(2, -1)
+        direct = tasks is not None and is_small(tasks, 16 * (len(first) + 1))
+        t = collect_rows(sum_rows(rows.select("x"), partial, direct=direct))[0][0].reshape(2, -1)
         centre = t[0, 1:] / t[0, 0]
         scale = np.sqrt(np.clip(t[1, 1:] / t[0, 0] - centre ** 2, 0.0, None))
         scale[~(scale > 1e-9 * np.maximum(np.abs(centre), 1e-3))] = 1.0
@@ -223,7 +237,7 @@ class Moments:
 LARGEST = -1
 
 
-def moment_sums(rows: DataFrame, basis: Basis, powers: Sequence[float]) -> DataFrame:
+def moment_sums(rows: DataFrame, basis: Basis, powers: Sequence[float], direct: bool = False) -> DataFrame:
     """(key, i, v) sums of a frame (key int, x array<double>, y double[, day int, times array<int>]).
 
     With `times`, the key of a row is replaced by the draws it belongs to, each with a multiplicity."""
@@ -260,11 +274,14 @@ def moment_sums(rows: DataFrame, basis: Basis, powers: Sequence[float]) -> DataF
                 yield k, i, row[i:]                     # symmetric: the upper triangle is enough
             yield k, LARGEST, np.array([top[k]])
 
-    return sum_rows(rows, partial, LARGEST)
+    return sum_rows(rows, partial, LARGEST, direct)
 
 
-def collect_moments(rows: DataFrame, basis: Basis, powers: Sequence[float]) -> dict[int, Moments]:
-    sums = collect_rows(moment_sums(rows, basis, powers))
+def collect_moments(rows: DataFrame, basis: Basis, powers: Sequence[float], tasks: int | None = None, classes: int = 1) -> dict[int, Moments]:
+    """Sums of every row class. `tasks` and `classes` say how many triangles there can be before they are merged."""
+    width = len(basis.monomials) + len(powers) + 1
+    direct = tasks is not None and is_small(tasks, 4 * width * (width + 1) * classes)
+    sums = collect_rows(moment_sums(rows, basis, powers, direct), LARGEST)
     q = len(basis.monomials)
     return {k: Moments(full_matrix([r[i] for i in range(len(r) - 1)]), q, tuple(powers), float(r[LARGEST][0])) for k, r in sums.items()}
 

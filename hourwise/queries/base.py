@@ -6,12 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourwise.functions import calendar as cal
 from hourwise.operators.ranks import hash32
+from hourwise.session import Lease, leased
 from hourwise.sources.tables import hourly_rollup, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,17 +64,18 @@ def _measures() -> dict[str, Column]:
             "weathersit": F.least(1 + F.sum((cents > 10000).cast("bigint")), F.lit(4)).cast("int")}
 
 
-_KEPT: dict[tuple[str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str], Lease] = {}
 
 
 def demand(spark: SparkSession, folder: str) -> DataFrame:
-    """The hourly demand table, rolled up from the events once per session and folder and kept (memory, then disk).
+    """The hourly demand table, rolled up from the events once per session and folder and leased (memory, then disk).
 
-    Most queries read it two or three times; without this each reading would scan the raw events again."""
+    Most queries read it two or three times; without this each reading would scan the raw events again. `release_all` ends
+    the lease, and the next reader takes a new one."""
     at = (spark.sparkContext.applicationId, folder)
-    if at not in _KEPT:
-        _KEPT[at] = rolled_demand(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
-    return _KEPT[at]
+    if at not in _KEPT or not _KEPT[at].held:
+        _KEPT[at] = leased(rolled_demand(spark, folder))
+    return _KEPT[at].frame
 
 
 def rolled_demand(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from hourwise.functions.target import PowerTarget
+from hourwise.functions.target import PowerTarget, linear_score
 from hourwise.operators import gram as gm
 from hourwise.operators import metrics, selection, splits, trees
 from hourwise.operators import timeline as tl
@@ -493,34 +493,62 @@ def log_link_squares(spark, d):
     return result(spark, rows, "feature string, weight double, loss double, stop string", 4)
 
 
-_TREE_FEATURES = ["hr", "weekday", "workingday", "weathersit", "temp", "hum", "windspeed"]
+TREE_FEATURES = ["hr", "weekday", "workingday", "weathersit", "temp", "hum", "windspeed"]
 
 
-@query("M12_boosted_trees")
+# a tree of depth 1 on the hour has a closed form: cuts of a histogram
+_HOUR_CUT = """c AS (SELECT hr, sum(g) OVER (ORDER BY hr) AS gl, sum(h) OVER (ORDER BY hr) AS hl, sum(n) OVER (ORDER BY hr) AS nl, sum(g) OVER () AS ga, sum(h) OVER () AS ha, sum(n) OVER () AS na FROM hh),
+best AS (SELECT *, -0.1::DOUBLE * gl / (hl + 1) AS low, -0.1::DOUBLE * (ga - gl) / (ha - hl + 1) AS high FROM c WHERE nl >= 10 AND na - nl >= 10
+  ORDER BY gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) DESC, hr LIMIT 1)"""
+_STUMP = {"rounds": 1, "depth": 1, "rate": 0.1}
+TREE_ROUNDS = 20             # rounds of the registered full fits; each costs `depth` passes
+
+
+@query("M12_boosted_trees", f"""WITH {LABELLED}, t AS (SELECT CAST(sum(cnt) AS DOUBLE) / count(*) AS m FROM labelled WHERE val = 0),
+hh AS (SELECT hr, count(*) * m - sum(cnt) AS g, count(*) * m AS h, count(*) AS n FROM labelled, t WHERE val = 0 GROUP BY hr, m), {_HOUR_CUT}
+SELECT instant, round(exp(ln(m) + CASE WHEN l.hr <= b.hr THEN low ELSE high END), 6) AS pred FROM labelled l, t, best b WHERE val = 1""")
+def boosted_stump(spark, d):
+    """One round of one cut on the hour under the Poisson loss."""
+    df = labelled(spark, d)
+    return rounded(trees.boosted_regression(df.where("val = 0"), df.where("val = 1"), ["hr"], "cnt", **_STUMP).select("instant", "pred"))
+
+
+@query("M12_boosted_trees_plan")
 def boosted_trees(spark, d):
-    """Trees for the count and for the high-demand label, scored on the held-out side."""
+    """Poisson trees for the count and logistic trees for the high-demand label, scored on the held-out side."""
     with kept(labelled_scores(spark, d)) as df:
         fit, new = df.where("val = 0"), df.where("val = 1")
-        reg = trees.boosted_regression(fit, new, _TREE_FEATURES, "cnt", rounds=5)
-        r = reg.agg(metrics.r2("cnt", "pred").alias("r2"), metrics.rmse("cnt", "pred").alias("rmse")).first()
-        cls = trees.boosted_classifier(fit, new, _TREE_FEATURES, "label", rounds=5)
-        auc = metrics.roc_auc(cls.select("label", "p"), "label", "p").first()["auc"]
-    return result(spark, [{"r2": r["r2"], "rmse": r["rmse"], "auc": auc}], "r2 double, rmse double, auc double")
-
-
-@query("M13_stacked_residual")
+        counts = trees.boosted(fit, TREE_FEATURES, "cnt", trees.POISSON, rounds=TREE_ROUNDS, depth=3)
+        r = counts.predict(new).agg(metrics.r2("cnt", "pred").alias("r2"), metrics.rmse("cnt", "pred").alias("rmse")).first()
+        label = trees.boosted(fit, TREE_FEATURES, "label", trees.LOGISTIC, rounds=TREE_ROUNDS, depth=3)
+        auc = metrics.roc_auc(label.predict(new, "p").select("label", "p"), "label", "p").first()["auc"]
+    return result(spark, [{"r2": r["r2"], "rmse": r["rmse"], "auc": auc, "n_trees": len(counts.trees), "stop": counts.stop}], "r2 double, rmse double, auc double, n_trees int, stop string")
+
+
+@query("M13_stacked_residual", f"""WITH {LABELLED}, z AS (SELECT *, ln(1 + cnt) AS z FROM labelled), l AS (SELECT regr_slope(z, temp) AS w, regr_intercept(z, temp) AS b FROM z WHERE val = 0),
+e AS (SELECT z.*, b + w * temp AS eta, z - (b + w * temp) AS r FROM z, l), t AS (SELECT avg(r) AS m FROM e WHERE val = 0),
+hh AS (SELECT hr, count(*) * m - sum(r) AS g, count(*) AS h, count(*) AS n FROM e, t WHERE val = 0 GROUP BY hr, m), {_HOUR_CUT},
+x AS (SELECT e.*, eta + m + CASE WHEN e.hr <= k.hr THEN low ELSE high END AS f FROM e, t, best k), s AS (SELECT sum((cnt + 1) * exp(f)) / sum(exp(2 * f)) AS s, ln(1 + max(cnt)) + 1 AS cap FROM x WHERE val = 0)
+SELECT instant, round(greatest(s * exp(least(f, cap)) - 1, 0), 6) AS pred FROM x, s WHERE val = 1""")
+def stacked_stump(spark, d):
+    """One cut on the residual of a one-column linear score, the two added before the back-transform."""
+    df = labelled(spark, d)
+    w = solvers.least_squares(*gm.normal_equations(df.where("val = 0"), F.log1p("cnt"), ["temp"])[:2], alpha=0.0)
+    scored = df.withColumn("eta", F.col("temp") * float(w[1]) + float(w[0]))
+    return rounded(trees.stacked_residual(scored.where("val = 0"), scored.where("val = 1"), ["hr"], "cnt", "eta", 0.0, **_STUMP).select("instant", "pred"))
+
+
+@query("M13_stacked_residual_plan")
 def stacked(spark, d):
     """Trees on the residual of a linear score."""
     with kept(labelled(spark, d)) as df:
-        fit = df.where("val = 0")
-        m = Design(SMALL_PLAN, EPOCH).fit(fit)
+        m = Design(SMALL_PLAN, EPOCH).fit(df.where("val = 0"))
         t = PowerTarget(POWER, "ls")
         cols = m.columns()
-        named = df.select("val", "cnt", *_TREE_FEATURES, *[c.alias(f"_x{i}") for i, c in enumerate(cols.values())])
+        named = df.select("val", "cnt", *TREE_FEATURES, *[c.alias(f"_x{i}") for i, c in enumerate(cols.values())])
         g, c, _ = gm.normal_equations(named.where("val = 0"), t.forward("cnt"), [f"_x{i}" for i in range(len(cols))])
         w = solvers.least_squares(g, c)
-        from hourwise.functions.target import linear_score
         scored = named.withColumn("eta", linear_score({f"_x{i}": float(v) for i, v in enumerate(w[1:])}, float(w[0])))
-        out = trees.stacked_residual(scored.where("val = 0"), scored.where("val = 1"), _TREE_FEATURES, "cnt", "eta", POWER, rounds=5)
+        out = trees.stacked_residual(scored.where("val = 0"), scored.where("val = 1"), TREE_FEATURES, "cnt", "eta", POWER, rounds=TREE_ROUNDS, depth=3)
         r = out.agg(metrics.r2("cnt", "pred").alias("r2"), metrics.rmse("cnt", "pred").alias("rmse")).first()
     return result(spark, [r.asDict()], "r2 double, rmse double")

@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from hourwise.functions import calendar as cal
 from hourwise.functions.target import PowerTarget, linear_score, sigmoid
-from hourwise.operators import labels, metrics, scoring, selection, splits
+from hourwise.operators import labels, metrics, scoring, selection, splits, trees
 from hourwise.operators.ranks import hash32
 from hourwise.plans import curvature as cv
-from hourwise.plans import search, solvers
+from hourwise.plans import protocol, search, solvers
 from hourwise.plans.design import Design
 from hourwise.plans.lab import Lab, split_key, split_sets, stability, three_validators
 from hourwise.plans.spec import ANCHOR, BASE, HOURS, DesignSpec, ladder
 from hourwise.queries.base import EPOCH, FOLDS, SEED, hash_sql, query, rounded
-from hourwise.queries.models import (CANDIDATE_PLAN, ONE_PLAN, ONE_SQL, POWER, SMALL_PLAN, design_rows, fit_objectives, frame, open_lab, result)
-from hourwise.session import kept, shared_folder
+from hourwise.queries.models import (CANDIDATE_PLAN, ONE_PLAN, ONE_SQL, POWER, SMALL_PLAN, TREE_FEATURES, design_rows, fit_objectives, frame, open_lab, result)
+from hourwise.session import kept, shared_folder, stored
 
 DRAWS = 1000
 _THREE = ("name string, p int, train_r2 double, train_rmse double, r2 double, rmse double, day_r2 double, day_sd double, "
@@ -81,7 +81,7 @@ def out_of_fold_one(spark, d):
     with _one_lab(spark, d) as lab:
         models = [lab.least_squares(f"fold{g}", ONE_PLAN, f"fit{g}", 0.0, 0.0) for g in range(FOLDS)]
         lab.learn_factors(models)
-        out = lab.predict({k: models[g] for g in range(FOLDS) for k in lab.sets[f"held{g}"]})
+        out = stored(lab.predict({k: models[g] for g in range(FOLDS) for k in lab.sets[f"held{g}"]}), "E30").frame
     return rounded(out.select(F.col("id").alias("instant"), F.col("y").cast("bigint").alias("cnt"), (F.col("key") % 10).alias("fold"), "pred"))
 
 
@@ -164,6 +164,51 @@ def validators(spark, d):
         return result(spark, three_validators(lab, {"anchor": (ANCHOR, POWER)}, FOLDS), _THREE)
 
 
+def by_hour(fit, new):
+    """A fitter: the mean of the hour, that of all rows for an hour never seen."""
+    means = fit.groupBy("hr").agg(F.avg("cnt").alias("_m"))
+    return new.join(means, "hr", "left").withColumn("pred", F.coalesce("_m", F.lit(fit.agg(F.avg("cnt")).first()[0])))
+
+
+def on_temperature(fit, new):
+    """A fitter: the log label on one column, with cap and back-transform factor."""
+    t = PowerTarget(0.0, "ls")
+    row = fit.agg(F.regr_slope(t.forward("cnt"), F.col("temp")).alias("w"), F.regr_intercept(t.forward("cnt"), F.col("temp")).alias("b"), F.max("cnt").alias("top")).first()
+    eta = F.col("temp") * row["w"] + row["b"]
+    s = t.factor(fit.withColumn("_eta", eta), "_eta", "cnt")
+    return new.withColumn("pred", t.counts(t.capped(eta, t.cap(float(row["top"]))), s))
+
+
+def by_trees(rounds, depth=3):
+    """A fitter: boosted trees under the Poisson loss."""
+    def fitter(fit, new):
+        return trees.boosted_regression(fit, new, TREE_FEATURES, "cnt", rounds=rounds, depth=depth)
+    return fitter
+
+
+@query("E4_fitter_protocol", f"""WITH {ONE_SQL}, bh AS (SELECT m, hr, avg(cnt) AS h FROM role WHERE fits GROUP BY m, hr), bm AS (SELECT m, avg(cnt) AS o FROM role WHERE fits GROUP BY m),
+pp AS (SELECT 'by_hour' AS fitter, role.m, cnt, coalesce(h, o) AS p FROM role JOIN bm USING (m) LEFT JOIN bh USING (m, hr) WHERE evals UNION ALL SELECT 'on_temperature', m, cnt, p FROM pr WHERE evals),
+sc AS (SELECT fitter, m, 1 - sum((cnt - p) ** 2) / (var_pop(cnt) * count(*)) AS r2, sqrt(avg((cnt - p) ** 2)) AS rmse, avg(p) / avg(cnt) AS ratio FROM pp GROUP BY fitter, m)
+SELECT fitter, round(max(r2) FILTER (m = 'seeded'), 6) AS r2, round(max(rmse) FILTER (m = 'seeded'), 6) AS rmse, round(avg(r2) FILTER (m LIKE 'fold%'), 6) AS day_r2,
+round(stddev_samp(r2) FILTER (m LIKE 'fold%'), 6) AS day_sd, round(max(r2) FILTER (m = 'chrono'), 6) AS chrono_r2, round(max(ratio) FILTER (m = 'chrono'), 6) AS chrono_mean_ratio FROM sc GROUP BY fitter""")
+def fitter_protocol(spark, d):
+    """Two user-written models under the three validators."""
+    with kept(frame(spark, d)) as df:
+        return rounded(protocol.three_scores(protocol.predictions(df, {"by_hour": by_hour, "on_temperature": on_temperature}, protocol.three_parts(FOLDS)).frame))
+
+
+@query("E4_fitter_protocol_trees")
+def fitter_protocol_trees(spark, d):
+    """Boosted trees beside the mean of the hour under the three validators, with the paired difference on the seeded side."""
+    with kept(frame(spark, d)) as df:
+        done = protocol.predictions(df, {"trees": by_trees(5), "by_hour": by_hour}, protocol.three_parts(FOLDS))
+        versus = protocol.paired(done.frame, "trees", "by_hour", "seeded", DRAWS, SEED).withColumn("fitter", F.lit("trees"))
+        out = protocol.three_scores(done.frame).join(versus, "fitter", "left")
+        rows = [r.asDict() for r in out.collect()]
+        done.release()
+    return result(spark, rows, "fitter string, r2 double, rmse double, day_r2 double, day_sd double, chrono_r2 double, chrono_mean_ratio double, delta double, lo double, hi double")
+
+
 @query("E5_complexity_ladder")
 def complexity_ladder(spark, d):
     """Eleven nested plans under three validators from one pass of sums, with the picked and the first over-fit level."""
@@ -324,7 +369,9 @@ def label_foils(spark, d):
         auc = metrics.roc_auc(long, "y", "p", ["model"])
         acc = long.groupBy("model").agg(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"), F.avg("y").alias("pos_val"))
         out = auc.join(acc, "model").withColumn("majority", F.greatest("pos_val", 1 - F.col("pos_val")))
-        return result(spark, [r.asDict() for r in out.collect()], "model string, auc double, n_pos bigint, n_neg bigint, accuracy double, pos_val double, majority double", 4)
+        stop = {o.name: o.stop for o in fitted}
+        return result(spark, [{**r.asDict(), "stop": stop[r["model"]]} for r in out.collect()],
+                      "model string, auc double, n_pos bigint, n_neg bigint, accuracy double, pos_val double, majority double, stop string", 4)
 
 
 @query("E26_l2_sweep")
@@ -375,7 +422,7 @@ def out_of_fold(spark, d):
         models = [lab.least_squares(f"fold{g}", ANCHOR, f"fit{g}", POWER) for g in range(FOLDS)]
         lab.learn_factors(models)
         by_key = {k: models[g] for g in range(FOLDS) for k in lab.sets[f"held{g}"]}
-        out = lab.predict(by_key)
+        out = stored(lab.predict(by_key), "E30").frame
     return rounded(out.select(F.col("id").alias("instant"), F.col("y").cast("bigint").alias("cnt"), (F.col("key") % 10).alias("fold"), "pred"))
 
 

@@ -54,6 +54,53 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Lease:
+    """A frame kept for later readers, until it is released."""
+
+    def __init__(self, frame: DataFrame, path: str | None = None):
+        self.frame, self.path = frame, path
+        _LEASES.setdefault(frame.sparkSession.sparkContext.applicationId, []).append(self)
+
+    @property
+    def held(self) -> bool:
+        return self in _LEASES.get(self.frame.sparkSession.sparkContext.applicationId, [])
+
+    def release(self) -> None:
+        """Gives the memory, or the folder that the frame was written to, back. Releasing twice does nothing."""
+        spark = self.frame.sparkSession
+        if not self.held:
+            return
+        _LEASES[spark.sparkContext.applicationId].remove(self)
+        if self.path is None:
+            self.frame.unpersist()
+        else:
+            at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_LEASES: dict[str, list[Lease]] = {}
+
+
+def leased(df: DataFrame) -> Lease:
+    """`df` kept (memory, then disk) until released."""
+    return Lease(df.persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def stored(df: DataFrame, name: str) -> Lease:
+    """`df` written to the shared folder now and read from there, so that nothing behind it is worked out again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return Lease(df.sparkSession.read.parquet(path), path)
+
+
+def release_all(spark: SparkSession) -> int:
+    """Releases every lease of the application; returns how many there were."""
+    mine = list(_LEASES.get(spark.sparkContext.applicationId, []))
+    for lease in mine:
+        lease.release()
+    return len(mine)
+
+
 @contextmanager
 def kept(*frames: DataFrame):
     """Keep frames that several jobs read (memory, then disk) and release them afterwards."""
