@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hourwise.session import cut_lineage
+
 
 def date_cut(df: DataFrame, day: str, cut: str) -> tuple[DataFrame, DataFrame]:
     """(rows strictly before the date, rows on or after it); both filters reach the scan."""
@@ -49,11 +51,29 @@ def output_contract(expected: DataFrame, given: DataFrame, key: str, value: str)
                     (F.max("_top") == 0).alias("all_zero"))
 
 
-def lookup_or_fail(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Left join whose value must be found: a row without a cell fails the job.
+SMALL_TABLE = 100_000        # rows of a table that is sent to all executors
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", small: int = SMALL_TABLE) -> DataFrame:
+    """`df` joined to a table with one row per key, whatever share of the rows one key holds.
 
-    No broadcast is forced: the planner measures the table and picks the join."""
-    found = df.join(table.select(*keys, value), list(keys), "left")
+    The table is counted first. Up to `small` rows it is sent to the executors and the rows stay where they are. A larger one is
+    joined in two parts: rows of keys with more than a quarter of an even task's share, of which there are at most four
+    a task, look in the few table rows of those keys, which are sent; all others are joined by key."""
+    keys = list(keys)
+    if table.limit(small + 1).count() <= small:
+        return df.join(F.broadcast(table), keys, how)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.expr(" and ".join(f"`{k}` is not null" for k in keys)))
+    total = df.count()
+    hot = F.broadcast(cut_lineage(counts.where(F.col("_n") * 4 * tasks > total).select(*keys)))
+    few, rest = df.join(hot, keys, "left_semi"), df.join(hot, keys, "left_anti")
+    return few.join(F.broadcast(table.join(hot, keys, "left_semi")), keys, how).unionByName(rest.join(table, keys, how))
+
+
+def lookup_or_fail(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Left join whose value must be found: a row without a cell fails the job."""
+    found = lookup(df, table.select(*keys, value), keys)
     kind = table.schema[value].dataType
     checked = F.when(F.col(value).isNull(), F.raise_error(F.lit(f"no cell for this row in the {value} table")).cast(kind)
                      ).otherwise(F.col(value))

@@ -32,11 +32,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def poisson_weights(keys: np.ndarray, seed: int, draws: np.ndarray) -> np.ndarray:
     """(rows, draws) weights of integer keys."""
+    return np.searchsorted(np.array(POISSON_CUTS, dtype=np.uint64), _hashed(keys, seed, draws), side="right").astype(np.float64)
+
+
+def _hashed(keys: np.ndarray, seed: int, draws: np.ndarray) -> np.ndarray:
+    """(rows, draws) hashes of 32 bits."""
     k = keys.astype(np.int64).view(np.uint64)
     low, high = k & np.uint64(0xFFFFFFFF), k >> np.uint64(32)
     stream = _mix((np.uint64(seed) + draws.astype(np.uint64) * np.uint64(STEP)) & np.uint64(0xFFFFFFFF))
-    h = _mix(_mix(low[:, None] ^ stream[None, :]) ^ high[:, None])         # all 64 bits count
-    return np.searchsorted(np.array(POISSON_CUTS, dtype=np.uint64), h, side="right").astype(np.float64)
+    return _mix(_mix(low[:, None] ^ stream[None, :]) ^ high[:, None])      # all 64 bits count
 
 
 def row_bootstrap_sums(df: DataFrame, key: str, y: str, predictions: Sequence[str], draws: int, seed: int) -> DataFrame:
@@ -104,38 +108,62 @@ def interval(values: DataFrame) -> DataFrame:
     return values.agg(q[0].alias("lo"), q[1].alias("hi"), F.stddev_samp("value").alias("se"))
 
 
+POISSON_BLOCK = 256          # a larger mean is drawn in parts of this size, each with a counter of its own
+NORMAL_FROM = 1 << 20        # from this mean on the rounded normal law stands for the Poisson law
+
+
+def poisson_counts(keys: np.ndarray, means: np.ndarray, seed: int, draws: np.ndarray, all_draws: int) -> np.ndarray:
+    """(keys, draws) Poisson numbers with a mean for each key, from counters alone: a key, a draw and a part give one uniform
+    number, turned into a count by the inverse of the distribution. `all_draws` is the number of draws of the whole run."""
+    def uniform(rows, part):
+        return (_hashed(keys[rows], seed, draws + part * all_draws) + 0.5) / 2.0 ** 32
+
+    out = np.zeros((len(keys), len(draws)))
+    large = means >= NORMAL_FROM
+    if large.any():
+        radius = np.sqrt(-2.0 * np.log(uniform(large, 0)))
+        z = radius * np.cos(2.0 * np.pi * uniform(large, 1))
+        out[large] = np.maximum(0.0, np.rint(means[large, None] + np.sqrt(means[large, None]) * z))
+    left, part = np.where(large, 0, means), 0
+    while (left > 0).any():
+        rows = np.flatnonzero(left > 0)
+        mean = np.minimum(left[rows], POISSON_BLOCK).astype(float)[:, None]
+        u, k, chance = uniform(rows, part), 0, np.exp(-mean)
+        reached = chance.copy()
+        while (above := u >= reached).any() and k < mean.max() + 40 * np.sqrt(mean.max()) + 60:
+            out[rows] += above
+            k += 1
+            chance = chance * mean / k
+            reached += chance
+        left[rows] -= mean[:, 0].astype(left.dtype)
+        part += 1
+    return out
+
+
 def auc_bootstrap(df: DataFrame, y: str, p: str, draws: int, seed: int) -> DataFrame:
-    """(b, value): ROC-AUC per draw. A run of n equal scores gets a Poisson(n) weight, the sum of n row weights.
+    """(b, value): ROC-AUC per draw. The n equal scores of a class get a Poisson(n) weight, the sum of n row weights.
 
-    Scores are cut into buckets; each sorted stretch gives its own wins and totals per draw, and the stretches are
-    chained afterwards on a table with one row per stretch and draw."""
+    Distinct scores are numbered in order by ranges; class and number are the counter of a weight. Each sorted stretch gives its own
+    wins and totals per draw, and the stretches are chained on a table with one row per stretch and draw."""
     from pyspark.sql import Window
 
-    from hourwise.operators.ranks import BUCKET, with_bucket
+    from hourwise.operators.numbering import numbered
     hist = df.groupBy(F.col(p).cast("double").alias("s")).agg(
         F.sum((F.col(y) == 1).cast("bigint")).alias("pos"), F.sum((F.col(y) != 1).cast("bigint")).alias("neg"))
-    sorted_hist = with_bucket(hist, "s").repartition(BUCKET).sortWithinPartitions("s")
 
     def stretches(batches):
         for batch in (b.slice(at, STRETCH) for b in batches for at in range(0, b.num_rows, STRETCH)):
-            s = batch.column("s").to_numpy(zero_copy_only=False)
-            counts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "neg")]
-            seeds = (s + 0.0).view(np.uint64)
-            buckets = batch.column(BUCKET).to_numpy(zero_copy_only=False)
-            weights = np.empty((2, len(s), draws))
-            for i in range(len(s)):
-                rng = np.random.Generator(np.random.Philox(key=[int(seeds[i]), seed]))
-                weights[0, i] = rng.poisson(counts[0][i], draws)
-                weights[1, i] = rng.poisson(counts[1][i], draws)
-            for bucket in np.unique(buckets):
-                rows = buckets == bucket
-                pos, neg = weights[0, rows], weights[1, rows]
-                below = np.cumsum(neg, axis=0) - neg / 2.0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(draws, s[rows][0])), pa.array(np.arange(draws), pa.int32()), pa.array(pos.sum(0)),
-                     pa.array(neg.sum(0)), pa.array((pos * below).sum(0))], ["first", "b", "pos", "neg", "wins"])
-
-    parts = sorted_hist.mapInArrow(stretches, "first double, b int, pos double, neg double, wins double")
+            number, pos, neg = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("number", "pos", "neg"))
+            for lo in range(0, draws, 128):
+                part = np.arange(lo, min(lo + 128, draws))
+                up = poisson_counts(2 * number + 1, pos, seed, part, draws)
+                down = poisson_counts(2 * number, neg, seed, part, draws)
+                below = np.cumsum(down, axis=0) - down / 2.0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number[0])), pa.array(part, pa.int32()), pa.array(up.sum(0)), pa.array(down.sum(0)),
+                                                  pa.array((up * below).sum(0))], ["first", "b", "pos", "neg", "wins"])
+
+    # the checkpointed rows lie in order, so a stretch of a partition is a stretch of scores
+    parts = numbered(hist, [F.col("s")], "number").select("number", "pos", "neg").mapInArrow(stretches, "first bigint, b int, pos double, neg double, wins double")
     before = Window.partitionBy("b").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     linked = parts.withColumn("_neg", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
     return linked.groupBy("b").agg((F.sum(F.col("wins") + F.col("pos") * F.col("_neg")) / (F.sum("pos") * F.sum("neg"))).alias("value"))

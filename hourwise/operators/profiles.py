@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourwise.operators.audit import lookup
 from hourwise.operators.quantiles import grouped_quantiles
 from hourwise.operators.ranks import running_totals
 
@@ -82,7 +83,7 @@ def simple_line(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> Data
     """Slope and intercept of one regressor, with the largest absolute residual (second pass over the rows)."""
     line = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
     if keys:
-        joined = df.join(line, list(keys))
+        joined = lookup(df, line, keys, "inner")
     else:
         one = line.first()
         joined = df.withColumns({"slope": F.lit(one["slope"]), "intercept": F.lit(one["intercept"])})
@@ -127,11 +128,11 @@ def group_variance_share(df: DataFrame, group: Sequence[str], value: str, min_ro
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], value: str, median: bool = False) -> DataFrame:
-    """Group mean, size and (exact) median on every row by aggregate and join, so no group is one task."""
+    """Group mean, size and (exact) median on every row by aggregate and measured lookup, so no group is one task."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("g_mean"), F.count("*").alias("g_n"))
     if median:
         stats = stats.join(grouped_quantiles(df, keys, value, {"g_median": 0.5}).drop("n"), list(keys))
-    return df.join(stats, list(keys))
+    return lookup(df, stats, keys, "inner")
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

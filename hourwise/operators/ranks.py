@@ -5,12 +5,15 @@ values are then cut into buckets at approximate quantiles; each bucket is one wi
 one row per bucket supplies the running total of the buckets before it."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourwise.operators.numbering import numbered
+
 BUCKET = "_bucket"
 
 
@@ -28,7 +31,7 @@ def bucket_cuts(df: DataFrame, value: str, buckets: int | None = None) -> tuple[
 def with_cuts(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     """`df` with the ordinal bucket of `value`; the cuts are literals, so a recomputed task gives the same bucket."""
     numeric = df.withColumn("_position", F.col(value).cast("double"))
-    edges = [float("-inf"), *cuts, float("inf")]
+    edges = [float("-inf"), *(c for c in cuts if math.isfinite(c)), float("inf")]
     if len(edges) < 3:
         return numeric.withColumn(BUCKET, F.lit(0.0)).drop("_position")
     return Bucketizer(splits=edges, inputCol="_position", outputCol=BUCKET).transform(numeric).drop("_position")
@@ -75,24 +78,13 @@ def cumulative_counts(df: DataFrame, score: str, label: str, within: Sequence[st
 def equal_count_bins(df: DataFrame, value: str, key: str, bins: int) -> DataFrame:
     """`df` with the 1-based bin of an even split in (value, key) order: the first n mod bins bins are one longer.
 
-    A run of equal values inside one bin needs no row order at all; only runs that straddle a cut are ranked by key."""
-    n = df.count()
-    short, longer = divmod(n, bins)
-    split = longer * (short + 1)
-
-    def bin_of(rank0: Column) -> Column:
-        late = F.floor((rank0 - split) / F.lit(max(short, 1))) + longer
-        return (F.when(rank0 < split, F.floor(rank0 / F.lit(short + 1))).otherwise(late) + 1).cast("int")
-
-    runs = (running_totals(df.groupBy(value).agg(F.count("*").alias("n")), value, ["n"], cuts_from=df)
-            .select(F.col(value), (F.col("cum_n") - F.col("n")).alias("_start"), bin_of(F.col("cum_n") - F.col("n")).alias("_b0"),
-                    bin_of(F.col("cum_n") - 1).alias("_b1")))
-    tagged = df.join(runs, value)
-    whole = tagged.where("_b0 = _b1").select(*df.columns, F.col("_b0").alias("bin"))
-    cut = tagged.where("_b0 <> _b1").withColumn("_one", F.lit(1).cast("bigint"))
-    ranked = running_totals(cut, key, ["_one"], within=[value])
-    parts = ranked.select(*df.columns, bin_of(F.col("_start") + F.col("cum__one") - 1).alias("bin"))
-    return whole.unionByName(parts)
+    One range shuffle of the rows; a value that many rows share is spread by the key."""
+    placed = numbered(df, [F.col(value), F.col(key)], "_place")
+    short, longer = divmod(placed.count(), bins)
+    split, rank0 = longer * (short + 1), F.col("_place") - 1
+    late = F.floor((rank0 - split) / F.lit(max(short, 1))) + longer
+    which = F.when(rank0 < split, F.floor(rank0 / F.lit(short + 1))).otherwise(late) + 1
+    return placed.withColumn("bin", which.cast("int")).drop("_place")
 
 
 def bin_summary(binned: DataFrame, value: str, resid: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourwise.operators.numbering import numbered
 from hourwise.operators.ranks import hash32, top_by_hash
 
 
@@ -55,5 +56,5 @@ def group_draws(n_groups: int, draws: int, seed: int, spark) -> DataFrame:
 
 
 def numbered_groups(df: DataFrame, group: str) -> DataFrame:
-    """One row per distinct date (or other calendar-bounded group) with a 0-based number in group order."""
-    return df.select(group).distinct().withColumn("group_no", F.row_number().over(Window.orderBy(group)) - 1)
+    """One row per distinct group, however many, with a 0-based number in group order."""
+    return numbered(df.select(group).distinct(), [F.col(group)], "group_no").withColumn("group_no", F.col("group_no") - 1)

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourwise.operators.audit import lookup
+
 BLOCK_HOURS = 24 * 28
 
 
@@ -89,9 +91,9 @@ def rolling_extremes(df: DataFrame, keys: Sequence[str], column: Column, hours:
 
 
 def day_context(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], day: str = "dteday") -> DataFrame:
-    """Whole-day aggregates on every row of the day: aggregate first, then join, so a busy day is never one task."""
+    """Whole-day aggregates on every row of the day: aggregate first, then a measured lookup, so a busy day is never one task."""
     per_day = df.groupBy(*keys, day).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return df.join(per_day, [*keys, day])
+    return lookup(df, per_day, [*keys, day], "inner")
 
 
 def missing_hours(df: DataFrame, keys: Sequence[str], day: str = "dteday", hour: str = "hr") -> DataFrame:

@@ -14,7 +14,7 @@ from hourwise.functions.target import PowerTarget
 from hourwise.operators.quantiles import grouped_quantiles
 from hourwise.plans import solvers
 from hourwise.plans.design import Design
-from hourwise.plans.moments import (Basis, Moments, collect_moments, collect_rows, design_from, full_matrix, is_small, matrix_of, moment_sums,
+from hourwise.plans.moments import (Basis, Moments, collect_moments, collect_rows, design_from, full_matrix, is_small, matrix_of,
                                     packed_columns, sum_rows)
 from hourwise.plans.spec import DesignSpec
 
@@ -304,37 +304,74 @@ def three_validators(lab: Lab, plans: dict[str, tuple[DesignSpec, float]], k: in
     return out
 
 
+def day_sums(rows: DataFrame, basis: Basis, power: float) -> DataFrame:
+    """(day, i, v): row i of the upper triangle of the sums of every date. Rows of a date meet in one task, which holds one
+    date's triangle at a time."""
+    target = PowerTarget(power, "none")
+
+    def partial(batches):
+        held, total = None, None
+        for b in batches:
+            y = b.column("y").to_numpy(zero_copy_only=False)
+            a = np.column_stack([basis.expand(matrix_of(b.column("x"))), target.forward_np(y), y])
+            day = b.column("day").to_numpy(zero_copy_only=False)
+            for k in np.unique(day):
+                part = a[day == k].T @ a[day == k]
+                if held != k:
+                    if held is not None:
+                        yield from _triangle(held, total)
+                    held, total = k, part
+                else:
+                    total = total + part
+        if held is not None:
+            yield from _triangle(held, total)
+    return sum_rows(rows.select("day", "x", "y").repartition("day").sortWithinPartitions("day"), partial, direct=True)
+
+
+def _triangle(day: int, total: np.ndarray):
+    return ((int(day), i, row[i:]) for i, row in enumerate(total))
+
+
+DRAW_BLOCK = 64              # draws whose sums a task makes at once
+
+
 def stability(lab: Lab, spec: DesignSpec, set_name: str, power: float, alpha: float, rho: float, draws: int, seed: int,
               names: Sequence[str] | None = None) -> DataFrame:
     """(feature, freq): share of date-bootstrap fits in which each weight is non-zero.
 
-    Draw multiplicities come from a calendar-sized table; the weighted sums of every draw are merged and solved on the
-    executors, one task per draw, and never pass through the driver."""
+    Sums are made once per date. A task that holds row i of the triangles of all dates multiplies them by a block of
+    multiplicities, draws by dates, so no task holds more than a row for a block of draws. The triangle of a draw then meets
+    in one task, which solves it. Multiplicities are a table of calendar and draws; sums never pass through the driver."""
     from hourwise.operators.splits import group_draws, numbered_groups
     spark = lab.rows.sparkSession
     fit = lab.rows.where(F.col("key").isin(*sorted(lab.sets[set_name])))
-    days = numbered_groups(fit, "day")
-    d = days.count()
-    drawn = group_draws(d, draws, seed, spark)
-    counts = drawn.groupBy("group_no").agg(F.map_from_entries(F.collect_list(F.struct("b", "times"))).alias("m"))
-    per_day = days.join(counts, "group_no", "left").select(
-        "day", F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda b: F.coalesce(F.col("m")[b], F.lit(0))).alias("times"))
-    rows = fit.join(per_day, "day").select("key", "day", "x", "y", "times")
+    days = {r["day"]: r["group_no"] for r in numbered_groups(fit, "day").collect()}
+    times = np.zeros((draws, len(days)))
+    for r in group_draws(len(days), draws, seed, spark).collect():
+        times[r["b"], r["group_no"]] = r["times"]
     chosen, _, _, maps = lab.normal_equations(spec, set_name, power, names)
-    basis, powers = lab.basis, lab.powers
-    sums = moment_sums(rows, basis, [power])
-    q = len(basis.monomials)
-    feature_names = chosen[1:]
+    q, feature_names, shared = len(lab.basis.monomials), chosen[1:], spark.sparkContext.broadcast((times, days, maps))
+
+    def multiply(pdf):
+        import pandas as pd
+        times, days, _ = shared.value
+        v = np.stack([np.frombuffer(x) for x in pdf["v"]])
+        at, i, out = [days[k] for k in pdf["key"]], int(pdf["i"].iloc[0]), []
+        for lo in range(0, len(times), DRAW_BLOCK):
+            out += [(lo + b, i, row.tobytes()) for b, row in enumerate(times[lo:lo + DRAW_BLOCK, at] @ v)]
+        return pd.DataFrame(out, columns=["b", "i", "v"])
 
     def solve(pdf):
         import pandas as pd
-        pdf = pdf[pdf["i"] >= 0].sort_values("i")
+        maps = shared.value[2]
+        pdf = pdf.sort_values("i")
         m = Moments(full_matrix([np.frombuffer(v) for v in pdf["v"]]), q, (power,), 0.0)
         G, c, _, _ = solvers.centred(maps @ m.gram @ maps.T, maps @ m.cross(power))
         w = solvers.ridge(G, c, alpha) if rho == 0 else solvers.elastic_net(G, c, alpha, rho)
         return pd.DataFrame({"feature": feature_names, "weight": w})
 
-    fits = sums.groupBy("key").applyInPandas(solve, "feature string, weight double")
+    drawn = day_sums(fit, lab.basis, power).groupBy("i").applyInPandas(multiply, "b int, i int, v binary")
+    fits = drawn.groupBy("b").applyInPandas(solve, "feature string, weight double")
     return fits.groupBy("feature").agg(F.avg((F.abs("weight") > solvers.NONZERO).cast("double")).alias("freq"))
 
 

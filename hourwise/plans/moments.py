@@ -238,11 +238,8 @@ LARGEST = -1
 
 
 def moment_sums(rows: DataFrame, basis: Basis, powers: Sequence[float], direct: bool = False) -> DataFrame:
-    """(key, i, v) sums of a frame (key int, x array<double>, y double[, day int, times array<int>]).
-
-    With `times`, the key of a row is replaced by the draws it belongs to, each with a multiplicity."""
+    """(key, i, v) sums of a frame (key int, x array<double>, y double)."""
     targets = [PowerTarget(p, "none") for p in powers]
-    weighted = "times" in rows.columns
 
     def partial(batches):
         total: dict[int, np.ndarray] = {}
@@ -258,17 +255,10 @@ def moment_sums(rows: DataFrame, basis: Basis, powers: Sequence[float], direct:
         for b in batches:
             y = b.column("y").to_numpy(zero_copy_only=False)
             a = np.column_stack([basis.expand(matrix_of(b.column("x"))), *[t.forward_np(y) for t in targets], y])
-            key = b.column("day" if weighted else "key").to_numpy(zero_copy_only=False)
-            times = matrix_of(b.column("times")) if weighted else None
+            key = b.column("key").to_numpy(zero_copy_only=False)
             for k in np.unique(key):
                 mine = key == k
-                products, largest = a[mine].T @ a[mine], float(y[mine].max())
-                if not weighted:
-                    add(int(k), products, largest)
-                    continue
-                for draw, m in enumerate(times[np.argmax(mine)]):       # rows of one date share their multiplicities
-                    if m:
-                        add(draw, products * float(m), largest)
+                add(int(k), a[mine].T @ a[mine], float(y[mine].max()))
         for k, p in total.items():
             for i, row in enumerate(p):
                 yield k, i, row[i:]                     # symmetric: the upper triangle is enough

@@ -548,9 +548,7 @@ def date_rank_folds(spark, d):
 SELECT bin, round(min(temp), 6) AS lo, round(max(temp), 6) AS hi, round(avg(le), 6) + 0.0 AS mean_resid, count(*)::BIGINT AS n FROM b GROUP BY bin""")
 def equal_count_bins(spark, d):
     """Ten equal-count bins of a reading with the mean residual of each."""
-    from hourwise.session import kept
-    with kept(scored(spark, d).select("instant", "temp", "le")) as rows:
-        return settled(rounded(ranks.bin_summary(ranks.equal_count_bins(rows, "temp", "instant", 10), "temp", "le")))
+    return rounded(ranks.bin_summary(ranks.equal_count_bins(scored(spark, d).select("instant", "temp", "le"), "temp", "instant", 10), "temp", "le"))
 
 
 @query("W4_quantile_deciles", """WITH e AS (SELECT list_sort(list_distinct(quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS q FROM lineitem)

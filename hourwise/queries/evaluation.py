@@ -286,7 +286,24 @@ def calibration_gap(spark, d):
     return rounded(metrics.largest_calibration_gap(metrics.calibration(document_scores(spark, d), "y", "p"), 30))
 
 
-@query("E24_auc_interval")
+def _mixed_sql(name: str, x: str, columns: str, source: str) -> str:
+    """One round of the 32-bit mixer over x, as common table expressions; the last one is `name`."""
+    return (f"{name}0 AS (SELECT {columns}, {x} AS x FROM {source}), {name}1 AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM {name}0), "
+            f"{name}2 AS (SELECT * REPLACE (CAST((x::HUGEINT * {bt.MIX_A}) % 4294967296 AS BIGINT) AS x) FROM {name}1), {name}3 AS (SELECT * REPLACE (xor(x, x >> 15) AS x) FROM {name}2), "
+            f"{name}4 AS (SELECT * REPLACE (CAST((x::HUGEINT * {bt.MIX_B}) % 4294967296 AS BIGINT) AS x) FROM {name}3), {name} AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM {name}4)")
+
+
+_AUC_DRAWS = f"""{_DOC}, sc AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg, row_number() OVER (ORDER BY p) AS number FROM dl GROUP BY p),
+src AS (SELECT number, 1 AS cls, pos AS n, 2 * number + 1 AS key FROM sc WHERE pos > 0 UNION ALL SELECT number, 0, neg, 2 * number FROM sc WHERE neg > 0),
+{_mixed_sql('s', f"({SEED} + b::BIGINT * {bt.STEP}) & {_M32}", 'b', f'(SELECT unnest(range({DRAWS})) AS b)')},
+{_mixed_sql('h', f'xor(key & {_M32}, s.x)', 's.b, number, cls, n, key', 'src, s')}, {_mixed_sql('r', 'xor(h.x, key >> 32)', 'b, number, cls, n', 'h')},
+cd AS (SELECT n, k, sum(exp(-n + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS c FROM (SELECT DISTINCT n FROM src), (SELECT unnest(range(80)) AS k)),
+cl AS (SELECT n, list(c ORDER BY k) AS cs FROM cd GROUP BY n), w AS (SELECT b, number, cls, len(list_filter(cs, lambda c: (x + 0.5) / 4294967296.0::DOUBLE >= c)) AS w FROM r JOIN cl USING (n)),
+j AS (SELECT b, number, coalesce(sum(w) FILTER (cls = 1), 0) AS up, coalesce(sum(w) FILTER (cls = 0), 0) AS down FROM w GROUP BY b, number),
+k AS (SELECT *, sum(down) OVER (PARTITION BY b ORDER BY number) - down / 2.0::DOUBLE AS below FROM j), g AS (SELECT b, sum(up * below) / (sum(up) * sum(down)) AS v FROM k GROUP BY b)"""
+
+
+@query("E24_auc_interval", f"WITH {_AUC_DRAWS} SELECT {_QUANT.format(v='v')} FROM g")
 def auc_interval(spark, d):
     """Bootstrap interval of the ROC-AUC."""
     return rounded(bt.interval(bt.auc_bootstrap(document_scores(spark, d), "y", "p", DRAWS, SEED)))

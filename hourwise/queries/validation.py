@@ -499,7 +499,24 @@ def solo_score(spark, d):
     return result(spark, rows, "column string, n_features int, solo_r2 double")
 
 
-@query("V6_stability_selection")
+_STABLE_DRAWS = 50
+
+
+@query("V6_stability_selection", f"""WITH {ONE_SQL}, st AS (SELECT avg(temp) AS m, stddev_pop(temp) AS sd, abs(covar_pop(temp, z)) / stddev_pop(temp) AS alpha FROM fr WHERE val = 0),
+pd AS (SELECT dteday, count(*) AS n, sum((temp - m) / sd) AS sx, sum(((temp - m) / sd) ** 2) AS sxx, sum(z) AS sz, sum((temp - m) / sd * z) AS sxz FROM fr, st WHERE val = 0 GROUP BY dteday),
+nd AS (SELECT *, row_number() OVER (ORDER BY dteday) - 1 AS g, count(*) OVER () AS k FROM pd),
+dr AS (SELECT b, {hash_sql(SEED, 'b', 'slot')} % (SELECT max(k) FROM nd) AS g FROM (SELECT unnest(range({_STABLE_DRAWS})) AS b), (SELECT unnest(range((SELECT max(k) FROM nd))) AS slot)),
+su AS (SELECT b, sum(sxz) / sum(n) - sum(sx) / sum(n) * (sum(sz) / sum(n)) AS c FROM dr JOIN nd USING (g) GROUP BY b)
+SELECT 'temp' AS feature, round(avg(CASE WHEN abs(c) - alpha > 1e-10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS freq FROM su, st""")
+def stability_one(spark, d):
+    """Share of date-bootstrap lasso fits that keep the one column, at the penalty at which all rows would just drop it."""
+    with _one_lab(spark, d) as lab:
+        _, gram, cross, _ = lab.normal_equations(ONE_PLAN, "train", 0.0)
+        alpha = solvers.largest_alpha(solvers.centred(gram, cross)[1], 1.0)
+        return result(spark, [r.asDict() for r in stability(lab, ONE_PLAN, "train", 0.0, alpha, 1.0, _STABLE_DRAWS, SEED).collect()], "feature string, freq double")
+
+
+@query("V6_stability_selection_plan")
 def stability_selection(spark, d):
     """Share of date-bootstrap lasso fits that keep each feature; solved on the executors, one task per draw."""
     lab = open_lab(spark, d, [CANDIDATE_PLAN])

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourwise.operators import metrics, ranks, splits
+from hourwise.operators.audit import lookup
 from hourwise.operators.bootstrap import poisson_weights
-from hourwise.operators.quantiles import grouped_quantiles
+from hourwise.operators.numbering import numbered
+from hourwise.operators.quantiles import grouped_quantiles, quantiles_of_many_groups
 
 
 @pytest.fixture(scope="module")
@@ -21,16 +23,63 @@ def skewed():
 @pytest.mark.parametrize("parts", [1, 7])
 def test_grouped_quantiles_for_any_buckets(spark, skewed, buckets, parts):
     df = spark.createDataFrame(skewed).repartition(parts)
-    got = grouped_quantiles(df, ["g"], "v", {"a": 0.1, "m": 0.5, "z": 1.0}, buckets=buckets).toPandas().set_index("g")
-    for g, rows in skewed.groupby("g").v:
-        assert np.allclose(got.loc[g, ["a", "m", "z"]].astype(float), rows.quantile([0.1, 0.5, 1.0]))
-        assert got.loc[g, "n"] == len(rows)
+    shares = {"a": 0.1, "m": 0.5, "z": 1.0}
+    for found in (quantiles_of_many_groups(df, ["g"], "v", shares, buckets), grouped_quantiles(df, ["g"], "v", shares), grouped_quantiles(df, ["g"], "v", shares, most_groups=2)):
+        got = found.toPandas().set_index("g")
+        for g, rows in skewed.groupby("g").v:
+            assert np.allclose(got.loc[g, ["a", "m", "z"]].astype(float), rows.quantile([0.1, 0.5, 1.0]))
+            assert got.loc[g, "n"] == len(rows)
+
+
+def test_quantiles_narrow_down_on_any_spread(spark, monkeypatch):
+    from hourwise.operators import quantiles
+    monkeypatch.setattr(quantiles, "COUNTED", 64)                     # few bins a pass, so many passes
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(0, 1, 300), rng.normal(0, 1, 300) * 1e-12, [1e308, -1e308, 5e-324, 0.0, -0.0], np.full(200, 7.25)])
+    rows = [("x", float(v)) for v in values] + [("y", 1.5)] + [(None, float(v)) for v in values[:50]] + [("x", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {f"q{i}": i / 20 for i in range(21)}
+    got = {r["g"]: r for r in grouped_quantiles(df, ["g"], "v", shares).collect()}
+    for g, held in (("x", values), ("y", np.array([1.5])), (None, values[:50])):
+        order = np.sort(held)
+        for q, share in shares.items():
+            at = share * (len(order) - 1)
+            low, high = order[int(np.floor(at))], order[int(np.ceil(at))]
+            assert got[g][q] == pytest.approx(low + (high - low) * (at - np.floor(at)), rel=1e-12, abs=0)
+        assert got[g]["n"] == len(held)
+    assert grouped_quantiles(df.limit(0), ["g"], "v", shares).collect() == []
+    infinite = spark.createDataFrame([(1.0,), (float("inf"),), (2.0,)], "v double")
+    assert grouped_quantiles(infinite, [], "v", {"m": 0.5}).first()["m"] == 2.0
+
+
+@pytest.mark.parametrize("small", [1000, 2])
+def test_a_key_with_most_rows_does_not_go_to_one_task(spark, small):
+    rows = spark.range(20_000, numPartitions=8).select("id", F.when(F.col("id") % 10 > 0, F.lit("hot")).when(F.col("id") % 70 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"))
+    table = spark.createDataFrame([("hot", 1.0), *[(f"k{i}", float(i)) for i in range(6)]], "k string, w double")
+    found = lookup(rows, table, ["k"], small=small)
+    got = {(r["k"], r["w"]): r["count"] for r in found.groupBy("k", "w").count().collect()}
+    assert got[("hot", 1.0)] == 18_000 and sum(got.values()) == 20_000
+    assert got[(None, None)] == rows.where("k is null").count() and got.get(("k6", None), 0) == rows.where("k = 'k6'").count()
+    per_task = found.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) == 8 and max(r["count"] for r in per_task) < 3000
+    inner = lookup(rows, table, ["k"], "inner", small=small)
+    assert inner.count() == rows.where("k is not null and k <> 'k6'").count()
+
+
+def test_numbers_in_an_order_by_ranges(spark):
+    df = spark.range(5000, numPartitions=6).select((F.col("id") * 7919 % 1000).alias("v"), "id").repartition(5, "v")
+    got = numbered(df, [F.col("v").desc(), F.col("id")]).collect()
+    assert [r["row_no"] for r in sorted(got, key=lambda r: (-r["v"], r["id"]))] == list(range(1, 5001))
+    same = numbered(spark.range(400).select(F.lit(1).alias("v")), [F.col("v")], ties=F.xxhash64(F.monotonically_increasing_id()))
+    assert sorted(r["row_no"] for r in same.collect()) == list(range(1, 401))
+    assert numbered(df.limit(0), [F.col("v")]).collect() == []
 
 
 def test_global_quantile_of_few_rows(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "v double")
     for buckets in (None, 2, 9):
-        assert grouped_quantiles(df, [], "v", {"q": 0.75}, buckets=buckets).first()["q"] == 3.0
+        assert quantiles_of_many_groups(df, [], "v", {"q": 0.75}, buckets).first()["q"] == 3.0
+    assert grouped_quantiles(df, [], "v", {"q": 0.75}).first()["q"] == 3.0
 
 
 def test_average_ranks_and_running_totals(spark, skewed):
@@ -121,3 +170,20 @@ def test_auc_bootstrap_covers_the_estimate(spark):
     j = bt.interval(bt.auc_bootstrap(df.repartition(5), "y", "p", 100, 3)).first()
     auc = metrics.roc_auc(df, "y", "p").first()["auc"]
     assert i["lo"] < auc < i["hi"] and np.isclose(i["lo"], j["lo"]) and 0.01 < i["hi"] - i["lo"] < 0.08
+
+
+@pytest.mark.parametrize("mean", [1, 7, 300, 5000, 1 << 21])
+def test_poisson_counts_follow_their_mean(mean):
+    from hourwise.operators.bootstrap import poisson_counts
+    keys, draws = np.arange(200), np.arange(60)
+    got = poisson_counts(keys, np.full(200, mean), 5, draws, 60)
+    assert abs(got.mean() / mean - 1) < 4 / np.sqrt(mean * got.size) and abs(got.var() / mean - 1) < 0.06
+    assert (poisson_counts(keys[50:], np.full(150, mean), 5, draws[7:], 60) == got[50:, 7:]).all()        # by counters alone
+    assert (poisson_counts(keys[:3], np.array([0, mean, 0]), 5, draws, 60)[[0, 2]] == 0).all()
+
+
+def test_many_groups_are_numbered_without_a_window(spark):
+    df = spark.range(1_000_000, numPartitions=8).select((F.col("id") * 3).alias("g"))
+    got = splits.numbered_groups(df, "g")
+    assert got.where(F.col("group_no") * 3 != F.col("g")).count() == 0
+    assert got.agg(F.count("*"), F.min("group_no"), F.max("group_no")).first()[:] == (1_000_000, 0, 999_999)
