@@ -116,11 +116,12 @@ class Lab:
         """One model per penalty (descending)."""
         chosen, gram, cross, maps = self.normal_equations(spec, set_name, power, names, rows_of)
         G, c, x, y = solvers.centred(gram, cross)
-        out = []
-        for a, w in zip(alphas, solvers.penalised_path(G, c, alphas, rho)):
+        square, out = self.sums(rows_of or set_name).label_square(power) - y ** 2, []
+        for a, fit in zip(alphas, solvers.path_fits(G, c, alphas, rho, square)):
+            w = fit["w"]
             full = np.r_[y - x @ w, w]
             out.append(self.model(f"{name}|{a:.12g}", spec, set_name, power, full, chosen, maps, rows_of, alpha=float(a), rho=rho,
-                                  n_nonzero=int(np.sum(np.abs(w) > solvers.NONZERO))))
+                                  n_nonzero=int(np.sum(np.abs(w) > solvers.NONZERO)), gap=fit["gap"], stop=fit["stop"]))
         return out
 
     # ------------------------------------------------------------------------- scoring

@@ -237,8 +237,20 @@ class Moments:
 LARGEST = -1
 
 
-def moment_sums(rows: DataFrame, basis: Basis, powers: Sequence[float], direct: bool = False) -> DataFrame:
-    """(key, i, v) sums of a frame (key int, x array<double>, y double)."""
+STRIPE_BYTES = 1 << 26       # products that a task holds at once
+EXPANDED_ROWS = 4096         # rows whose monomials a task holds at once
+
+
+def stripes(width: int, classes: int) -> list[tuple[int, int]]:
+    """Columns lo..hi of a Gram matrix for each pass, so that the rows of products held for all classes stay within STRIPE_BYTES."""
+    size = max(1, STRIPE_BYTES // (8 * width * max(1, classes)))
+    return [(lo, min(lo + size, width)) for lo in range(0, width, size)]
+
+
+def moment_sums(rows: DataFrame, basis: Basis, powers: Sequence[float], direct: bool = False, stripe: tuple[int, int] | None = None) -> DataFrame:
+    """(key, i, v) sums of a frame (key int, x array<double>, y double): row i of the upper triangle of products, for the
+    rows of a stripe (all of them by default)."""
+    lo, hi = stripe or (0, len(basis.monomials) + len(powers) + 1)
     targets = [PowerTarget(p, "none") for p in powers]
 
     def partial(batches):
@@ -252,26 +264,30 @@ def moment_sums(rows: DataFrame, basis: Basis, powers: Sequence[float], direct:
             else:
                 total[key], top[key] = products, largest
 
-        for b in batches:
+        for b in (b.slice(at, EXPANDED_ROWS) for b in batches for at in range(0, b.num_rows, EXPANDED_ROWS)):
             y = b.column("y").to_numpy(zero_copy_only=False)
             a = np.column_stack([basis.expand(matrix_of(b.column("x"))), *[t.forward_np(y) for t in targets], y])
             key = b.column("key").to_numpy(zero_copy_only=False)
             for k in np.unique(key):
-                mine = key == k
-                add(int(k), a[mine].T @ a[mine], float(y[mine].max()))
+                mine = a[key == k]
+                add(int(k), mine[:, lo:hi].T @ mine[:, lo:], float(y[key == k].max()))
         for k, p in total.items():
             for i, row in enumerate(p):
-                yield k, i, row[i:]                     # symmetric: the upper triangle is enough
-            yield k, LARGEST, np.array([top[k]])
+                yield k, lo + i, row[i:]                # symmetric: the upper triangle is enough
+            if lo == 0:
+                yield k, LARGEST, np.array([top[k]])
 
     return sum_rows(rows, partial, LARGEST, direct)
 
 
 def collect_moments(rows: DataFrame, basis: Basis, powers: Sequence[float], tasks: int | None = None, classes: int = 1) -> dict[int, Moments]:
-    """Sums of every row class. `tasks` and `classes` say how many triangles there can be before they are merged."""
-    width = len(basis.monomials) + len(powers) + 1
-    direct = tasks is not None and is_small(tasks, 4 * width * (width + 1) * classes)
-    sums = collect_rows(moment_sums(rows, basis, powers, direct), LARGEST)
+    """Sums of every row class, in as many passes as there are stripes of columns. `tasks` and `classes` say how many triangles
+    there can be before they are merged."""
+    width, sums = len(basis.monomials) + len(powers) + 1, {}
+    for lo, hi in stripes(width, classes):
+        direct = tasks is not None and is_small(tasks, 8 * (hi - lo) * (width - lo) * classes)
+        for k, part in collect_rows(moment_sums(rows, basis, powers, direct, (lo, hi)), LARGEST).items():
+            sums.setdefault(k, {}).update(part)
     q = len(basis.monomials)
     return {k: Moments(full_matrix([r[i] for i in range(len(r) - 1)]), q, tuple(powers), float(r[LARGEST][0])) for k, r in sums.items()}
 

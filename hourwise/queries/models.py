@@ -13,7 +13,7 @@ from hourwise.plans import curvature as cv
 from hourwise.plans import solvers
 from hourwise.plans.design import Design
 from hourwise.plans.lab import Lab, split_key, split_sets
-from hourwise.plans.spec import ANCHOR, BASE, DesignSpec, append_blocks
+from hourwise.plans.spec import ANCHOR, BASE, DesignSpec, append_blocks, ladder
 from hourwise.queries.base import (CUT_DATE, DEMAND, EPOCH, FOLDS, LABELLED, SEED, demand, labelled, query, r6, rounded)
 from hourwise.session import kept
 from hourwise.sources.tables import table
@@ -308,22 +308,24 @@ def _one_column(spark, d):
 
 
 @query("M4_elastic_net", f"""WITH {_ONE_COL}, s AS (SELECT unnest([1.0, 1.0, 0.5, 0.5, 0.0])::DOUBLE AS rho, unnest([0.05, 0.5, 0.05, 0.5, 0.5])::DOUBLE AS alpha)
-SELECT rho, alpha, round(sign(c) * greatest(abs(c) - alpha * rho, 0) / (g + alpha * (1 - rho)), 6) + 0.0 AS weight FROM k, s""")
+SELECT rho, alpha, round(sign(c) * greatest(abs(c) - alpha * rho, 0) / (g + alpha * (1 - rho)), 6) + 0.0 AS weight, 0.0::DOUBLE AS gap,
+CASE WHEN rho = 0 THEN 'closed form' ELSE 'converged' END AS stop FROM k, s""")
 def elastic_net_one(spark, d):
     """Lasso, elastic net and ridge of one column: soft threshold over the curvature."""
     G, c = _one_column(spark, d)
-    rows = [{"rho": r, "alpha": a, "weight": solvers.penalised_path(G, c, [a], r)[0][0]} for r, a in ((1.0, 0.05), (1.0, 0.5), (0.5, 0.05), (0.5, 0.5), (0.0, 0.5))]
-    return result(spark, rows, "rho double, alpha double, weight double")
+    rows = [{"rho": r, "alpha": a, "weight": f["w"][0], **f} for r, a in ((1.0, 0.05), (1.0, 0.5), (0.5, 0.05), (0.5, 0.5), (0.0, 0.5)) for f in solvers.path_fits(G, c, [a], r)]
+    return result(spark, rows, "rho double, alpha double, weight double, gap double, stop string")
 
 
 @query("M5_penalty_path", f"""WITH {_ONE_COL}, s AS (SELECT unnest(range(5)) AS i), p AS (SELECT i, abs(c) * 0.001 ** (i / 4.0::DOUBLE) AS alpha, g, c FROM k, s)
-SELECT CAST(i AS INTEGER) AS i, round(alpha, 6) AS alpha, round(sign(c) * greatest(abs(c) - alpha, 0) / g, 6) + 0.0 AS weight FROM p""")
+SELECT CAST(i AS INTEGER) AS i, round(alpha, 6) AS alpha, round(sign(c) * greatest(abs(c) - alpha, 0) / g, 6) + 0.0 AS weight,
+0.0::DOUBLE AS gap, 'converged' AS stop FROM p""")
 def penalty_path_one(spark, d):
     """Penalties from the smallest all-zero one down, and the lasso weight at each."""
     G, c = _one_column(spark, d)
     alphas = solvers.penalty_grid(solvers.largest_alpha(c, 1.0), 1e-3, 5)
-    rows = [{"i": i, "alpha": a, "weight": w[0]} for i, (a, w) in enumerate(zip(alphas, solvers.penalised_path(G, c, alphas, 1.0)))]
-    return result(spark, rows, "i int, alpha double, weight double")
+    rows = [{"i": i, "alpha": a, "weight": f["w"][0], **f} for i, (a, f) in enumerate(zip(alphas, solvers.path_fits(G, c, alphas, 1.0)))]
+    return result(spark, rows, "i int, alpha double, weight double, gap double, stop string")
 
 
 def _two_groups(rows, cost, alpha=0.0):
@@ -370,35 +372,38 @@ def log_link_squares_one(spark, d):
 
 # ----------------------------------------------------------------------------- penalised and iterative fits on the demand table
 
-CANDIDATE_PLAN = append_blocks(ANCHOR.with_blocks("ws_memory", "wx_detail"), ["c_atemp", "c_instant", "c_weekday"])[0]
+# The level of the ladder that the candidate plan extends, and the blocks held back until then.
+TARGET_LEVEL = "C6_weather_detail"
+CANDIDATE_BLOCKS = ("c_atemp", "c_yr", "c_instant", "c_season", "c_mnth", "c_weekday")
+CANDIDATE_PLAN = append_blocks(dict(ladder())[TARGET_LEVEL], CANDIDATE_BLOCKS)[0]          # 298 columns and the bias
 
 
-@query("M4_elastic_net_plan")
-def elastic_net(spark, d):
-    """Lasso, elastic net and ridge at one penalty, with the largest violation of the optimality conditions."""
+def _candidate_fits(spark, d, alphas, rhos):
+    """(rho, alpha, fit, names, violation) of the candidate plan for every ratio and penalty; without alphas 40 from the smallest all-zero one."""
     with open_lab(spark, d, [CANDIDATE_PLAN]) as lab:
         names, gram, cross, _ = lab.normal_equations(CANDIDATE_PLAN, "train", POWER)
-    G, c, x, y = solvers.centred(gram, cross)
-    rows = []
-    for rho in (1.0, 0.5, 0.0):
-        alpha = 0.02
-        w = solvers.penalised_path(G, c, [alpha], rho)[0]
-        bad = solvers.violation(G, c, w, alpha, rho)
-        rows += [{"rho": rho, "feature": n, "weight": float(v), "violation": float(bad)} for n, v in zip(names[1:], w)]
-    return result(spark, rows, "rho double, feature string, weight double, violation double")
+        square = lab.sums("train").label_square(POWER) - cross[0] ** 2
+    G, c, _, _ = solvers.centred(gram, cross)
+    for rho in rhos:
+        grid = alphas if alphas is not None else solvers.penalty_grid(solvers.largest_alpha(c, rho), 1e-3, 40)
+        for a, fit in zip(grid, solvers.path_fits(G, c, grid, rho, square)):
+            yield rho, float(a), fit, names[1:], float(solvers.violation(G, c, fit["w"], float(a), rho))
+
+
+@query("M4_elastic_net_plan")
+def elastic_net(spark, d):
+    """Lasso, elastic net and ridge at one penalty, with the duality gap, the largest violation of the conditions and the stop word."""
+    rows = [{"rho": rho, "feature": n, "weight": float(v), "violation": bad, **fit} for rho, _, fit, names, bad in _candidate_fits(spark, d, [0.02], (1.0, 0.5, 0.0))
+            for n, v in zip(names, fit["w"])]
+    return result(spark, rows, "rho double, feature string, weight double, violation double, gap double, stop string")
 
 
 @query("M5_penalty_path_plan")
 def penalty_path(spark, d):
-    """Lasso path from the smallest all-zero penalty down: weights per penalty."""
-    with open_lab(spark, d, [CANDIDATE_PLAN]) as lab:
-        names, gram, cross, _ = lab.normal_equations(CANDIDATE_PLAN, "train", POWER)
-    G, c, _, _ = solvers.centred(gram, cross)
-    alphas = solvers.penalty_grid(solvers.largest_alpha(c, 1.0), 1e-3, 40)
-    W = solvers.penalised_path(G, c, alphas, 1.0)
-    rows = [{"alpha": float(a), "feature": n, "weight": float(v), "violation": bad} for a, w in zip(alphas, W)
-            for bad in [solvers.violation(G, c, w, float(a), 1.0)] for n, v in zip(names[1:], w)]
-    return result(spark, rows, "alpha double, feature string, weight double, violation double", 8)
+    """Lasso path from the smallest all-zero penalty down: weights per penalty, with their certificate."""
+    rows = [{"alpha": a, "feature": n, "weight": float(v), "violation": bad, **fit} for _, a, fit, names, bad in _candidate_fits(spark, d, None, (1.0,))
+            for n, v in zip(names, fit["w"])]
+    return result(spark, rows, "alpha double, feature string, weight double, violation double, gap double, stop string", 8)
 
 
 LOGIT_PLAN = DesignSpec(("temp", "hum", "windspeed", "workingday", "ws_2", "ws_3"))

@@ -209,22 +209,88 @@ def fitter_protocol_trees(spark, d):
     return result(spark, rows, "fitter string, r2 double, rmse double, day_r2 double, day_sd double, chrono_r2 double, chrono_mean_ratio double, delta double, lo double, hi double")
 
 
-@query("E5_complexity_ladder")
+# two columns have a closed form as well: normal equations of two centred columns
+
+TWO_PLAN, SQUARE_PLAN = DesignSpec(("temp", "windspeed")), DesignSpec(("temp",), ("temp",), 2)
+
+
+def _two_sql(x: str, tag: str) -> str:
+    """Scores of the plan (temp, x) on every part, like those of one column, as the table m{tag}."""
+    return f"""x{tag} AS (SELECT *, {x} AS q FROM role),
+a{tag} AS (SELECT m, avg(temp) AS mt, avg(q) AS mq, avg(z) AS mz, var_pop(temp) AS tt, var_pop(q) AS qq, covar_pop(temp, q) AS tq, covar_pop(temp, z) AS tz, covar_pop(q, z) AS qz, ln(1 + max(cnt)) + 1 AS cap
+  FROM x{tag} WHERE fits GROUP BY m), b{tag} AS (SELECT *, (tz * qq - qz * tq) / (tt * qq - tq * tq) AS wt, (qz * tt - tz * tq) / (tt * qq - tq * tq) AS wq FROM a{tag}),
+e{tag} AS (SELECT x{tag}.*, cap, mz + wt * (temp - mt) + wq * (q - mq) AS eta FROM x{tag} JOIN b{tag} USING (m)), f{tag} AS (SELECT m, sum((cnt + 1) * exp(eta)) / sum(exp(2 * eta)) AS s FROM e{tag} WHERE fits GROUP BY m),
+p{tag} AS (SELECT e{tag}.*, greatest(s * exp(CASE WHEN fits THEN eta ELSE least(eta, cap) END) - 1, 0) AS p FROM e{tag} JOIN f{tag} USING (m)),
+m{tag} AS (SELECT m, fits, evals, 1 - sum((cnt - p) ** 2) / (var_pop(cnt) * count(*)) AS r2, sqrt(avg((cnt - p) ** 2)) AS rmse, avg(p) AS mean_p, avg(cnt) AS mean_y FROM p{tag} WHERE fits OR evals GROUP BY m, fits, evals)"""
+
+
+def _three_sql(name: str, p: int, scores: str) -> str:
+    return f"""SELECT '{name}' AS name, {p} AS p, max(r2) FILTER (m = 'seeded' AND fits) AS train_r2, max(rmse) FILTER (m = 'seeded' AND fits) AS train_rmse, max(r2) FILTER (m = 'seeded' AND evals) AS r2,
+max(rmse) FILTER (m = 'seeded' AND evals) AS rmse, avg(r2) FILTER (m LIKE 'fold%' AND evals) AS day_r2, stddev_samp(r2) FILTER (m LIKE 'fold%' AND evals) AS day_sd, max(r2) FILTER (m = 'chrono' AND fits) AS chrono_train_r2,
+max(r2) FILTER (m = 'chrono' AND evals) AS chrono_r2, max(rmse) FILTER (m = 'chrono' AND evals) AS chrono_rmse, max(mean_p / mean_y) FILTER (m = 'chrono' AND evals) AS chrono_mean_ratio FROM {scores}"""
+
+
+_ROUNDED = "name, p, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("train_r2", "train_rmse", "r2", "rmse", "day_r2", "day_sd", "chrono_train_r2", "chrono_r2", "chrono_rmse", "chrono_mean_ratio"))
+
+
+def _levels(rows: list[dict]) -> list[dict]:
+    """Adds the place of each level, the first one within a tolerance of the best and the first over-fit one after it."""
+    target = next(i for i, r in enumerate(rows) if r["r2"] >= max(x["r2"] for x in rows) - 0.001)
+    over = next((i for i, r in enumerate(rows) if i > target and r["r2"] <= rows[target]["r2"] - 0.005 and r["train_r2"] > rows[target]["train_r2"]), None)
+    for i, r in enumerate(rows):
+        r["index"], r["is_target"], r["is_overfit"] = i, i == target, i == over
+    return rows
+
+
+@query("E5_complexity_ladder", f"""WITH {ONE_SQL}, {_two_sql('windspeed', 'w')}, l AS ({_three_sql('one', 2, 'me')} UNION ALL {_three_sql('two', 3, 'mw')}), i AS (SELECT *, CAST(p - 2 AS INTEGER) AS index, max(r2) OVER () AS top FROM l),
+t AS (SELECT min(index) AS target FROM i WHERE r2 >= top - 0.001) SELECT {_ROUNDED}, index, index = target AS is_target,
+index > target AND r2 <= (SELECT r2 FROM i, t WHERE index = target) - 0.005 AND train_r2 > (SELECT train_r2 FROM i, t WHERE index = target) AS is_overfit FROM i, t""")
+def ladder_two(spark, d):
+    """Two nested plans under three validators, with the picked and the first over-fit level."""
+    with open_lab(spark, d, [ONE_PLAN, TWO_PLAN], (0.0,)) as lab:
+        rows = three_validators(lab, {"one": (ONE_PLAN, 0.0), "two": (TWO_PLAN, 0.0)}, FOLDS, 0.0)
+    return result(spark, _levels(rows), _THREE + ", index int, is_target boolean, is_overfit boolean")
+
+
+@query("E6_degree_axis", f"WITH {ONE_SQL}, {_two_sql('temp * temp', 'q')}, l AS ({_three_sql('degree1', 2, 'me')} UNION ALL {_three_sql('degree2', 3, 'mq')}) SELECT {_ROUNDED} FROM l")
+def degrees_two(spark, d):
+    """The power of one column, 1 and 2."""
+    with open_lab(spark, d, [ONE_PLAN, SQUARE_PLAN], (0.0,)) as lab:
+        return result(spark, three_validators(lab, {"degree1": (ONE_PLAN, 0.0), "degree2": (SQUARE_PLAN, 0.0)}, FOLDS, 0.0), _THREE)
+
+
+@query("E10_encoding_ablation", f"WITH {ONE_SQL}, {_two_sql('sqrt(temp)', 'u')}, l AS ({_three_sql('linear', 2, 'me')} UNION ALL {_three_sql('with_root', 3, 'mu')}) SELECT {_ROUNDED} FROM l")
+def encodings_two(spark, d):
+    """A reading alone, and with a user's column of it."""
+    both = DesignSpec(("temp",), own=("root_temp",))
+    with open_lab(spark, d, [ONE_PLAN, both], (0.0,), own={"root_temp": F.sqrt("temp")}) as lab:
+        return result(spark, three_validators(lab, {"linear": (ONE_PLAN, 0.0), "with_root": (both, 0.0)}, FOLDS, 0.0), _THREE)
+
+
+def _gaps(rows: list[dict]) -> list[dict]:
+    """Adds leakage (seeded minus held-out days) and drift (held-out days minus later rows)."""
+    return [{**r, "leakage": r["r2"] - r["day_r2"], "drift": r["day_r2"] - r["chrono_r2"]} for r in rows]
+
+
+@query("E14_gaps", f"""WITH {ONE_SQL}, {_two_sql('windspeed', 'w')}, l AS ({_three_sql('one', 2, 'me')} UNION ALL {_three_sql('two', 3, 'mw')})
+SELECT name, round(r2, 6) AS r2, round(day_r2, 6) AS day_r2, round(chrono_r2, 6) AS chrono_r2, round(r2 - day_r2, 6) AS leakage, round(day_r2 - chrono_r2, 6) AS drift FROM l""")
+def gaps_two(spark, d):
+    """How much of a seeded score leaks from the same days, and how much is lost on later ones."""
+    with open_lab(spark, d, [ONE_PLAN, TWO_PLAN], (0.0,)) as lab:
+        rows = three_validators(lab, {"one": (ONE_PLAN, 0.0), "two": (TWO_PLAN, 0.0)}, FOLDS, 0.0)
+    return result(spark, _gaps(rows), "name string, r2 double, day_r2 double, chrono_r2 double, leakage double, drift double")
+
+
+@query("E5_complexity_ladder_plan")
 def complexity_ladder(spark, d):
-    """Eleven nested plans under three validators from one pass of sums, with the picked and the first over-fit level."""
+    """Eleven nested plans under three validators from one pass of sums, with the picked and the first over-fit level and the gaps."""
     levels = ladder()
     with open_lab(spark, d, [s for _, s in levels]) as lab:
         rows = three_validators(lab, {n: (s, POWER) for n, s in levels}, FOLDS)
-    for i, r in enumerate(rows):
-        r["index"] = i
-    target = next(i for i, r in enumerate(rows) if r["r2"] >= max(x["r2"] for x in rows) - 0.001)
-    over = next((i for i, r in enumerate(rows) if i > target and r["r2"] <= rows[target]["r2"] - 0.005 and r["train_r2"] > rows[target]["train_r2"]), None)
-    for i, r in enumerate(rows):
-        r["is_target"], r["is_overfit"] = i == target, i == over
-    return result(spark, rows, _THREE + ", index int, is_target boolean, is_overfit boolean")
+    return result(spark, _gaps(_levels(rows)), _THREE + ", index int, is_target boolean, is_overfit boolean, leakage double, drift double")
 
 
-@query("E6_degree_axis")
+@query("E6_degree_axis_plan")
 def degree_axis(spark, d):
     """Only the power changes."""
     plans = {f"degree{k}": (DesignSpec(BASE, ("temp",), k, ("wd_x_hr",)), POWER) for k in (1, 2, 3, 4, 5, 6, 8)}
@@ -268,7 +334,7 @@ def exponent_table(spark, d):
     return result(spark, rows, _THREE + ", best boolean, within_tol boolean")
 
 
-@query("E10_encoding_ablation")
+@query("E10_encoding_ablation_plan")
 def encoding_ablation(spark, d):
     """Hour dummies against a number and six harmonics, and the plan without its interaction block."""
     rest = tuple(c for c in BASE if c not in HOURS)
@@ -293,9 +359,8 @@ def penalty_curve(spark, d):
             grid = search.penalty_grid(lab, CANDIDATE_PLAN, POWER, rho, 40, ratio=1e-3)
             models[method] = lab.penalised(method, CANDIDATE_PLAN, "train", POWER, grid, rho)
         s = lab.evaluate([m for ms in models.values() for m in ms])
-        rows = [{"method": k, "alpha": m.info["alpha"], "n_nonzero": m.info["n_nonzero"], "val_r2": s.r2(m.name, "val"), "train_r2": s.r2(m.name, "train")}
-                for k, ms in models.items() for m in ms]
-    return result(spark, rows, "method string, alpha double, n_nonzero int, val_r2 double, train_r2 double")
+        rows = [{"method": k, **m.info, "val_r2": s.r2(m.name, "val"), "train_r2": s.r2(m.name, "train")} for k, ms in models.items() for m in ms]
+    return result(spark, rows, "method string, alpha double, n_nonzero int, val_r2 double, train_r2 double, gap double, stop string")
 
 
 @query("E13_method_comparison")
@@ -426,7 +491,18 @@ def out_of_fold(spark, d):
     return rounded(out.select(F.col("id").alias("instant"), F.col("y").cast("bigint").alias("cnt"), (F.col("key") % 10).alias("fold"), "pred"))
 
 
-@query("E31_stage_summary")
+@query("E31_stage_summary", f"""WITH {ONE_SQL}, {_two_sql('windspeed', 'w')}, l AS ({_three_sql('one', 2, 'me')} UNION ALL {_three_sql('two', 3, 'mw')})
+SELECT name, p, round(train_r2, 6) AS train_r2, round(r2, 6) AS r2, round(rmse, 6) AS rmse, round(day_r2, 6) AS day_r2, round(chrono_r2, 6) AS chrono_r2, round(r2 - lag(r2) OVER (ORDER BY p), 6) AS gain FROM l""")
+def stages_two(spark, d):
+    """One row per stage of two plans, with the gain over the stage before."""
+    with open_lab(spark, d, [ONE_PLAN, TWO_PLAN], (0.0,)) as lab:
+        rows = three_validators(lab, {"one": (ONE_PLAN, 0.0), "two": (TWO_PLAN, 0.0)}, FOLDS, 0.0)
+    for before, r in zip([None, *rows], rows):
+        r["gain"] = None if before is None else r["r2"] - before["r2"]
+    return result(spark, rows, "name string, p int, train_r2 double, r2 double, rmse double, day_r2 double, chrono_r2 double, gain double")
+
+
+@query("E31_stage_summary_plan")
 def stage_summary(spark, d):
     """One row per modelling stage: settings, size and scores."""
     stages = {"base": (DesignSpec(), POWER), "powers": (DesignSpec(BASE, ("temp",), 3), POWER), "anchor": (ANCHOR, POWER), "candidates": (CANDIDATE_PLAN, POWER)}
@@ -438,7 +514,19 @@ def stage_summary(spark, d):
     return result(spark, rows, "name string, settings string, p int, train_r2 double, r2 double, rmse double, day_r2 double, chrono_r2 double")
 
 
-@query("E32_plan_sweep")
+@query("E32_plan_sweep", f"""WITH {ONE_SQL}, {_two_sql('temp * temp', 'q')}, l AS (SELECT 'degree=1' AS plan, 1 AS degree, 2 AS p, r2 FROM me WHERE m = 'seeded' AND evals UNION ALL SELECT 'degree=2', 2, 3, r2 FROM mq WHERE m = 'seeded' AND evals)
+SELECT plan, degree, p, round(r2, 6) AS val_r2, degree = (SELECT min(degree) FROM l WHERE r2 >= (SELECT max(r2) FROM l) - 0.001) AS picked FROM l""")
+def sweep_two(spark, d):
+    """Two degrees of one column; the smallest within a tolerance wins."""
+    plans = {"degree=1": ONE_PLAN, "degree=2": SQUARE_PLAN}
+    with open_lab(spark, d, list(plans.values()), (0.0,)) as lab:
+        s = lab.evaluate([lab.least_squares(n, p, "train", 0.0, 0.0) for n, p in plans.items()])
+        rows = [{"plan": n, "degree": p.degree, "p": len(p.names), "val_r2": s.r2(n, "val")} for n, p in plans.items()]
+    pick = search.smallest_within(rows, "val_r2", "degree", 0.001)
+    return result(spark, [{**r, "picked": r is pick} for r in rows], "plan string, degree int, p int, val_r2 double, picked boolean")
+
+
+@query("E32_plan_sweep_plan")
 def plan_sweep(spark, d):
     """Degrees, then lists of powered columns; the smallest within a tolerance wins."""
     lists = (("temp",), ("temp", "hum"), ("temp", "hum", "windspeed"))
@@ -487,7 +575,20 @@ def drop_column_cost(spark, d):
     return result(spark, rows, _EVIDENCE)
 
 
-@query("V4_solo_score")
+@query("V4_solo_score", f"""WITH {ONE_SQL}, lg AS (SELECT c, fr.*, CASE c WHEN 'temp' THEN temp ELSE windspeed END AS x FROM fr, (SELECT unnest(['temp', 'windspeed']) AS c)),
+st AS (SELECT c, avg(x) AS xm, stddev_pop(x) AS sd, avg(z) AS zm, covar_pop(x, z) / stddev_pop(x) / 1.01::DOUBLE AS w, ln(1 + max(cnt)) + 1 AS cap FROM lg WHERE val = 0 GROUP BY c),
+e AS (SELECT lg.*, cap, zm + w * (x - xm) / sd AS eta FROM lg JOIN st USING (c)), f AS (SELECT c, sum((cnt + 1) * exp(eta)) / sum(exp(2 * eta)) AS s FROM e WHERE val = 0 GROUP BY c)
+SELECT c AS column, 1 AS n_features, round(1 - sum((cnt - greatest(s * exp(least(eta, cap)) - 1, 0)) ** 2) / (var_pop(cnt) * count(*)), 6) AS solo_r2 FROM e JOIN f USING (c) WHERE val = 1 GROUP BY c""")
+def solo_two(spark, d):
+    """Score of each of two columns alone, with a small ridge penalty."""
+    with open_lab(spark, d, [TWO_PLAN], (0.0,)) as lab:
+        models = [lab.penalised(c, TWO_PLAN, "train", 0.0, [0.01], 0.0, [c])[0] for c in TWO_PLAN.names[1:]]
+        s = lab.evaluate(models)
+        rows = [{"column": m.name.split("|")[0], "n_features": len(m.names) - 1, "solo_r2": s.r2(m.name, "val")} for m in models]
+    return result(spark, rows, "column string, n_features int, solo_r2 double")
+
+
+@query("V4_solo_score_plan")
 def solo_score(spark, d):
     """Score of the own features of each original column."""
     names = CANDIDATE_PLAN.names[1:]

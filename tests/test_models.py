@@ -295,3 +295,42 @@ def test_stored_plan_scores_as_the_lab_predicts(spark, table, lab, tmp_path):
     assert len(got) == len(want) and np.allclose(got, want[got.index], rtol=1e-7)
     with pytest.raises(Exception):                       # a plan with memory columns fails where they are missing
         scoring.score_stored(df.drop("ws_lag1"), f"{tmp_path}/m").collect()
+
+
+def test_gram_in_stripes_equals_one_pass(table, lab, monkeypatch):
+    from hourwise.plans import moments
+    whole = lab.moments
+    width = len(lab.basis.monomials) + 3
+    monkeypatch.setattr(moments, "STRIPE_BYTES", 8 * width * lab.classes * 17)          # 17 columns a pass
+    monkeypatch.setattr(moments, "EXPANDED_ROWS", 100)
+    assert len(moments.stripes(width, lab.classes)) == -(-width // 17)
+    for tasks in (lab.tasks, None):                                                     # merged directly, and by a second stage
+        again = moments.collect_moments(lab.rows, lab.basis, lab.powers, tasks, lab.classes)
+        assert again.keys() == whole.keys()
+        for k, m in again.items():
+            assert np.allclose(m.products, whole[k].products, rtol=1e-9, atol=1e-9) and m.top == whole[k].top
+
+
+@pytest.mark.parametrize("rho", [1.0, 0.4])
+def test_duality_gap_bounds_the_distance_to_the_optimum(rho):
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(300, 15))
+    X[:, 3] = X[:, 2] + rng.normal(0, 0.05, 300)
+    y = X[:, :4] @ [1.0, -0.5, 0.7, 0.0] + rng.normal(size=300)
+    X, y = X - X.mean(0), y - y.mean()
+    G, c, square, alpha = X.T @ X / 300, X.T @ y / 300, float(y @ y / 300), 0.1
+
+    def objective(w):
+        return 0.5 * np.mean((y - X @ w) ** 2) + alpha * rho * np.abs(w).sum() + alpha * (1 - rho) / 2 * (w @ w)
+    fit = solvers.elastic_net_fit(G, c, alpha, rho, label_square=square)
+    assert fit["stop"] == "converged" and fit["gap"] < 1e-9
+    for w in (np.zeros(15), fit["w"] + rng.normal(0, 0.1, 15), rng.normal(size=15)):
+        gap = solvers.duality_gap(G, c, w, alpha, rho, square)
+        assert gap >= objective(w) - objective(fit["w"]) - 1e-12 and gap > 0
+    assert [f["stop"] for f in solvers.path_fits(G, c, [1.0, 0.1], 0.0)] == ["closed form"] * 2
+    assert solvers.elastic_net_fit(np.zeros((2, 2)), np.zeros(2), 0.1, 1.0)["stop"] == "converged"
+
+
+def test_candidate_plan_has_all_columns():
+    from hourwise.queries.models import CANDIDATE_PLAN
+    assert len(CANDIDATE_PLAN.names) == 299 and {"yr", "instant", "atemp", "se_2", "mn_12", "wk_6*hr_23"} <= set(CANDIDATE_PLAN.names)

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from compare import differences, oracle
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SLOW = {"E5_complexity_ladder", "E33_penalty_rescue", "E25_label_foils", "E26_l2_sweep", "M12_boosted_trees", "M13_stacked_residual"}
+SLOW = {"E5_complexity_ladder_plan", "E33_penalty_rescue", "E25_label_foils", "E26_l2_sweep", "M12_boosted_trees_plan", "E4_fitter_protocol_trees"}
 
 
 @pytest.fixture(scope="module")
