@@ -5,8 +5,9 @@ node follows from the states of its ancestors: it is the token t that ends the p
 stay apart, i.e. merging the bytes of the two gives just these two. A depth-first walk hands the states down, so a shared
 prefix is worked out once, and the ids of a word are read backwards from state to state.
 
-Each task collects the words of a batch of documents that it does not know yet, walks their trie and keeps the ids. Known
-words are bounded in number and forgotten when full; the trie lives for one batch.
+Each task collects the words of a batch of documents that it does not know yet, walks their trie and keeps the ids with the
+bytes that they decode to. Known words are bounded in number and forgotten when full; the trie lives for one batch. A text
+decodes to the joined bytes of its ids, read as UTF-8 as a whole.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows are encoded each for itself;
 an empty table gives an empty table; columns other than `keep` and the text are not looked at."""
@@ -14,24 +15,28 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Sequence
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 from tokenizers.pre_tokenizers import ByteLevel
 
-from hourwise.llm.common import give_back, slices, texts_of, tokenizer_path, with_columns
+from hourwise.llm.common import give_back, texts_of, tokenizer_path, with_columns
 from hourwise.llm.library_codes import MARK, SPACE, byte_letters, byte_pieces
 
 # The split pattern of the byte-level vocabulary, with its white space spelled out.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 OLD = regex.compile("[\\x00-\u02ff\u2010-\u2027]+")          # classed alike in all editions of Unicode
 LETTERS = regex.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
-MOST_WORDS = 600_000
+MOST_WORDS = 450_000
 MOST_PAIRS = 300_000
-BATCH = 1024
+SLICE_ROWS, SLICE_BYTES = 1024, 1 << 22                       # documents, and bytes of them, that are worked on together
 
 
 class TrieCoder:
@@ -83,13 +88,13 @@ class TrieCoder:
         known = self.apart[pair] = self.merged(pair[0] + pair[1]) == [*pair]
         return known
 
-    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, str]:
-        """Ids of every distinct word, as decimals joined by commas.
+    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
+        """Ids of every distinct word.
 
         The trie is held as its words in order: that is the order of a depth-first walk, in which a word keeps the states
         of the path that it shares with the word before and adds those of its own nodes."""
         whole, apart, longest, id_of = self.whole, self.apart, self.longest, self.id_of
-        found: dict[bytes, str] = {}
+        found: dict[bytes, list[int]] = {}
         states, before = [b""], b""                           # states[d]: the last token of the first d bytes of the path
         for word in sorted(words):
             size, shared = len(word), 0
@@ -115,20 +120,34 @@ class TrieCoder:
                 token = states[d]
                 back.append(id_of[token])
                 d -= len(token)
-            found[word] = ",".join(map(str, reversed(back)))
+            back.reverse()
+            found[word] = back
             before = word
         return found
 
 
-class TextCoder:
-    """Ids of whole texts as decimals joined by commas, and texts of ids; pieces between spaces are remembered."""
+def decimals(ids: Sequence[int]) -> str:
+    return ",".join(map(str, ids))
+
+
+def int_bytes(ids: Sequence[int]) -> bytes:
+    return array("i", ids).tobytes()
 
-    def __init__(self, coder: TrieCoder, most: int = MOST_WORDS):
-        self.coder, self.most = coder, most
-        self.plain: dict[str, str] = {}
-        self.spaced: dict[str, str] = {}
+
+class TextCoder:
+    """Ids of whole texts, in a form that is joined piece by piece, and the bytes that these ids decode to.
+
+    Pieces between spaces are remembered with the form of their ids and with what their ids decode to, so that each distinct
+    piece is encoded, written and decoded once while it is remembered. `form` is `decimals` or `int_bytes`."""
+
+    def __init__(self, coder: TrieCoder, form: Callable[[Sequence[int]], str | bytes], most: int = MOST_WORDS):
+        self.coder, self.form, self.most = coder, form, most
+        self.between = "," if form is decimals else b""
+        self.plain: dict[str, str | bytes] = {}
+        self.spaced: dict[str, str | bytes] = {}
+        self.plain_back: dict[str, bytes] = {}
+        self.spaced_back: dict[str, bytes] = {}
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.table = {str(i): b for i, b in enumerate(coder.bytes_of)}
 
     def words(self, piece: str) -> list[str]:
         """The pre-tokens of a piece. Letters that younger editions of Unicode class differently are left to the library."""
@@ -138,43 +157,68 @@ class TextCoder:
             return SPLIT.findall(piece)
         return [piece[a:b] for _, (a, b) in self.split(piece)]
 
-    def _learn(self, plain: set[str], spaced: set[str]) -> None:
-        cut = [(known, piece, [w.encode() for w in self.words(lead + piece)])
-               for known, pieces, lead in ((self.plain, plain, ""), (self.spaced, spaced, " ")) for piece in pieces]
-        ids = self.coder.encode_words({w for _, _, words in cut for w in words})
-        for known, piece, words in cut:
-            known[piece] = ids[words[0]] if len(words) == 1 else ",".join([ids[w] for w in words])
+    def back(self, ids: Sequence[int]) -> bytes:
+        """The bytes that ids stand for."""
+        return b"".join(map(self.coder.bytes_of.__getitem__, ids))
 
-    def encode(self, texts: Sequence[str]) -> list[str]:
+    def _learn(self, plain: set[str], spaced: set[str]) -> None:
+        cut = [(known, back, piece, [w.encode() for w in self.words(lead + piece)])
+               for known, back, pieces, lead in ((self.plain, self.plain_back, plain, ""), (self.spaced, self.spaced_back, spaced, " ")) for piece in pieces]
+        ids = self.coder.encode_words({w for _, _, _, words in cut for w in words})
+        for known, back, piece, words in cut:
+            mine = ids[words[0]] if len(words) == 1 else [i for w in words for i in ids[w]]
+            known[piece], back[piece] = self.form(mine), self.back(mine)
+
+    def code(self, texts: Sequence[str], decode: bool = True) -> tuple[list, list[bytes]]:
+        """(ids, decoded bytes) of every text; without `decode` the second list is empty."""
         if len(self.plain) + len(self.spaced) > self.most:
-            self.plain.clear()
-            self.spaced.clear()
+            for known in (self.plain, self.spaced, self.plain_back, self.spaced_back):
+                known.clear()
         cut = [[byte_pieces(segment) for segment in text.split(MARK)] for text in texts]
         self._learn({p for segments in cut for a, _ in segments for p in a if p not in self.plain},
                     {p for segments in cut for _, b in segments for p in b if p not in self.spaced})
-        mark, one, two = str(self.coder.special[MARK]), self.plain.__getitem__, self.spaced.__getitem__
-        coded = []
-        for segments in cut:
-            pieces: list[str] = []
-            for k, (a, b) in enumerate(segments):
-                if k:
-                    pieces.append(mark)
-                pieces.extend(map(one, a))
-                pieces.extend(map(two, b))
-            coded.append(",".join(pieces))
-        return coded
+        mark = [self.coder.special[MARK]]
+        coded = [self.between.join(self._pieces(segments, self.plain, self.spaced, self.form(mark))) for segments in cut]
+        return coded, [b"".join(self._pieces(segments, self.plain_back, self.spaced_back, self.back(mark))) for segments in cut] if decode else []
+
+    @staticmethod
+    def _pieces(segments, plain: dict, spaced: dict, mark) -> list:
+        pieces: list = []
+        for k, (a, b) in enumerate(segments):
+            if k:
+                pieces.append(mark)
+            pieces.extend(map(plain.__getitem__, a))
+            pieces.extend(map(spaced.__getitem__, b))
+        return pieces
+
 
-    def decode(self, decimals: str) -> str:
-        return b"".join(map(self.table.__getitem__, decimals.split(","))).decode("utf-8", "replace") if decimals else ""
+def as_text(decoded: bytes) -> str:
+    """What the library makes of decoded bytes."""
+    return decoded.decode("utf-8", "replace")
 
 
-_CODERS: dict[str, TextCoder] = {}
+_CODERS: dict[tuple, TextCoder] = {}
 
 
-def text_coder(name: str) -> TextCoder:
-    if name not in _CODERS:
-        _CODERS[name] = TextCoder(TrieCoder.from_file(name))
-    return _CODERS[name]
+def text_coder(name: str, form: Callable[[Sequence[int]], str | bytes] = decimals) -> TextCoder:
+    at = (name, form.__name__)
+    if at not in _CODERS:
+        _CODERS.clear()                                   # a worker remembers the pieces of one coder
+        _CODERS[at] = TextCoder(TrieCoder.from_file(name), form)
+    return _CODERS[at]
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of bounded number and size; a longer document is a slice of its own."""
+    for batch in batches:
+        at, sizes = 0, pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        while at < batch.num_rows:
+            end, size = at + 1, sizes[at]
+            while end < batch.num_rows and end - at < SLICE_ROWS and size + sizes[end] <= SLICE_BYTES:
+                size += sizes[end]
+                end += 1
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def encode_texts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "text", keep: Sequence[str] = ("doc_id",),
@@ -188,12 +232,13 @@ def encode_texts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        coder = text_coder(tokenizer)
-        for batch in slices(batches, BATCH):
-            coded = coder.encode(texts_of(batch, "__text"))
-            columns = {"ids": [[int(i) for i in x.split(",")] if x else [] for x in coded]}
+        coder = text_coder(tokenizer, int_bytes)
+        for batch in text_slices(batches, "__text"):
+            coded, back = coder.code(texts_of(batch, "__text"), decode)
+            ends = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32)
+            columns = {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32))).cast(arrow.field("ids").type)}
             if decode:
-                columns["decoded"] = [coder.decode(x) for x in coded]
+                columns["decoded"] = [as_text(x) for x in back]
             yield with_columns(batch, keep, arrow, **columns)
         give_back()
     return source.mapInArrow(run, schema)
@@ -210,10 +255,10 @@ def code_digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
 
     def run(batches):
         coder = text_coder(tokenizer)
-        for batch in slices(batches, BATCH):
-            coded = coder.encode(texts_of(batch, "__text"))
+        for batch in text_slices(batches, "__text"):
+            coded, back = coder.code(texts_of(batch, "__text"))
             yield with_columns(batch, keep, arrow, n_tokens=[x.count(",") + 1 if x else 0 for x in coded],
                                ids_sha256=[hashlib.sha256(x.encode()).hexdigest() for x in coded],
-                               decoded_sha256=[hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in coded])
+                               decoded_sha256=[hashlib.sha256(as_text(x).encode()).hexdigest() for x in back])
         give_back()
     return source.mapInArrow(run, schema)

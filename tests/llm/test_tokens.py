@@ -1,4 +1,8 @@
 """Operators that handle token ids, held against the libraries."""
+from array import array
+
+import pyarrow as pa
+
 import hashlib
 import random
 import zlib
@@ -50,16 +54,29 @@ def test_count_query_edges(spark):
 
 def test_trie_encodes_and_decodes_as_the_library():
     coder, texts = trie_bpe.text_coder("byte_bpe_50k.json"), odd_texts(1500)
-    for text, coded in zip(texts, coder.encode(texts), strict=True):
+    for text, coded, back in zip(texts, *coder.code(texts), strict=True):
         want = ids_of(BYTES, text)
-        assert coded == ",".join(map(str, want)) and coder.decode(coded) == text == BYTES.decode(want, skip_special_tokens=False)
+        assert coded == ",".join(map(str, want)) and trie_bpe.as_text(back) == text == BYTES.decode(want, skip_special_tokens=False)
+    numbers = trie_bpe.TextCoder(coder.coder, trie_bpe.int_bytes, most=200)                   # forgets often
+    for at in range(0, len(texts), 100):
+        for text, coded in zip(texts[at:at + 100], numbers.code(texts[at:at + 100], decode=False)[0], strict=True):
+            assert list(array("i", coded)) == ids_of(BYTES, text)
+
+
+def test_slices_are_bounded_in_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(trie_bpe, "SLICE_BYTES", 10)
+    monkeypatch.setattr(trie_bpe, "SLICE_ROWS", 3)
+    texts = ["a", "b", None, "c" * 30, "", "dd", "e" * 9, "é" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    got = [b.column("t").to_pylist() for b in trie_bpe.text_slices([batch.slice(1), batch.slice(0, 0)], "t")]
+    assert got == [["b", None], ["c" * 30], ["", "dd"], ["e" * 9], ["é" * 5]]
 
 
 def test_trie_states_equal_plain_merges():
     coder = trie_bpe.text_coder("byte_bpe_50k.json").coder
     words = {w.encode() for w in ("the", "then", "thence", " thermal", "aaaaaaa", "éclair", "\n\n\n\n", "0123456789")}
-    for word, coded in coder.encode_words(words).items():
-        assert [coder.bytes_of[int(i)] for i in coded.split(",")] == coder.merged(word)
+    for word, ids in coder.encode_words(words).items():
+        assert [coder.bytes_of[i] for i in ids] == coder.merged(word)
 
 
 def test_code_digests_edges(spark):
