@@ -73,3 +73,43 @@ def test_one_row_of_each_class_stays(spark):
     assert left.columns == edges.columns
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == brute_stays([(r["doc_id"], r["text"]) for r in edges.collect()])
     assert near_copies.without_near_copies(documents_of(spark, [])).count() == 0
+
+
+def test_heavily_edited_copies_of_one_text_reach_the_classes_of_brute_force(spark):
+    """Groups of several classes that share keys: every pair of different classes is compared."""
+    rnd = random.Random(3)
+    words = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(edited(rnd, words, 3))) for k in range(400)]
+    got = sorted((r["doc_id"] for r in near_copies.without_near_copies(documents_of(spark, [(d, t, "en", "s", 1) for d, t in rows])).collect()), key=str)
+    assert got == brute_stays(rows)
+
+
+def test_near_copies_on_a_shared_template_are_found(spark, monkeypatch):
+    """Texts of one template lie at 0.78 to 0.79; the planted pairs among them lie above 0.8."""
+    rnd, rows = random.Random(6), []
+    template = [f"t{k}" for k in range(400)]
+    for k in range(250):
+        body = [f"b{rnd.randint(0, 10 ** 9)}" for _ in range(50)]
+        rows.append((k, " ".join(template + body)))
+        if k % 5 == 0:
+            rows.append((1000 + k, " ".join(template + body[:-3] + [f"c{rnd.randint(0, 10 ** 9)}" for _ in range(3)])))
+    got = sorted((r["doc_id"] for r in near_copies.without_near_copies(documents_of(spark, [(d, t, "en", "s", 1) for d, t in rows])).collect()), key=str)
+    assert got == brute_stays(rows) == sorted(range(250), key=str)
+
+
+def test_block_links_join_what_all_pairs_join():
+    import numpy as np
+
+    from hourwise.llm.components import forest
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 10 ** 9, (6, 60))
+    sets = [np.unique(np.where(rng.random(60) < 0.06, rng.integers(0, 10 ** 9, 60), base[k % 6])) for k in range(80)]
+    group, own = np.arange(80) // 2 * 2, np.arange(80) >= 20
+    i, j = near_copies.block_links(sets, own, group)
+    linked = [(a, b) for a in range(80) for b in range(80) if own[a] and group[a] != group[b] and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))]
+    inside = [(k, int(group[k])) for k in range(80)]
+
+    def joined(links):
+        a, b = np.array(links + inside).T
+        return forest(a, b)[1].tolist()
+    assert joined(list(zip(i.tolist(), j.tolist()))) == joined(linked) and len(i) < len(linked)
