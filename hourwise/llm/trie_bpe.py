@@ -34,7 +34,8 @@ from hourwise.llm.library_codes import MARK, SPACE, byte_letters, byte_pieces
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 OLD = regex.compile("[\\x00-\u02ff\u2010-\u2027]+")          # classed alike in all editions of Unicode
 LETTERS = regex.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
-MOST_WORDS = 450_000
+MOST_WORDS = 900_000                                          # pieces remembered where only digests leave the task
+MOST_WORDS_OF_IDS = 450_000                                   # where ids and texts leave it and need room
 MOST_PAIRS = 300_000
 SLICE_ROWS, SLICE_BYTES = 1024, 1 << 22                       # documents, and bytes of them, that are worked on together
 
@@ -204,7 +205,7 @@ def text_coder(name: str, form: Callable[[Sequence[int]], str | bytes] = decimal
     at = (name, form.__name__)
     if at not in _CODERS:
         _CODERS.clear()                                   # a worker remembers the pieces of one coder
-        _CODERS[at] = TextCoder(TrieCoder.from_file(name), form)
+        _CODERS[at] = TextCoder(TrieCoder.from_file(name), form, MOST_WORDS if form is decimals else MOST_WORDS_OF_IDS)
     return _CODERS[at]
 
 
