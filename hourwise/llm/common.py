@@ -26,6 +26,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def free_prefix(columns: Iterable[str]) -> str:
+    """A prefix for working columns that begins no name in `columns`, whatever the case of its letters."""
+    names, prefix = [c.lower() for c in columns], "__w"
+    while any(c.startswith(prefix) for c in names):
+        prefix += "_w"
+    return prefix + "_"
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The rows of all batches, a bounded number at a time."""
     for batch in batches:

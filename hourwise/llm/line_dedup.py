@@ -1,27 +1,30 @@
-"""Line dedup over runs of lines, with DataFrame functions only.
+"""Line dedup by winnowing over line hashes, with DataFrame functions only.
 
 The lines of a document that hold a word are numbered. Of every run of lines of at least `run_words` words that stands in two
-places, all lines of every place but the first (by doc_id, then text, then position) go; shorter runs never match. `dedup_runs`
-does this: a window is the shortest run from a line on, or up to a line, with at least `run_words` words. Which runs are windows
-depends on their lines alone, and every line of a repeated run lies in a window inside that run, so it is enough to look up each
-window by its hash. The first holder of a window is a pre-aggregated minimum joined to the later ones, one row per key, so that
-a passage that a third of all documents share costs no pairs. A deleted line stands earlier too, and its first place stays.
-
-`dedup_lines` is the older, winnowed form; no query uses it. A gram is the shortest run of lines from a line on that has at
-least `gram_words` words; of the grams that lie in a window the one with the smallest hash is selected, the first holder of each
-selected gram is joined to the later ones, and these are extended to both sides as far as their lines equal those around the
-first one. It deletes lines of every later copy of a run, but not always all of them: where the first holder shares only a
-piece of the run, the rest stays; and runs below `run_words` go or stay as their grams happen to be selected.
-
-Lines are equal when equal after trimming spaces, tabs and carriage returns; their 64-bit hashes stand for them. Defined
-results: null texts stay null, empty ones empty; lines without a word stay; of rows that repeat doc_id and text all get
-the same result; a null doc_id comes first; an empty table gives an empty table; extra columns pass unchanged whatever
-their names, and working columns start with two underscores."""
+places, all lines of every place but the first (by doc_id, then text, then position) go; shorter runs never match.
+
+A gram is the shortest run of lines from a line on that has at least `gram_words` words; a window is the shortest run from a line
+on, or up to a line, that has at least `run_words`. Every window selects the gram with the smallest hash (ties: the first) among
+those that start within its first `run_words - gram_words` words, all of which lie inside it. The choice depends on the window's
+lines alone, so equal windows select equal grams at equal spots, and every repeated run holds a selected one. A position is a
+selected gram in a document with the windows that selected it. Positions meet by gram and window: the first holder of each pair is a
+pre-aggregated minimum joined to the later ones, one row per pair, so that a passage that a third of all documents share costs
+no pairs of documents. A later position extends to both sides as far as any of its windows stands earlier, from the least first
+line to the greatest last one; these lines go. One holder per gram would not do: where the first holder shares only a piece of a
+run, the rest of the run stands first elsewhere. A deleted line stands earlier too, and its first place stays.
+
+Lines are equal when equal after trimming spaces, tabs and carriage returns; their 64-bit hashes stand for them, and windows are
+equal when the hashes of both the gram and the window are. Defined results: null texts stay null, empty ones empty; lines without a
+word stay; very long texts are read whole, their lines are rows; of rows that repeat doc_id and text all get the same result; a
+null doc_id comes first; an empty table gives an empty table; extra columns pass unchanged whatever their names, and the names of
+the two columns added can be chosen."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourwise.llm.common import free_prefix
+
 GRAM_WORDS, RUN_WORDS = 20, 50
 DOC = ["__id", "__th"]
 
@@ -43,96 +46,61 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     return one.select(*DOC, "n", "x.h", "x.w").repartition(*DOC).dropDuplicates([*DOC, "n"])
 
 
-def selected_grams(lines: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """(__id, __th, n, h, g, left, right): the selected grams, hash g, with the line hashes before and behind line n."""
-    doc = Window.partitionBy(*DOC).orderBy("n")
-    lines = lines.withColumn("o", F.sum("w").over(doc) - F.col("w")).withColumns({"next": F.lead("h").over(doc), "last": F.lag("h").over(doc), "c": F.col("o") + F.col("w")})
-    by_start, by_end = Window.partitionBy(*DOC).orderBy("o"), Window.partitionBy(*DOC).orderBy("c")
-    gram, window = by_start.rangeBetween(0, gram_words - 1), by_start.rangeBetween(0, run_words - 1)
-    lines = lines.withColumns({
-        "g": F.xxhash64(F.collect_list("h").over(gram)), "whole_gram": F.sum("w").over(gram) >= gram_words, "whole_window": F.sum("w").over(window) >= run_words,
-        "left": F.reverse(F.collect_list("last").over(by_start.rangeBetween(1 - run_words, 0))),
-        "right": F.collect_list("next").over(by_end.rangeBetween(0, run_words - 1))})
-    choice = F.min(F.when(F.col("whole_gram"), F.struct("g", "n"))).over(by_start.rangeBetween(0, run_words - gram_words))
-    chosen = F.when(F.col("whole_window"), choice["n"])
-    lines = lines.withColumn("chosen", chosen)
-    # line n was chosen by itself or by one of the lines whose windows reach it
-    by = F.array_contains(F.collect_set("chosen").over(by_start.rangeBetween(gram_words - run_words, 0)), F.col("n"))
-    return lines.withColumn("selected", by).where("selected").select(*DOC, "n", "h", "g", "left", "right")
-
-
-def equal_ahead(a: str, b: str) -> Column:
-    """How many leading entries of two arrays are equal."""
-    differs = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    return F.when(differs == 0, F.least(F.size(a), F.size(b))).otherwise(differs - 1).cast("int")
-
-
-def repeated_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """(__id, __th, gone): the sorted numbers of the lines to delete, for documents that have any."""
-    grams = selected_grams(numbered_lines(docs), gram_words, run_words)
-    place = F.struct("__id", "__th", "n")
-    first = (grams.groupBy("g").agg(F.min(F.struct(*place_columns(), "h", "left", "right")).alias("f"), F.count("*").alias("times"))
-             .where("times > 1").select("g", F.struct("f.__id", "f.__th", "f.n").alias("f_place"), F.col("f.h").alias("f_h"), F.col("f.left").alias("f_left"), F.col("f.right").alias("f_right")))
-    later = grams.join(first, "g").where((F.col("h") == F.col("f_h")) & (place != F.col("f_place")) & (F.col("f_place") < place))
-    runs = later.select(*DOC, (F.col("n") - equal_ahead("left", "f_left")).alias("a"), (F.col("n") + equal_ahead("right", "f_right")).alias("b"))
-    gone = runs.select(*DOC, F.explode(F.sequence("a", "b")).alias("n"))
-    return gone.groupBy(*DOC).agg(F.sort_array(F.collect_set("n")).alias("gone"))
-
-
-def place_columns() -> list[Column]:
-    return [F.col("__id"), F.col("__th"), F.col("n")]
-
-
-def windows(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """(__id, __th, a, b, h, g): the windows a..b of `lines`, each once; h is the hash of the first line, g that of all lines."""
+def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """(__id, __th, p, g, a, b, run): the windows a..b of `lines`, each once, with their hash and the gram they select: line p, hash g."""
     doc = Window.partitionBy(*DOC).orderBy("n")
     lines = lines.withColumn("c", F.sum("w").over(doc)).withColumn("o", F.col("c") - F.col("w"))
-    ahead = Window.partitionBy(*DOC).orderBy("o").rangeBetween(0, run_words - 1)
-    back = Window.partitionBy(*DOC).orderBy("c").rangeBetween(1 - run_words, 0)
-    found = lines.select(*DOC, "n", "w", F.collect_list("h").over(ahead).alias("ahead"), F.sum("w").over(ahead).alias("ahead_w"),
-                         F.collect_list("h").over(back).alias("back"), F.sum("w").over(back).alias("back_w"))
+    by_start, by_end = Window.partitionBy(*DOC).orderBy("o"), Window.partitionBy(*DOC).orderBy("c")
+    gram, ahead = by_start.rangeBetween(0, gram_words - 1), by_start.rangeBetween(0, run_words - 1)
+    grams = lines.withColumns({"gram": F.when(F.sum("w").over(gram) >= gram_words, F.struct(F.xxhash64(F.collect_list("h").over(gram)).alias("g"), F.col("n").alias("p"))),
+                               "ahead": F.collect_list("h").over(ahead), "ahead_w": F.sum("w").over(ahead)})
+    picked = grams.withColumn("pick", F.min("gram").over(by_start.rangeBetween(0, run_words - gram_words)))
+    # a run up to line n holds the window from its first line on, and with it that window's gram
+    back = by_end.rangeBetween(1 - run_words, 0)
+    found = picked.select(*DOC, "n", "w", "pick", "ahead", "ahead_w", F.first("pick").over(back).alias("back_pick"),
+                          F.collect_list("h").over(back).alias("back"), F.sum("w").over(back).alias("back_w"))
+
+    def window(pick: str, first: Column, last: Column, hashes: str) -> Column:
+        return F.struct(F.col(pick)["p"].alias("p"), F.col(pick)["g"].alias("g"), first.alias("a"), last.alias("b"), F.xxhash64(hashes).alias("run"))
+    n = F.col("n")
     # a run up to line n that is also the shortest from its first line on is there already
-    spans = F.array(F.when(F.col("ahead_w") >= run_words, F.struct(F.col("n").alias("a"), (F.col("n") + F.size("ahead") - 1).alias("b"), F.col("ahead")[0].alias("h"), F.xxhash64("ahead").alias("g"))),
-                    F.when(F.col("back_w") - F.col("w") >= run_words, F.struct((F.col("n") - F.size("back") + 1).alias("a"), F.col("n").alias("b"), F.col("back")[0].alias("h"), F.xxhash64("back").alias("g"))))
+    spans = F.array(F.when(F.col("ahead_w") >= run_words, window("pick", n, n + F.size("ahead") - 1, "ahead")),
+                    F.when(F.col("back_w") - F.col("w") >= run_words, window("back_pick", n - F.size("back") + 1, n, "back")))
     return found.select(*DOC, F.inline(F.filter(spans, lambda x: x.isNotNull())))
 
 
-def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """(__id, __th, gone): the sorted numbers of the lines that stand in later copies of runs of `run_words` words or more."""
-    spans = windows(numbered_lines(docs), run_words)
-    first = (spans.groupBy("g", "h").agg(F.min(F.struct("__id", "__th", "a")).alias("f_place"), F.count("*").alias("times"))
+def extended_matches(prints: DataFrame) -> DataFrame:
+    """(__id, __th, p, a, b): the positions whose windows stand earlier, extended to both sides as far as these reach."""
+    place = F.struct("__id", "__th", "p")
+    first = (prints.groupBy("g", "run").agg(F.min(place).alias("first_place"), F.count("*").alias("times"))
              .where("times > 1").drop("times"))
-    later = spans.join(first, ["g", "h"]).where(F.col("f_place") < F.struct("__id", "__th", "a"))
-    numbers = F.flatten(F.transform(F.collect_list(F.struct("a", "b")), lambda x: F.sequence(x["a"], x["b"])))
-    return later.groupBy(*DOC).agg(F.sort_array(F.array_distinct(numbers)).alias("gone"))
+    later = prints.join(first, ["g", "run"]).where(F.col("first_place") < place)
+    return later.select(*DOC, "p", "a", "b").repartition(*DOC).groupBy(*DOC, "p").agg(F.min("a").alias("a"), F.max("b").alias("b"))
 
 
-def dedup_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """The documents without the later copies of runs in `text`, and `__lines`, `__gone` (numbers of deleted lines with words)."""
-    return _without(docs, repeated_runs(docs, run_words))
-
-
-def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """Like dedup_runs, by the winnowed form."""
-    return _without(docs, repeated_lines(docs, gram_words, run_words))
+def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
+    """(__id, __th, gone): the sorted numbers of the lines that stand in later copies of runs of `run_words` words or more."""
+    runs = extended_matches(fingerprints(numbered_lines(docs), gram_words, run_words))
+    numbers = F.flatten(F.transform(F.collect_list(F.struct("a", "b")), lambda x: F.sequence(x["a"], x["b"])))
+    return runs.groupBy(*DOC).agg(F.sort_array(F.array_distinct(numbers)).alias("gone"))
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    gone = gone.select(F.col("__id").alias("__g_id"), F.col("__th").alias("__g_th"), F.col("gone").alias("__g_gone"))
-    marked = docs.withColumn("__th", F.xxhash64("text"))
-    joined = marked.join(gone, (F.col("__th") == F.col("__g_th")) & F.col("doc_id").eqNullSafe(F.col("__g_id")), "left")
-    lines = _lines(F.col("text"))
+def dedup_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS, lines: str = "__lines", gone: str = "__gone") -> DataFrame:
+    """The documents without the later copies of runs in `text`, and two columns: `lines`, how many lines hold a word, and `gone`, the
+    numbers of those deleted."""
+    repeated, own = repeated_runs(docs, run_words, gram_words), free_prefix(docs.columns)
+    th, g_id, g_th, g, every, full, ends = (own + n for n in ("th", "g_id", "g_th", "g", "all", "full", "ends"))
+    repeated = repeated.select(F.col("__id").alias(g_id), F.col("__th").alias(g_th), F.col("gone").alias(g))
+    marked = docs.withColumn(th, F.xxhash64("text"))
+    joined = marked.join(repeated, (F.col(th) == F.col(g_th)) & F.col("doc_id").eqNullSafe(F.col(g_id)), "left")
     # positions of the deleted lines among all lines, with the ends of the text on both sides; what stays are the slices between
-    full = F.filter(F.transform(lines, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
-    spots = F.transform("__g_gone", lambda k: F.element_at(F.col("__full"), k + 1))
-    ends = F.concat(F.array(F.lit(-1)), spots, F.array(F.size("__all")))
-    stays = F.flatten(F.transform(F.sequence(F.lit(1), F.size("__ends") - 1), lambda k: F.slice(F.col("__all"), F.element_at(F.col("__ends"), k) + 2,
-                                                                                              F.element_at(F.col("__ends"), k + 1) - F.element_at(F.col("__ends"), k) - 1)))
-    changed = F.col("__g_gone").isNotNull()
-    work = (joined.withColumns({"__all": lines, "__full": full}).withColumn("__ends", F.when(changed, ends))
+    with_word = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
+    spots = F.transform(g, lambda k: F.element_at(F.col(full), k + 1))
+    stays = F.flatten(F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda k: F.slice(
+        F.col(every), F.element_at(F.col(ends), k) + 2, F.element_at(F.col(ends), k + 1) - F.element_at(F.col(ends), k) - 1)))
+    changed = F.col(g).isNotNull()
+    work = (joined.withColumns({every: _lines(F.col("text")), full: with_word})
+            .withColumn(ends, F.when(changed, F.concat(F.array(F.lit(-1)), spots, F.array(F.size(every)))))
             .withColumn("text", F.when(changed, F.array_join(stays, "\n")).otherwise(F.col("text"))))
     plain = [F.col(f"`{c}`") for c in docs.columns]
-    return work.select(*plain, F.coalesce(F.size("__full"), F.lit(0)).alias("__lines"), F.coalesce("__g_gone", F.array().cast("array<int>")).alias("__gone"))
-
-
-__all__ = ["dedup_runs", "repeated_runs", "windows", "dedup_lines", "repeated_lines", "selected_grams", "numbered_lines", "equal_ahead"]
+    return work.select(*plain, F.coalesce(F.size(full), F.lit(0)).alias(lines), F.coalesce(g, F.array().cast("array<int>")).alias(gone))

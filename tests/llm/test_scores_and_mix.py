@@ -184,4 +184,4 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
 
 
 def test_every_query_is_registered():
-    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(queries.QUERIES) and len(queries.QUERIES) == 13
