@@ -86,22 +86,16 @@ def op4_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return trie_bpe.code_digests(documents(spark, folder))
 
 
-_MIX_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS k, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size,
-  CAST(('0x' || substr(md5('20_' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) AS u FROM documents),
-e AS (SELECT *, CASE WHEN size <= 0 THEN -1 ELSE 4 * (length(bin(size)) - 1) + CAST(floor(size * 4 / pow(2.0::DOUBLE, length(bin(size)) - 1)) AS INTEGER) - 4 END AS c FROM d),
+_MIX_SQL = f"""WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS k, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size,
+  (CAST(('0x' || substr(md5('20_' || coalesce(CAST(doc_id AS VARCHAR), '') || '_' || coalesce(text, '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
 g AS (SELECT k, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY k),
 h AS (SELECT *, CASE (row_number() OVER (ORDER BY k = '', k) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM g),
 r AS (SELECT *, sum(s) OVER () AS all_s, sum(w) OVER () - sum(w) OVER o + w AS w_from, 2.0::DOUBLE * (sum(s) OVER o - s) AS before FROM h WINDOW o AS (ORDER BY s / w, k)),
 v AS (SELECT *, (1.5::DOUBLE * all_s - before) / w_from AS level FROM r),
 t0 AS (SELECT *, max(CASE WHEN w * level < 2.0::DOUBLE * s THEN level END) OVER () AS m FROM v),
 t AS (SELECT k, s, CASE WHEN w * level >= 2.0::DOUBLE * s THEN 2.0::DOUBLE * s ELSE w * m END AS target, CASE WHEN w * level >= 2.0::DOUBLE * s OR s = 0 THEN 2.0::DOUBLE ELSE w * m / s END AS rate FROM t0),
-q AS (SELECT k, c, count(*) AS n, CAST(sum(size) AS DOUBLE) AS words, row_number() OVER (PARTITION BY k ORDER BY c DESC) AS i FROM e GROUP BY k, c),
-z AS (SELECT k, c, n, words, i, rate - floor(rate) AS f FROM q JOIN t USING (k)),
-a AS (SELECT k, 0::BIGINT AS i, -9 AS c, 0.0::DOUBLE AS carry, 0.0::DOUBLE AS draws FROM t UNION ALL
-  SELECT z.k, z.i, z.c, CASE WHEN words = 0 THEN words * f + carry ELSE words * f + carry - greatest(0.0::DOUBLE, least(n::DOUBLE, floor((words * f + carry) / (words / n) + 0.5::DOUBLE))) * (words / n) END,
-  CASE WHEN words = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(n::DOUBLE, floor((words * f + carry) / (words / n) + 0.5::DOUBLE))) END FROM a JOIN z ON z.k = a.k AND z.i = a.i + 1),
-p AS (SELECT *, row_number() OVER (PARTITION BY k, c ORDER BY u, doc_id) AS place FROM e)
-SELECT doc_id, size, s AS source_size, target, CAST((floor(rate) + CASE WHEN place <= draws THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM p JOIN t USING (k) JOIN a ON a.k = p.k AND a.c = p.c"""
+p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY k ORDER BY CASE WHEN size > 0 THEN u / ((1 - u) * size) END NULLS FIRST, u ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS filled FROM d)
+SELECT doc_id, size, s AS source_size, target, CAST((floor(rate) + CASE WHEN size > 0 AND filled + size / 2.0::DOUBLE <= target - floor(rate) * s THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM p JOIN t USING (k)"""
 
 
 @query("op5_source_mix", _MIX_SQL)

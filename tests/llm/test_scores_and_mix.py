@@ -1,4 +1,5 @@
 """Classifiers on held-out rows, repetition rules and mixing against brute force, the pipeline on planted cases."""
+import hashlib
 import random
 import re
 import zlib
@@ -90,6 +91,68 @@ def test_mix_meets_targets(spark, sf):
     assert mixing.mix(documents_of(spark, [])).count() == 0
 
 
+def brute_taken(rows, targets, seed=20):
+    """(doc_id, size, words taken) by ordering each source's documents by their Pareto ranks."""
+    of_source, out = defaultdict(list), Counter()
+    for d, t, s in rows:
+        size = len(WORD.findall(t or ""))
+        u = (int(hashlib.md5(f"{seed}_{'' if d is None else d}_{t or ''}".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
+        of_source[s].append((u / ((1 - u) * size) if size else -1.0, u, size, d))
+    for s, docs in of_source.items():
+        whole = sum(x[2] for x in docs)
+        copies = int(targets[s] // whole) if whole else 0
+        rest, filled = targets[s] - copies * whole, 0
+        for _, _, size, d in sorted(docs, key=lambda x: x[:3]):
+            out[d, size, size * (copies + (size > 0 and filled + size / 2 <= rest))] += 1
+            filled += size
+    return out
+
+
+@pytest.mark.parametrize("kind", ["distinct", "null ids", "one id", "equal rows", "half equal rows"])
+def test_mix_equals_brute_force_whatever_the_ids(spark, kind):
+    rnd, rows = random.Random(3), []
+    for s in ("a", "b", None):
+        for k in range(400):
+            text = " ".join(f"{s}{rnd.randint(0, 999)}" for _ in range(rnd.choice([1, 4, 10, 25])))
+            d = len(rows)
+            if kind == "equal rows" or kind == "half equal rows" and k % 2:
+                d, text = None, "ten equal words of every row in one and all"
+            rows.append((None if kind == "null ids" else 7 if kind == "one id" else d, text, s))
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    targets = allocated(sizes)
+    docs = documents_of(spark, [(d, t, "en", s, 1) for d, t, s in rows])
+    got = mixing.mix(docs.repartition(5), keep=["doc_id", "source"]).collect()
+    assert Counter((r["doc_id"], r["__size"], r["__copies"] * r["__size"]) for r in got) == brute_taken(rows, targets)
+    with_text = mixing.mix(docs)
+    assert Counter((r["doc_id"], r["source"], r["__copies"]) for r in with_text.collect()) == Counter((r["doc_id"], r["source"], r["__copies"]) for r in got)
+    taken = defaultdict(int)
+    for r in got:
+        taken[r["source"]] += r["__copies"] * r["__size"]
+    assert all(abs(taken[s] - targets[s]) <= 12.5 for s in sizes)              # half of the longest text
+
+
+def test_inclusion_odds_grow_with_size(spark):
+    """Over many seeds a document of four times the size has four times the odds of its extra copy."""
+    rnd = random.Random(5)
+    docs = documents_of(spark, [(k, " ".join(f"w{rnd.randint(0, 99)}" for _ in range(4 if k % 2 else 16)), "en", "ab"[k % 4 // 2], 1) for k in range(2000)]).cache()
+    drawn = Counter()
+    for seed in range(6):
+        got = mixing.mix(docs, weights=(1.0, 1.0), total=0.5, seed=seed, keep=["doc_id"])
+        drawn.update({(r["__size"], r["__copies"]): r["n"] for r in got.groupBy("__size", "__copies").agg(F.count("*").alias("n")).collect()})
+    odds = {s: drawn[s, 1] / drawn[s, 0] for s in (4, 16)}
+    assert 3.5 < odds[16] / odds[4] < 4.6
+
+
+def test_mix_with_columns_named_like_working_ones(spark):
+    names = ["__size", "__wkey", "__W_rank", "key", "row", "no", "first", "_spot", "_part"]
+    docs = documents_of(spark, [(None, "equal words", "en", f"s{k % 2}", 1) for k in range(30)]).withColumns({c: F.lit(f"own {c}") for c in names})
+    got = mixing.mix(docs, marks=("a", "b", "c", "d")).collect()
+    assert len(got) == 30 and all(r[c] == f"own {c}" for r in got for c in names) and {r["a"] for r in got} == {2}
+    assert sum(r["d"] for r in got) == 45
+
+
 def test_mix_keeps_clashing_columns(spark):
     docs = edge_documents(spark)
     mixed = mixing.mix(docs)
