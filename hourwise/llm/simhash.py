@@ -4,7 +4,8 @@ Fingerprints are cut into four words of 16 bits; the population counts of the fo
 fingerprints within r differing bits have tiles whose counts differ by r at most in sum, so all other pairs of tiles are
 skipped without reading them. Every tile meets itself and the tiles that follow it within that distance (64 of the 128
 around it for r = 3): its task gets its own fingerprints and theirs, and compares blocks of them by numpy exclusive-or and
-bit counts, skipping blocks whose whole population counts lie further apart.
+bit counts, skipping blocks whose whole population counts lie further apart. Tiles are counted first: one with more than
+`most` fingerprints of its own or of those it meets is dealt into parts by a hash, and every pair of parts is a task of its own.
 
 A task returns a spanning forest of its links, not the links: a dense group of n fingerprints costs n rows. Components come
 from the union of the forests. Equal fingerprints are one row before any comparison.
@@ -28,7 +29,10 @@ from hourwise.llm.common import give_back, slices, texts_of
 from hourwise.llm.components import components
 from hourwise.session import cut_lineage
 
-WORDS = 4                    # words of 16 bits that a fingerprint is cut into
+WORDS = 4                    # words that a fingerprint is cut into
+WIDTH = 64 // WORDS
+SENT_TILES = 1 << 20         # tiles there can be at all, up to which a table of tiles is sent to all tasks
+MOST = 1 << 17               # fingerprints of a tile, and fingerprints that it meets, in one task
 BLOCK_ROWS, BLOCK_COLUMNS = 256, 2048
 SEED = 42
 
@@ -101,8 +105,8 @@ def near_pairs(home: np.ndarray, others: np.ndarray, radius: int) -> Iterator[tu
                 yield x + i, y + j
 
 
-def forest(fps: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tree links (fingerprint, root) of the near pairs of a tile: own with own, and own with visitors."""
+def forest(fps: np.ndarray, own: np.ndarray, radius: int, own_pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Tree links (fingerprint, root) of the near pairs of a tile: own with visitors and, with `own_pairs`, own with own."""
     order = np.lexsort((np.bitwise_count(fps), ~own))              # own first, each part by population count
     fps, own = fps[order], own[order]
     n, h = len(fps), int(own.sum())
@@ -113,7 +117,7 @@ def forest(fps: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, n
         if held:
             a, b = np.concatenate([*held_a, np.arange(n)]), np.concatenate([*held_b, label])
             label, held_a, held_b, held = merged_labels(n, a, b), [], [], 0
-    for shift, others in ((0, fps[:h]), (h, fps[h:])):
+    for shift, others in ((0, fps[:h]), (h, fps[h:]))[not own_pairs:]:
         for x, y in near_pairs(fps[:h], others, radius):
             y = y + shift
             fresh = label[x] != label[y]
@@ -129,34 +133,67 @@ def forest(fps: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, n
 
 
 def tile_of(fp: Column) -> list[Column]:
-    return [F.bit_count(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("bigint"))).cast("int") for k in range(WORDS)]
+    mask = F.lit((1 << WIDTH) - 1).cast("bigint")
+    return [F.bit_count(F.shiftrightunsigned(fp, WIDTH * k).bitwiseAND(mask)).cast("int") for k in range(WORDS)]
 
 
-def near_links(groups: DataFrame, radius: int = 3) -> DataFrame:
-    """Forest links (a, b) between distinct fingerprints fp of `groups`."""
+def in_tiles(rows: DataFrame, radius: int) -> DataFrame:
+    """The rows, which hold a tile as array t, once for each tile they take part in: `tile`, and `own` where it is t itself."""
     steps = F.array(*[F.array(*[F.lit(x) for x in d]) for d in steps_within(radius)])
-    moved = groups.select("fp", F.array(*tile_of(F.col("fp"))).alias("t"), F.explode(steps).alias("d"))
+    moved = rows.withColumn("d", F.explode(steps))
     # a fingerprint goes to the tile at t - d, so that a tile meets those that follow it
-    spot = [F.col("t")[k] - F.col("d")[k] for k in range(WORDS)]
-    tile, inside = F.lit(0), F.lit(True)
-    for s in spot:
-        tile, inside = tile * 17 + s, inside & s.between(0, 16)
-    moved = moved.where(inside).select(tile.alias("tile"), "fp", F.forall("d", lambda x: x == 0).alias("own"))
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
+    tile, inside = F.lit(0).cast("bigint"), F.lit(True)
+    for k in range(WORDS):
+        spot = F.col("t")[k] - F.col("d")[k]
+        tile, inside = tile * (WIDTH + 1) + spot, inside & spot.between(0, WIDTH)
+    return moved.where(inside).select(tile.alias("tile"), F.forall("d", lambda x: x == 0).alias("own"), *[c for c in rows.columns if c != "t"])
+
+
+def parts_of_tiles(tiled: DataFrame, radius: int, most: int) -> DataFrame:
+    """tile, homes, guests: into how many parts the own and the visiting fingerprints of a busy tile are dealt."""
+    counted = in_tiles(tiled.groupBy("t").agg(F.count("*").alias("n")), radius)
+    sums = counted.groupBy("tile").agg(F.sum(F.when(F.col("own"), F.col("n"))).alias("home"), F.sum(F.when(~F.col("own"), F.col("n"))).alias("guest"))
+    parts = sums.where(F.col("home") > 0).select("tile", *[F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / most)).cast("int").alias(f"{n}s") for n in ("home", "guest")])
+    busy = parts.where("homes > 1 OR guests > 1")
+    return F.broadcast(busy) if (WIDTH + 1) ** WORDS <= SENT_TILES else busy
+
+
+def near_links(groups: DataFrame, radius: int = 3, most: int = MOST) -> DataFrame:
+    """Forest links (a, b) between distinct fingerprints fp of `groups`.
+
+    Task (tile, home, guest) compares part `home` of the tile's own fingerprints with part `guest` of its visitors; part 0 of the
+    visitors comes with the pairs inside `home`, and parts from `guests` on are the tile's own parts after `home`."""
+    tiled = groups.select("fp", F.array(*tile_of(F.col("fp"))).alias("t"))
+    moved = in_tiles(tiled, radius).join(parts_of_tiles(tiled, radius, most), "tile", "left").select(
+        "tile", "fp", "own", F.coalesce("homes", F.lit(1)).alias("homes"), F.coalesce("guests", F.lit(1)).alias("guests"))
+    home, guest = (F.pmod(F.xxhash64("fp"), F.col(n)).cast("int") for n in ("homes", "guests"))
+
+    def spot(at_home, at_guest, own):
+        return F.struct(at_home.cast("int").alias("home"), at_guest.cast("int").alias("guest"), F.lit(own).alias("own"))
+
+    def below(n):                                          # 0 .. n - 1, nothing for 0
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    as_home = F.transform(below(F.col("guests") + F.col("homes")), lambda g: spot(home, g, True))
+    as_home = F.filter(as_home, lambda x: (x["guest"] < F.col("guests")) | (x["guest"] - F.col("guests") > home))
+    to_own_parts = F.transform(below(home), lambda h: spot(h, F.col("guests") + home, False))
+    as_guest = F.transform(below(F.col("homes")), lambda h: spot(h, guest, False))
+    spots = F.when(F.col("own"), F.concat(as_home, to_own_parts)).otherwise(as_guest)
+    dealt = moved.select("tile", "fp", F.explode(spots).alias("x")).select("tile", "fp", "x.home", "x.guest", "x.own")
+
+    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         own = part["own"].to_numpy(bool)
         if not own.any():
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = forest(part["fp"].to_numpy().view(np.uint64), own, radius)
+        a, b = forest(part["fp"].to_numpy().view(np.uint64), own, radius, own_pairs=key[2] == 0)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-    return moved.groupBy("tile").applyInPandas(compare, "a bigint, b bigint")
+    return dealt.groupBy("tile", "home", "guest").applyInPandas(compare, "a bigint, b bigint")
 
 
-def near_classes(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+def near_classes(docs: DataFrame, shingle: int = 3, radius: int = 3, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id of every document."""
     prints = cut_lineage(fingerprints(docs, shingle))
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = components(near_links(groups, radius)).withColumnRenamed("node", "fp")
+    linked = components(near_links(groups, radius, most)).withColumnRenamed("node", "fp")
     groups = groups.join(linked, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
     named = groups.join(smallest, "component").select("fp", "component_id")
