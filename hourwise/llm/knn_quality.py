@@ -7,7 +7,7 @@ and labels go to all workers (bounded: `most_rows` rows of `rank` numbers); each
 computed exactly in blocks, and the `neighbours` nearest vote with their similarity.
 
 Defined results: null and empty texts get the terms of a text of no words; a document without doc_id is never learned from;
-of several labels of a doc_id the highest counts; without labels every score is 0.5; other columns are not looked at."""
+of several labels of a doc_id the highest counts, of several rows the one with the smallest hash of its text; without labels every score is 0.5; other columns are not looked at."""
 from __future__ import annotations
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructType
 
 from hourwise.llm.common import slices, texts_of, with_columns
-from hourwise.llm.toxicity import Hashes, TOKEN, sampled_labels
+from hourwise.llm.toxicity import Hashes, TOKEN, sampled_labels, sampled_rows
 
 WORD_TERMS = 2048
 KINDS = np.zeros(256, np.uint8)          # character classes of bytes
@@ -76,10 +76,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Column | None = None, most_rows: int = 6000, rank: int = 64) -> dict | None:
     """Rarity of the word terms, the latent directions, and vectors and labels of the sample; None without labels."""
     chosen = sampled_labels(labels, label, F.lit(True) if train is None else train, most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")       # at most most_rows rows of two numbers
+    rows = sampled_rows(docs, chosen)
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "text"])
+        part = part.sort_values("doc_id")
         x = term_counts([t or "" for t in part["text"]])
         rarity = np.log((1 + len(x)) / (1 + (x[:, :WORD_TERMS] > 0).sum(0))).astype(np.float32)
         x = weighted(x, rarity)

@@ -5,6 +5,7 @@ has its own learning rate (from its summed squared gradients) and a one-norm thr
 zero, so the model is a short list of (place, weight) that fits any worker.
 
 Training takes at most `most_rows` labelled documents, those with the smallest hash of doc_id; this bound is a parameter.
+Of several rows of a doc_id one is learned from: that with the smallest hash of its text.
 They are dealt into groups of about `shard_rows`; each runs the rule over its rows several times, and the weights are
 averaged on the executors. Scoring is one map over all documents.
 
@@ -91,16 +92,22 @@ def sampled_labels(labels: DataFrame, label: str, train: Column, most_rows: int)
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
 
 
+def sampled_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, y and text: one row for each doc_id of `chosen` that `docs` has, however often it repeats."""
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")      # a bounded table of two numbers a row
+    found = joined.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    return found.select("doc_id", "y", F.col("one.text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None, most_rows: int = 24_000,
         shard_rows: int = 8_000, passes: int = 6, alpha: float = 4.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(places, weights); place `BIAS` is the bias. `train`: condition on doc_id for rows that may be learned from."""
     chosen = sampled_labels(labels, label, F.lit(True) if train is None else train, most_rows)
     shards = max(1, -(-chosen.count() // shard_rows))
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")      # at most most_rows rows of two numbers
-            .select("doc_id", "text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")))
+    rows = sampled_rows(docs, chosen).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
 
     def examples(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "text"])
+        part = part.sort_values("doc_id")
         order = np.random.default_rng(0).permutation(len(part))
         text, y, found = part["text"].tolist(), part["y"].to_numpy(float), []
         for k in order:

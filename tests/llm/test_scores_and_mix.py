@@ -194,6 +194,19 @@ def test_toxicity_and_quality_on_rows_held_out(spark):
     assert dict(zip(*map(np.ndarray.tolist, again))) == dict(zip(*map(np.ndarray.tolist, model)))
 
 
+def test_a_doc_id_that_repeats_is_learned_from_once(spark):
+    """A third of all rows hold one labelled doc_id: the sample has one row of it, and the smallest hash of the text decides."""
+    rows, labels = planted(300)
+    docs, marks = documents_of(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    chosen = toxicity.sampled_labels(marks, "toxic", F.lit(True), 200)
+    hot = chosen.first()["doc_id"]
+    many = docs.unionByName(documents_of(spark, [(hot, f"copy {k % 40}", "en", "s", 1) for k in range(150)]))
+    got = {r["doc_id"]: r["text"] for r in toxicity.sampled_rows(many, chosen).collect()}
+    assert toxicity.sampled_rows(many, chosen).count() == 200 == len(got)
+    assert got[hot] == many.where(F.col("doc_id") == hot).orderBy(F.xxhash64("text")).first()["text"]
+    assert all(got[r[0]] == r[1] for r in rows if r[0] in got and r[0] != hot)
+
+
 def test_votes_are_exact_cosines():
     rng = np.random.default_rng(0)
     x, y, labels = knn_quality.unit(rng.normal(size=(40, 8))), knn_quality.unit(rng.normal(size=(100, 8))), rng.integers(0, 2, 100).astype(float)
