@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -32,11 +33,11 @@ from hourwise.llm.library_codes import MARK, SPACE, byte_letters, byte_pieces
 
 # The split pattern of the byte-level vocabulary, with its white space spelled out.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-OLD = regex.compile("[\\x00-\u02ff\u2010-\u2027]+")          # classed alike in all editions of Unicode
-LETTERS = regex.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
+OLD = re.compile("[\\x00-\u02ff\u2010-\u2027]+")          # classed alike in all editions of Unicode
+LETTERS = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
 MOST_WORDS = 900_000                                          # pieces remembered where only digests leave the task
 MOST_WORDS_OF_IDS = 450_000                                   # where ids and texts leave it and need room
-MOST_PAIRS = 300_000
+MOST_PAIRS = 1_000_000                                        # two numbers and a truth value each
 SLICE_ROWS, SLICE_BYTES = 1024, 1 << 22                       # documents, and bytes of them, that are worked on together
 
 
@@ -56,10 +57,12 @@ class TrieCoder:
         for s, i in special.items():
             self.bytes_of[i] = s.encode()
         self.special = special
-        self.longest = max(map(len, self.id_of))
-        self.apart: dict[tuple[int, int], bool] = {}
         # a token counts only if merging its own bytes gives it back
-        self.whole = {b for b in self.id_of if len(b) == 1 or self.merged(b) == [b]}
+        self.whole = {b: i for b, i in self.id_of.items() if len(b) == 1 or self.merged(b) == [b]}
+        self.length = list(map(len, self.bytes_of))
+        self.longest = max(map(len, self.whole))
+        self.grown = {self.whole[b[:-1]] << 8 | b[-1]: i for b, i in self.whole.items() if b[:-1] in self.whole}
+        self.apart: dict[int, bool] = {}
 
     @classmethod
     def from_file(cls, name: str) -> TrieCoder:
@@ -82,50 +85,64 @@ class TrieCoder:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stay_apart(self, pair: tuple[bytes, bytes]) -> bool:
-        """Whether merging the bytes of both gives just the two."""
+    def stay_apart(self, first: int, second: int) -> bool:
+        """Whether merging the bytes of both tokens gives just the two."""
         if len(self.apart) > MOST_PAIRS:
             self.apart.clear()
-        known = self.apart[pair] = self.merged(pair[0] + pair[1]) == [*pair]
+        a, b = self.bytes_of[first], self.bytes_of[second]
+        known = self.apart[first << 32 | second] = self.merged(a + b) == [a, b]
         return known
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
         """Ids of every distinct word.
 
         The trie is held as its words in order: that is the order of a depth-first walk, in which a word keeps the states
-        of the path that it shares with the word before and adds those of its own nodes."""
-        whole, apart, longest, id_of = self.whole, self.apart, self.longest, self.id_of
+        of the path that it shares with the word before and adds those of its own nodes. Just one token fits a node, so the
+        likely ones are tried first: the last token with one byte more, then the shorter ones."""
+        length, grown, apart, stay_apart = self.length, self.grown, self.apart, self.stay_apart
         found: dict[bytes, list[int]] = {}
-        states, before = [b""], b""                           # states[d]: the last token of the first d bytes of the path
+        states, before = [-1], b""                            # states[d]: the last token of the first d bytes of the path
         for word in sorted(words):
-            size, shared = len(word), 0
+            shared = 0
             for x, y in zip(before, word):
                 if x != y:
                     break
                 shared += 1
             del states[shared + 1:]
-            for n in range(shared + 1, size + 1):
-                for k in range(max(0, n - longest), n):       # the longest token first; just one fits
-                    token = word[k:n]
-                    if token in whole:
-                        if not k:
-                            break
-                        fits = apart.get(pair := (states[k], token))
-                        if self.stay_apart(pair) if fits is None else fits:
-                            break
-                else:
-                    raise ValueError(f"no token ends {word[:n]!r}")
-                states.append(token)
-            back, d = [], size
+            last, n = states[shared], shared
+            for byte in word[shared:]:
+                n += 1
+                token = grown.get(last << 8 | byte) if last >= 0 else None
+                if token is not None and (k := n - length[token]):
+                    pair = states[k] << 32 | token
+                    fits = apart.get(pair)
+                    if not (stay_apart(states[k], token) if fits is None else fits):
+                        token = None
+                last = self._last_token(word, n, states) if token is None else token
+                states.append(last)
+            back, d = [], n
             while d:
                 token = states[d]
-                back.append(id_of[token])
-                d -= len(token)
+                back.append(token)
+                d -= length[token]
             back.reverse()
             found[word] = back
             before = word
         return found
 
+    def _last_token(self, word: bytes, n: int, states: list[int]) -> int:
+        """The token that ends the first n bytes of the word, from the states before."""
+        whole, apart = self.whole, self.apart
+        for k in range(n - 1, max(0, n - self.longest) - 1, -1):
+            token = whole.get(word[k:n])
+            if token is not None:
+                if not k:
+                    return token
+                fits = apart.get(states[k] << 32 | token)
+                if self.stay_apart(states[k], token) if fits is None else fits:
+                    return token
+        raise ValueError(f"no token ends {word[:n]!r}")
+
 
 def decimals(ids: Sequence[int]) -> str:
     return ",".join(map(str, ids))
@@ -144,10 +161,8 @@ class TextCoder:
     def __init__(self, coder: TrieCoder, form: Callable[[Sequence[int]], str | bytes], most: int = MOST_WORDS):
         self.coder, self.form, self.most = coder, form, most
         self.between = "," if form is decimals else b""
-        self.plain: dict[str, str | bytes] = {}
-        self.spaced: dict[str, str | bytes] = {}
-        self.plain_back: dict[str, bytes] = {}
-        self.spaced_back: dict[str, bytes] = {}
+        self.plain: dict[str, tuple[str | bytes, bytes]] = {}    # the form of the ids, and what they decode to
+        self.spaced: dict[str, tuple[str | bytes, bytes]] = {}
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
 
     def words(self, piece: str) -> list[str]:
@@ -163,34 +178,35 @@ class TextCoder:
         return b"".join(map(self.coder.bytes_of.__getitem__, ids))
 
     def _learn(self, plain: set[str], spaced: set[str]) -> None:
-        cut = [(known, back, piece, [w.encode() for w in self.words(lead + piece)])
-               for known, back, pieces, lead in ((self.plain, self.plain_back, plain, ""), (self.spaced, self.spaced_back, spaced, " ")) for piece in pieces]
-        ids = self.coder.encode_words({w for _, _, _, words in cut for w in words})
-        for known, back, piece, words in cut:
+        cut = [(known, piece, [w.encode() for w in self.words(lead + piece)])
+               for known, pieces, lead in ((self.plain, plain, ""), (self.spaced, spaced, " ")) for piece in pieces]
+        ids = self.coder.encode_words({w for _, _, words in cut for w in words})
+        for known, piece, words in cut:
             mine = ids[words[0]] if len(words) == 1 else [i for w in words for i in ids[w]]
-            known[piece], back[piece] = self.form(mine), self.back(mine)
+            known[piece] = self.form(mine), self.back(mine)
 
     def code(self, texts: Sequence[str], decode: bool = True) -> tuple[list, list[bytes]]:
         """(ids, decoded bytes) of every text; without `decode` the second list is empty."""
         if len(self.plain) + len(self.spaced) > self.most:
-            for known in (self.plain, self.spaced, self.plain_back, self.spaced_back):
-                known.clear()
+            self.plain.clear()
+            self.spaced.clear()
         cut = [[byte_pieces(segment) for segment in text.split(MARK)] for text in texts]
         self._learn({p for segments in cut for a, _ in segments for p in a if p not in self.plain},
                     {p for segments in cut for _, b in segments for p in b if p not in self.spaced})
         mark = [self.coder.special[MARK]]
-        coded = [self.between.join(self._pieces(segments, self.plain, self.spaced, self.form(mark))) for segments in cut]
-        return coded, [b"".join(self._pieces(segments, self.plain_back, self.spaced_back, self.back(mark))) for segments in cut] if decode else []
-
-    @staticmethod
-    def _pieces(segments, plain: dict, spaced: dict, mark) -> list:
-        pieces: list = []
-        for k, (a, b) in enumerate(segments):
-            if k:
-                pieces.append(mark)
-            pieces.extend(map(plain.__getitem__, a))
-            pieces.extend(map(spaced.__getitem__, b))
-        return pieces
+        between, marked = self.between, (self.form(mark), self.back(mark))
+        coded, back = [], []
+        for segments in cut:
+            pieces: list[tuple] = []
+            for k, (a, b) in enumerate(segments):
+                if k:
+                    pieces.append(marked)
+                pieces.extend(map(self.plain.__getitem__, a))
+                pieces.extend(map(self.spaced.__getitem__, b))
+            coded.append(between.join([ids for ids, _ in pieces]))
+            if decode:
+                back.append(b"".join([raw for _, raw in pieces]))
+        return coded, back
 
 
 def as_text(decoded: bytes) -> str:
