@@ -119,29 +119,6 @@ def test_links_of_dense_groups_and_chains(spark):
     assert links.count() < 65 * len(prints)                    # trees, not pairs
 
 
-@pytest.mark.parametrize("words, most", [(4, 3), (4, 20), (2, 20)])
-def test_busy_tiles_in_parts_lose_no_link(spark, monkeypatch, words, most):
-    """A tile of a third of all fingerprints: the same classes, and no task gets more than about twice the parts' size."""
-    monkeypatch.setattr(simhash, "WORDS", words)
-    monkeypatch.setattr(simhash, "WIDTH", 64 // words)
-    rnd, prints = random.Random(7), set()
-    base = rnd.getrandbits(64)
-    ones, zeros = ([b for b in range(64) if (base >> b & 1) == v] for v in (1, 0))
-    for _ in range(60):                                        # swaps of a one and a zero: many of them in the tile of base
-        prints.add(base ^ (1 << rnd.choice(ones)) ^ (1 << rnd.choice(zeros)))
-    prints |= {base} | {base ^ (1 << b) for b in range(0, 64, 3)} | {rnd.getrandbits(64) for _ in range(60)}
-    prints = sorted(prints)
-    signed = np.array(prints, np.uint64).view(np.int64).tolist()
-    table = spark.createDataFrame([(p,) for p in signed], "fp bigint")
-    tiled = table.select("fp", F.array(*simhash.tile_of(F.col("fp"))).alias("t"))
-    assert simhash.parts_of_tiles(tiled, 3, most).count() > 0
-    got = dict(map(tuple, components(simhash.near_links(table, most=most)).collect()))
-    members = defaultdict(list)
-    for s, c in zip(signed, classes := brute_classes(prints)):
-        members[c].append(s)
-    assert {s: got.get(s, s) for s in signed} == {s: min(members[c]) for s, c in zip(signed, classes)}
-
-
 def test_components_of_paths_and_hubs(spark):
     path = [(k, k + 1) for k in range(1, 200)]
     hub = [(1000, k) for k in range(1001, 1200)]
