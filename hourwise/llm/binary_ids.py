@@ -112,14 +112,16 @@ class Shard:
             yield None if d == NO_ID else d, a, ids[a:b]
 
 
+def written(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def text_ids(texts: list[str], tokenizer: str, end: int) -> list[bytes]:
     """The library's ids of each text and the end id, as little-endian u32. The vocabulary drops white space, so its
     pre-tokens never cross ASCII white space and each run between is encoded once."""
-    codes = pieces_for(tokenizer, "ids", lambda ids: np.array(ids, "<u4").tobytes(), fold=True, most=MOST_WORDS)
-    cut = [t.encode().split() for t in texts]
-    codes.learn(cut, [])
-    last, of = np.array([end], "<u4").tobytes(), codes.plain.__getitem__
-    return [b"".join(map(of, words)) + last for words in cut]
+    codes = pieces_for(tokenizer, "ids", written, fold=True, most=MOST_WORDS)
+    last = written([end])
+    return [b"".join(words) + last for words in codes.values([t.encode().split() for t in texts])]
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end: int = 1, parts: int | None = None,

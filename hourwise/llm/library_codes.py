@@ -57,6 +57,7 @@ class Pieces:
         self.tok, self.of, self.most, self.fold = tok, of, most, fold
         self.mark = tok.token_to_id(MARK)
         self.letters = byte_letters()
+        self.signs: dict[str, list[int]] = {}
         self.plain, self.spaced = {}, {}
 
     def learn(self, plain: list[list], spaced: list[list]) -> None:
@@ -64,23 +65,39 @@ class Pieces:
         for known, lists, lead in ((self.plain, plain, ""), (self.spaced, spaced, " ")):
             if len(known) > self.most:
                 known.clear()
-            new = {p for pieces in lists for p in pieces if p not in known}
-            merges, other, whole = self.tok.model.tokenize, [], LETTERS.fullmatch
-            for key in new:
-                piece = key if isinstance(key, str) else key.decode()
-                if m := whole(piece):
-                    word = lead + (m[1].lower() if self.fold else m[1])
-                    written = word.encode().decode("latin-1").translate(self.letters)
-                    ids = [t.id for t in merges(written)]
-                    if m[2]:
-                        ids += [t.id for t in merges(m[2])]
-                    known[key] = self.of(ids)
-                elif MARK in piece:
-                    known[key] = self.of(self.tok.encode(lead + piece, add_special_tokens=False).ids)
-                else:
-                    other.append((key, piece))
-            for at in range(0, len(other), 1024):
-                self._whole(known, other[at:at + 1024], lead)
+            self._add(known, {p for pieces in lists for p in pieces if p not in known}, lead)
+
+    def values(self, plain: list[list]) -> list[list]:
+        """What `of` makes of every piece, list by list. Each piece is looked up once; only those not known are met again."""
+        if len(self.plain) > self.most:
+            self.plain.clear()
+        known = self.plain
+        found = [list(map(known.get, pieces)) for pieces in plain]
+        self._add(known, {p for pieces, values in zip(plain, found) for p, v in zip(pieces, values) if v is None}, "")
+        return [[known[p] if v is None else v for p, v in zip(pieces, values)] for pieces, values in zip(plain, found)]
+
+    def _add(self, known: dict, new: set, lead: str) -> None:
+        merges, other, whole, signs = self.tok.model.tokenize, [], LETTERS.fullmatch, self.signs
+        front = lead and self.letters[32]
+        for key in new:
+            piece = key if isinstance(key, str) else key.decode()
+            if m := whole(piece):
+                word, sign = m.groups()
+                if self.fold:
+                    word = word.lower()
+                written = front + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+                ids = [t.id for t in merges(written)]
+                if sign:
+                    if sign not in signs:
+                        signs[sign] = [t.id for t in merges(sign)]
+                    ids += signs[sign]
+                known[key] = self.of(ids)
+            elif MARK in piece:
+                known[key] = self.of(self.tok.encode(lead + piece, add_special_tokens=False).ids)
+            else:
+                other.append((key, piece))
+        for at in range(0, len(other), 1024):
+            self._whole(known, other[at:at + 1024], lead)
 
     def _whole(self, known: dict, pieces: list[tuple], lead: str) -> None:
         ids = self.tok.encode_batch_fast([MARK.join([lead + p for _, p in pieces])], add_special_tokens=False)[0].ids

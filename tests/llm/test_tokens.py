@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from edge_cases import documents_of, edge_documents
-from hourwise.llm import binary_ids, token_counts, trie_bpe
+from hourwise.llm import binary_ids, library_codes, token_counts, trie_bpe
 from hourwise.llm.common import tokenizer_path
 from hourwise.llm.library_codes import MARK
 
@@ -126,3 +126,22 @@ def test_shards_read_back(spark, tmp_path):
     empty = str(tmp_path / "empty")
     binary_ids.write_shards(documents_of(spark, []), empty)
     assert binary_ids.read_shards(spark, empty).count() == 0
+
+
+def test_signs_and_known_pieces_are_asked_for_once():
+    asked = []
+
+    class Model:
+        def tokenize(self, written):
+            asked.append(written)
+            return [type("Token", (), {"id": ord(c)}) for c in written]
+
+    class Library:
+        model = Model()
+
+        def token_to_id(self, mark):
+            return -1
+    pieces = library_codes.Pieces(Library(), binary_ids.written, fold=True)
+    got = pieces.values([[b"Ab,", b"cd,"], [b"cd,", b"e"], []]) + pieces.values([[b"e", b"Ab,"]])
+    assert [[np.frombuffer(x, "<u4").tolist() for x in row] for row in got] == [[list(map(ord, w)) for w in row] for row in (["ab,", "cd,"], ["cd,", "e"], [], ["e", "ab,"])]
+    assert sorted(asked) == [",", "ab", "cd", "e"]
