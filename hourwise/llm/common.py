@@ -55,6 +55,7 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], schema: pa.Schema, **co
 
 def give_back() -> None:
     """Hand freed memory of this worker back to the system: workers live on, and the next stage needs it."""
+    pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

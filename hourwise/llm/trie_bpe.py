@@ -36,15 +36,17 @@ SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPAC
 OLD = re.compile("[\\x00-\u02ff\u2010-\u2027]+")          # classed alike in all editions of Unicode
 LETTERS = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
 MOST_WORDS = 900_000                                          # pieces remembered where only digests leave the task
-MOST_WORDS_OF_IDS = 450_000                                   # where ids and texts leave it and need room
-MOST_PAIRS = 1_000_000                                        # two numbers and a truth value each
+MOST_WORDS_OF_IDS = 150_000                                   # where ids and texts leave it and need room
+MOST_PAIRS, MOST_PAIRS_OF_IDS = 1_000_000, 250_000            # two numbers and a truth value each
 SLICE_ROWS, SLICE_BYTES = 1024, 1 << 22                       # documents, and bytes of them, that are worked on together
+SLICE_BYTES_OF_IDS = 1 << 20
 
 
 class TrieCoder:
     """Ids of byte words for one vocabulary of ranked merges."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: Iterable[Sequence[str]], special: dict[str, int]):
+    def __init__(self, vocabulary: dict[str, int], merges: Iterable[Sequence[str]], special: dict[str, int],
+                 most_pairs: int = MOST_PAIRS):
         raw = {letter: b for b, letter in byte_letters().items()}
 
         def as_bytes(written: str) -> bytes:
@@ -56,7 +58,7 @@ class TrieCoder:
             self.bytes_of[i] = b
         for s, i in special.items():
             self.bytes_of[i] = s.encode()
-        self.special = special
+        self.special, self.most_pairs = special, most_pairs
         # a token counts only if merging its own bytes gives it back
         self.whole = {b: i for b, i in self.id_of.items() if len(b) == 1 or self.merged(b) == [b]}
         self.length = list(map(len, self.bytes_of))
@@ -65,11 +67,11 @@ class TrieCoder:
         self.apart: dict[int, bool] = {}
 
     @classmethod
-    def from_file(cls, name: str) -> TrieCoder:
+    def from_file(cls, name: str, most_pairs: int = MOST_PAIRS) -> TrieCoder:
         with open(tokenizer_path(name), encoding="utf-8") as f:
             held = json.load(f)
         merges = [m.split(" ") if isinstance(m, str) else m for m in held["model"]["merges"]]
-        return cls(held["model"]["vocab"], merges, {t["content"]: t["id"] for t in held["added_tokens"]})
+        return cls(held["model"]["vocab"], merges, {t["content"]: t["id"] for t in held["added_tokens"]}, most_pairs)
 
     def merged(self, word: bytes) -> list[bytes]:
         """The merges as defined: always the best ranked neighbouring pair, the leftmost of equals."""
@@ -87,7 +89,7 @@ class TrieCoder:
 
     def stay_apart(self, first: int, second: int) -> bool:
         """Whether merging the bytes of both tokens gives just the two."""
-        if len(self.apart) > MOST_PAIRS:
+        if len(self.apart) > self.most_pairs:
             self.apart.clear()
         a, b = self.bytes_of[first], self.bytes_of[second]
         known = self.apart[first << 32 | second] = self.merged(a + b) == [a, b]
@@ -221,17 +223,18 @@ def text_coder(name: str, form: Callable[[Sequence[int]], str | bytes] = decimal
     at = (name, form.__name__)
     if at not in _CODERS:
         _CODERS.clear()                                   # a worker remembers the pieces of one coder
-        _CODERS[at] = TextCoder(TrieCoder.from_file(name), form, MOST_WORDS if form is decimals else MOST_WORDS_OF_IDS)
+        words, pairs = (MOST_WORDS, MOST_PAIRS) if form is decimals else (MOST_WORDS_OF_IDS, MOST_PAIRS_OF_IDS)
+        _CODERS[at] = TextCoder(TrieCoder.from_file(name, pairs), form, words)
     return _CODERS[at]
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], text: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in slices of bounded number and size; a longer document is a slice of its own."""
     for batch in batches:
         at, sizes = 0, pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         while at < batch.num_rows:
             end, size = at + 1, sizes[at]
-            while end < batch.num_rows and end - at < SLICE_ROWS and size + sizes[end] <= SLICE_BYTES:
+            while end < batch.num_rows and end - at < SLICE_ROWS and size + sizes[end] <= (most or SLICE_BYTES):
                 size += sizes[end]
                 end += 1
             yield batch.slice(at, end - at)
@@ -250,7 +253,7 @@ def encode_texts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
 
     def run(batches):
         coder = text_coder(tokenizer, int_bytes)
-        for batch in text_slices(batches, "__text"):
+        for batch in text_slices(batches, "__text", SLICE_BYTES_OF_IDS):
             coded, back = coder.code(texts_of(batch, "__text"), decode)
             ends = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32)
             columns = {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32))).cast(arrow.field("ids").type)}

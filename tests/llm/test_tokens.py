@@ -145,3 +145,15 @@ def test_signs_and_known_pieces_are_asked_for_once():
     got = pieces.values([[b"Ab,", b"cd,"], [b"cd,", b"e"], []]) + pieces.values([[b"e", b"Ab,"]])
     assert [[np.frombuffer(x, "<u4").tolist() for x in row] for row in got] == [[list(map(ord, w)) for w in row] for row in (["ab,", "cd,"], ["cd,", "e"], [], ["e", "ab,"])]
     assert sorted(asked) == [",", "ab", "cd", "e"]
+
+
+def test_ids_for_the_pipeline_are_remembered_within_bounds(monkeypatch):
+    monkeypatch.setattr(trie_bpe, "MOST_WORDS_OF_IDS", 50)
+    monkeypatch.setattr(trie_bpe, "MOST_PAIRS_OF_IDS", 20)
+    monkeypatch.setattr(trie_bpe, "_CODERS", {})
+    few = trie_bpe.text_coder("byte_bpe_50k.json", trie_bpe.int_bytes)
+    texts = [f"piece{k} of{k * k} textual{k}ness" for k in range(60)]
+    got = [few.code([t])[0][0] for t in texts]
+    assert len(few.plain) + len(few.spaced) <= 53 and len(few.coder.apart) <= 21
+    monkeypatch.setattr(trie_bpe, "_CODERS", {})
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == [list(map(int, x.split(","))) for x in trie_bpe.text_coder("byte_bpe_50k.json").code(texts)[0]]
