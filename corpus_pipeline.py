@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; `run` writes each result as
 Parquet below the folder that driver and executors share and reads it again for the next stage. All stages but the last
-return the columns of documents. Near duplicates: sets of five-word shingles that overlap by 0.8 or more, compared
-exactly; the fingerprints of the operator's own query, at most 3 bits apart, miss most such pairs."""
+return the columns of documents. Near duplicates: texts whose fingerprints differ by 3 bits at most, found by the tiles of
+`simhash`, and, because these miss most of them, sets of five-word shingles that overlap by 0.8 or more, compared exactly."""
 from __future__ import annotations
 
 import os
@@ -18,6 +18,7 @@ from hourwise.queries.registry import ship_package
 from hourwise.session import shared_folder
 
 ORACLE_SQL = None
+NEAR_BITS = 3                # the radius of the fingerprints, as in the operator's own query
 ROOT = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -42,10 +43,10 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every class of near copies stays: that with the smallest doc_id (null last), then the smallest hash of the text,
+    """Fingerprints and their tiles link texts, and so do shared shingles; one row of every class stays: that with the smallest doc_id (null last), then the smallest hash of the text,
     then of the row; of rows equal in every column one."""
     ship_package(spark, ROOT)
-    return near_copies.without_near_copies(docs)
+    return near_copies.without_near_copies(docs, radius=NEAR_BITS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

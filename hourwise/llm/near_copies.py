@@ -7,6 +7,9 @@ sorted by further minima so that like sets are neighbours; that joins most copie
 then compared completely, all pairs of different classes, in blocks; a block returns a spanning forest of its links. Nothing is
 left out: every pair that shares a key is compared or in one class already.
 
+With a radius, the fingerprints of `simhash` link too: its tiles find every pair of fingerprints that differ by at most so many
+bits, and all texts of linked fingerprints are one class, as in that operator. So classes are joined by either kind of link.
+
 Shingles are of words in lower case (A-Z only) cut at ASCII white space; a text of fewer words is one shingle. Their 64-bit hashes
 stand for them. Defined results: null and empty texts and texts without a word are copies of each other. One row of every class
 stays: the smallest doc_id (null last), then the smallest hash of the text, then of the whole row; of rows equal in every column one."""
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from hourwise.llm.common import give_back, slices, texts_of
 from hourwise.llm.components import joined_links
+from hourwise.llm.simhash import fingerprint, near_links
 from hourwise.session import cut_lineage
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
@@ -79,22 +83,26 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__th": F.xxhash64("text"), "__rh": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
 
 
-def sketches(rows: DataFrame) -> DataFrame:
-    """(doc_id, th, rh, s, n, keys, tails): hash s of the set of every row, its size, its keys and sort numbers."""
+def sketches(rows: DataFrame, prints: bool = False) -> DataFrame:
+    """(doc_id, th, rh, s, n, keys, tails): hash s of the set of every row, its size, its keys and sort numbers; with `prints` also
+    fp, the fingerprint of its text."""
     source = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "__th", "__rh", "text")
     longs = pa.list_(pa.int64())
 
     def run(batches):
         hashes = _Hashes()
         for batch in slices(batches):
-            sets = [shingles(t, hashes) for t in texts_of(batch)]
+            texts = texts_of(batch)
+            sets = [shingles(t, hashes) for t in texts]
             pairs = [keys_of(minima(x)) for x in sets]
             s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
             arrays = [batch.column("doc_id"), batch.column("__th"), batch.column("__rh"), pa.array(s), pa.array([len(x) for x in sets], pa.int32()),
                       pa.array([k for k, _ in pairs], longs), pa.array([t for _, t in pairs], longs)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "rh", "s", "n", "keys", "tails"])
+            if prints:
+                arrays.append(pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "rh", "s", "n", "keys", "tails", "fp"][:len(arrays)])
         give_back()
-    return source.mapInArrow(run, "doc_id bigint, th bigint, rh bigint, s bigint, n int, keys array<bigint>, tails array<bigint>")
+    return source.mapInArrow(run, "doc_id bigint, th bigint, rh bigint, s bigint, n int, keys array<bigint>, tails array<bigint>" + ", fp bigint" * prints)
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
@@ -184,11 +192,23 @@ def block_pairs(known: DataFrame, rows: DataFrame, holders: DataFrame) -> DataFr
     return own.unionAll(others).join(sets, "s").groupBy("key", "p", "q").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
-def classes(sketched: DataFrame, rows: DataFrame) -> DataFrame:
+def fingerprint_links(sketched: DataFrame, radius: int) -> DataFrame:
+    """(a, b) links of the sets of texts whose fingerprints are equal or linked by the tiles."""
+    prints = cut_lineage(sketched.select("s", "fp").distinct())
+    first = cut_lineage(prints.groupBy("fp").agg(F.min("s").alias("first")))
+    same = prints.join(first, "fp").where("s <> first").select(F.col("s").alias("a"), F.col("first").alias("b"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")) for c in "ab")
+    near = near_links(first.select("fp"), radius).join(a, "a").join(b, "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    return same.union(near)
+
+
+def classes(sketched: DataFrame, rows: DataFrame, radius: int | None = None) -> DataFrame:
     """(s, class) of the sets that have a near copy."""
     sets = cut_lineage(sketched.groupBy("s").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("tails").alias("tails"), F.min(F.struct("th", "rh")).alias("holder")))
     holders = sets.select("s", F.col("holder.th").alias("__th"), F.col("holder.rh").alias("__rh"))
     links = cut_lineage(overlapping(cut_lineage(first_pairs(sets)), rows, holders))
+    if radius is not None:
+        links = cut_lineage(links.union(fingerprint_links(sketched, radius)))
     joined = joined_links(links)
     known = keyed(sets).select("s", "key").join(joined.withColumnRenamed("node", "s"), "s", "left").select("s", "key", F.coalesce("component", "s").alias("class"))
     more = block_pairs(known, rows, holders)
@@ -196,11 +216,11 @@ def classes(sketched: DataFrame, rows: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("s"), F.col("component").alias("class"))
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of every class of near copies."""
+def without_near_copies(docs: DataFrame, radius: int | None = None) -> DataFrame:
+    """One row of every class of near copies. `radius`: bits by which linked fingerprints may differ, none without it."""
     rows = marked(docs)
-    sketched = cut_lineage(sketches(rows))
+    sketched = cut_lineage(sketches(rows, radius is not None))
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "rh")
-    smallest = sketched.groupBy("s").agg(F.min(row).alias("row")).join(classes(sketched, rows), "s", "left")
+    smallest = sketched.groupBy("s").agg(F.min(row).alias("row")).join(classes(sketched, rows, radius), "s", "left")
     stays = smallest.groupBy(F.coalesce("class", "s").alias("class")).agg(F.min("row").alias("row")).select(F.col("row.th").alias("__th"), F.col("row.rh").alias("__rh"))
     return rows.join(stays, ["__th", "__rh"], "left_semi").dropDuplicates(["__th", "__rh"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,10 +1,12 @@
 """Single stages of the pipeline."""
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from edge_cases import documents_of, edge_documents
+from hourwise.llm import simhash
 
 
 def test_encoding_decodes_to_the_text(spark):
@@ -28,3 +30,21 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         assert stage(spark, documents_of(spark, []), str(tmp_path)).count() == 0
         got = stage(spark, docs, str(tmp_path))
         assert name == "near_duplicates" or got.columns == docs.columns and {r["__wsize"] for r in got.collect()} == {"own"}
+
+
+def test_near_duplicates_hold_the_classes_of_the_fingerprints(spark):
+    """Texts of few shared five-word shingles whose fingerprints differ by at most three bits are one class; others stay."""
+    rnd, words, rows = random.Random(3), [f"w{k}" for k in range(60)], []
+    for k in range(400):
+        mine = [rnd.choice(words) for _ in range(90)]
+        other = list(mine)
+        for at in (10, 40, 70):
+            other[at] = f"e{rnd.random()}"
+        rows += [(2 * k, " ".join(mine)), (2 * k + 1, " ".join(other))]
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    near = [k for k in range(400) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= 3]
+    sets = [frozenset(tuple(t.split()[i:i + 5]) for i in range(86)) for _, t in rows]
+    assert near and all(5 * len(sets[2 * k] & sets[2 * k + 1]) < 4 * len(sets[2 * k] | sets[2 * k + 1]) for k in near)
+    rows += [(1000, rows[0][1]), (1001, None), (1002, " ")]
+    got = {r["doc_id"] for r in corpus_pipeline.remove_near_copies(spark, documents_of(spark, [(d, t, "en", "s", 1) for d, t in rows]), "").collect()}
+    assert got == {d for d, _ in rows[:800]} - {2 * k + 1 for k in near} | {1001}
