@@ -26,18 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourwise.llm.common import slices, texts_of
-from hourwise.llm.library_codes import pieces_for
+from hourwise.llm.common import slices
+from hourwise.llm.library_codes import ClosedWords, pieces_for
+from hourwise.llm.trie_bpe import text_slices
 from hourwise.session import cut_lineage
 
 MAGIC, WIDTH, BLOCK = b"DAC1", 8, 512
 NO_ID = -2 ** 63
 IMAGE_IDS = 1_000_000          # an image is closed when it holds so many ids
-MOST_WORDS = 600_000           # words whose ids a worker remembers
+MOST_WORDS = 1_000_000           # words whose ids a worker remembers
+SLICE_BYTES, SLICE_ROWS = 4_000_000, 1024      # texts whose words are looked up together
 SMALL_STARTS = 200_000         # images up to which their starts are sent to all executors
 SHARD_SCHEMA = "part int, piece int, n_docs bigint, n_ids bigint, image binary"
 
@@ -116,12 +119,21 @@ def written(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def text_ids(texts: list[str], tokenizer: str, end: int) -> list[bytes]:
+def text_ids(texts: list[str] | pa.Array, tokenizer: str, end: int) -> list[bytes]:
     """The library's ids of each text and the end id, as little-endian u32. The vocabulary drops white space, so its
-    pre-tokens never cross ASCII white space and each run between is encoded once."""
-    codes = pieces_for(tokenizer, "ids", written, fold=True, most=MOST_WORDS)
-    last = written([end])
-    return [b"".join(words) + last for words in codes.values([t.encode().split() for t in texts])]
+    pre-tokens never cross ASCII white space and each run between is encoded once. Null counts as empty."""
+    if not len(texts):
+        return []
+    codes = pieces_for(tokenizer, "ids", written, fold=True, most=MOST_WORDS, form=ClosedWords)
+    runs = pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, ""))
+    words = runs.flatten().dictionary_encode()          # each distinct word meets the memory once
+    [known] = codes.values([words.dictionary.cast(pa.binary()).to_pylist()])
+    ids = pa.array(known, pa.large_binary()).take(words.indices)
+    _, offsets, data = ids.buffers()
+    firsts = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+    ends = np.frombuffer(offsets, "<i8", len(ids) + 1, 8 * ids.offset)[firsts].tolist()
+    last, data = written([end]), memoryview(data or b"")
+    return [b"".join((data[a:b], last)) for a, b in zip(ends, ends[1:])]
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end: int = 1, parts: int | None = None,
@@ -143,8 +155,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
             ids = np.frombuffer(b"".join(held), "<u4")
             image = pack(ids, np.array(owners, np.int64), np.cumsum(sizes) - sizes)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, piece, len(held), len(ids), image), schema.types)], schema=schema)
-        for batch in slices(batches):
-            for d, ids in zip(batch.column("doc_id").to_pylist(), text_ids(texts_of(batch), tokenizer, end)):
+        for batch in text_slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
+            for d, ids in zip(batch.column("doc_id").to_pylist(), text_ids(batch.column("text"), tokenizer, end)):
                 held.append(ids)
                 owners.append(NO_ID if d is None else d)
                 size += len(ids) // 4

@@ -228,13 +228,13 @@ def text_coder(name: str, form: Callable[[Sequence[int]], str | bytes] = decimal
     return _CODERS[at]
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], text: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], text: str, most: int | None = None, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in slices of bounded number and size; a longer document is a slice of its own."""
     for batch in batches:
         at, sizes = 0, pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         while at < batch.num_rows:
             end, size = at + 1, sizes[at]
-            while end < batch.num_rows and end - at < SLICE_ROWS and size + sizes[end] <= (most or SLICE_BYTES):
+            while end < batch.num_rows and end - at < rows and size + sizes[end] <= (most or SLICE_BYTES):
                 size += sizes[end]
                 end += 1
             yield batch.slice(at, end - at)

@@ -147,6 +147,41 @@ def test_signs_and_known_pieces_are_asked_for_once():
     assert sorted(asked) == [",", "ab", "cd", "e"]
 
 
+def test_new_words_are_merged_many_at_a_time(monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCÉäößÿ", k=rng.randint(1, 12))) + rng.choice(["", "", "$$$", "&&&", "!?", "'s", "42", "|"]) for _ in range(3000)]
+    texts = [rng.choice([" ", "\t", "\n\n"]).join(rng.choices(words, k=20)) for _ in range(400)] + ["", " \r ", "<|endoftext|> a</w>", None]
+    monkeypatch.setattr(library_codes, "_LOADED", {})
+    pieces = library_codes.pieces_for("word_bpe_49k.json", "ids", binary_ids.written, fold=True, most=500, form=library_codes.ClosedWords)
+    calls, merges = [], pieces.merges
+
+    class Counted:
+        def encode_batch_fast(self, lines, **how):
+            calls.extend(lines)
+            return merges.encode_batch_fast(lines, **how)
+    pieces.merges = Counted()
+    for at in range(0, len(texts), 50):                 # the memory of 500 words is full all the time
+        got = binary_ids.text_ids(pa.array(texts, pa.string())[at:at + 50], "word_bpe_49k.json", 1)
+        assert [np.frombuffer(b, "<u4").tolist() for b in got] == [ids_of(WORDS, t or "") + [1] for t in texts[at:at + 50]]
+    assert 0 < len(calls) < 40 and max(len(line.split()) for line in calls) > 300
+    pieces.closing[:] = False                           # marks that do not add up: one piece at a time
+    pieces.plain, pieces.older = {}, {}
+    assert [np.frombuffer(b, "<u4").tolist() for b in binary_ids.text_ids(texts[:20], "word_bpe_49k.json", 1)] == [ids_of(WORDS, t) + [1] for t in texts[:20]]
+
+
+def test_half_of_the_known_pieces_stays():
+    class Library:
+        model = type("Model", (), {"tokenize": staticmethod(lambda w: asked.append(w) or [type("Token", (), {"id": 7})])})
+
+        def token_to_id(self, mark):
+            return -1
+    asked = []
+    pieces = library_codes.Pieces(Library(), binary_ids.written, most=4)
+    for some in (["a", "b", "c"], ["d", "a"], ["e", "a"], ["f", "a"]):
+        pieces.values([some])
+    assert asked.count("a") == 1 and len(pieces.plain) + len(pieces.older) <= 6
+
+
 def test_ids_for_the_pipeline_are_remembered_within_bounds(monkeypatch):
     monkeypatch.setattr(trie_bpe, "MOST_WORDS_OF_IDS", 50)
     monkeypatch.setattr(trie_bpe, "MOST_PAIRS_OF_IDS", 20)
