@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hourwise.functions.target import PowerTarget
@@ -403,16 +404,34 @@ pr AS (SELECT g, arg_max("column", solo_r2) AS keeper FROM b JOIN gr USING ("col
 vd AS (SELECT b.*, CASE WHEN keeper IS NOT NULL THEN 'useful' ELSE v END AS verdict, keeper IS NOT NULL AS representative FROM b LEFT JOIN pr ON keeper = "column")"""
 
 
+def _varies(a: Column, b: Column) -> Column:
+    """Whether `a` has several values among the rows that hold both; a spread of sums is seldom exactly zero."""
+    held = F.when(b.isNotNull(), a)
+    return F.min(held) < F.max(held)
+
+
+def _explained(y: Column, x: Column) -> Column:
+    """Share of `y` that a line in `x` explains; as in SQL null where `x` does not vary, else one where `y` does not."""
+    return F.when(_varies(x, y), F.when(_varies(y, x), F.regr_r2(y, x)).otherwise(1.0))
+
+
+def _closeness(a: Column, b: Column) -> Column:
+    """|r|; as in SQL NaN where one of both does not vary, on which `corr` fails by its division."""
+    r = F.try_divide(F.abs(F.regr_sxy(a, b)), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
+    return F.when(F.regr_count(a, b) > 0, F.when(_varies(a, b) & _varies(b, a), r).otherwise(float("nan")))
+
+
 def evidence(spark, d):
     df = demand(spark, d)
     aggs = []
     for c in _EV_COLS:
-        r, other = F.regr_r2(F.col("cnt").cast("double"), F.col(c).cast("double")), "temp" if c != "temp" else "atemp"
+        x, other = F.col(c).cast("double"), "temp" if c != "temp" else "atemp"
+        r = _explained(F.col("cnt").cast("double"), x)
         lone = c in ("hum", "windspeed", "hr", "weathersit")
         none = F.lit(None).cast("double")
         aggs.append(F.struct(F.lit(c).alias("column"), r6(r - 0.01, 9).alias("delta"), r6(r - 0.02, 9).alias("lo"), r6(r, 9).alias("hi"),
                              (none if lone else r6(r * 2, 9)).alias("group_delta"), (none if lone else r6(r * 2 - 0.001, 9)).alias("group_lo"),
-                             r6(r, 9).alias("solo_r2"), r6(F.abs(F.corr(c, other)), 9).alias("max_abs_corr"), F.lit(other).alias("corr_with")))
+                             r6(r, 9).alias("solo_r2"), r6(_closeness(x, F.col(other)), 9).alias("max_abs_corr"), F.lit(other).alias("corr_with")))
     return df.agg(F.array(*aggs).alias("r")).select(F.inline("r"))
 
 
