@@ -1,4 +1,4 @@
-"""Evidence on events where a column has one value only."""
+"""Evidence and verdicts on events where a column has one value only."""
 import duckdb
 import pytest
 from compare import differences
@@ -30,6 +30,11 @@ def test_evidence_text_with_a_constant_column(spark, tmp_path, constant):
     assert same_as_sql(spark, events(tmp_path, VALUES[constant]), "V10_evidence_text") == ""
 
 
+@pytest.mark.parametrize("constant", VALUES)
+def test_column_verdicts_with_a_constant_column(spark, tmp_path, constant):
+    assert same_as_sql(spark, events(tmp_path, VALUES[constant]), "V7_column_verdicts") == ""
+
+
 def test_sentence_with_missing_numbers(spark):
     rows = [("a", None, None, None, None, None, None, "b", ""), ("b", 0.5, 0.4, 0.6, None, None, None, None, ""),
             ("c", 0.5, 0.4, 0.6, 0.1, 0.2, float("nan"), "a", "b"), ("d", 0.5, 0.4, 0.6, None, 0.2, None, "a", "")]
