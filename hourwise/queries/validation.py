@@ -628,6 +628,16 @@ def stability_selection(spark, d):
         lab.close()
 
 
+def _stable_lasso(lab, names: list[str]) -> list[tuple[str, float, float]]:
+    """(feature, weight, freq) of the lasso on these features at the penalty with the best score."""
+    grid = search.penalty_grid(lab, CANDIDATE_PLAN, POWER, 1.0, 40, names, ratio=1e-3)
+    path = lab.penalised("lasso", CANDIDATE_PLAN, "train", POWER, grid, 1.0, names)
+    s = lab.evaluate(path)
+    best = path[search.best_of([m.info["alpha"] for m in path], [s.r2(m.name, "val") for m in path])]
+    freq = {r["feature"]: r["freq"] for r in stability(lab, CANDIDATE_PLAN, "train", POWER, best.info["alpha"], 1.0, 50, SEED, names).collect()}
+    return [(n, float(w), freq[n]) for n, w in zip(best.names[1:], best.weights[1:])]
+
+
 @query("V8_column_selection")
 def column_selection(spark, d):
     """Evidence to verdicts, then lasso and stability on the features of useful columns: what survives."""
@@ -637,12 +647,8 @@ def column_selection(spark, d):
         verdict = selection.verdicts(evidence)
         useful = {r["column"] for r in verdict.where("verdict = 'useful'").collect()}
         names = [n for n in CANDIDATE_PLAN.names[1:] if selection.sources_of(n) <= useful]
-        grid = search.penalty_grid(lab, CANDIDATE_PLAN, POWER, 1.0, 40, names, ratio=1e-3)
-        path = lab.penalised("lasso", CANDIDATE_PLAN, "train", POWER, grid, 1.0, names)
-        s = lab.evaluate(path)
-        best = path[search.best_of([m.info["alpha"] for m in path], [s.r2(m.name, "val") for m in path])]
-        freq = {r["feature"]: r["freq"] for r in stability(lab, CANDIDATE_PLAN, "train", POWER, best.info["alpha"], 1.0, 50, SEED, names).collect()}
-        stats = spark.createDataFrame([(n, float(w), freq[n]) for n, w in zip(best.names[1:], best.weights[1:])], "feature string, weight double, freq double")
+        chosen = _stable_lasso(lab, names) if names else []          # without a useful column nothing can survive
+        stats = spark.createDataFrame(chosen, "feature string, weight double, freq double")
         return rounded(selection.survivors(stats, verdict))
     finally:
         lab.close()

@@ -1,10 +1,10 @@
-"""Evidence and verdicts on events where a column has one value only."""
+"""Evidence, verdicts and selection on events where a column has one value only, or where no column is useful."""
 import duckdb
 import pytest
 from compare import differences
 
 from hourwise.operators import selection
-from hourwise.queries import registry
+from hourwise.queries import registry, validation
 
 
 def events(folder, value: str) -> str:
@@ -43,3 +43,11 @@ def test_sentence_with_missing_numbers(spark):
     begin = "without it R2 changes by -0.5000 (-0.6000 to -0.4000)"
     assert got == {"a": None, "b": begin + ".", "d": None,
                    "c": begin + "; without its whole group by -0.1000; by itself it explains 0.2000; closest column a at |r| nan; replaceable by b."}
+
+
+def test_selection_without_a_useful_column(spark, tmp_path, monkeypatch):
+    found = {"delta": 0.0, "lo": -0.1, "hi": 0.1, "day_delta": 0.0, "solo_r2": 0.001, "max_abs_corr": 0.2, "vif_max": 1.0}
+    monkeypatch.setattr(validation.search, "column_evidence", lambda *_: [{"column": c, "corr_with": "hr", **found} for c in ("temp", "hum")])
+    got = registry.QUERIES["V8_column_selection"](spark, events(tmp_path, VALUES["weathersit"]))
+    assert got.dtypes == [("feature", "string"), ("weight", "double"), ("freq", "double")]
+    assert got.collect() == []
