@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourwise.llm.common import slices
+from hourwise.llm.common import objects, slices
 from hourwise.llm.library_codes import ClosedWords, pieces_for
 from hourwise.llm.trie_bpe import text_slices
 from hourwise.session import cut_lineage
@@ -127,7 +127,7 @@ def text_ids(texts: list[str] | pa.Array, tokenizer: str, end: int) -> list[byte
     codes = pieces_for(tokenizer, "ids", written, fold=True, most=MOST_WORDS, form=ClosedWords)
     runs = pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, ""))
     words = runs.flatten().dictionary_encode()          # each distinct word meets the memory once
-    [known] = codes.values([words.dictionary.cast(pa.binary()).to_pylist()])
+    [known] = codes.values([objects(words.dictionary.cast(pa.binary()))])
     ids = pa.array(known, pa.large_binary()).take(words.indices)
     _, offsets, data = ids.buffers()
     firsts = runs.offsets.to_numpy() - runs.offsets[0].as_py()

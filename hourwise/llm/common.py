@@ -41,6 +41,11 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def objects(array: pa.Array) -> list:
+    """The values of an array of texts or bytes as Python objects; Arrow makes them at once, `to_pylist` one at a time."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

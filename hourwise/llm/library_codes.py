@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from hourwise.llm.common import tokenizer_path
+from hourwise.llm.common import objects, tokenizer_path
 
 # The code points with the Unicode property White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -141,8 +141,8 @@ class ClosedWords(Pieces):
         texts = pieces.cast(pa.string())
         alone, signed = (pc.match_substring_regex(texts, f) for f in (ONE, TWO))
         fits = pc.or_(alone, signed)
-        keys, tokens = pieces.filter(fits).to_pylist(), 1 + signed.filter(fits).to_numpy(False)
-        words = pc.replace_substring_regex(texts.filter(fits), TWO, r"\1 \2").to_pylist()
+        keys, tokens = objects(pieces.filter(fits)), 1 + signed.filter(fits).to_numpy(False)
+        words = objects(pc.replace_substring_regex(texts.filter(fits), TWO, r"\1 \2"))
         for at in range(0, len(keys), 1024):
             line = " ".join(words[at:at + 1024])
             line = (line.lower() if self.fold else line).encode().decode("latin-1").translate(self.between)
@@ -153,7 +153,7 @@ class ClosedWords(Pieces):
                 continue
             ends, written = closed[last - 1].tolist(), ids.tobytes()
             known.update(zip(keys[at:at + 1024], [written[a:b] for a, b in zip([0, *ends], ends)]))
-        super()._add(known, rest | set(pieces.filter(pc.invert(fits)).to_pylist()), lead)
+        super()._add(known, rest | set(objects(pieces.filter(pc.invert(fits)))), lead)
 
 
 _LOADED: dict = {}

@@ -192,3 +192,16 @@ def test_ids_for_the_pipeline_are_remembered_within_bounds(monkeypatch):
     assert len(few.plain) + len(few.spaced) <= 53 and len(few.coder.apart) <= 21
     monkeypatch.setattr(trie_bpe, "_CODERS", {})
     assert [np.frombuffer(x, np.int32).tolist() for x in got] == [list(map(int, x.split(","))) for x in trie_bpe.text_coder("byte_bpe_50k.json").code(texts)[0]]
+
+
+def test_objects_are_those_of_the_array():
+    import pyarrow as pa
+
+    from hourwise.llm.common import objects
+    words = ["", "a", "a\0", "straße", "語 言", "😀", None]
+    for kind in (pa.string(), pa.large_string()):
+        assert objects(pa.array(words, kind)) == words
+    coded = [None if w is None else w.encode() for w in words]
+    assert objects(pa.array(coded, pa.binary())) == coded
+    assert objects(pa.array(coded, pa.binary()).slice(2, 3)) == coded[2:5]
+    assert objects(pa.array([], pa.binary())) == []
